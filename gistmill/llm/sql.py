@@ -1,3 +1,46 @@
-"""DuckDB SQL for the queries that SQL can express."""
+"""DuckDB SQL for the queries that SQL can express; the others are tested against brute force."""
+
+from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op1_ann"] = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+scored AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS score FROM v q JOIN v ON q.vec_id % 50 = 0 AND v.vec_id <> q.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+ORACLE_SQL["op3_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [hash(array_to_string(w, ' '))]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+tokens AS (SELECT doc_id, unnest(s) AS t FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+ways AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT u AS node, u AS seen FROM ways UNION SELECT r.node, w.v FROM reach r JOIN ways w ON w.u = r.seen),
+least_ AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id FROM sizes s LEFT JOIN least_ l ON l.node = s.doc_id"""
+
+_RECORD = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce({h}, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce({h}, '') || chr(13) || chr(10) || chr(13) || chr(10)"
+ORACLE_SQL["op5_fixity"] = f"""
+WITH kept AS (SELECT page_id, coalesce(page_id // 1024, -1) AS file, {_RECORD.format(h="html")} AS r, {_RECORD.format(h="CASE WHEN page_id % 97 = 5 THEN substr(html, 1, length(html) - 1) ELSE html END")} AS c FROM pages),
+rows AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY page_id) - 1 AS ordinal, sha256(r) AS expected, sha256(c) AS found, strlen(r) AS n,
+  sum(strlen(r)) OVER (PARTITION BY file ORDER BY page_id) AS upto FROM kept)
+SELECT file, ordinal, expected, found, CAST(upto - n AS BIGINT) AS first_offset, CAST(upto AS BIGINT) AS end_offset FROM rows WHERE expected <> found"""
+
+_SHOWN = "'<|' || {t}.role || '|>' || chr(10) || {t}.text || '<|end|>' || chr(10)"
+_TEXT = "coalesce(array_to_string(list_transform({l}, lambda t: " + _SHOWN.format(t="t") + "), ''), '')"
+_MASK = "CASE WHEN {turn}.role = 'assistant' THEN (5 + length({turn}.role)) || ':' || (5 + length({turn}.role) + length({turn}.text) + 7) ELSE '' END"
+ORACLE_SQL["op10_preference"] = f"""
+WITH turns AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS l FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
+ends AS (SELECT conv_id, l, list_max(list_transform(l, lambda x, i: CASE WHEN x.role = 'assistant' THEN i ELSE 0 END)) AS k FROM turns),
+cut AS (SELECT conv_id, l[1:k - 1] AS prefix, l[k] AS reply FROM ends WHERE k > 0),
+both_ AS (SELECT c.conv_id AS pair_id, c.prefix, c.reply AS a, d.reply AS b FROM cut c JOIN cut d ON d.conv_id = c.conv_id + 1)
+SELECT pair_id, CAST(len(prefix) + CASE WHEN a = b THEN 1 ELSE 0 END AS INTEGER) AS prefix_turns,
+  {_TEXT.format(l="prefix")} || CASE WHEN a = b THEN {_SHOWN.format(t="a")} ELSE '' END AS prompt,
+  CASE WHEN a = b THEN '' ELSE {_SHOWN.format(t="a")} END AS chosen, CASE WHEN a = b THEN '' ELSE {_SHOWN.format(t="b")} END AS rejected,
+  CASE WHEN a = b THEN '' ELSE {_MASK.format(turn="a")} END AS chosen_mask, CASE WHEN a = b THEN '' ELSE {_MASK.format(turn="b")} END AS rejected_mask
+FROM both_"""
