@@ -34,8 +34,8 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; counting stops just past the limit."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether ``df`` has at most ``limit`` rows."""
+    return df.count() <= limit
 
 
 def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:

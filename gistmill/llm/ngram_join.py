@@ -4,8 +4,9 @@ Method (public: PPJoin+, Xiao et al. 2008), laid out as Spark jobs:
 
 1. One pass hashes every document's 5-word shingles to 64 bits and writes
    ``(doc_id, n, class)``, where a class is the set of shingles itself: copies fall into
-   one class and only one of them goes on. The same pass adds up how often shingles
-   occur, in a table of fixed size (2**18 buckets), over all documents.
+   one class and only one of them goes on. The same pass counts, over all documents, the
+   shingles that recur, in a table of fixed size (2**20 buckets). Those that occur once
+   in a batch of documents are not added to it: they would drown the others.
 2. A second pass orders each class's shingles rare first (bucket count, then hash) and
    explodes its prefix of floor(n/5)+1 shingles. Any two sets with a Jaccard similarity of
    0.8 or more share a shingle of their prefixes, whatever the order, so the bucketed
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +38,7 @@ from gistmill.llm.components import components
 SHINGLE = 5
 #: Similarity as a fraction of whole numbers, so that the test is exact: inter/union >= 80/100.
 NUM, DEN = 80, 100
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -66,7 +68,9 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingle_set(t) for t in pdf["text"]]
         if sets:
-            counts += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
+            tokens, often = np.unique(np.concatenate(sets), return_counts=True)
+            again = often > 1
+            counts += np.bincount((tokens[again] % np.uint64(BUCKETS)).astype(np.int64), often[again], minlength=BUCKETS).astype(np.uint32)
         yield pd.DataFrame({
             "doc_id": pdf["doc_id"].astype("Int64"),
             "n": np.array([len(s) for s in sets], np.int64),
@@ -74,27 +78,28 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "counts": None,
         })
     if counts.any():
-        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": np.array([-1], np.int64), "cls": pd.array([None], "Int64"), "counts": [counts.tobytes()]})
+        yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": np.array([-1], np.int64), "cls": pd.array([None], "Int64"), "counts": [zlib.compress(counts.tobytes(), 1)]})
 
 
 def _add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BUCKETS, np.uint64)
+    total = np.zeros(BUCKETS, np.uint32)
     for pdf in batches:
         for x in pdf["counts"]:
-            total += np.frombuffer(x, np.uint64 if len(x) == 8 * BUCKETS else np.uint32).astype(np.uint64)
+            fresh = np.frombuffer(zlib.decompress(x), np.uint32)
+            total = np.where(total > ~fresh, np.uint32(0xFFFFFFFF), total + fresh)  # stays at the top
     if total.any():
-        yield pd.DataFrame({"counts": [total.tobytes()]})
+        yield pd.DataFrame({"counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _bucket_counts(info: DataFrame) -> np.ndarray:
     """Sums of the per-task tables, in three levels so that no task adds up more than a share of them."""
     got = info.where("n = -1").select("counts").mapInPandas(_add_up, "counts binary").repartition(64)
     got = got.mapInPandas(_add_up, "counts binary").repartition(1).mapInPandas(_add_up, "counts binary").first()
-    return np.frombuffer(got[0], np.uint64) if got else np.zeros(BUCKETS, np.uint64)
+    return np.frombuffer(zlib.decompress(got[0]), np.uint32) if got else np.zeros(BUCKETS, np.uint32)
 
 
 def _prefixes(counts: np.ndarray):
-    ranks = counts.astype(np.uint64)
+    ranks = counts
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -109,7 +114,7 @@ def _prefixes(counts: np.ndarray):
                 "doc_id": pdf["doc_id"].astype("Int64").iloc[keep].to_numpy(),
                 "cls": np.array([_class_of(sets[i]) for i in keep], np.int64),
                 "n": np.array([len(sets[i]) for i in keep], np.int32),
-                "prefix": prefix,
+                "prefix": pd.Series(prefix, dtype=object),
             })
 
     return run
@@ -189,11 +194,11 @@ class NgramJoin:
         owner = self.rows.join(wanted, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
         ids = owner.select(F.col("doc_id").alias("__d"))
         texts = sized_join(self.docs, ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+        # Rows that repeat a document would repeat its set; the result is made distinct, so they do no harm.
         sets = sized_join(texts.select("text").mapInPandas(_whole_sets, "cls long, tokens binary"), wanted, "cls", "left_semi")
-        sets = materialize(sets.dropDuplicates(["cls"]), "sets")
         both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")), "u")
         both = both.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")), "v")
-        return materialize(both.mapInPandas(_verify, "u long, v long"), "links")
+        return materialize(both.mapInPandas(_verify, "u long, v long").distinct(), "links")
 
     def run(self) -> DataFrame:
         """``(cls, component)`` of every class that has a link; also keeps ``self.links``."""
