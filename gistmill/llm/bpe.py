@@ -188,7 +188,7 @@ def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int = 16384
 
     def rank(hexed):
         slot = F.element_at(F.col("__table"), (F.crc32(F.encode(hexed, "UTF-8")) % buckets + 1).cast("int"))
-        return F.regexp_extract(F.concat(F.lit(","), slot, F.lit(",")), F.concat(F.lit(","), hexed, F.lit("=([0-9]+),")), 1).try_cast("int")
+        return F.try_element_at(F.str_to_map(slot, F.lit(","), F.lit("=")), hexed).try_cast("int")
 
     start = F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit("(..)"), F.lit(1))
 
