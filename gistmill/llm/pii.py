@@ -96,17 +96,21 @@ def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float, remove:
 
     Texts count once however often they are copied: copies are no further evidence. Terms
     need ``support`` different texts in common with the entity; the others, the great
-    majority, leave before the corpus is counted.
+    majority, and those too common to reach the threshold leave before the corpus is counted.
     """
+    texts = scanned.select("key").distinct().count()
     pairs = scanned.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.terms")
     entities = pairs.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    both = pairs.select("key", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    both = materialize(both.join(entities, "entity"), "pairs")
+    near = pairs.select("key", "entity", F.explode("terms").alias("term")).distinct()
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
+    # A term is in as many texts as it is near some entity, so one that is common there can't reach the threshold.
+    seen = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = F.col("n_te") * F.pow(F.lit(float(max(texts, 1))) / F.col("n_e"), F.lit(1 - generalise))
+    both = materialize(both.join(entities, "entity").join(seen, "term").where(F.col("n_near") <= most + 1e-6).drop("n_near"), "pairs")
     terms = materialize(both.select("term").distinct(), "terms")
-    texts = scanned.select("key").distinct().count()
     words = need(docs, ["text"]).where("text IS NOT NULL")
     if terms.isEmpty():
-        words = words.limit(0)  # no pair has support, so nothing needs to be counted
+        words = words.limit(0)  # no pair can reach it, so nothing needs to be counted
     words = words.select(F.md5("text").alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     counted = sized_join(words, terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     rated = both.join(counted, "term").withColumn("disclosure", F.log2(F.col("n_te") * F.lit(float(texts)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(texts)) / F.col("n_e")))
