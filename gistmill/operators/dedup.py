@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from gistmill.functions.exprs import let
-
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     """All sources with ``source_type``; columns that one lacks are null there."""
@@ -43,6 +41,22 @@ def title_similarity(lower: pd.Series, higher: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(lower, higher, strict=True)], dtype="float64")
 
 
+def _reach(threshold: float):
+    """UDF: whether the ratio of a pair reaches the threshold; cheap upper bounds are tried first, and what is known of a title serves its whole batch."""
+
+    @pandas_udf(T.BooleanType())
+    def reach(lower: pd.Series, higher: pd.Series) -> pd.Series:
+        matcher, out = SequenceMatcher(None), [False] * len(lower)
+        for i in higher.argsort(kind="stable"):
+            if matcher.b != higher.iloc[i]:
+                matcher.set_seq2(higher.iloc[i])
+            matcher.set_seq1(lower.iloc[i])
+            out[i] = matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
+        return pd.Series(out)
+
+    return reach
+
+
 def dedup_titles_exact(articles: DataFrame, score: str = "raw_score") -> DataFrame:
     """The best row, by score and then ``seq``, of each cleaned title."""
     best = articles.withColumn("__clean", clean_title(F.col("title"))).groupBy("__clean").agg(F.max_by("seq", F.struct(F.col(score), -F.col("seq"))).alias("__seq"))
@@ -89,8 +103,7 @@ def dedup_titles(articles: DataFrame, threshold: float = 0.75, score: str = "raw
     pairs = title_candidates(rows, threshold)
     text = rows.select("rank", "clean")
     met = pairs.join(text.select(F.col("rank").alias("lo"), F.col("clean").alias("a")), "lo").join(text.select(F.col("rank").alias("hi"), F.col("clean").alias("b")), "hi")
-    common = let(F.split("a", ""), lambda c: F.size(F.array_intersect(c, F.split(F.col("b"), ""))))  # any at all
-    edges = _cut(met.where(common > 0).where(title_similarity("a", "b") >= threshold).select("lo", "hi"))
+    edges = _cut(met.where(_reach(threshold)("a", "b")).select("lo", "hi"))
     open_, dropped = edges, None
     while not open_.isEmpty():
         # Better rows of an open pair that are in no open pair as the worse one are kept; their worse neighbours go.

@@ -193,8 +193,7 @@ def dedup_titles_exact(spark, sf_dir):
 
 @query
 def dedup_titles(spark, sf_dir):
-    """Of the 200 best titles; greedy by score. The cut is the digest's own candidate list."""
-    return dedup.dedup_titles(select.top_articles(weighted(spark, sf_dir), 200)).select("seq", "title", "raw_score")
+    return dedup.dedup_titles(weighted(spark, sf_dir)).select("seq", "title", "raw_score")
 
 
 @query
@@ -350,6 +349,28 @@ def source_footprint(spark, sf_dir):
     return select.source_footprint(weighted(spark, sf_dir), ["36氪", "虎嗅", "爱范儿", "量子位", "少数派", "知乎"])
 
 
+@query
+def focus_categories(spark, sf_dir):
+    ranked = select.rank_articles(select.top_articles(weighted(spark, sf_dir), 3))
+    return select.focus_categories(ranked).select(F.array_join("categories", "|").alias("categories"), "n")
+
+
+@query
+def check_summary(spark, sf_dir):
+    """State of the links and summaries of the first 15."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    crawl = pages.where("page_id % 11 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"))
+    top = links.check_links(select.top_articles(weighted(spark, sf_dir), 15), crawl)
+    return links.check_summary(links.repair_summaries(top, pages))
+
+
+@query
+def knowledge_card(spark, sf_dir):
+    rows = curated(spark, sf_dir)
+    path, card = curation.knowledge_card(F.col("title"), F.col("content"), F.col("category"), F.col("tags"), F.col("url"), _now())
+    return rows.select("seq", path.alias("rel_path"), F.md5(card).alias("card_md5"))
+
+
 @query
 def select_digest_sections(spark, sf_dir):
     rows = deep(spark, sf_dir)

@@ -168,3 +168,7 @@ _page = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
 for _entity, _char in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]:
     _page = f"replace({_page if _entity != '&nbsp;' else f"regexp_replace({_page}, '<[^>]+>', '', 'g')"}, {quoted(_entity)}, {quoted(_char)})"
 ORACLE_SQL["strip_html_noise"] = rf"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_page}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages"
+ORACLE_SQL["focus_categories"] = f"{_WEIGHED} SELECT string_agg(DISTINCT category, '|' ORDER BY category) AS categories, CAST(count(DISTINCT category) AS INTEGER) AS n FROM ({_top(3)})"
+_folder = "CASE WHEN category IN ('AI技术', '投资分析', '经济趋势', '产业研究') THEN '02-专业知识库/' || category ELSE '02-专业知识库' END"
+_card = f"""'---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'date: {NOW}' || chr(10) || 'category: ' || category || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda t: '  - ' || t), chr(10)) || chr(10) || '---' || chr(10) || chr(10) || content || chr(10)"""
+ORACLE_SQL["knowledge_card"] = f"{_CURATED} SELECT seq, {_folder} || '/' || substr(translate(title, '/\\', '--'), 1, 80) || '.md' AS rel_path, md5({_card}) AS card_md5 FROM curated"
