@@ -21,8 +21,7 @@ def project_articles(articles: DataFrame, score: Column) -> DataFrame:
 
 
 def ai_title_filter(articles: DataFrame) -> DataFrame:
-    tokens = ["ai", "llm", "gpt", "agent", "ml-", "deep", "neural", "transform", "diffusion", "langchain", "rag", "vector", "embedding", "fine-tun", "chatgpt", "llama", "openai", "anthropic", "stable-diffusion"]
-    return articles.where(contains_any(F.lower("title"), tokens))
+    return articles.where(contains_any(F.lower("title"), rules.AI_TOKENS))
 
 
 def skip_domains(articles: DataFrame, hosts: list[str] | None = None) -> DataFrame:

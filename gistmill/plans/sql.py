@@ -6,7 +6,6 @@ from gistmill import rules
 from gistmill.plans.adapter import ANSWERS_SQL, ARTICLES_SQL, ITEMS_SQL, NOW, PLATFORMS, quoted
 
 ORACLE_SQL: dict[str, str] = {}
-AI_TOKENS = ["ai", "llm", "gpt", "agent", "ml-", "deep", "neural", "transform", "diffusion", "langchain", "rag", "vector", "embedding", "fine-tun", "chatgpt", "llama", "openai", "anthropic", "stable-diffusion"]
 
 
 def _list(values) -> str:
@@ -100,7 +99,7 @@ ORACLE_SQL["signal_gate"] = f"WITH {ARTICLES_SQL} SELECT seq FROM articles WHERE
 ORACLE_SQL["quality_sort"] = f"WITH {ARTICLES_SQL} SELECT seq, CAST({_hits(_two, rules.DEEP_SIGNALS)} AS INTEGER) AS n_signals FROM articles"
 ORACLE_SQL["keyword_hits"] = f"WITH {ARTICLES_SQL} SELECT seq, CAST({_hits('title', rules.DEEP_SIGNALS)} AS INTEGER) AS signals, CAST({_hits('lower(summary)', [k.lower() for k in rules.PENALTY])} AS INTEGER) AS penalties FROM articles"
 ORACLE_SQL["select_sources"] = f"WITH {ARTICLES_SQL} SELECT seq, platform FROM articles WHERE platform IN ('36氪', '虎嗅', 'unknown')"
-ORACLE_SQL["ai_title_filter"] = f"WITH {ARTICLES_SQL} SELECT seq FROM articles WHERE {_hits('lower(title)', AI_TOKENS)} > 0"
+ORACLE_SQL["ai_title_filter"] = f"WITH {ARTICLES_SQL} SELECT seq FROM articles WHERE {_hits('lower(title)', rules.AI_TOKENS)} > 0"
 ORACLE_SQL["skip_domains"] = f"WITH {ARTICLES_SQL} SELECT seq FROM articles WHERE NOT contains(url, 'example.com/fr') AND NOT contains(url, 'example.com/de')"
 ORACLE_SQL["needs_full_text"] = f"WITH {ARTICLES_SQL} SELECT seq, length(content) < 500 AND url <> '' AS needs FROM articles"
 ORACLE_SQL["cap_per_source"] = f"WITH {ARTICLES_SQL} SELECT platform, count(*) AS n, max(seq) AS last_seq FROM articles WHERE seq // {len(PLATFORMS)} < CASE platform WHEN '量子位' THEN 30 WHEN 'huggingface' THEN 30 WHEN 'github' THEN 40 ELSE 50 END GROUP BY platform"
@@ -167,7 +166,14 @@ ORACLE_SQL["tokenize_ngrams"] = f"WITH {ARTICLES_SQL}, h AS (SELECT seq, substr(
 _page = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<svg[^>]*>.*?</svg>', '', 'g'), '\s*(?:style|on\w+)="[^"]*"', '', 'g'), '</?(?:div|p|br|h[1-6]|li|tr|section|article|blockquote|pre|main|aside)[^>]*>', chr(10), 'g')"""
 for _entity, _char in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]:
     _page = f"replace({_page if _entity != '&nbsp;' else f"regexp_replace({_page}, '<[^>]+>', '', 'g')"}, {quoted(_entity)}, {quoted(_char)})"
-ORACLE_SQL["strip_html_noise"] = rf"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_page}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages"
+_tidy = rf"regexp_replace(regexp_replace(regexp_replace({_page}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
+ORACLE_SQL["strip_html_noise"] = f"SELECT page_id, md5({_tidy}) AS text_md5 FROM pages"
+_div, _article = '(?s)<div[^>]*class="[^"]*article[^"]*"[^>]*>(.*?)</div>', "(?s)<article[^>]*>(.*?)</article>"
+ORACLE_SQL["extract_site_body"] = f"SELECT page_id, md5({_tidy}) AS text_md5 FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, {quoted(_div)}, 1), ''), nullif(regexp_extract(html, {quoted(_article)}, 1), '')) AS html FROM pages)"
+_json = lambda c: f"'[' || array_to_string(list_transform({c}, lambda v: chr(34) || v || chr(34)), ', ') || ']'"
+_yaml = "|| chr(10) ||".join(["'---'", "'knowledge_id: \"' || knowledge_id || '\"'", "'type: \"' || knowledge_type || '\"'", "'domain: \"' || domain_name || '\"'", f"'subdomain: ' || {_json('subs')}", f"'tags: ' || {_json('tags')}", f"'created: \"{NOW}\"'", f"'updated: \"{NOW}\"'", "'source: \"' || url || '\"'", "'source_type: \"行业媒体-' || platform || '\"'", "'depth_score: ' || printf('%.1f', CAST(score AS DOUBLE))", "'---'", "''"])
+_CURATED_DEEP = _CURATED.replace(f"WITH {ARTICLES_SQL}", f"{_DEEP}".removeprefix(" "), 1).replace("substr(content, 1, 2000) AS x FROM articles", "substr(content, 1, 2000) AS x FROM deep", 1)
+ORACLE_SQL["build_frontmatter"] = f"{_CURATED_DEEP} SELECT seq, {_yaml} AS yaml, rel_path FROM curated"
 ORACLE_SQL["focus_categories"] = f"{_WEIGHED} SELECT string_agg(DISTINCT category, '|' ORDER BY category) AS categories, CAST(count(DISTINCT category) AS INTEGER) AS n FROM ({_top(3)})"
 _folder = "CASE WHEN category IN ('AI技术', '投资分析', '经济趋势', '产业研究') THEN '02-专业知识库/' || category ELSE '02-专业知识库' END"
 _card = f"""'---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'date: {NOW}' || chr(10) || 'category: ' || category || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda t: '  - ' || t), chr(10)) || chr(10) || '---' || chr(10) || chr(10) || content || chr(10)"""

@@ -134,3 +134,6 @@ SOURCE_LABEL_DEFAULT = "📌 其他"
 SKIP_HOSTS = ["zhihu.com", "weixin.qq.com", "mp.weixin.qq.com"]
 WEEKDAYS = ["一", "二", "三", "四", "五", "六", "日"]
 FUNCTION_CHARS = "的了在是和有我这那不"
+
+# What the title of a repository must contain.
+AI_TOKENS = ["ai", "llm", "gpt", "agent", "ml-", "deep", "neural", "transform", "diffusion", "langchain", "rag", "vector", "embedding", "fine-tun", "chatgpt", "llama", "openai", "anthropic", "stable-diffusion"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gistmill import rules
 from gistmill.functions.curation import parse_published
 from gistmill.functions.exprs import contains_any, first_filled, strip
 from gistmill.functions.scoring import interest_classify, popularity_score
@@ -87,9 +88,8 @@ def extract_repo_cards(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.posexplode(F.slice(lists, 1, 40)).alias("pos", "r")).select("pos", "r.*").where("owner IS NOT NULL").where(~F.col("owner").isin("login", "signup", "settings", "features", "marketplace", "explore"))
     descr = F.coalesce("descr", F.lit(""))
     rows = rows.withColumn("full", F.concat("owner", F.lit("/"), "name", F.when(descr != "", F.concat(F.lit(": "), F.substring(descr, 1, 80))).otherwise("")))
-    tokens = ["ai", "llm", "gpt", "agent", "ml-", "deep", "neural", "transform", "diffusion", "langchain", "rag", "vector", "embedding", "fine-tun", "chatgpt", "llama", "openai", "anthropic", "stable-diffusion"]
     summary = F.substring(F.concat(F.substring(descr, 1, 200), F.when(F.coalesce("lang", F.lit("")) != "", F.concat(F.lit(" ["), "lang", F.lit("]"))).otherwise("")), 1, 200)
-    rows = rows.where(contains_any(F.lower("full"), tokens))
+    rows = rows.where(contains_any(F.lower("full"), rules.AI_TOKENS))
     score = F.greatest(interest_classify(F.col("full"), summary)["score"], F.lit(3.0))
     return rows.select("pos", F.lit("github").alias("platform"), F.substring("full", 1, 120).alias("title"), F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "name").alias("url"), summary.alias("summary"), F.col("owner").alias("author"), F.lit("AI Agent与工程").alias("category"), score.alias("raw_score"))
 
