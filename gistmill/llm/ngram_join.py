@@ -146,11 +146,11 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _fits(other: str) -> F.Column:
     """Length filter, and positional filter for a common shingle at place ``pos`` (from 0) of ``n``.
 
-    Shingles up to the common one that both sets have lie in both prefixes, so ``seen``, the
-    number of prefix shingles up to there that any other prefix has, bounds them.
+    The filter holds at the first common shingle of every pair that reaches the threshold:
+    the two have nothing in common before it. A pair need not pass at its later ones.
     """
     n, m = F.col("n").cast("long"), F.col(f"{other}n").cast("long")
-    most = F.least(F.col("seen"), F.col(f"{other}seen")) + F.least(n - F.col("pos") - 1, m - F.col(f"{other}pos") - 1)
+    most = F.least(n - F.col("pos"), m - F.col(f"{other}pos"))
     return (F.least(n, m) * DEN >= F.greatest(n, m) * NUM) & (most * (NUM + DEN) >= (n + m) * NUM)
 
 
@@ -178,12 +178,10 @@ class NgramJoin:
         order = Window.partitionBy("token").orderBy("n", "cls")
         posts = posts.withColumn("prev", F.lag("cls").over(order)).withColumn("next", F.lead("cls").over(order))
         posts = materialize(posts.where("prev IS NOT NULL OR next IS NOT NULL").drop("prev", "next"), "postings")
-        # Of the shingles up to a common one, two sets share at most those that are in more than one prefix ("seen").
-        mine = Window.partitionBy("cls")
-        posts = posts.withColumn("seen", F.row_number().over(mine.orderBy("pos"))).withColumn("own", F.floor(F.col("n") * (DEN - NUM) / DEN) + 1 - F.count("*").over(mine))
+        posts = posts.withColumn("own", F.floor(F.col("n") * (DEN - NUM) / DEN) + 1 - F.count("*").over(Window.partitionBy("cls")))
         # A text that others were made from shares most of its prefix; what is changed in a copy is rare and its own.
         order = Window.partitionBy("token").orderBy("own", "n", "cls")
-        one = F.struct("cls", "n", "pos", "seen")
+        one = F.struct("cls", "n", "pos")
         posts = posts.withColumn("prev", F.lag(one).over(order)).withColumn("first", F.first(one).over(order))
         return materialize(posts.drop("own"), "postings")
 
@@ -209,10 +207,10 @@ class NgramJoin:
         links = self._verified(tried)
         found = materialize(components(links), "components")
         # Every pair whose classes are not together yet.
-        named = posts.select("token", "cls", "n", "pos", "seen").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        named = posts.select("token", "cls", "n", "pos").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         named = materialize(named.join(mixed, "token"), "mixed")
-        left, right = named, named.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "n", "pos", "seen", "component")])
+        left, right = named, named.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "n", "pos", "component")])
         rest = left.join(right, "token").where((F.col("cls") < F.col("other_cls")) & (F.col("component") != F.col("other_component")) & _fits("other_")).select(F.col("cls").alias("u"), F.col("other_cls").alias("v"))
         rest = rest.distinct().join(tried, ["u", "v"], "left_anti")
         more = self._verified(rest)
