@@ -3,10 +3,15 @@
 DataFrame functions only. E-mail addresses, IP addresses, card numbers and phone numbers
 are found with their spans. Then the corpus tells which other terms give such an entity
 away (public method: Sanchez and Batet, "C-sanitized", 2016): for a term t near entity e,
-the pointwise mutual information log2(n_te * N / (n_t * n_e)) over distinct texts is set
-against the entity's information log2(N / n_e). A term that discloses at least
-``generalise`` of it becomes a placeholder in texts with that entity, and one that
-discloses at least ``remove`` of it is removed.
+the pointwise mutual information log2(P(e|t) / P(e)) over distinct texts is set against
+the entity's information log2(1 / P(e)). P(e|t) is (n_te + prior * P(e)) / (n_t + prior),
+so one common text is weaker evidence than many, and no entity is too rare to be rated. A
+term that discloses at least ``generalise`` of it becomes a placeholder in texts with that
+entity, and one that discloses at least ``remove`` of it is removed.
+
+Entities are counted at the levels that texts have in common: cards and phones by their
+digits, IP addresses without leading zeros, e-mail addresses whole, by their domain and by
+the words of their local part.
 """
 
 from __future__ import annotations
@@ -77,43 +82,64 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(text: Column, span: Column) -> Column:
-    """Lower-case terms within the window on either side, whole words only."""
-    left = F.regexp_replace(F.substring(text, F.greatest(span["start"] - WINDOW + 1, F.lit(1)), F.least(span["start"], F.lit(WINDOW))), r"^\S*", "")
-    right = F.regexp_replace(F.substring(text, span["end"] + 1, F.lit(WINDOW)), r"\S*$", "")
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.concat(left, F.lit(" "), right)), F.lit(TERM), F.lit(0)))
+    """Lower-case terms within the window on either side, whole words only: a word that the window cuts is left out."""
+    # One more code point shows whether the window begins or ends inside a word.
+    left = F.when(span["start"] > WINDOW, F.regexp_replace(F.substring(text, span["start"] - WINDOW, F.lit(WINDOW + 1)), r"^\S+", "")).otherwise(F.substring(text, F.lit(1), span["start"]))
+    right = F.substring(text, span["end"] + 1, F.lit(WINDOW + 1))
+    right = F.when(F.length(right) > WINDOW, F.regexp_replace(right, r"\S+$", "")).otherwise(right)
+    return _terms(F.concat(left, F.lit(" "), right))
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def _levels(span: Column) -> Column:
+    """What an entity counts as; the kind comes first."""
+    value = F.lower(span["value"])
+    mail = F.concat(F.array(value, F.regexp_replace(value, "^[^@]*", "")), F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit(TERM), F.lit(0)))
+    plain = F.when(span["kind"] == KINDS.index("ip"), F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(_digits(value))
+    levels = F.when(span["kind"] == KINDS.index("email"), mail).otherwise(F.array(plain))
+    return F.array_distinct(F.transform(levels, lambda v: F.concat(span["kind"].cast("string"), F.lit(":"), v)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: ``doc_id, key, spans, near``; ``key`` is the text's MD5, ``near`` pairs each entity with its terms."""
+    """One pass over the texts: ``doc_id, key, spans, near, words``; ``key`` is the text's MD5, ``near`` pairs each entity with its terms, ``words`` has all terms of texts with an entity."""
     rows = need(docs, ["doc_id", "text"]).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
-    near = F.transform("spans", lambda s: F.struct(F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(s["value"])).alias("entity"), _context(F.col("text"), s).alias("terms")))
-    return materialize(rows.select("doc_id", F.md5("text").alias("key"), "spans", near.alias("near")), "scan")
+    near = F.transform("spans", lambda s: F.struct(_levels(s).alias("entities"), _context(F.col("text"), s).alias("terms")))
+    words = F.when(F.size("spans") > 0, _terms(F.col("text"))).otherwise(F.array().cast("array<string>"))
+    return materialize(rows.select("doc_id", F.md5("text").alias("key"), "spans", near.alias("near"), words.alias("words")), "scan")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float, remove: float, support: int) -> DataFrame:
+def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float, remove: float, prior: float) -> DataFrame:
     """``entity, term, disclosure, removed`` for the terms over the threshold.
 
     Texts count once however often they are copied: copies are no further evidence. Terms
-    need ``support`` different texts in common with the entity; the others, the great
-    majority, and those too common to reach the threshold leave before the corpus is counted.
+    that can't reach the threshold, as they are near entities in too many texts, leave
+    before the corpus is counted.
     """
-    texts = scanned.select("key").distinct().count()
-    pairs = scanned.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.terms")
-    entities = pairs.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    texts = float(max(scanned.select("key").distinct().count(), 1))
+    pairs = scanned.select("key", F.explode("near").alias("x")).select("key", F.explode("x.entities").alias("entity"), "x.terms")
+    entities = pairs.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     near = pairs.select("key", "entity", F.explode("terms").alias("term")).distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    # A term is in as many texts as it is near some entity, so one that is common there can't reach the threshold.
+    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
     seen = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    most = F.col("n_te") * F.pow(F.lit(float(max(texts, 1))) / F.col("n_e"), F.lit(1 - generalise))
-    both = materialize(both.join(entities, "entity").join(seen, "term").where(F.col("n_near") <= most + 1e-6).drop("n_near"), "pairs")
+    share = F.col("n_e") / texts  # an entity in every text has no information to disclose
+    given = lambda n_t: (F.col("n_te") + prior * share) / (F.col(n_t) + prior)
+    # A term is in as many texts as it is near some entity, so one that is common there can't reach the threshold.
+    both = sized_join(sized_join(both, materialize(entities, "entities"), "entity", "inner"), materialize(seen, "seen"), "term", "inner")
+    both = materialize(both.where((F.col("n_e") < texts) & (given("n_near") >= F.pow(share, F.lit(1 - generalise)) * (1 - 1e-9))).drop("n_near"), "pairs")
     terms = materialize(both.select("term").distinct(), "terms")
     words = need(docs, ["text"]).where("text IS NOT NULL")
     if terms.isEmpty():
         words = words.limit(0)  # no pair can reach it, so nothing needs to be counted
-    words = words.select(F.md5("text").alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counted = sized_join(words, terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    rated = both.join(counted, "term").withColumn("disclosure", F.log2(F.col("n_te") * F.lit(float(texts)) / (F.col("n_t") * F.col("n_e"))) / F.log2(F.lit(float(texts)) / F.col("n_e")))
+    # Each of n copies counts 1/n, so sums by term alone leave a task and no (text, term) pair is shuffled.
+    copied = materialize(scanned.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
+    words = sized_join(words.withColumn("key", F.md5("text")), copied, "key", "left")
+    words = words.select(F.explode(_terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
+    counted = sized_join(words, terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
+    rated = sized_join(both, materialize(counted, "counted"), "term", "inner").withColumn("disclosure", 1 - F.log2(given("n_t")) / F.log2(share))
     return materialize(rated.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "disclosures")
 
 
@@ -125,8 +151,9 @@ def _term_spans(text: Column, terms: Column) -> Column:
 
 def term_spans(docs: DataFrame, scanned: DataFrame, found: DataFrame) -> DataFrame:
     """``key, terms``: for each distinct text that holds an entity with disclosing terms, their spans outside the base ones."""
-    wanted = scanned.select("key", F.explode("near").alias("x")).select("key", F.col("x.entity").alias("entity")).distinct()
-    wanted = sized_join(wanted, found, "entity", "inner").groupBy("key", "term").agg(F.max("removed").alias("removed"))
+    # By the text's own terms, as an entity in many texts would pair each of them with all its terms.
+    wanted = scanned.where(F.size("near") > 0).select("key", F.flatten("near.entities").alias("entities"), F.explode("words").alias("term"))
+    wanted = sized_join(wanted, found, "term", "inner").where("array_contains(entities, entity)").groupBy("key", "term").agg(F.max("removed").alias("removed"))
     wanted = materialize(wanted.groupBy("key").agg(F.collect_list(F.struct("term", "removed")).alias("wanted")), "wanted")
     texts = need(docs, ["text"]).withColumn("key", F.md5("text"))
     met = sized_join(texts, wanted, "key", "inner").withColumn("base", base_spans(F.col("text")))
@@ -149,12 +176,12 @@ def _of_kind(kind: int):
 
 
 class Sanitiser:
-    """Spans of one table of documents; ``generalise`` and ``remove`` are shares of the entity's information."""
+    """Spans of one table of documents; ``generalise`` and ``remove`` are shares of the entity's information, ``prior`` counts as so many texts that hold a term and the entity by chance alone."""
 
-    def __init__(self, docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 3):
+    def __init__(self, docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, prior: float = 1.0):
         self.docs = docs
         self.scanned = scan(docs)
-        self.found = disclosures(docs, self.scanned, generalise, remove, support)
+        self.found = disclosures(docs, self.scanned, generalise, remove, prior)
         self.terms = term_spans(docs, self.scanned, self.found)
 
     def spans(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -291,6 +292,26 @@ def test_pii_terms_that_disclose(spark):
     assert none.spans().count() == none.sanitised().count() == 0
 
 
+def test_pii_single_entities_are_rated(spark):
+    texts = [f"please mind the common words of this text, number {i}, and call" for i in range(90)]
+    texts += ["Walrus keeper: common words call +1 (234) 555-7890 please", "call +1 234 555 7890, walrus", "words of quagga at ann.lee@corp.example common", "the words " * 20 + "okapi bob@corp.example " + "the words " * 20, "yak 4111-1111-1111-1111"]
+    job = pii.Sanitiser(docs(spark, texts))
+    assert not job.found.where("disclosure > 1").count()
+    near = [("3:12345557890", "walrus", 90), ("3:12345557890", "walrus", 91), ("2:4111111111111111", "yak", 94), ("3:12345557890", "keeper", 90)]
+    near += [(e, "quagga", 92) for e in ("0:ann.lee@corp.example", "0:ann", "0:lee", "0:@corp.example")] + [(e, "okapi", 93) for e in ("0:bob@corp.example", "0:bob", "0:@corp.example")]
+    n_e = {e: len({k for f, _, k in near if f == e}) for e, _, _ in near}
+    want = {}
+    for e, t in {x[:2] for x in near}:
+        held = len({k for f, u, k in near if (f, u) == (e, t)})
+        n_t = sum(t in x.lower() for x in texts)
+        want[e, t] = 1 + math.log2((held + n_e[e] / len(texts)) / (n_t + 1)) / math.log2(len(texts) / n_e[e])
+    got = {(r.entity, r.term): r.disclosure for r in job.found.collect()}
+    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.8})
+    assert {"walrus", "quagga", "okapi", "yak"} <= {t for _, t in got}
+    spans = {r.doc_id: r for r in job.spans().collect()}
+    assert [spans[i].n_terms for i in (0, 90, 91, 92, 93, 94)] == [0, 2, 1, 1, 1, 1] and "term:0:6" in spans[90].spans
+
+
 # 10
 def test_preference_pairs(spark):
     turn = "array<struct<role:string,text:string>>"
