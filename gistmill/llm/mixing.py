@@ -1,9 +1,9 @@
 """Mixing sources to target weights by entropy balancing.
 
-Documents get rates that are exponentially tilted from a common start and meet one token
-constraint per source: the sum of rate times size is the source's target. The convex dual
-has one multiplier a source; Newton steps solve it, each a Spark aggregation of
-(source, size) cells. A rate stays below 2 because the entropy is the bounded one: its
+Documents get rates that are exponentially tilted from a common start, the mean share, and
+meet one token constraint per source: the sum of rate times size is the source's target.
+The convex dual has one multiplier a source, on size; Newton steps solve it, each a Spark
+aggregation of (source, size) cells. So within a source the rate goes with the size. A rate stays below 2 because the entropy is the bounded one: its
 odds, rate / (2 - rate), are what is tilted. Rates are then rounded into copies 0, 1 or 2.
 """
 
@@ -47,14 +47,22 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return ranked.select("source", "source_size", F.least("cap", F.col("w") * level).alias("target"))
 
 
-def _solve(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 30) -> DataFrame:
-    """Multipliers ``(source, tilt)``: Newton on the dual, damped by keeping steps within bounds; one aggregation a round."""
+def _solve(cells: DataFrame, goals: DataFrame, share: float, most: float, rounds: int = 100) -> DataFrame:
+    """Multipliers ``(source, tilt)``: Newton on the dual, one aggregation a round, until all totals meet their targets.
+
+    Steps are on the logit of the total as a share of its cap, which is nearly linear in the
+    multiplier; a step that leaves the bracket found so far halves it instead. Raises if a
+    target is not met after ``rounds``.
+    """
     scale = F.col("size") / F.col("mean_size")
     state = goals.where("source_size > 0 AND target > 0").withColumn("mean_size", F.col("source_size") / F.col("n"))
     # A source at its cap takes everything; no multiplier is finite there.
     state = state.withColumn("at_cap", F.col("target") >= F.col("source_size") * most * (1 - 1e-9))
-    start = F.log(F.col("target") / (F.col("source_size") * most - F.col("target")))
-    state = materialize(state.withColumn("base", F.when(F.col("at_cap"), 0.0).otherwise(start)).withColumn("tilt", F.lit(0.0)), "tilts")
+    base = float(np.log(share / (most - share))) if 0 < share < most else 0.0
+    state = state.withColumn("base", F.lit(base)).withColumn("tilt", F.lit(0.0)).withColumn("low", F.lit(float("-inf"))).withColumn("high", F.lit(float("inf")))
+    state = materialize(state, "tilts")
+    cap = F.col("source_size") * most
+    worst = None
     for _ in range(rounds):
         met = sized_join(cells, state, cells["source"].eqNullSafe(state["source"]), "inner").where("NOT at_cap").drop(cells["source"])
         rate = most / (1 + F.exp(-(F.col("base") + F.col("tilt") * scale)))
@@ -64,14 +72,23 @@ def _solve(cells: DataFrame, goals: DataFrame, most: float, rounds: int = 30) ->
         )
         sums = sums.withColumnRenamed("source", "__s")
         state = state.join(sums, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-        step = (F.col("target") - F.col("got")) / F.col("slope")
-        state = state.withColumn("tilt", F.when(F.col("slope") > 0, F.col("tilt") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), step))).otherwise(F.col("tilt")))
-        state = materialize(state.withColumn("gap", F.coalesce(F.abs(F.col("got") / F.col("target") - 1), F.lit(0.0))), "tilts")
+        gap = F.when(F.col("at_cap"), 0.0).otherwise(F.abs(F.col("got") / F.col("target") - 1))
+        state = state.withColumn("gap", gap).withColumn("low", F.when(F.col("got") < F.col("target"), F.col("tilt")).otherwise(F.col("low")))
+        state = state.withColumn("high", F.when(F.col("got") > F.col("target"), F.col("tilt")).otherwise(F.col("high")))
+        inside = (F.col("got") > 0) & (F.col("got") < cap) & (F.col("slope") > 0)
+        step = (F.log(F.col("target") / (cap - F.col("target"))) - F.log(F.col("got") / (cap - F.col("got")))) * F.col("got") / F.col("slope") * (1 - F.col("got") / cap)
+        far = 4 + 2 * F.abs("tilt")
+        up = F.when(F.col("got") < F.col("target"), far).otherwise(-far)
+        new = F.col("tilt") + F.when(inside, F.greatest(-far, F.least(far, step))).otherwise(up)
+        bounded = (F.col("low") > float("-inf")) & (F.col("high") < float("inf"))
+        new = F.when(bounded & ~((new > F.col("low")) & (new < F.col("high"))), (F.col("low") + F.col("high")) / 2).otherwise(new)
+        state = state.withColumn("tilt", F.when(F.col("gap") < 1e-9, F.col("tilt")).otherwise(new))
+        state = materialize(state, "tilts")
         worst = state.agg(F.max("gap")).first()[0]
         state = state.drop("got", "slope", "gap")
         if (worst or 0) < 1e-9:
-            break
-    return state.select("source", "target", "base", "tilt", "mean_size", "at_cap")
+            return state.select("source", "target", "base", "tilt", "mean_size", "at_cap")
+    raise RuntimeError(f"mixing: a source's total is off its target by a share of {worst} after {rounds} rounds")
 
 
 def _round(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -103,7 +120,7 @@ def copies_of(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, m
     goals = targets(sources.select("source", "source_size"), weights, share, most)
     named = goals.withColumnRenamed("source", "__s")
     goals = materialize(sources.join(named.drop("source_size"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s"), "goals")
-    tilts = _solve(cells, goals, most).withColumnRenamed("source", "__s")
+    tilts = _solve(cells, goals, share, most).withColumnRenamed("source", "__s")
     rated = cells.join(tilts, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     rate = F.when(F.col("at_cap"), most).otherwise(most / (1 + F.exp(-(F.col("base") + F.col("tilt") * F.col("size") / F.col("mean_size")))))
     rated = rated.select("source", "size", "n_docs", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))

@@ -169,6 +169,28 @@ def test_mixing_edges(spark):
     assert mixed.count() == sum(r.copies for r in mixing.mix(rows).collect())
 
 
+def test_mixing_solves_the_dual(spark):
+    rng = random.Random(8)
+    cells = [(s, z, rng.randint(1, 30)) for s, top in ((None, 40), ("b", 3000), ("c", 5)) for z in sorted({0, 1, *(rng.randint(1, top) for _ in range(20))})]
+    goals = []
+    for s, part in ((None, 0.05), ("b", 1.9), ("c", 1.2)):
+        total = sum(z * n for o, z, n in cells if o == s)
+        goals.append((s, total, sum(n for o, _, n in cells if o == s), part * total))
+    cells_df, goals_df = spark.createDataFrame(cells, "source string, size long, n_docs long"), spark.createDataFrame(goals, "source string, source_size long, n long, target double")
+    got = {r.source: r for r in mixing._solve(cells_df, goals_df, 1.5, 2.0).collect()}
+    for s, total, n, target in goals:
+        z, k = (np.array([c[i] for c in cells if c[0] == s], float) for i in (1, 2))
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            with np.errstate(over="ignore"):
+                taken = (k * z * 2 / (1 + np.exp(-(math.log(3) + mid * z * n / total)))).sum()
+            low, high = (mid, high) if taken < target else (low, mid)
+        assert got[s].tilt == pytest.approx(mid, rel=1e-5) and abs(mid) > 0.1 and got[s].base == pytest.approx(math.log(3))
+    with pytest.raises(RuntimeError):
+        mixing._solve(cells_df, goals_df, 1.5, 2.0, rounds=1)
+
+
 # 5
 def test_fixity_finds_what_differs(spark):
     pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>", "x") for i in range(3000)] + [(None, None, None, "y")], "page_id long, url string, html string, digest string")
