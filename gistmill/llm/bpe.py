@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gistmill.llm.common import need
+from gistmill.llm.common import need, slices
 
-#: Words that a task remembers; beyond it the memory starts anew, which changes no result.
-MEMO = 400_000
+#: Words in each of the two generations that a task remembers; it forgets the older one when the younger is full, which changes no result.
+MEMO = 60_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -83,37 +85,45 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def _encode(ranks: dict[bytes, int], pattern: str):
-    """Function from texts to ids that merges each distinct word once, however often it is called."""
+    """Function from a text to its ids that merges each distinct word once while it is remembered."""
     state: dict = {}
 
-    def run(texts: list[str | None]) -> list[list[int]]:
+    def run(text: str | None) -> array:
         if not state:  # made in the task, not sent to it
-            state.update(find=regex.compile(pattern).findall, memo={})
-        find, memo = state["find"], state["memo"]
-        out = []
-        for text in texts:
-            ids: list[int] = []
-            for word in find(text or ""):
-                if (got := memo.get(word)) is None:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    got = memo[word] = merge(word.encode(), ranks)
-                ids += got
-            out.append(ids)
-        return out
+            state.update(find=regex.compile(pattern).finditer, young={}, old={})
+        young, old = state["young"], state["old"]
+        ids = array("i")
+        for match in state["find"](text or ""):
+            word = match[0]
+            if (got := young.get(word)) is None:
+                if (got := old.get(word)) is None:
+                    got = array("i", merge(word.encode(), ranks))
+                if len(young) >= MEMO:
+                    state["old"], state["young"] = old, young = young, {}
+                young[word] = got
+            ids += got
+        return ids
 
     return run
 
 
 def encode_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of every row of ``docs(text, ...)``, then ``n_tokens`` and ``ids``. Nothing is shuffled."""
+    """The columns ``keep`` of every row of ``docs(text, ...)``, then ``n_tokens`` and ``ids``. Nothing is shuffled.
+
+    Null and empty texts have no ids; repeated rows each give a row; columns that are not in
+    ``keep`` are not read; an empty table gives an empty result.
+    """
     run = _encode(ranks, pattern)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = run(batch.column("text").to_pylist())
-            columns = [batch.column(c) for c in keep] + [pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_tokens", "ids"])
+        for batch in slices(batches):
+            flat, ends = array("i"), array("i", [0])
+            for text in batch.column("text"):
+                flat += run(text.as_py())
+                ends.append(len(flat))
+            offsets = np.frombuffer(ends, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.diff(offsets).astype(np.int64)), ids], [*keep, "n_tokens", "ids"])
 
     names = list(dict.fromkeys([*keep, "text"]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
@@ -154,14 +164,14 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     encode = _encode(ranks, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = encode(batch.column("text").to_pylist())
-            columns = [
-                batch.column("doc_id"),
-                pa.array([len(x) for x in rows], pa.int64()),
-                pa.array([hashlib.sha256(",".join([names[i] for i in x]).encode()).hexdigest() for x in rows], pa.string()),
-                pa.array([hashlib.sha256(b"".join([pieces[i] for i in x])).hexdigest() for x in rows], pa.string()),
-            ]
+        for batch in slices(batches):
+            counts, ids, decoded = [], [], []
+            for text in batch.column("text"):
+                row = encode(text.as_py())
+                counts.append(len(row))
+                ids.append(hashlib.sha256(",".join([names[i] for i in row]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([pieces[i] for i in row])).hexdigest())
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return need(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

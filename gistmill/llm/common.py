@@ -4,23 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side may be broadcast; beyond it a join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a side may be broadcast; beyond it a join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+#: Bytes of text that a task works on at a time.
+SLICE = 1 << 20
 
 #: A word of the contracts: a run of bytes that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir``, set here only where unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder serves in local mode, where driver and executors
+    are one process; on a cluster it must be set, and an error says so.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="gistmill-")
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
@@ -33,13 +46,27 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows."""
-    return df.count() <= limit
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value in Spark's rows, from above."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(value) + 16
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(value, F.lit(24).cast("long"), lambda acc, x: acc + _width(x, kind.elementType))
+    elif isinstance(kind, T.StructType):
+        size = sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    else:
+        size = F.lit(16)
+    return F.coalesce(size.cast("long"), F.lit(16).cast("long"))
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether all rows of ``df`` together have at most ``limit`` bytes, measured row by row."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return (df.agg(F.sum(row)).first()[0] or 0) <= limit
 
 
-def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts ``right`` only when a count shows it is small, and shuffles otherwise."""
+def sized_join(left: DataFrame, right: DataFrame, on, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join that broadcasts ``right`` only where its measured bytes are within ``limit``; otherwise it shuffles, and Spark splits skewed keys."""
     return left.join(F.broadcast(right) if small(right, limit) else right, on, how)
 
 
@@ -48,5 +75,43 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def wrapped(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct, beside which any name is free; ``unwrap`` turns it back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def unwrap(df: DataFrame, row: str, columns: Iterable[str]) -> DataFrame:
+    """The fields of the struct ``row`` as columns again."""
+    return df.select(*[F.col(row).getField(c).alias(c) for c in columns])
+
+
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``place``, 0 and on in the order of the given columns or expressions, which should tell rows apart.
+
+    Rows are dealt out by ranges of the order and counted in each; only one count a range
+    meets in one task.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return parts.withColumn("__inside", inside).join(starts, "__part").withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
+
+
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where their texts fill ``limit`` bytes, so that a task holds the work on so much text and not on a whole batch; a longer text stands alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += int(n)
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
