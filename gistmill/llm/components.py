@@ -2,7 +2,8 @@
 
 Follows the public map-reduce algorithm (Kiveris et al., "Connected Components in
 MapReduce and Beyond", 2014). Every step is a minimum per node, which Spark combines
-before the shuffle, so a node with very many neighbours is no hot key.
+before the shuffle. The minima are written before they are joined back to the edges, so
+that a node with very many neighbours is a skewed key of a plain join, which Spark splits.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     pairs = _both(edges)
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialize(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
     return pairs.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "minima")
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
