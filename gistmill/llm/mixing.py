@@ -3,8 +3,9 @@
 Documents get rates that are exponentially tilted from a common start, the mean share, and
 meet one token constraint per source: the sum of rate times size is the source's target.
 The convex dual has one multiplier a source, on size; Newton steps solve it, each a Spark
-aggregation of (source, size) cells. So within a source the rate goes with the size. A rate stays below 2 because the entropy is the bounded one: its
-odds, rate / (2 - rate), are what is tilted. Rates are then rounded into copies 0, 1 or 2.
+aggregation of (source, size) cells. So within a source the rate goes with the size. A rate
+stays below 2 because the entropy is the bounded one: its odds, rate / (2 - rate), are what
+is tilted. Rates are then rounded into copies 0, 1 or 2.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import WORD, materialize, need, sized_join
+from gistmill.llm.common import WORD, materialize, need, numbered, sized_join, unwrap, wrapped
 
 #: Weights that sources get in the order of their names, repeating; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -33,8 +34,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     The excess over a cap goes to the others by weight until none is above. Two numbers a
     round reach the driver, not the sources.
     """
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    ranked = sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
+    ranked = numbered(sources, F.col("source").isNull(), F.encode("source", "UTF-8"))
+    ranked = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))).drop("place")
     ranked = materialize(ranked.withColumn("cap", F.col("source_size") * most), "sources")
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
@@ -156,10 +157,16 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
 
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it (0, 1 or 2 times), columns unchanged."""
-    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    rows, _ = copies_of(sizes, weights, share, most)
-    taken = rows.where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("copies").alias("__copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count(F.col("text")) == F.col("__z"))
-    met = sized_join(docs, taken, same, "inner")
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    """``docs``, all columns, with each row as often as the mix takes it (0, 1 or 2 times).
+
+    Null texts and texts without words are never taken; null sources form one source, the
+    last; null doc_ids and repeated rows take part like others, rows that repeat doc_id,
+    source and size each getting the same copies. Columns may have any names; an empty
+    table gives an empty result.
+    """
+    sized = docs.select(wrapped(docs).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    rows, _ = copies_of(materialize(sized.select("doc_id", "source", "size"), "sizes"), weights, share, most)
+    taken = rows.where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "copies").distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))
+    met = sized_join(sized, materialize(taken, "taken"), same, "inner")
+    return unwrap(met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), "row", docs.columns)

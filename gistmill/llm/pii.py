@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import materialize, need, sized_join
+from gistmill.llm.common import materialize, need, sized_join, unwrap, wrapped
 
 KINDS = ("email", "ip", "card", "phone")
 #: Same matches as the plain patterns, in linear time: a run of characters is tried once, from its start or from the end of the last match.
@@ -188,6 +188,8 @@ class Sanitiser:
         """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms``, one row per input row.
 
         Null texts count as empty; they have no spans, so the digest of the empty string.
+        Null doc_ids stay, repeated rows each give a row, further columns are not read, and an
+        empty table gives an empty result.
         """
         rows = sized_join(self.scanned, self.terms, "key", "left")
         counts = [F.size(F.filter("spans", _of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
@@ -195,10 +197,13 @@ class Sanitiser:
         return rows.select("doc_id", *counts, F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(F.array_sort(F.concat("spans", terms))).alias("spans"), F.size(terms).cast("long").alias("n_terms"))
 
     def sanitised(self) -> DataFrame:
-        """The documents, all columns, with placeholders for their spans; texts without a span stay as they are."""
-        docs = self.docs.withColumn("__key", F.md5("text"))
-        terms = self.terms.withColumnRenamed("key", "__key").withColumnRenamed("terms", "__terms")
-        rows = sized_join(docs, terms, "__key", "left").withColumn("__spans", F.array_sort(F.concat(F.coalesce(base_spans(F.col("text")), F.array().cast(SPAN)), F.coalesce("__terms", F.array().cast(SPAN)))))
+        """The documents, all columns, with placeholders for their spans.
+
+        Texts without a span stay as they are, and so do null texts; repeated rows are all
+        changed alike; columns may have any names; an empty table gives an empty result.
+        """
+        named = self.docs.select(wrapped(self.docs).alias("row"), "text", F.md5("text").alias("key"))
+        rows = sized_join(named, self.terms, "key", "left").withColumn("spans", F.array_sort(F.concat(base_spans(F.col("text")), F.coalesce("terms", F.array().cast(SPAN)))))
         places = F.array(*map(F.lit, PLACES))
         text = F.col("text")
 
@@ -206,7 +211,7 @@ class Sanitiser:
             fresh = F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.element_at(places, s["kind"] + 1)))
             return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["parts"]).alias("parts"))
 
-        done = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step)
+        done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), step)
         clean = F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-        new = F.when(F.size("__spans") > 0, clean).otherwise(text)
-        return rows.withColumn("text", new).select(*self.docs.columns)
+        new = F.when(F.size("spans") > 0, clean).otherwise(text)
+        return unwrap(rows.select(F.col("row").withField("text", new).alias("row")), "row", self.docs.columns)
