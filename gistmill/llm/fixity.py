@@ -1,73 +1,125 @@
 """Merkle fixity audit of WARC records.
 
-Records are hashed with SHA-256. In each file, ordered by offset, 16 consecutive records
-form a range, 16 ranges a range of ranges and so on up to the file's root; the files' roots
-form the replica's. Two replicas are compared from the roots downward, and a level's
-hashes are read only below ranges that differ, so the work of an audit follows the damage.
+Records are hashed with SHA-256 and have their place by page id: a file holds 1,024
+consecutive ids, in slots that are ordered as their offsets are. 16 slots form a range, 16
+ranges a range of ranges, up to the file's root, and files' roots are folded in the same way
+into the replica's root. Two replicas are compared by their roots first; only where these
+differ are hashes of the next level read, and of these only the children of nodes that
+differ. So equal replicas end at one comparison, the work of an audit follows the damage,
+and a lost record shows as itself, as no other moves out of its slot.
+
 Everything is DataFrame functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import materialize, need
+from gistmill.llm.common import materialize, need, sized_join
 
 FANOUT = 16
-#: Records to a file when pages are packed into WARC files.
+#: Slots to a file when pages are packed into WARC files.
 FILE_RECORDS = 1024
+#: Files over which pages without an id are dealt out by their digest; they come before file 0.
+NAMELESS = 256
+VERSION = "WARC/1.1\r\n"
+KEYS = ("file", "node")
 
 
 def record(url: Column, html: Column) -> Column:
     """A WARC/1.1 resource record of a page; nulls count as empty."""
     body = F.coalesce(html, F.lit(""))
-    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(F.lit(f"{VERSION}WARC-Type: resource\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
-def pack(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` as records: ``file, ordinal, page_id, offset, length, digest``.
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC/1.1 files, plain or gzipped: ``path, position, type, url, content_length, block, digest, length, complete``.
 
-    A file holds the pages of 1,024 consecutive ids, in the order of id and then digest
-    (repeated rows follow each other); null ids form a file of their own, -1. Only hashes
-    and lengths are shuffled, never the pages.
+    Spark splits the files at the version line, so a large plain file is read by many
+    tasks. ``block`` is binary, ``digest`` is of the whole record, ``position`` counts from 0
+    in each file. ``complete`` is false where the block is not as long as its header says:
+    the record is truncated, or its block holds a version line itself.
     """
-    pages = need(pages, ["page_id", "url", "html"])
-    raw = record(F.col("url"), F.col("html"))
-    rows = pages.select("page_id", F.octet_length(raw).cast("long").alias("length"), F.sha2(F.encode(raw, "UTF-8"), 256).alias("digest"), F.coalesce(F.floor(F.col("page_id") / FILE_RECORDS), F.lit(-1)).alias("file"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest", "length")
-    offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
-    return rows.withColumn("ordinal", F.row_number().over(order).cast("long") - 1).withColumn("offset", offset).select("file", "ordinal", "page_id", "offset", "length", "digest")
-
+    raw = spark.read.text(path, lineSep=VERSION).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value").where("value <> ''")
+    head = F.substring_index("value", "\r\n\r\n", 1)
+    field = lambda name: F.regexp_extract(F.concat(F.lit("\r\n"), head), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)
+    size = field("Content-Length").try_cast("int")
+    rows = raw.withColumns({"type": field("WARC-Type"), "url": field("WARC-Target-URI"), "content_length": size, "start": F.octet_length(head) + 4, "bytes": F.col("value").cast("binary")})
+    whole = F.octet_length("bytes") == F.col("start") + F.col("content_length") + 4
+    place = F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("long") - 1
+    digest = F.sha2(F.concat(F.encode(F.lit(VERSION), "UTF-8"), F.col("bytes")), 256)
+    return rows.select("path", place.alias("position"), "type", "url", "content_length", F.substring("bytes", F.col("start") + 1, F.coalesce("content_length", F.lit(0))).alias("block"), digest.alias("digest"), (F.octet_length("bytes") + len(VERSION)).cast("long").alias("length"), F.coalesce(whole, F.lit(False)).alias("complete"))
 
-def _digest_of(children: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(F.array_sort(children), lambda x: x["digest"]), ""), 256)
 
+def _hex(digest: Column, at: int, digits: int) -> Column:
+    return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
 
-def tree(records: DataFrame) -> list[DataFrame]:
-    """Levels ``(file, node, digest, first_offset, end_offset)``, records first, each file's root last.
 
-    A node's children are at most 16, so no group is large whatever a file holds.
+def pack(pages: DataFrame) -> DataFrame:
+    """``pages(page_id, url, html)`` as records in place: ``file, ordinal, page_id, records, offset, length, digest``.
+
+    Page ``i`` has slot ``i % 1024`` of file ``i // 1024``. Rows that repeat an id share its
+    slot, whose digest is then that of their number and the sums of their digests' parts, so
+    that even very many are only added up. Pages with a null id get file (one of 256 with
+    negative numbers) and slot by their digest. Null url and html count as empty, further
+    columns are not read, and an empty table gives an empty result. Only hashes and lengths
+    are shuffled, never the pages.
     """
-    level = records.select("file", F.col("ordinal").alias("node"), "digest", F.col("offset").alias("first_offset"), (F.col("offset") + F.col("length")).alias("end_offset"))
-    level = materialize(level, "merkle")
-    levels = [level]
-    while (level.agg(F.max("node")).first()[0] or 0) > 0:
-        level = level.groupBy("file", F.floor(F.col("node") / FANOUT).alias("node")).agg(
-            _digest_of(F.collect_list(F.struct(F.col("node").alias("child"), "digest"))).alias("digest"), F.min("first_offset").alias("first_offset"), F.max("end_offset").alias("end_offset")
-        )
-        level = materialize(level, "merkle")
-        levels.append(level)
+    raw = record(F.col("url"), F.col("html"))
+    rows = need(pages, ["page_id", "url", "html"]).select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(raw).cast("long").alias("length"), F.sha2(F.encode(raw, "UTF-8"), 256).alias("digest"))
+    known = F.col("page_id").isNotNull()
+    rows = rows.select(
+        F.when(known, F.floor(F.col("page_id") / FILE_RECORDS)).otherwise(_hex(F.col("digest"), 1, 2) - NAMELESS).alias("file"),
+        F.when(known, F.pmod("page_id", F.lit(FILE_RECORDS))).otherwise(_hex(F.col("digest"), 3, 8) % FILE_RECORDS).alias("ordinal"),
+        "page_id", "length", "digest",
+    )
+    parts = [F.sum(_hex(F.col("digest"), at, 15).cast("decimal(20,0)")).cast("string") for at in (1, 16, 31, 46, 61)]
+    several = F.sha2(F.concat_ws(",", F.count("*").cast("string"), *parts), 256)
+    slots = rows.groupBy("file", "ordinal").agg(F.min("page_id").alias("page_id"), F.count("*").alias("records"), F.sum("length").alias("length"), F.when(F.count("*") == 1, F.min("digest")).otherwise(several).alias("digest"))
+    before = Window.partitionBy("file").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)  # at most 1,024 slots
+    return slots.select("file", "ordinal", "page_id", "records", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", "digest")
+
+
+def _fold(level: DataFrame, up: tuple[Column, Column]) -> DataFrame:
+    """The level above: nodes of at most 16 children, whatever there is."""
+    child = F.struct(*KEYS, "digest")
+    digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda x: x["digest"]), ""), 256)
+    return level.groupBy(up[0].alias("file"), up[1].alias("node")).agg(digest.alias("digest"), F.min("first_offset").alias("first_offset"), F.max("end_offset").alias("end_offset"))
+
+
+def _parent(height: int) -> tuple[Column, Column]:
+    """Key of the node above, for a node of that height; a file's root has height 3."""
+    if FANOUT**height < FILE_RECORDS:
+        return F.col("file"), F.floor(F.col("node") / FANOUT)
+    return F.floor(F.col("file") / FANOUT), F.lit(0).cast("long")
+
+
+def height(records: DataFrame) -> int:
+    """Levels above the records that lead to one root."""
+    most = (records.agg(F.max("file")).first()[0] or 0) + NAMELESS
+    levels = 0
+    while FANOUT**levels < FILE_RECORDS:
+        levels += 1
+    while most > 0:
+        most, levels = most // FANOUT, levels + 1
     return levels
 
 
-def root(levels: list[DataFrame]) -> DataFrame:
-    """The replica's root over its files' roots, themselves folded 16 at a time: one row, ``digest``; none if there are no files."""
-    top = levels[-1].select(F.dense_rank().over(Window.orderBy("file")).cast("long").alias("node"), "digest").withColumn("node", F.col("node") - 1)
-    while (top.agg(F.max("node")).first()[0] or 0) > 0:
-        top = materialize(top.groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(_digest_of(F.collect_list(F.struct(F.col("node").alias("child"), "digest"))).alias("digest")), "roots")
-    return top.select("digest")
+def tree(records: DataFrame, levels: int | None = None) -> list[DataFrame]:
+    """Levels ``(file, node, digest, first_offset, end_offset)``: records first, the replica's root last; files are counted from the nameless ones on."""
+    now = records.select((F.col("file") + NAMELESS).alias("file"), F.col("ordinal").alias("node"), "digest", F.col("offset").alias("first_offset"), (F.col("offset") + F.col("length")).alias("end_offset"))
+    out = [materialize(now, "merkle")]
+    for up in range(height(records) if levels is None else levels):
+        out.append(materialize(_fold(out[-1], _parent(up)), "merkle"))
+    return out
+
+
+def root(levels: list[DataFrame]) -> str | None:
+    """The replica's root hash, one short string; None if it has no records."""
+    row = levels[-1].first()
+    return row["digest"] if row else None
 
 
 def audit(kept: DataFrame, copy: DataFrame) -> DataFrame:
@@ -77,18 +129,20 @@ def audit(kept: DataFrame, copy: DataFrame) -> DataFrame:
     null on the other side; equal replicas, and two empty ones, give no rows. ``levels`` is
     how many levels of hashes lie above a record.
     """
-    one, two = tree(kept), tree(copy)
-    while len(one) < len(two):
-        one.append(one[-1])
-    while len(two) < len(one):
-        two.append(two[-1])
-    suspects = None
-    for up in range(len(one) - 1, -1, -1):
-        a, b = (x.select("file", "node", F.col("digest").alias(d), F.col("first_offset").alias(f"{d}_from"), F.col("end_offset").alias(f"{d}_to")) for x, d in ((one[up], "expected"), (two[up], "found")))
-        if suspects is not None:
-            below = suspects.select("file", F.col("node").alias("above"))
-            # With a null node: the file is on one side only or the trees differ in height.
-            a, b = (x.join(below, (x["file"] == below["file"]) & (F.floor(x["node"] / FANOUT) == below["above"]), "left_semi") for x in (a, b))
-        suspects = a.join(b, ["file", "node"], "full").where(~F.col("expected").eqNullSafe(F.col("found")))
-        suspects = materialize(suspects, "suspects")
-    return suspects.select("file", F.col("node").alias("ordinal"), "expected", "found", F.coalesce("expected_from", "found_from").alias("first_offset"), F.coalesce("expected_to", "found_to").alias("end_offset"), F.lit(len(one) - 1).alias("levels"))
+    kept, copy = materialize(kept, "kept"), materialize(copy, "copy")
+    levels = max(height(kept), height(copy))
+    one, two = tree(kept, levels), tree(copy, levels)
+    sides = lambda at: (x.select(*KEYS, F.col("digest").alias(d), F.col("first_offset").alias(f"{d}_from"), F.col("end_offset").alias(f"{d}_to")) for x, d in ((one[at], "expected"), (two[at], "found")))
+    differs = ~F.col("expected").eqNullSafe(F.col("found"))
+    if root(one) == root(two):
+        a, b = sides(0)
+        suspects = a.limit(0).join(b.limit(0), [*KEYS], "full")
+    else:
+        a, b = sides(levels)
+        suspects = a.join(b, [*KEYS], "full").where(differs)
+        for at in range(levels - 1, -1, -1):
+            above = materialize(suspects.select(F.col("file").alias("up_file"), F.col("node").alias("up_node")), "suspects")
+            file, node = _parent(at)
+            a, b = (sized_join(x, above, (file == F.col("up_file")) & (node == F.col("up_node")), "left_semi") for x in sides(at))
+            suspects = a.join(b, [*KEYS], "full").where(differs)
+    return suspects.select((F.col("file") - NAMELESS).alias("file"), F.col("node").alias("ordinal"), "expected", "found", F.coalesce("expected_from", "found_from").alias("first_offset"), F.coalesce("expected_to", "found_to").alias("end_offset"), F.lit(levels).alias("levels"))
