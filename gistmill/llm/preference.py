@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import need
+from gistmill.llm.common import need, numbered
 
 TURN = "struct<role:string,text:string>"
 
@@ -23,6 +23,7 @@ def conversations(rows: DataFrame) -> DataFrame:
     """``rows(conv_id, turn, role, text)`` as ``conv_id, turns``, in order of turn, role and text.
 
     Rows with a null conv_id or turn are left out; null roles and texts count as empty.
+    Repeated rows are turns of their own, beside each other; further columns are not read.
     """
     rows = need(rows, ["conv_id", "turn", "role", "text"]).where("conv_id IS NOT NULL AND turn IS NOT NULL")
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -73,13 +74,24 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def off_topic_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs from ``rows(conv_id, turn, role, text)``: a conversation up to its last assistant turn is chosen; with the last assistant turn of conversation conv_id + 1 in its place it is rejected.
+    """Pairs from ``rows(conv_id, turn, role, text)``, one for each conversation with an assistant turn.
 
-    Conversations without an assistant turn, or without such a next one, give no pair.
+    Chosen is the conversation up to its last assistant turn. Rejected is the same with one
+    of its assistant turns (that number conv_id modulo their count) in favour of the last
+    one of the next conversation: the next conv_id that has any, after the largest the
+    smallest. So prefixes end at the first, a middle or the last answer. A conversation
+    without another is paired with itself; an empty table gives no pair.
     """
     all_ = conversations(rows)
-    last = F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda x: x["role"])), "assistant") + 1
-    ended = all_.where(F.array_contains(F.transform("turns", lambda x: x["role"]), "assistant")).select("conv_id", F.slice("turns", 1, last.cast("int")).alias("turns"))
-    reply = ended.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", -1).alias("reply"))
+    roles = F.transform("turns", lambda x: x["role"])
+    spoken = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: F.element_at("turns", i)["role"] == "assistant")
+    ended = all_.where(F.array_contains(roles, "assistant")).withColumn("spoken", spoken)
+    ended = ended.select("conv_id", F.slice("turns", 1, F.element_at("spoken", -1)).alias("turns"), F.element_at("spoken", (F.pmod("conv_id", F.size("spoken")) + 1).cast("int")).alias("at"))
+    ids = numbered(need(rows, ["conv_id", "turn", "role"]).where("conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant'").select("conv_id").distinct(), "conv_id")
+    total = ids.agg(F.count("*").alias("total"))
+    ids = ids.crossJoin(F.broadcast(total))  # one row with one number
+    before = ids.select(F.pmod(F.col("place") + 1, "total").alias("place"), F.col("conv_id").alias("pair_id"))
+    reply = ended.select("conv_id", F.element_at("turns", -1).alias("reply")).join(ids.select("conv_id", "place"), "conv_id").join(before, "place").select(F.col("pair_id").alias("conv_id"), "reply")
     both = ended.join(reply, "conv_id")
-    return both.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), F.concat(F.slice("turns", 1, F.size("turns") - 1), F.array("reply")).alias("rejected"))
+    rejected = F.concat(F.slice("turns", 1, F.col("at") - 1), F.array("reply"), F.slice("turns", F.col("at") + 1, F.size("turns")))
+    return both.select(F.col("conv_id").alias("pair_id"), F.col("turns").alias("chosen"), rejected.alias("rejected"))

@@ -33,14 +33,13 @@ SELECT file, ordinal, expected, found, CAST(upto - n AS BIGINT) AS first_offset,
 
 _SHOWN = "'<|' || {t}.role || '|>' || chr(10) || {t}.text || '<|end|>' || chr(10)"
 _TEXT = "coalesce(array_to_string(list_transform({l}, lambda t: " + _SHOWN.format(t="t") + "), ''), '')"
-_MASK = "CASE WHEN {turn}.role = 'assistant' THEN (5 + length({turn}.role)) || ':' || (5 + length({turn}.role) + length({turn}.text) + 7) ELSE '' END"
+_MASK = "coalesce(array_to_string(list_filter(list_transform(range(1, len({l}) + 1), lambda i: CASE WHEN {l}[i].role = 'assistant' THEN (coalesce(list_sum(list_transform({l}[1:i - 1], lambda u: length(" + _SHOWN.format(t="u") + "))), 0) + 14)::BIGINT || ':' || (coalesce(list_sum(list_transform({l}[1:i - 1], lambda u: length(" + _SHOWN.format(t="u") + "))), 0) + 21 + length({l}[i].text))::BIGINT END), lambda x: x IS NOT NULL), ','), '')"
 ORACLE_SQL["op10_preference"] = f"""
 WITH turns AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn, role, text) AS l FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id),
-ends AS (SELECT conv_id, l, list_max(list_transform(l, lambda x, i: CASE WHEN x.role = 'assistant' THEN i ELSE 0 END)) AS k FROM turns),
-cut AS (SELECT conv_id, l[1:k - 1] AS prefix, l[k] AS reply FROM ends WHERE k > 0),
-both_ AS (SELECT c.conv_id AS pair_id, c.prefix, c.reply AS a, d.reply AS b FROM cut c JOIN cut d ON d.conv_id = c.conv_id + 1)
-SELECT pair_id, CAST(len(prefix) + CASE WHEN a = b THEN 1 ELSE 0 END AS INTEGER) AS prefix_turns,
-  {_TEXT.format(l="prefix")} || CASE WHEN a = b THEN {_SHOWN.format(t="a")} ELSE '' END AS prompt,
-  CASE WHEN a = b THEN '' ELSE {_SHOWN.format(t="a")} END AS chosen, CASE WHEN a = b THEN '' ELSE {_SHOWN.format(t="b")} END AS rejected,
-  CASE WHEN a = b THEN '' ELSE {_MASK.format(turn="a")} END AS chosen_mask, CASE WHEN a = b THEN '' ELSE {_MASK.format(turn="b")} END AS rejected_mask
-FROM both_"""
+spoken AS (SELECT conv_id, l, list_filter(range(1, len(l) + 1), lambda i: l[i].role = 'assistant') AS s FROM turns),
+ends AS (SELECT conv_id, l[1:s[-1]] AS l, s[conv_id % len(s) + 1] AS p, l[s[-1]] AS reply FROM spoken WHERE len(s) > 0),
+next_ AS (SELECT *, l[p] AS a, coalesce(lead(reply) OVER (ORDER BY conv_id), first(reply) OVER (ORDER BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS b FROM ends),
+parts AS (SELECT conv_id AS pair_id, CASE WHEN a = b THEN len(l) ELSE p - 1 END AS k, l, l[1:p - 1] || [b] || l[p + 1:] AS r FROM next_),
+rests AS (SELECT pair_id, k, l[1:k] AS prefix, l[k + 1:] AS c, r[k + 1:] AS r FROM parts)
+SELECT pair_id, CAST(k AS INTEGER) AS prefix_turns, {_TEXT.format(l="prefix")} AS prompt, {_TEXT.format(l="c")} AS chosen, {_TEXT.format(l="r")} AS rejected,
+  {_MASK.format(l="c")} AS chosen_mask, {_MASK.format(l="r")} AS rejected_mask FROM rests"""
