@@ -8,9 +8,12 @@ bits; only vectors whose upper bound reaches the k-th best lower bound of their
 compared exactly.
 
 Layout: the scan packs vectors into blocks of at most one Arrow batch without a shuffle;
-queries form blocks of ``QUERY_BLOCK`` rows; each pair of blocks meets once by an equi-join
-on the query block's number. A block pair returns at most k rows a query, so what is
-shuffled at the end is (queries x blocks x k) short rows.
+queries form blocks of ``BLOCK_BYTES``. Index blocks are dealt out over ``SPREAD`` parts, of
+which each gets every query block once, and each pair of blocks meets once by an equi-join
+on part and query block. So the index moves once for each query block of 8 MB (16,384
+queries of 64 dimensions), and a part of it is never more than a share of the whole. A block
+pair returns at most k rows a query, so what is shuffled at the end is
+(queries x blocks x k) short rows.
 """
 
 from __future__ import annotations
@@ -22,9 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import materialize, need, small
+from gistmill.llm.common import materialize, need
 
-QUERY_BLOCK = 1024
+#: Bytes of a block of queries, parts of the index, and estimates that a task holds at a time.
+BLOCK_BYTES, SPREAD, CELLS = 8 << 20, 64, 4 << 20
 BLOCK_SCHEMA = "ids binary, vectors binary, codes binary, scalars binary, dim int"
 
 
@@ -46,6 +50,11 @@ def _usable(pdf: pd.DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(ids, np.int64), vectors
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: exact, and no square over- or underflows for it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(-1, keepdims=True))[1])
+
+
 def _encode(bits: int, seed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -54,7 +63,7 @@ def _encode(bits: int, seed: int):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 x = np.stack([vectors[i] for i in at])
-                turned = (x / np.abs(x).max(1, keepdims=True)).astype(np.float32)
+                turned = _scaled(x).astype(np.float32)
                 turned = (turned / np.linalg.norm(turned, axis=1, keepdims=True)) @ rotation(int(dim), max(bits, int(dim)), seed)
                 scalars = np.abs(turned).sum(1) / np.sqrt(turned.shape[1])
                 yield pd.DataFrame({"ids": [ids[at].tobytes()], "vectors": [x.tobytes()], "codes": [np.packbits(turned > 0, axis=1).tobytes()], "scalars": [scalars.astype(np.float32).tobytes()], "dim": [int(dim)]})
@@ -64,6 +73,7 @@ def _encode(bits: int, seed: int):
 
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosines in double precision, summed component by component, so that equal vectors get equal scores."""
+    x, q = _scaled(x), _scaled(q)
     dot, xx, qq = np.zeros(len(x)), np.zeros(len(x)), 0.0
     for j in range(len(q)):
         dot += x[:, j] * q[j]
@@ -81,15 +91,17 @@ def _search(bits: int, seed: int, k: int, sigmas: float):
                 x, q = np.frombuffer(row.vectors).reshape(-1, dim), np.frombuffer(row.q_vectors).reshape(-1, dim)
                 code = np.unpackbits(np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1), axis=1, count=width).astype(np.float32) * 2 - 1
                 own = np.maximum(np.frombuffer(row.scalars, np.float32), 1e-6)
-                unit = (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)
-                guess = (unit @ rotation(dim, width, seed)) @ code.T / (np.sqrt(width) * own)
+                unit = _scaled(q)
+                unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32) @ rotation(dim, width, seed)
                 error = sigmas * np.sqrt(np.maximum(1 - own * own, 0) / (own * own)) / np.sqrt(max(width - 1, 1))
-                out = []
+                out, rows = [], max(1, CELLS // max(len(ids), 1))
                 for i in range(len(qids)):
-                    other = ids != qids[i]
-                    low = np.where(other, guess[i] - error, -np.inf)
+                    if i % rows == 0:
+                        guesses = unit[i : i + rows] @ code.T / (np.sqrt(width) * own)
+                    guess, other = guesses[i % rows], ids != qids[i]
+                    low = np.where(other, guess - error, -np.inf)
                     least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-                    at = np.flatnonzero(other & (guess[i] + error >= least))
+                    at = np.flatnonzero(other & (guess + error >= least))
                     score = cosines(x[at], q[i])
                     best = np.lexsort((ids[at], -score))[:k]
                     out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[at][best], "score": score[best], "compared": len(at)}))
@@ -115,14 +127,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, bits: int = 256,
     """
     index = build_index(vectors, bits, seed)
     rows = need(queries, ["vec_id", "embedding"])
-    blocks = -(-rows.count() // QUERY_BLOCK) or 1
-    rows = rows.repartition(blocks, F.xxhash64("vec_id"))
+    size = rows.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
+    rows = rows.repartition(max(1, -(-size // BLOCK_BYTES)), F.xxhash64("vec_id"))
     packed = rows.mapInPandas(_encode(bits, seed), BLOCK_SCHEMA).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.monotonically_increasing_id().alias("q_block"))
     packed = materialize(packed, "queries")
-    numbers = packed.select("q_block", "dim")
-    met = index.join(F.broadcast(numbers) if small(numbers, 100_000) else numbers, "dim")
-    few = small(packed, 64)  # 64 blocks of 1,024 queries
-    met = met.join(F.broadcast(packed.drop("dim")) if few else packed.drop("dim"), "q_block")
+    parts = packed.select(F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), "q_block", "dim", "q_ids", "q_vectors")
+    # The numbers of the query blocks, a few bytes for each 8 MB of queries, name what an index block has to meet.
+    numbers = packed.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks"))
+    met = index.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")).join(F.broadcast(numbers), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
+    met = met.join(parts.drop("dim"), ["part", "q_block"]).drop("part")
     found = met.drop("q_block").mapInPandas(_search(bits, seed, k, sigmas), "query_id long, vec_id long, score double, compared long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")
