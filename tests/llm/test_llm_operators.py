@@ -52,15 +52,30 @@ def test_ann_matches_brute_force(spark):
 
 
 # 2
+def plain_png(data):
+    lines = b"".join(b"\0" + data[i : i + 64] for i in range(0, len(data), 64))
+    chunk = lambda k, b: len(b).to_bytes(4, "big") + k + b + zlib.crc32(k + b).to_bytes(4, "big")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (64).to_bytes(4, "big") + (len(data) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines, 6)) + chunk(b"IEND", b"")
+
+
+def test_broken_html_takes_linear_time():
+    for text in ("<!--" * 200_000, "<script>" * 100_000, "<" * 500_000, "<p " + "a" * 500_000 + ">", "<style><" * 100_000):
+        media.parse_html(text)
+    assert [x["text"] for x in media.parse_html("a<!-- b --> c<script>d</script>e<style>f</style ><b>g < h")] == ["a ceg < h"]
+
+
 def test_media_round_trip(spark):
-    rows = media.media_of_documents(docs(spark, [*ODD, "a"], ids=[None, *range(1, len(ODD) + 1)])).collect()
-    assert len(rows) == len(ODD) + 1
+    texts = [*ODD, "a", "\0", "a\0\0", "x<!--" * 3000, "<" * 5000, "<script>" * 2000]
+    rows = media.media_of_documents(docs(spark, texts, ids=[None, *range(1, len(texts))])).collect()
+    assert len(rows) == len(texts)
     by = {r.doc_id: r for r in rows}
-    for i, text in enumerate([*ODD, "a"]):
+    for i, text in enumerate(texts):
         raw = (text or "").encode()
         data = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = by[i or None]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+        png = plain_png(data)
+        assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
     assert by[3].feature == by[len(ODD)].feature
     assert media.media_of_documents(empty(spark)).count() == 0
 
@@ -109,6 +124,8 @@ def test_ngram_join_matches_brute_force(spark, seed):
     texts += [texts[-1], texts[-1], "one two three", "one  two three", "one two"]
     got = ngram_join.jaccard_components(docs(spark, texts)).collect()
     assert sorted(map(tuple, got)) == brute_components(texts)
+    short = ngram_join.jaccard_components(docs(spark, texts), long=1).collect()  # every list is dealt out
+    assert sorted(map(tuple, short)) == sorted(map(tuple, got))
 
 
 def test_ngram_join_edges(spark):
@@ -118,6 +135,11 @@ def test_ngram_join_edges(spark):
     assert got == sorted([(4, 2, 4), (4, 2, 4), (None, 2, 4), (None, 0, None)], key=str)
     kept = ngram_join.keep_one(docs(spark, ["a b c d e f", "A B C d e f", "", None]))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3] and kept.columns == empty(spark).columns
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    rows = docs(spark, [a, a, b, a, b, c, c, None, "", ""], ids=[1, 1, 1, 2, None, None, None, None, 5, 5])
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(rows).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (None, c), (None, None), (5, ""), (5, "")], key=str)
+    assert ngram_join.keep_one(empty(spark)).count() == 0
 
 
 def test_components_of_a_path(spark):
@@ -201,13 +223,44 @@ def test_fixity_finds_what_differs(spark):
     k = {(r.file, r.ordinal): r.digest for r in kept.collect()}
     c = {(r.file, r.ordinal): r.digest for r in fixity.pack(copy).collect()}
     assert {(r.file, r.ordinal) for r in got} == {x for x in k.keys() | c.keys() if k.get(x) != c.get(x)}
-    one = fixity.root(fixity.tree(kept)).first()[0]
-    assert one == fixity.root(fixity.tree(fixity.pack(pages))).first()[0] != fixity.root(fixity.tree(fixity.pack(copy))).first()[0]
+    assert {(r.file, r.ordinal) for r in got} == {(0, 0), (0, 17), (2, 2999 - 2048), (1, 1500 - 1024)}  # a lost page moves no other
+    one = fixity.root(fixity.tree(kept))
+    assert one == fixity.root(fixity.tree(fixity.pack(pages))) != fixity.root(fixity.tree(fixity.pack(copy)))
     none = pages.limit(0)
     assert fixity.audit(fixity.pack(none), fixity.pack(none)).count() == 0
     assert fixity.audit(fixity.pack(none), kept).count() == 3001
 
 
+def test_fixity_matches_a_brute_force_tree(spark):
+    """Roots by plain recursion over slots, 16 at a time; repeated rows and null ids have their slots too."""
+    rows = [(i, f"u{i}", f"<p>{i}</p>") for i in (0, 1, 15, 16, 300, 1023, 1024, 70_000)] + [(None, "n", None), (None, "m", "x"), (5, "a", "b"), (5, "a", "b"), (5, "a", "c")]
+    kept = fixity.pack(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    by = {(r.file, r.ordinal): r for r in kept.collect()}
+    assert sum(r.records for r in by.values()) == len(rows) and by[0, 5].records == 3 and sum(f < 0 for f, _ in by) == 2
+    raw = lambda u, h: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(h or '')}\r\n\r\n{h or ''}\r\n\r\n".encode()
+    assert by[0, 16].digest == hashlib.sha256(raw("u16", "<p>16</p>")).hexdigest() and by[0, 16].offset == sum(by[0, i].length for i in (0, 1, 5, 15))
+    level = {(f + 256, n): r.digest for (f, n), r in by.items()}
+    for at in range(8):
+        above: dict = {}
+        for f, n in sorted(level):
+            above.setdefault((f, n // 16) if at < 3 else (f // 16, 0), []).append(level[f, n])
+        level = {k: hashlib.sha256("".join(v).encode()).hexdigest() for k, v in above.items()}
+        if at >= 3 and len(level) == 1 and max(level) == (0, 0):
+            break
+    assert fixity.root(fixity.tree(kept)) == level[0, 0]
+
+
+def test_warc_files_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(0, "http://a/1", "<p>é</p>"), (1, None, None), (2, "http://a/2", "x" * 9000)], "page_id long, url string, html string")
+    raw = pages.orderBy("page_id").select(fixity.record(F.col("url"), F.col("html")).alias("value"))
+    (tmp_path / "a.warc").write_bytes(b"".join(r.value.encode() for r in raw.collect()) + b"WARC/1.1\r\nContent-Length: 50\r\n\r\ncut")
+    got = fixity.read_warc(spark, str(tmp_path / "a.warc")).orderBy("position").collect()
+    assert [(r.position, r.url, bytes(r.block).decode(), r.complete) for r in got[:3]] == [(0, "http://a/1", "<p>é</p>", True), (1, "", "", True), (2, "http://a/2", "x" * 9000, True)]
+    assert not got[3].complete
+    packed = {r.page_id: r for r in fixity.pack(pages).collect()}
+    assert [(r.digest, r.length) for r in got[:3]] == [(packed[i].digest, packed[i].length) for i in range(3)]
+
+
 # 6, 7
 def test_quality_learns_and_scores_all(spark):
     rng = random.Random(2)
@@ -239,15 +292,48 @@ def test_toxicity_learns_and_cleans(spark):
     assert toxicity.classify(docs(spark, [None]), labels.limit(0)).first().predicted == 0
 
 
-def test_factors_learn_pairs():
-    """The label is that both terms occur: no sum of weights tells it as well as the pair."""
-    rng = np.random.default_rng(0)
-    x = rng.random((2000, 4)) < 0.5
-    y = (x[:, 0] ^ x[:, 1]).astype(float)
-    model = toxicity.Model(np.arange(4))
-    rows = [np.flatnonzero(r) for r in x]
-    model.fit(rows, y, rounds=120)
-    assert ((model.margins(rows) > 0) == (y > 0)).mean() > 0.95
+def test_factors_learn_pairs(spark):
+    """Toxic where an insult meets a group; either alone, or a group of itself, says little or nothing. From texts to scores."""
+    rng = random.Random(0)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    texts, labels = [], []
+    for i in range(3000):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([*rng.choices(words, k=20), *["grumpf"] * insult, *["quorl"] * group]))
+        labels.append((i, int(insult != group) if rng.random() < 0.8 else int(insult)))
+    y = np.array([x for _, x in labels], float)
+    slots = [toxicity.hashed_terms(t) for t in texts]
+    right = {}
+    for pairs in (True, False):
+        model = toxicity.Model()
+        model.fit(slots[:2400], y[:2400], pairs=pairs)
+        right[pairs] = ((model.margins(slots[2400:]) > 0) == (y[2400:] > 0)).mean()
+    assert right[True] > 0.85 > 0.78 > right[False]
+    rows = toxicity.classify(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).toPandas().set_index("doc_id").sort_index()
+    assert (rows.predicted == y)[rows.held_out].mean() > 0.85
+
+
+def test_association_matches_plain_counts():
+    rng = np.random.default_rng(1)
+    rows = [np.flatnonzero(rng.random(12) < 0.4).astype(np.int32) for _ in range(200)]
+    y = (rng.random(200) < 0.3).astype(float)
+    got = toxicity.association(rows, y, 12)
+    for slot in range(12):
+        has = np.array([slot in r for r in rows])
+        want = 2 * sum(o * math.log(o / (has.sum() * p)) for o, p in ((y[has].sum(), y.mean()), ((1 - y[has]).sum(), 1 - y.mean())) if o)
+        assert got[slot] == pytest.approx(want)
+    assert not toxicity.association([], np.zeros(0), 3).any() and not toxicity.association(rows, np.ones(200), 12).any()
+
+
+def test_margins_match_all_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(30)
+    model.w0, model.slots, model.values = 0.3, np.arange(10, 25, dtype=np.int32), rng.normal(size=(15, toxicity.FACTORS + 1)).astype(np.float32)
+    rows = [np.flatnonzero(rng.random(30) < 0.5).astype(np.int32) for _ in range(20)] + [np.zeros(0, np.int32)]
+    for r, margin in zip(rows, model.margins(rows), strict=True):
+        t = model.theta[r].astype(float)
+        want = 0.3 + t[:, 0].sum() + sum(t[i, 1:] @ t[j, 1:] for i in range(len(r)) for j in range(i))
+        assert margin == pytest.approx(want, abs=1e-4)
 
 
 # 8
@@ -350,9 +436,19 @@ def test_preference_pairs(spark):
 
 def test_preference_from_conversations(spark):
     rows = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "bye"), (2, 0, "user", None), (2, 1, "assistant", "b"), (3, 0, "user", "x"), (None, 0, "user", "x"), (2, None, "user", "x")], "conv_id long, turn long, role string, text string")
-    got = preference.off_topic_pairs(rows).collect()
-    assert [(r.pair_id, [t.text for t in r.chosen], [t.text for t in r.rejected]) for r in got] == [(1, ["q", "a"], ["q", "b"])]
+    got = {r.pair_id: ([t.text for t in r.chosen], [t.text for t in r.rejected]) for r in preference.off_topic_pairs(rows).collect()}
+    assert got == {1: (["q", "a"], ["q", "b"]), 2: (["", "b"], ["", "a"])}
     assert preference.off_topic_pairs(rows.limit(0)).count() == 0
+    more = [(i, 2 * k + j, ("user", "assistant")[j], f"{i}{k}{j}") for i in (3, 4, 10, 17) for k in range(3) for j in range(2)]
+    pairs = {r.pair_id: r for r in preference.off_topic_pairs(spark.createDataFrame(more, "conv_id long, turn long, role string, text string")).collect()}
+    after = {3: 4, 4: 10, 10: 17, 17: 3}
+    for i in after:
+        plain = [f"{i}{k}{j}" for k in range(3) for j in range(2)]
+        assert [t.text for t in pairs[i].chosen] == plain
+        at = 2 * (i % 3) + 1
+        assert [t.text for t in pairs[i].rejected] == [*plain[:at], f"{after[i]}21", *plain[at + 1 :]]
+    one = preference.off_topic_pairs(rows.where("conv_id = 1"))
+    assert [(r.chosen == r.rejected) for r in one.collect()] == [True]
 
 
 def test_vocabulary_is_whole():
