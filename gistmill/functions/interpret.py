@@ -35,16 +35,27 @@ def _weigh(sentence: Column, table: list) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def insight_rank(sentences: Column, least: int = 2, most: int = 5) -> Column:
+    """The weightiest sentences of an array, at least 2 each and five at most, in order of weight and then place."""
+    rows = F.transform(sentences, lambda s, i: F.struct((-_weigh(s, rules.INSIGHT_WORDS)).alias("w"), i.alias("i"), s.alias("s")))
+    return F.transform(F.slice(F.array_sort(F.filter(rows, lambda r: r["w"] <= -least)), 1, most), lambda r: r["s"])
+
+
+def best_sentence(sentences: Column) -> Column:
+    """The sentence of an array with the highest positive weight, the first of equals; null if none has any."""
+    rows = F.transform(sentences, lambda s, i: F.struct(_weigh(s, rules.THESIS_WORDS).alias("w"), (-i).alias("i"), s.alias("s")))
+    return F.array_max(F.filter(rows, lambda r: r["w"] > 0))["s"]
+
+
 def extract_insights(text: Column) -> Column:
     """The five weightiest sentences, at least 2, in order of weight and then place."""
-    rows = F.transform(F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s)), lambda s, i: F.struct((-_weigh(s, rules.INSIGHT_WORDS)).alias("w"), i.alias("i"), s.alias("s")))
-    return F.transform(F.slice(F.array_sort(F.filter(rows, lambda r: r["w"] <= -2)), 1, 5), lambda r: r["s"])
+    return insight_rank(F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s)))
 
 
 def extract_thesis(text: Column, title: Column) -> Column:
     """The best sentence of 20 characters or more with a positive weight, the first of equals; else the title."""
-    rows = F.transform(F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s) & (F.length(s) >= 20)), lambda s, i: F.struct(_weigh(s, rules.THESIS_WORDS).alias("w"), (-i).alias("i"), s.alias("s")))
-    return F.coalesce(F.array_max(F.filter(rows, lambda r: r["w"] > 0))["s"], F.concat(F.lit("📄 "), F.coalesce(title, F.lit(""))))
+    best = best_sentence(F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s) & (F.length(s) >= 20)))
+    return F.coalesce(best, F.concat(F.lit("📄 "), F.coalesce(title, F.lit(""))))
 
 
 def is_framework_name(name: Column) -> Column:
@@ -88,6 +99,12 @@ def generate_takeaways(frameworks: Column, insights: Column) -> Column:
     return F.slice(F.array_compact(F.concat(from_names, from_text)), 1, 3)
 
 
+def interpretable(content: Column) -> Column:
+    """Whether a content can be interpreted: 200 sanitised characters and depth 1.0 or more."""
+    ok = let(sanitize_content(content), lambda t: (F.length(t) >= 200) & (depth_score(t) >= 1.0))
+    return F.coalesce((content != "") & ok, F.lit(False))
+
+
 def interpret_articles(articles: DataFrame) -> DataFrame:
     """Insight rows of the articles that can be interpreted: content with 200 sanitised characters and depth 1.0 or more.
 

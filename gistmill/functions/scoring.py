@@ -73,10 +73,11 @@ def four_dim_score(articles: DataFrame, now: Column) -> DataFrame:
     return articles.withColumn("raw_score", four_dim_tenths(F.col("title"), F.col("summary"), F.col("platform"), F.col("published"), now) / 10.0)
 
 
-def category_weight(articles: DataFrame) -> DataFrame:
-    """Multiplies ``raw_score`` by the weight of the article's category; not rounded again."""
-    weights = F.create_map(*[x for k, v in rules.CATEGORY_WEIGHTS.items() for x in (F.lit(k), F.lit(round(v * 100)))])
-    weight = F.coalesce(F.try_element_at(weights, F.col("category")), F.lit(round(rules.CATEGORY_DEFAULT * 100)))
+def category_weight(articles: DataFrame, weights: dict[str, float] | None = None, default: float = rules.CATEGORY_DEFAULT) -> DataFrame:
+    """Multiplies ``raw_score`` by the weight, in hundredths, of the article's category; not rounded again."""
+    weights = rules.CATEGORY_WEIGHTS if weights is None else weights
+    known = F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(round(v * 100)))]) if weights else F.create_map().cast("map<string,int>")
+    weight = F.coalesce(F.try_element_at(known, F.col("category")), F.lit(round(default * 100)))
     return articles.withColumn("raw_score", F.round(F.col("raw_score") * 10).cast("long") * weight / 1000.0)
 
 
@@ -130,12 +131,16 @@ def depth_level(score: Column) -> Column:
     return F.when(score >= 4, "深度").when(score >= 2, "中度").otherwise("浅层")
 
 
-def interest_classify(title: Column, summary: Column) -> Column:
-    """Struct ``category, score``: best of five categories by weight and hits, less 2 for each technical word, not under 0; without a domain word ("", 0)."""
+def interest_classify(title: Column, summary: Column, table: list | None = None) -> Column:
+    """Struct ``category, score``: best of five categories by weight and hits, less 2 for each technical word, not under 0; without a domain word ("", 0).
+
+    ``table`` has rows (category, weight, keywords), by default those of ``rules.INTEREST``.
+    """
+    table = rules.INTEREST if table is None else table
 
     def rate(text: Column) -> Column:
         rows = []
-        for i, (name, weight, kws) in enumerate(rules.INTEREST):
+        for i, (name, weight, kws) in enumerate(table):
             n = hit_count(text, [k.lower() for k in kws])
             rows.append(F.struct(F.when(n > 0, n * 5 + round(weight * 10)).otherwise(0).alias("tenths"), F.lit(-i).alias("ord"), F.when(n > 0, name).otherwise("").alias("name")))
         best = F.array_max(F.array(*rows))
@@ -158,15 +163,15 @@ def popularity_score(interest: Column, *weighted_counters: tuple[Column, int]) -
     return units / 100.0
 
 
-def signal_gate(articles: DataFrame) -> DataFrame:
-    """Rows without a sign of low quality, with a title of 10 or more characters and a sign of depth."""
+def signal_gate(articles: DataFrame, low: list[str] | None = None, deep: list[str] | None = None) -> DataFrame:
+    """Rows without a sign of low quality, with a title of 10 or more characters and a sign of depth; both lists can be given."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    bad = F.exists(words(rules.LOW_QUALITY), lambda p: F.regexp_like(text, p))
-    return articles.where(~bad & (F.length("title") >= 10) & (quality_signals(text) >= 1))
+    bad = F.exists(words(rules.LOW_QUALITY if low is None else low), lambda p: F.regexp_like(text, p))
+    return articles.where(~bad & (F.length("title") >= 10) & (quality_signals(text, deep) >= 1))
 
 
-def quality_signals(text: Column) -> Column:
-    return hit_count(text, rules.DEEP_SIGNALS)
+def quality_signals(text: Column, deep: list[str] | None = None) -> Column:
+    return hit_count(text, rules.DEEP_SIGNALS if deep is None else deep)
 
 
 def quality_sort(articles: DataFrame) -> DataFrame:

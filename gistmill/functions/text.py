@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from gistmill import rules
-from gistmill.functions.exprs import CJK, let
+from gistmill.functions.exprs import CJK, let, strip
 
 #: Containers of article bodies by platform: patterns tried in this order.
 SITE_BODIES = {
@@ -20,8 +20,11 @@ SITE_BODIES = {
     "虎嗅": [r'(?s)<div[^>]*class="[^"]*article__content[^"]*"[^>]*>(.*?)</div>', r'(?s)<div[^>]*class="[^"]*article-content[^"]*"[^>]*>(.*?)</div>'],
     "量子位": [r'(?s)<div[^>]*class="[^"]*article[^"]*"[^>]*>(.*?)</div>', r"(?s)<article[^>]*>(.*?)</article>"],
     "爱范儿": [r'(?s)<div[^>]*class="[^"]*c-article-content[^"]*"[^>]*>(.*?)</div>', r"(?s)<article[^>]*>(.*?)</article>"],
+    "知乎": [r'(?s)<div[^>]*class="[^"]*RichContent-inner[^"]*"[^>]*>(.*?)</div>'],
     "少数派": [r'(?s)<div[^>]*class="[^"]*article-body[^"]*"[^>]*>(.*?)</div>', r'(?s)<div[^>]*class="[^"]*content[^"]*"[^>]*>(.*?)</div>'],
 }
+#: Platforms whose pages hold the body as a JSON field, which is tried first: pattern of its escaped text.
+SITE_FIELDS = {"知乎": r'(?s)"content"\s*:\s*"(.*?)(?:"\s*,\s*"(?:excerpt|title|comment))'}
 _BLOCKS = r"</?(?:div|p|br|h[1-6]|li|tr|section|article|blockquote|pre{more})[^>]*>"
 _ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
 
@@ -64,6 +67,30 @@ def strip_tags(text: Column, by: str = "") -> Column:
     return F.regexp_replace(text, "<[^>]+>", by)
 
 
+def strip_html_basic(text: Column) -> Column:
+    """Text without tags, white space collapsed and trimmed."""
+    return strip(F.regexp_replace(strip_tags(text), r"\s+", " "))
+
+
+def strip_html_feed(text: Column, longest: int = 500) -> Column:
+    """A feed's summary: without tags, the common entities read, white space collapsed, at most 500 long."""
+    return F.substring(strip(F.regexp_replace(unescape_common(strip_tags(text)), r"\s+", " ")), 1, longest)
+
+
+def extract_text_simple(page: Column, longest: int = 8000, least: int = 100) -> Column:
+    """The deep read's own text of a page; null where under 100 characters are left.
+
+    Scripts, styles and comments go, tags become spaces, ten entities are read, runs of
+    blanks collapse, lines are trimmed and empty ones dropped; at most 8,000 characters.
+    """
+    text = F.regexp_replace(page, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>", "")
+    text = strip_tags(F.regexp_replace(text, r"(?s)<!--.*?-->", ""), " ")
+    for entity, char in rules.SIMPLE_ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    lines = F.transform(F.split(F.regexp_replace(text, r"[ \t]+", " "), "\n", -1), strip)
+    return let(F.substring(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), 1, longest), lambda t: F.when(F.length(t) >= least, t))
+
+
 def strip_html_noise(page: Column) -> Column:
     """HTML as plain text: without scripts, styles, comments and drawings; block tags are line ends."""
     text = F.regexp_replace(page, r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>", "")
@@ -93,11 +120,15 @@ def extract_heuristic_body(page: Column, letters: str = CJK) -> Column:
 
 
 def extract_site_body(page: Column, platform: Column, sites: dict[str, list[str]] | None = None) -> Column:
-    """Text of the platform's body container; null for other platforms and where no pattern matches."""
+    """Text of the platform's body container, or of its JSON field where it has one; null for other platforms and where no pattern matches."""
     out = F.lit(None).cast("string")
-    for name, patterns in (SITE_BODIES if sites is None else sites).items():
-        body = F.coalesce(*[F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in patterns])
-        out = F.coalesce(out, F.when(platform == name, strip_html_noise(body)))
+    sites = SITE_BODIES if sites is None else sites
+    for name, patterns in sites.items():
+        found = [F.nullif(F.regexp_extract(page, p, 1), F.lit("")) for p in patterns]
+        if name in SITE_FIELDS:
+            field = F.replace(F.replace(F.regexp_extract(page, SITE_FIELDS[name], 1), F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"'))
+            found = [F.nullif(field, F.lit("")), *found]
+        out = F.coalesce(out, F.when(platform == name, strip_html_noise(F.coalesce(*found))))
     return out
 
 
@@ -112,7 +143,6 @@ def parse_item_xml_text(payload: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(unescape_common(strip_tags(xml, "\n")), r"\n\s*\n+", "\n"), r"^\s+|\s+\z", "")
 
 
-
 def _alternatives(pattern: str) -> list[str]:
     """Parts of a pattern between bars that are in no group."""
     parts, depth = [""], 0

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from gistmill.shared import materialize
+
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     """All sources with ``source_type``; columns that one lacks are null there."""
@@ -59,8 +59,10 @@ def _reach(threshold: float):
 
 def dedup_titles_exact(articles: DataFrame, score: str = "raw_score") -> DataFrame:
     """The best row, by score and then ``seq``, of each cleaned title."""
-    best = articles.withColumn("__clean", clean_title(F.col("title"))).groupBy("__clean").agg(F.max_by("seq", F.struct(F.col(score), -F.col("seq"))).alias("__seq"))
-    return articles.join(best.select("__seq"), articles["seq"] == F.col("__seq"), "left_semi")
+    # Whole rows are kept in the aggregate, so that the articles are read and scored once.
+    row = F.struct(*[F.col(f"`{c}`") for c in articles.columns])
+    best = articles.groupBy(clean_title(F.col("title")).alias("__clean")).agg(F.max_by(row, F.struct(F.col(score), -F.col("seq"))).alias("__row"))
+    return best.select(*[F.col("__row").getField(c).alias(c) for c in articles.columns])
 
 
 def title_candidates(rows: DataFrame, threshold: float) -> DataFrame:
@@ -80,41 +82,48 @@ def title_candidates(rows: DataFrame, threshold: float) -> DataFrame:
     return prefix.join(other, "token").where(near).select(F.col("rank").alias("lo"), "hi").distinct()
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the folder that executors share, and read back."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="gistmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/titles-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def dedup_titles(articles: DataFrame, threshold: float = 0.75, score: str = "raw_score") -> DataFrame:
     """Rows that a greedy pass by score would keep: none is similar to a better row that is kept.
 
     Exact copies collapse first. Similar pairs come from candidates that lose none; then
-    rounds decide rows whose better neighbours are all decided, until none is left.
+    rounds decide rows whose better neighbours are all decided, until none is left. At a
+    threshold of 0.75 no bound on the ratio leaves few candidates among titles of one
+    alphabet, so the work on a whole table grows nearly with its square; ``top_titles``
+    serves digests.
     """
     best = dedup_titles_exact(articles, score).withColumn("clean", clean_title(F.col("title")))
-    rows = _cut(best.select("seq", "clean", F.struct((-F.col(score)).alias("s"), F.col("seq").alias("q")).alias("rank")))
+    rows = materialize(best.select("seq", "clean", F.struct((-F.col(score)).alias("s"), F.col("seq").alias("q")).alias("rank")))
     pairs = title_candidates(rows, threshold)
     text = rows.select("rank", "clean")
     met = pairs.join(text.select(F.col("rank").alias("lo"), F.col("clean").alias("a")), "lo").join(text.select(F.col("rank").alias("hi"), F.col("clean").alias("b")), "hi")
-    edges = _cut(met.where(_reach(threshold)("a", "b")).select("lo", "hi"))
+    edges = materialize(met.where(_reach(threshold)("a", "b")).select("lo", "hi"))
     open_, dropped = edges, None
     while not open_.isEmpty():
         # Better rows of an open pair that are in no open pair as the worse one are kept; their worse neighbours go.
         kept = open_.select(F.col("hi").alias("r")).distinct().join(open_.select(F.col("lo").alias("r")).distinct(), "r", "left_anti")
-        gone = _cut(open_.join(kept.withColumnRenamed("r", "hi"), "hi").select(F.col("lo").alias("r")).distinct())
+        gone = materialize(open_.join(kept.withColumnRenamed("r", "hi"), "hi").select(F.col("lo").alias("r")).distinct())
         dropped = gone if dropped is None else dropped.unionAll(gone)
-        open_ = _cut(open_.join(gone.withColumnRenamed("r", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("r", "hi"), "hi", "left_anti").join(kept.withColumnRenamed("r", "hi"), "hi", "left_anti"))
+        open_ = materialize(open_.join(gone.withColumnRenamed("r", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("r", "hi"), "hi", "left_anti").join(kept.withColumnRenamed("r", "hi"), "hi", "left_anti"))
     out = best.drop("clean")
     return out if dropped is None else out.join(dropped.select(F.col("r.q").alias("__seq")), out["seq"] == F.col("__seq"), "left_anti")
 
 
+def top_titles(articles: DataFrame, n: int, threshold: float = 0.75, score: str = "raw_score") -> DataFrame:
+    """The first ``n`` rows, by score and then ``seq``, that ``dedup_titles`` would keep, without the rest of its work.
+
+    Whether a row is kept depends on better rows alone. So the best ``4 n`` rows are
+    de-duplicated among themselves, and four times as many while fewer than ``n`` are kept
+    and there are more: the result is that of the whole table.
+    """
+    many = 4 * n
+    while True:
+        best = materialize(articles.orderBy(F.desc(score), "seq").limit(many), "best")
+        kept = materialize(dedup_titles(best, threshold, score).orderBy(F.desc(score), "seq").limit(n), "kept")
+        if kept.count() >= n or best.count() < many:
+            return kept
+        many *= 4
+
+
 def dedup_notes(notes: DataFrame) -> DataFrame:
     """One note per title, the one with the last path."""
     last = notes.groupBy("title").agg(F.max("rel_path").alias("rel_path"))

@@ -9,12 +9,13 @@ from gistmill import rules
 from gistmill.functions.exprs import CJK, contains_any
 from gistmill.functions.text import full_article_text, strip_tags, text_overlap, tokenize_ngrams
 from gistmill.operators.select import needs_full_text
+from gistmill.shared import materialize, sized_join
 
 
 def attach_source_info(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Name, type and category of each article's source; a source that is not listed is named by its key."""
     info = sources.select(F.col("key").alias("__key"), F.col("name").alias("source_name"), F.col("type").alias("source_kind"), F.col("category").alias("source_category"))
-    joined = articles.join(F.broadcast(info), articles["platform"] == F.col("__key"), "left").drop("__key")
+    joined = sized_join(articles, info, articles["platform"] == F.col("__key"), "left").drop("__key")
     return joined.withColumn("source_name", F.coalesce("source_name", "platform"))
 
 
@@ -43,18 +44,19 @@ def _page_text(page: Column, chars: int = 5120) -> Column:
 
 
 def check_links(top: DataFrame, pages: DataFrame) -> DataFrame:
-    """Link state of a short digest against a crawl ``pages(url, status)``: skipped, dead or ok. The digest is broadcast."""
-    found = pages.join(F.broadcast(top.select("url").distinct()), "url", "left_semi").groupBy("url").agg(F.min("status").alias("__status"))
+    """Link state of a short digest against a crawl ``pages(url, status)``: skipped, dead or ok."""
+    top = materialize(top, "digest")
+    found = sized_join(pages, top.select("url").distinct(), "url", "left_semi").groupBy("url").agg(F.min("status").alias("__status"))
     skipped = (F.coalesce("url", F.lit("")) == "") | contains_any(F.coalesce("url", F.lit("")), rules.SKIP_HOSTS)
     state = F.when(skipped, "skipped").when(F.col("__status").isNull() | (F.col("__status") >= 400), "dead").otherwise("ok")
-    return top.join(F.broadcast(found), "url", "left").withColumn("link", state).drop("__status")
+    return sized_join(top, materialize(found, "states"), "url", "left").withColumn("link", state).drop("__status")
 
 
 def repair_summaries(top: DataFrame, pages: DataFrame, least: float = 0.7) -> DataFrame:
     """Summaries that differ from their page's beginning are replaced by it; ``fixed`` tells which."""
-    urls = top.select("url").distinct()
-    texts = pages.join(F.broadcast(urls), "url", "left_semi").select("url", F.substring(_page_text(F.col("html")), 1, 300).alias("__text")).groupBy("url").agg(F.max("__text").alias("__text"))
-    rows = top.join(F.broadcast(texts), "url", "left")
+    top = materialize(top, "digest")
+    texts = sized_join(pages, top.select("url").distinct(), "url", "left_semi").select("url", F.substring(_page_text(F.col("html")), 1, 300).alias("__text")).groupBy("url").agg(F.max("__text").alias("__text"))
+    rows = sized_join(top, materialize(texts, "texts"), "url", "left")
     fixed = (F.coalesce("__text", F.lit("")) != "") & (text_overlap(F.substring("summary", 1, 200), F.col("__text")) < least)
     return rows.withColumn("fixed", fixed).withColumn("summary", F.when(F.col("fixed"), F.substring("__text", 1, 150)).otherwise(F.col("summary"))).drop("__text")
 
@@ -79,46 +81,46 @@ def append_index_entries(candidates: DataFrame, index: DataFrame, today: Column)
 
 
 def suggest_links(candidates: DataFrame, notes: DataFrame, k: int = 8) -> DataFrame:
-    """The k notes with most in common with each candidate: ``seq, rel_path, title, score, n_terms, n_tags, same_domain, same_subdomain``.
+    """The k notes with most in common with each candidate: ``seq, rel_path, title, score, n_terms, n_tags, same_domain, same_subdomain, reason``.
 
     3 for each shared title term, 2 for each shared tag, 5 if the note's path names the
-    domain, 4 if its title or path names a subdomain; ties by path. Terms and tags meet by
-    equi-joins. For pairs with nothing but their domain or subdomain in common, only the
-    first k notes of each label can matter, so no more are paired.
+    domain, 4 if its title or path names a subdomain; ties by path. ``reason`` names them,
+    of terms and tags the first three in order. Terms and tags meet by equi-joins. For
+    pairs with nothing but their domain or subdomain in common, only the first k notes of
+    each label can matter, so no more are paired. Both sides are written once, as the
+    columns that the joins need.
     """
     labels = sorted({d.split("-", 1)[1] for d, _ in rules.DOMAINS})
     subs = sorted({n for rows in rules.SUBDOMAINS.values() for n, _ in rows})
     named = lambda text, names: F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(text, n))
     both = F.concat_ws("\n", "title", "rel_path")
-    notes = notes.select("title", "rel_path", tokenize_ngrams(F.col("title")).alias("terms"), "tags", named(F.col("rel_path"), labels).alias("domains"), named(both, subs).alias("subs"))
-    cands = candidates.select("seq", tokenize_ngrams(F.col("title")).alias("c_terms"), F.array_distinct("tags").alias("c_tags"), "domain_name", "subdomains")
-    def shared(c, n):
-        one = cands.select("seq", F.explode(c).alias("x"))
-        two = notes.select("rel_path", F.explode(F.array_distinct(n)).alias("x"))
-        return one.join(two, "x").select("seq", "rel_path")
-
-    def labelled(c: Column, n: str):
-        """Pairs by a label; the notes of a label that come first by path stand for all of them."""
-        first = Window.partitionBy("x").orderBy("rel_path")
-        two = notes.select("rel_path", F.explode(n).alias("x")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k)
-        return cands.select("seq", F.explode(c).alias("x")).join(two, "x").select("seq", "rel_path")
-
-    def both_labels():
-        first = Window.partitionBy("x", "y").orderBy("rel_path")
-        two = notes.select("rel_path", F.explode("domains").alias("x"), "subs").select("rel_path", "x", F.explode("subs").alias("y")).withColumn("at", F.row_number().over(first)).where(F.col("at") <= k)
-        return cands.select("seq", F.col("domain_name").alias("x"), F.explode("subdomains").alias("y")).join(two, ["x", "y"]).select("seq", "rel_path")
-
-    pairs = shared("c_terms", "terms").unionAll(shared("c_tags", "tags")).unionAll(labelled(F.array("domain_name"), "domains")).unionAll(labelled(F.col("subdomains"), "subs")).unionAll(both_labels()).distinct()
-    rows = pairs.join(cands, "seq").join(notes, "rel_path")
-    rows = rows.withColumns({
-        "n_terms": F.size(F.array_intersect("c_terms", "terms")),
-        "n_tags": F.size(F.array_intersect("c_tags", "tags")),
-        "same_domain": F.array_contains("domains", F.col("domain_name")),
-        "same_subdomain": F.arrays_overlap("subdomains", "subs"),
+    notes = materialize(notes.select("title", "rel_path", tokenize_ngrams(F.col("title")).alias("terms"), F.array_distinct("tags").alias("tags"), named(F.col("rel_path"), labels).alias("domains"), named(both, subs).alias("subs")), "notes")
+    cands = materialize(candidates.select("seq", tokenize_ngrams(F.col("title")).alias("c_terms"), F.array_distinct("tags").alias("c_tags"), "domain_name", "subdomains"), "candidates")
+
+    def shared(c: str, n: str) -> DataFrame:
+        return notes.select("rel_path", F.explode(n).alias("x")).join(cands.select("seq", F.explode(c).alias("x")), "x").select("seq", "rel_path")
+
+    def labelled(labels: list, c: DataFrame, n: DataFrame) -> DataFrame:
+        """Pairs by labels; the notes of a label that come first by path stand for all of them."""
+        first = Window.partitionBy(*labels).orderBy("rel_path")
+        return c.join(n.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k), labels).select("seq", "rel_path")
+
+    by_domain = cands.select("seq", F.col("domain_name").alias("x"), "subdomains"), notes.select("rel_path", F.explode("domains").alias("x"), "subs")
+    by_sub = cands.select("seq", F.explode("subdomains").alias("y")), notes.select("rel_path", F.explode("subs").alias("y"))
+    by_both = by_domain[0].select("seq", "x", F.explode("subdomains").alias("y")), by_domain[1].select("rel_path", "x", F.explode("subs").alias("y"))
+    pairs = shared("c_terms", "terms").unionAll(shared("c_tags", "tags")).unionAll(labelled(["x"], *by_domain)).unionAll(labelled(["y"], *by_sub)).unionAll(labelled(["x", "y"], *by_both)).distinct()
+    rows = pairs.join(cands, "seq").join(notes, "rel_path").withColumns({
+        "s_terms": F.array_sort(F.array_intersect("c_terms", "terms")),
+        "s_tags": F.array_sort(F.array_intersect("c_tags", "tags")),
+        "same_domain": F.coalesce(F.array_contains("domains", F.col("domain_name")), F.lit(False)),
+        "s_subs": F.filter("subdomains", lambda s: F.array_contains("subs", s)),
     })
+    rows = rows.withColumns({"n_terms": F.size("s_terms"), "n_tags": F.size("s_tags"), "same_subdomain": F.size("s_subs") > 0})
     score = F.col("n_terms") * 3 + F.col("n_tags") * 2 + F.when(F.col("same_domain"), 5).otherwise(0) + F.when(F.col("same_subdomain"), 4).otherwise(0)
+    told = lambda what, c: F.when(F.size(c) > 0, F.concat(F.lit(what), F.array_join(F.slice(c, 1, 3), ", ")))
+    reason = F.concat_ws(" | ", told("关键词匹配: ", "s_terms"), F.when(F.col("same_domain"), F.concat(F.lit("同域: "), "domain_name")), told("共享标签: ", "s_tags"), F.when(F.col("same_subdomain"), F.concat(F.lit("子域: "), F.get("s_subs", 0))))
     best = Window.partitionBy("seq").orderBy(F.desc("score"), "rel_path")
-    return rows.withColumn("score", score).where("score > 0").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("seq", "rel_path", "title", "score", "n_terms", "n_tags", "same_domain", "same_subdomain")
+    return rows.withColumn("score", score).where("score > 0").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("seq", "rel_path", "title", "score", "n_terms", "n_tags", "same_domain", "same_subdomain", reason.alias("reason"))
 
 
 def version_paths(candidates: DataFrame, notes: DataFrame) -> DataFrame:

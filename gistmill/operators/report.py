@@ -50,8 +50,11 @@ def render_source_list(sources: DataFrame) -> DataFrame:
 
 
 def write_digest(digest: DataFrame, path: str, day: str) -> None:
-    """Appends a digest, or notes ``(rel_path, body)``, to a table partitioned by the day of the run."""
-    digest.withColumn("run_date", F.lit(day)).write.mode("append").partitionBy("run_date").parquet(path)
+    """Writes a digest, or notes ``(rel_path, body)``, to a table partitioned by the day of the run; a rerun replaces its day alone."""
+    rows = digest.withColumn("run_date", F.lit(day))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
 
 
-write_notes = write_digest
+def write_notes(notes: DataFrame, path: str, day: str) -> None:
+    """Writes notes ``(rel_path, body)``; of those with one path the last body in order stays."""
+    write_digest(notes.groupBy("rel_path").agg(F.max("body").alias("body")), path, day)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gistmill import rules
 from gistmill.functions.exprs import contains_any, first_filled
 from gistmill.functions.scoring import depth_level, depth_score, to_stars
+from gistmill.shared import materialize, sized_join
 
 
 def select_sources(articles: DataFrame, keys: list[str] | None) -> DataFrame:
@@ -92,6 +93,7 @@ def source_footprint(articles: DataFrame, expected: list[str]) -> DataFrame:
     spark = articles.sparkSession
     wanted = spark.createDataFrame([(i, s) for i, s in enumerate(expected)], "ord int, platform string")
     got = articles.where(F.col("platform").isin(*expected)).groupBy("platform").agg(F.count("*").alias("n"))
+    # At most one row for each of the names given.
     return wanted.join(F.broadcast(got), "platform", "left").select("ord", "platform", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "✅").otherwise("—").alias("status"))
 
 
@@ -113,25 +115,30 @@ def select_digest_sections(articles: DataFrame, n_deep: int = 5, n_brief: int =
 
     Deep: the interpretable ones of the first five with level 深度; with fewer than three,
     interpretable ones of level 中度 from the top until there are three. Briefs: the first
-    15 of level 中度, those that were moved up too. Only top-k results are ranked.
+    15 of level 中度, those that were moved up too. Only top-k results are ranked. What
+    decides is written once, so that scores and interpretations are not made anew for each
+    section; the rows chosen, some twenty, then meet the articles.
     """
+    whole, articles = articles, materialize(articles.select("seq", "score", "interpretable").where("score >= 2"), "sections")
     deep = top_articles(articles.where(F.col("score") >= 4), n_deep, "score").where("interpretable")
     medium = articles.where((F.col("score") >= 2) & (F.col("score") < 4))
     briefs = top_articles(medium, n_brief, "score")
     missing = deep.agg(F.greatest(F.lit(0), F.lit(least) - F.count("*")).alias("__missing")).withColumn("__k", F.lit(1))
     more = rank_articles(top_articles(medium.where("interpretable"), least, "score"), "score").withColumn("__k", F.lit(1)).join(F.broadcast(missing), "__k").where("rank <= __missing").drop("__k", "__missing", "rank")
-    return deep.withColumn("section", F.lit("deep")).unionByName(more.withColumn("section", F.lit("deep"))).unionByName(briefs.withColumn("section", F.lit("brief")))
+    chosen = deep.withColumn("section", F.lit("deep")).unionByName(more.withColumn("section", F.lit("deep"))).unionByName(briefs.withColumn("section", F.lit("brief")))
+    chosen = materialize(chosen.select("section", F.col("seq").alias("__seq")), "chosen")
+    return sized_join(whole, chosen, whole["seq"] == F.col("__seq"), "inner").drop("__seq")
 
 
 def two_stage_rescore(articles: DataFrame, full: DataFrame, skip: tuple[str, ...] = (), first: int = 15, fetched: int = 10) -> DataFrame:
     """Scores by summary, gives the first ten of the top fifteen (less ``skip``) their full text, and scores all again.
 
-    ``full(url, full_text)`` is joined to the ten rows, which are broadcast.
+    ``full(url, full_text)`` is joined to the ten rows chosen.
     """
     scored = articles.withColumn("prescore", depth_score(F.col("summary")))
     chosen = top_articles(top_articles(scored, first, "prescore").where(~F.col("platform").isin(*skip) if skip else F.lit(True)), fetched, "prescore").select("seq", "url")
-    texts = full.join(F.broadcast(chosen), "url").groupBy("seq").agg(F.max("full_text").alias("full_text"))
-    rows = scored.join(F.broadcast(texts), "seq", "left").withColumn("text", first_filled(F.col("full_text"), F.col("summary")))
+    texts = sized_join(full, materialize(chosen, "chosen"), "url", "inner").groupBy("seq").agg(F.max("full_text").alias("full_text"))
+    rows = sized_join(scored, materialize(texts, "texts"), "seq", "left").withColumn("text", first_filled(F.col("full_text"), F.col("summary")))
     return rows.withColumn("score", depth_score(F.col("text"))).drop("full_text")
 
 

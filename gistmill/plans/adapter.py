@@ -47,10 +47,9 @@ def _sql_pick(values: list[str]) -> str:
     return _PICK.format(", ".join(map(quoted, values)), len(values))
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as an article; its url is that of a page, or empty."""
-    docs, pages = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/pages.parquet")
-    n = max(pages.count(), 1)
+def articles(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
+    """Every document as an article; with ``urls`` also the url of a page, or an empty one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seq = F.col("doc_id")
     text = F.coalesce("text", F.lit(""))
     day = F.date_format(F.date_sub(F.lit(NOW), (seq % 20).cast("int")), "yyyy-MM-dd")
@@ -64,8 +63,11 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(CATEGORIES, seq).alias("category"),
         published.alias("published"),
         F.col("lang").alias("author"),
-        F.when(seq % 50 == 49, -1).otherwise(seq % n).alias("page_id"),
     )
+    if not urls:
+        return rows
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = rows.withColumn("page_id", F.when(F.col("seq") % 50 == 49, -1).otherwise(F.col("seq") % max(pages.count(), 1)))
     return rows.join(pages.select("page_id", "url"), "page_id", "left").withColumn("url", F.coalesce("url", F.lit(""))).drop("page_id")
 
 
@@ -104,11 +106,40 @@ ITEMS_SQL = "items AS (SELECT event_id AS seq, 'm' || CAST(event_id % 700 AS VAR
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Assistant turns as answers with sections."""
+    """Assistant turns, whole, as answers with sections; category, frameworks and takeaways vary with the row."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("role = 'assistant'")
-    one = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
-    text = F.concat(F.lit("【核心论点】\n"), one, F.lit("\n【主题分类】\nAI Agent与工程\n【关键框架】\n- 无\n【洞察要点】\n1. 六个字以上的句子\n- "), one, F.lit("\n* 短\n【数据看点】\n无关键数据\n【行动启发】\n- 先从一个小场景开始\n"))
+    said = F.coalesce("text", F.lit(""))
+    k = F.col("conv_id") + F.col("turn")
+    text = F.concat(
+        F.lit("【核心论点】\n"), F.substring_index(said, "\n", 1),
+        F.lit("\n【主题分类】\n"), _pick(TOPIC_LINES, k),
+        F.lit("\n【关键框架】\n- "), _pick(FRAMEWORK_LINES, k),
+        F.lit("\n【洞察要点】\n1. 六个字以上的句子\n"), said,
+        F.lit("\n【数据看点】\n无关键数据\n【行动启发】\n- "), _pick(ACTION_LINES, k), F.lit("\n"),
+    )
     return rows.select("conv_id", "turn", text.alias("answer"))
 
 
-ANSWERS_SQL = "answers AS (SELECT conv_id, turn, split_part(coalesce(text, ''), chr(10), 1) AS one FROM conversations WHERE role = 'assistant')"
+TOPIC_LINES = ["AI Agent与工程", "商业与管理观察", "无", "短"]
+FRAMEWORK_LINES = ["无", "数据驱动增长框架\n- 三层飞轮模型方法", "暂无"]
+ACTION_LINES = ["先从一个小场景开始", "略", "每周复盘一次结果\n2. 再逐步推广到整个组织", "无", "写下三条能做的事"]
+ANSWERS_SQL = f"""answers AS (SELECT conv_id, turn, coalesce(text, '') AS said, split_part(coalesce(text, ''), chr(10), 1) AS one,
+  {_sql_pick(TOPIC_LINES).replace("doc_id", "(conv_id + turn)")} AS topic, {_sql_pick(FRAMEWORK_LINES).replace("doc_id", "(conv_id + turn)")} AS frame, {_sql_pick(ACTION_LINES).replace("doc_id", "(conv_id + turn)")} AS act
+  FROM conversations WHERE role = 'assistant')"""
+
+
+def _xml(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten articles each as a landed feed ``source, xml``: RSS, or Atom for every third."""
+    rows = articles(spark, sf_dir, urls=True).select("seq", _xml(F.col("title")).alias("t"), _xml(F.col("url")).alias("u"), _xml(F.col("summary")).alias("s"), F.coalesce("author", F.lit("")).alias("a"), "published")
+    feed = F.floor(F.col("seq") / 10)
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    rss = F.concat(F.lit("<item>"), tag("title", F.col("t")), tag("link", F.col("u")), tag("description", F.col("s")), tag("author", F.col("a")), tag("pubDate", F.col("published")), F.lit("</item>"))
+    atom = F.concat(F.lit("<entry>"), tag("title", F.col("t")), F.lit('<link href="'), F.col("u"), F.lit('"/>'), tag("summary", F.col("s")), tag("author", tag("name", F.col("a"))), tag("updated", F.col("published")), F.lit("</entry>"))
+    entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.when(feed % 3 == 2, atom).otherwise(rss).alias("x")))), lambda e: e["x"]), "")
+    files = rows.groupBy(feed.alias("feed")).agg(entries.alias("x"))
+    xml = F.when(F.col("feed") % 3 == 2, F.concat(F.lit("<feed>"), "x", F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), "x", F.lit("</channel></rss>")))
+    return files.select(F.concat(F.lit("feed"), F.col("feed").cast("string")).alias("source"), xml.alias("xml"))

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill import rules
 from gistmill.functions import classify, curation, interpret, scoring, text
 from gistmill.functions.exprs import hit_count
-from gistmill.operators import dedup, links, report, select
+from gistmill.operators import dedup, digest, links, report, select
 from gistmill.plans import adapter
 from gistmill.plans.adapter import NOW, PLATFORMS
+from gistmill.shared import materialize, shared_dir
+from gistmill.sources import feeds
+from gistmill.streaming import items as stream
 
 QUERIES = {}
 LETTERS = r"\p{L}"
@@ -25,21 +30,27 @@ def _now():
     return F.lit(NOW)
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.four_dim_score(adapter.articles(spark, sf_dir), _now())
+def scored(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
+    return scoring.four_dim_score(adapter.articles(spark, sf_dir, urls), _now())
 
 
-def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.min_score_filter(scoring.category_weight(scored(spark, sf_dir)))
+def weighted(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
+    return scoring.min_score_filter(scoring.category_weight(scored(spark, sf_dir, urls)))
 
 
-def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.articles(spark, sf_dir).withColumn("score", scoring.depth_score(F.col("content")))
+def deep(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
+    return adapter.articles(spark, sf_dir, urls).withColumn("score", scoring.depth_score(F.col("content")))
 
 
 @query
 def daily_digest(spark, sf_dir):
-    """Flat digest: score, weigh, drop low scores and repeated titles, take the top 50."""
+    """Flat digest: score, weigh, drop low scores and similar titles, take the top 50."""
+    return digest.digest_articles(scored(spark, sf_dir)).select("rank", "seq", "platform", "title", "raw_score", scoring.to_stars(F.col("raw_score")).alias("stars"))
+
+
+@query
+def daily_digest_exact(spark, sf_dir):
+    """The same where only equal titles are the same."""
     best = dedup.dedup_titles_exact(weighted(spark, sf_dir))
     return select.rank_articles(select.top_articles(best, 50)).select("rank", "seq", "platform", "title", "raw_score", scoring.to_stars(F.col("raw_score")).alias("stars"))
 
@@ -144,7 +155,7 @@ def quality_sort(spark, sf_dir):
 
 @query
 def project_articles(spark, sf_dir):
-    rows = adapter.articles(spark, sf_dir)
+    rows = adapter.articles(spark, sf_dir, urls=True)
     return select.project_articles(rows, scoring.depth_score(F.col("content"))).select("seq", "title", "source", "url", F.md5("summary").alias("summary_md5"), F.md5("content").alias("content_md5"), "score", "level")
 
 
@@ -160,30 +171,30 @@ def ai_title_filter(spark, sf_dir):
 
 @query
 def skip_domains(spark, sf_dir):
-    return select.skip_domains(adapter.articles(spark, sf_dir), ["example.com/fr", "example.com/de"]).select("seq")
+    return select.skip_domains(adapter.articles(spark, sf_dir, urls=True), ["example.com/fr", "example.com/de"]).select("seq")
 
 
 @query
 def needs_full_text(spark, sf_dir):
-    return adapter.articles(spark, sf_dir).select("seq", select.needs_full_text(F.col("content"), F.col("url")).alias("needs"))
+    return adapter.articles(spark, sf_dir, urls=True).select("seq", select.needs_full_text(F.col("content"), F.col("url")).alias("needs"))
 
 
 @query
 def cap_per_source(spark, sf_dir):
     rows = adapter.articles(spark, sf_dir).withColumn("pos", F.floor(F.col("seq") / len(PLATFORMS)))
-    return select.cap_per_source(rows, {"36氪": 50, "量子位": 30, "huggingface": 30, "github": 40}).groupBy("platform").agg(F.count("*").alias("n"), F.max("seq").alias("last_seq"))
+    return select.cap_per_source(rows, {"36氪": 50, "量子位": 30, "huggingface": 30, "github": 40}).select("seq", "platform")
 
 
 @query
 def union_sources(spark, sf_dir):
     rows = adapter.articles(spark, sf_dir)
     both = dedup.union_sources({"rss": rows.where("seq % 2 = 0").drop("author"), "list": rows.where("seq % 2 = 1").drop("content")})
-    return both.groupBy("source_type").agg(F.count("*").alias("n"), F.count("author").alias("authors"), F.count("content").alias("contents"))
+    return both.select("seq", "source_type", "title", "author", F.md5("content").alias("content_md5"))
 
 
 @query
 def dedup_urls(spark, sf_dir):
-    return dedup.dedup_urls(adapter.articles(spark, sf_dir)).select("seq", "url")
+    return dedup.dedup_urls(adapter.articles(spark, sf_dir, urls=True)).select("seq", "url")
 
 
 @query
@@ -199,13 +210,13 @@ def dedup_titles(spark, sf_dir):
 @query
 def attach_source_info(spark, sf_dir):
     sources = spark.createDataFrame([(p, f"源-{p}", "direct" if i % 2 else "rsshub", "AI技术") for i, p in enumerate(PLATFORMS[:8])], "key string, name string, type string, category string")
-    return links.attach_source_info(adapter.articles(spark, sf_dir), sources).groupBy("source_name", "source_kind").agg(F.count("*").alias("n"))
+    return links.attach_source_info(adapter.articles(spark, sf_dir), sources).select("seq", "source_name", "source_kind", "source_category")
 
 
 @query
 def attach_full_text(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rows = links.attach_full_text(adapter.articles(spark, sf_dir), pages, letters=LETTERS)
+    rows = links.attach_full_text(adapter.articles(spark, sf_dir, urls=True), pages, letters=LETTERS)
     return rows.select("seq", F.length("content").alias("n_chars"), F.md5("content").alias("content_md5"))
 
 
@@ -216,12 +227,16 @@ def strip_html_noise(spark, sf_dir):
 
 @query
 def extract_heuristic_body(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length(text.extract_heuristic_body(F.col("html"), LETTERS)).alias("n_chars"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.extract_heuristic_body(F.col("html"), LETTERS)).alias("text_md5"))
 
 
 @query
 def extract_site_body(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.extract_site_body(F.col("html"), F.lit("量子位"))).alias("text_md5"))
+    """Pages as those of each platform in turn; every sixth carries its body as a JSON field."""
+    page, sites = F.col("html"), ["36氪", "虎嗅", "量子位", "爱范儿", "少数派", "知乎"]
+    field = F.concat(F.lit('{"content": "'), F.replace(F.replace(page, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('", "excerpt": ""}'))
+    which = F.element_at(F.array(*map(F.lit, sites)), (F.col("page_id") % 6 + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.extract_site_body(F.when(F.col("page_id") % 12 == 5, field).otherwise(page), which)).alias("text_md5"))
 
 
 @query
@@ -232,17 +247,17 @@ def sanitize_content(spark, sf_dir):
 @query
 def content_quality(spark, sf_dir):
     rows = adapter.articles(spark, sf_dir).select("seq", text.content_quality(F.col("content")).alias("q"), text.content_status(F.col("content")).alias("status"))
-    return rows.select("seq", "q.cjk", "q.total_lines", "status")
+    return rows.select("seq", "q.*", "status")
 
 
 @query
 def text_overlap(spark, sf_dir):
-    return adapter.articles(spark, sf_dir).select("seq", F.round(text.text_overlap(F.substring("summary", 1, 200), F.substring("content", 1, 300)), 6).alias("overlap"))
+    return adapter.articles(spark, sf_dir).select("seq", F.round(text.text_overlap(F.col("summary"), F.col("content")), 6).alias("overlap"))
 
 
 @query
 def tokenize_ngrams(spark, sf_dir):
-    return adapter.articles(spark, sf_dir).select("seq", F.array_join(F.array_sort(text.tokenize_ngrams(F.substring("title", 1, 24))), ",").alias("tokens"))
+    return adapter.articles(spark, sf_dir).select("seq", F.array_join(F.array_sort(text.tokenize_ngrams(F.col("title"))), ",").alias("tokens"))
 
 
 @query
@@ -262,8 +277,8 @@ def topic_histogram(spark, sf_dir):
     return select.topic_histogram(rows).select("category", "n")
 
 
-def curated(spark, sf_dir) -> DataFrame:
-    rows = adapter.articles(spark, sf_dir).withColumn("text", classify.curation_text(F.col("title"), F.col("summary"), F.col("content")))
+def curated(spark, sf_dir, urls: bool = False) -> DataFrame:
+    rows = adapter.articles(spark, sf_dir, urls).withColumn("text", classify.curation_text(F.col("title"), F.col("summary"), F.col("content")))
     rows = rows.withColumns({"template_id": classify.template_classify(F.col("text")), "domain": classify.domain_classify(F.col("text"))})
     rows = rows.withColumns({"knowledge_type": classify.knowledge_type(F.col("template_id")), "domain_name": classify.domain_name(F.col("domain")), "subdomains": classify.subdomains(F.col("text"), F.col("domain"))})
     return rows.withColumns({"tags": classify.extract_tags(F.col("text"), F.col("platform"), F.col("knowledge_type")), "knowledge_id": classify.knowledge_id(F.col("domain"), F.col("title"), _now())})
@@ -276,14 +291,14 @@ def curate_articles(spark, sf_dir):
 
 @query
 def build_frontmatter(spark, sf_dir):
-    rows = curated(spark, sf_dir).withColumn("score", scoring.depth_score(F.col("content")))
+    rows = curated(spark, sf_dir, urls=True).withColumn("score", scoring.depth_score(F.col("content")))
     columns = {c: F.col(c) for c in ("knowledge_id", "knowledge_type", "domain_name", "subdomains", "tags", "url", "platform", "score")}
     return rows.select("seq", curation.build_frontmatter(columns, _now()).alias("yaml"), curation.safe_path(F.col("title"), F.col("knowledge_type"), F.col("domain")).alias("rel_path"))
 
 
 @query
 def build_prompt(spark, sf_dir):
-    return curated(spark, sf_dir).select("seq", F.length(curation.build_prompt(F.col("content"), F.col("template_id"))).alias("n_chars"))
+    return curated(spark, sf_dir).select("seq", F.md5(curation.build_prompt(F.col("content"), F.col("template_id"))).alias("prompt_md5"))
 
 
 @query
@@ -317,7 +332,7 @@ def note_counts(spark, sf_dir):
 @query
 def parse_sections(spark, sf_dir):
     rows = adapter.answers(spark, sf_dir).select("conv_id", "turn", curation.parse_sections(F.col("answer")).alias("s"))
-    return rows.select("conv_id", "turn", "s.thesis", "s.category", F.size("s.frameworks").alias("n_frameworks"), F.array_join("s.insights", "|").alias("insights"), F.array_join("s.takeaways", "|").alias("takeaways"), "s.quality_score")
+    return rows.select("conv_id", "turn", "s.thesis", "s.category", F.array_join("s.frameworks", "|").alias("frameworks"), F.md5(F.array_join("s.insights", "|")).alias("insights_md5"), F.size("s.data_points").alias("n_data"), F.array_join("s.takeaways", "|").alias("takeaways"), "s.quality_score")
 
 
 @query
@@ -360,13 +375,13 @@ def check_summary(spark, sf_dir):
     """State of the links and summaries of the first 15."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     crawl = pages.where("page_id % 11 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"))
-    top = links.check_links(select.top_articles(weighted(spark, sf_dir), 15), crawl)
+    top = links.check_links(select.top_articles(weighted(spark, sf_dir, urls=True), 15), crawl)
     return links.check_summary(links.repair_summaries(top, pages))
 
 
 @query
 def knowledge_card(spark, sf_dir):
-    rows = curated(spark, sf_dir)
+    rows = curated(spark, sf_dir, urls=True)
     path, card = curation.knowledge_card(F.col("title"), F.col("content"), F.col("category"), F.col("tags"), F.col("url"), _now())
     return rows.select("seq", path.alias("rel_path"), F.md5(card).alias("card_md5"))
 
@@ -374,45 +389,44 @@ def knowledge_card(spark, sf_dir):
 @query
 def select_digest_sections(spark, sf_dir):
     rows = deep(spark, sf_dir)
-    good = interpret.interpret_articles(rows).select(F.col("seq").alias("__seq"), F.lit(True).alias("interpretable"))
-    rows = rows.join(good, rows["seq"] == F.col("__seq"), "left").drop("__seq").fillna(False, ["interpretable"])
+    rows = rows.select("seq", "title", "score", interpret.interpretable(F.col("content")).alias("interpretable"))
     return select.select_digest_sections(rows).select("section", "seq", "score")
 
 
 @query
 def headline_rows(spark, sf_dir):
-    best = select.top_articles(interpret.interpret_articles(deep(spark, sf_dir)), 5, "score")
-    ranked = select.rank_articles(best, "score")
+    best = select.top_articles(deep(spark, sf_dir).where(interpret.interpretable(F.col("content"))), 5, "score")
+    ranked = materialize(select.rank_articles(interpret.interpret_articles(best), "score"), "ranked")
     return select.headline_rows(ranked).join(select.topic_rows(ranked).select("rank", F.col("title").alias("topic"), "angle", F.col("platform").alias("publish_on")), "rank")
 
 
 @query
 def two_stage_rescore(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", text.extract_heuristic_body(F.col("html"), LETTERS).alias("full_text"))
-    return select.two_stage_rescore(adapter.articles(spark, sf_dir), pages, ("github",)).select("seq", "prescore", "score")
+    return select.two_stage_rescore(adapter.articles(spark, sf_dir, urls=True), pages, ("github",)).select("seq", "prescore", "score")
 
 
 @query
 def check_links(spark, sf_dir):
-    top = select.rank_articles(select.top_articles(weighted(spark, sf_dir), 15))
+    top = select.rank_articles(select.top_articles(weighted(spark, sf_dir, urls=True), 15))
     crawl = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id % 11 <> 0").select("url", F.when(F.col("page_id") % 5 == 0, 404).otherwise(200).alias("status"))
     return links.check_links(top, crawl).select("rank", "seq", "link")
 
 
 @query
 def repair_summaries(spark, sf_dir):
-    top = select.rank_articles(select.top_articles(weighted(spark, sf_dir), 15))
+    top = select.rank_articles(select.top_articles(weighted(spark, sf_dir, urls=True), 15))
     return links.repair_summaries(top, spark.read.parquet(f"{sf_dir}/pages.parquet")).select("rank", "seq", "fixed", F.md5("summary").alias("summary_md5"))
 
 
 @query
 def render_digest(spark, sf_dir):
-    return report.render_digest(select.rank_articles(select.top_articles(weighted(spark, sf_dir), 15)), _now())
+    return report.render_digest(select.rank_articles(select.top_articles(weighted(spark, sf_dir, urls=True), 15)), _now())
 
 
 @query
 def render_digest_grouped(spark, sf_dir):
-    return report.render_digest_grouped(select.rank_articles(select.top_articles(weighted(spark, sf_dir), 50)))
+    return report.render_digest_grouped(select.rank_articles(select.top_articles(weighted(spark, sf_dir, urls=True), 50)))
 
 
 @query
@@ -420,3 +434,210 @@ def keyword_hits(spark, sf_dir):
     """Depth signals and penalties of each text, the counts that gates and sorts rest on."""
     rows = adapter.articles(spark, sf_dir)
     return rows.select("seq", hit_count(F.col("title"), rules.DEEP_SIGNALS).alias("signals"), hit_count(F.lower("summary"), [k.lower() for k in rules.PENALTY]).alias("penalties"))
+
+
+# Landed feeds, listings and pages, made from the tables and parsed again
+
+
+def _rows(spark, sf_dir, *columns):
+    """Articles ten to a listing, as arrays of structs of the given columns."""
+    rows = adapter.articles(spark, sf_dir)
+    entry = F.struct("seq", F.struct(*columns).alias("x"))
+    return rows.groupBy(F.floor(F.col("seq") / 10).alias("listing")).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["x"]).alias("x"))
+
+
+def _html(value):
+    return adapter._xml(value)
+
+
+@query
+def read_feed_xml(spark, sf_dir):
+    return feeds.read_feed_xml(adapter.feed_files(spark, sf_dir)).select("source", "pos", "title", "url", F.md5("summary").alias("summary_md5"), "author", "published")
+
+
+@query
+def normalize_feed_entries(spark, sf_dir):
+    sources = spark.createDataFrame([(f"feed{i}", "direct" if i % 2 else "rsshub", "AI技术", f"源{i}") for i in range(40)], "key string, type string, category string, descr string")
+    rows = feeds.normalize_feed_entries(feeds.read_feed_xml(adapter.feed_files(spark, sf_dir)), sources)
+    return rows.select("platform", "pos", "title", "published", "category", F.col("metadata")["source_type"].alias("source_type"), F.col("metadata")["source_desc"].alias("source_desc"))
+
+
+@query
+def read_hot_list_json(spark, sf_dir):
+    author = F.struct(F.col("author").alias("name"))
+    target = F.struct(F.col("seq").cast("string").alias("id"), "title", F.col("summary").alias("excerpt"), (F.col("seq") * 7).alias("created"), F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("seq") % 1000).alias("detail_count"), (F.col("seq") % 77).alias("vote_count"), author.alias("author"))
+    raw = _rows(spark, sf_dir, target.alias("target")).select(F.to_json(F.struct(F.col("x").alias("data"))).alias("payload"))
+    return feeds.read_hot_list_json(raw).select("pos", "url", "title", "author", "published", "category", "raw_score", F.md5("summary").alias("summary_md5"))
+
+
+@query
+def read_video_search_json(spark, sf_dir):
+    stat = F.when(F.col("seq") % 2 == 0, F.struct((F.col("seq") * 7).alias("view"), (F.col("seq") % 50).alias("favorite"), (F.col("seq") % 30).alias("danmaku")))
+    result = [F.concat(F.lit('<em class="keyword">'), "title", F.lit("</em>")).alias("title"), F.col("summary").alias("description"), F.concat(F.lit("BV"), F.col("seq").cast("string")).alias("bvid"), F.col("seq").alias("pubdate"), stat.alias("stat"), (F.col("seq") % 11).alias("view")]
+    raw = _rows(spark, sf_dir, *result).select(F.to_json(F.struct(F.struct(F.col("x").alias("result")).alias("data"))).alias("payload"))
+    return feeds.read_video_search_json(raw).select("pos", "url", F.md5("title").alias("title_md5"), "published", "category", "raw_score")
+
+
+@query
+def read_papers_json(spark, sf_dir):
+    fields = [F.col("seq").cast("string").alias("id"), "title", "summary", F.array("platform", "category", F.lit("x" * 40), F.lit("fourth")).alias("authors"), (F.col("seq") % 9).alias("upvotes")]
+    rows = _rows(spark, sf_dir, *fields)
+    raw = rows.select(F.when(F.col("listing") % 2 == 0, F.to_json("x")).otherwise(F.to_json(F.struct(F.col("x").alias("papers")))).alias("payload"))
+    return feeds.read_papers_json(raw).select("pos", "url", "title", F.md5("summary").alias("summary_md5"), "author", "category", "raw_score", F.col("metadata")["upvotes"].alias("upvotes"))
+
+
+@query
+def extract_repo_cards(spark, sf_dir):
+    descr, lang = _html(F.substring("summary", 1, 90)), F.coalesce("author", F.lit("-"))
+    card = F.concat(F.lit('<h2 class="h3"> <a href="/o'), F.col("seq").cast("string"), F.lit("/"), F.when(F.col("seq") % 3 == 0, "llm-kit").otherwise("notes"), F.lit('">x</a></h2><p class="col-9 color-fg-muted"> '), descr, F.lit(' </p><span itemprop="programmingLanguage">'), lang, F.lit("</span>"))
+    raw = _rows(spark, sf_dir, card.alias("card")).select(F.array_join(F.transform("x", lambda e: e["card"]), "\n").alias("html"))
+    return feeds.extract_repo_cards(raw).select("pos", "url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "author", "raw_score")
+
+
+@query
+def extract_news_cards(spark, sf_dir):
+    card = F.concat(F.lit('<article class="digest-item"><a href="/news/'), F.col("seq").cast("string"), F.lit('"><header><h3 class="item-title">'), _html(F.col("title")), F.lit('</h3></header><p class="item-summary">'), _html(F.col("summary")), F.lit("</p></a></article>"))
+    raw = _rows(spark, sf_dir, card.alias("card")).select(F.array_join(F.transform("x", lambda e: e["card"]), "\n").alias("html"))
+    return feeds.extract_news_cards(raw).select("pos", "url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "category", "raw_score")
+
+
+@query
+def extract_search_hits(spark, sf_dir):
+    item = F.concat(F.lit('<li class="news-list2"><h3><a href="https://w/'), F.col("seq").cast("string"), F.lit('">'), _html(F.col("title")), F.lit('</a></h3><p class="txt-info">'), _html(F.col("summary")), F.lit('</p><a class="account">'), F.col("platform"), F.lit("</a></li>"))
+    raw = _rows(spark, sf_dir, item.alias("item")).select(F.col("listing").cast("string").alias("query"), F.array_join(F.transform("x", lambda e: e["item"]), "\n").alias("html"))
+    return feeds.extract_search_hits(raw).select("query", "pos", "url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "source")
+
+
+@query
+def extract_account_article(spark, sf_dir):
+    page = F.concat(F.lit('<h1 class="rich_media_title"> '), _html(F.col("title")), F.lit(' </h1><a id="js_name">'), F.col("platform"), F.lit('</a><div class="rich_media_content"><p>'), _html(F.col("content")), F.lit("</p></div>"))
+    rows = feeds.extract_account_article(adapter.articles(spark, sf_dir).select(F.col("seq").cast("string").alias("url"), page.alias("html")))
+    return rows.select("url", F.md5("title").alias("title_md5"), "author", F.md5("content").alias("content_md5"), "content_length")
+
+
+@query
+def read_knowledge_list(spark, sf_dir):
+    rows = adapter.items(spark, sf_dir)
+    one = F.struct("seq", F.struct("media_id", "folder_id", "title", F.lit("1").alias("media_type")).alias("x"))
+    pages = rows.groupBy(F.floor(F.col("seq") / 20).alias("page")).agg(F.transform(F.array_sort(F.collect_list(one)), lambda e: e["x"]).alias("x"))
+    raw = pages.select(F.col("page").cast("string").alias("folder"), F.to_json(F.struct(F.struct(F.col("x").alias("knowledge_list")).alias("data"))).alias("payload"))
+    return feeds.read_knowledge_list(raw).select("folder", "pos", "media_id", "title", "media_type")
+
+
+@query
+def parse_notes(spark, sf_dir):
+    """Benchmark items as Markdown files, every fourth a second version of the one before, with index and template files between them."""
+    rows = adapter.notes(spark, sf_dir)
+    i = F.col("item_id")
+    stem = F.concat(F.when(i % 9 == 0, "_").otherwise(""), F.lit("n"), F.when(i % 4 == 3, i - 1).otherwise(i).cast("string"), F.when(i % 4 == 3, "_v2").otherwise(""))
+    path = F.concat(F.when(i % 10 == 7, "模板/").otherwise("库/"), stem, F.lit(".md"))
+    body = F.concat(F.when(i % 5 == 0, "").otherwise(F.concat(F.lit('---\ntags: ["'), F.array_join("tags", '", "'), F.lit('"]\n---\n'))), F.col("body"))
+    return feeds.parse_notes(rows.select(path.alias("rel_path"), body.alias("body"))).select("rel_path", "stem", "title", F.array_join("tags", "|").alias("tags"), F.md5("body").alias("body_md5"))
+
+
+@query
+def candidate_queue(spark, sf_dir):
+    """Candidates written as a queue and read back."""
+    rows = curated(spark, sf_dir, urls=True).select("title", "url", "summary", "platform", "template_id", "knowledge_type", "domain", "domain_name", "subdomains", "tags", "knowledge_id", F.col("content").alias("full_content"))
+    path = f"{shared_dir(spark)}/queue-{uuid.uuid4().hex}"
+    feeds.write_candidate_queue(rows, path)
+    back = feeds.read_candidate_queue(spark, path)
+    return back.select("knowledge_id", "url", "platform", "template_id", "score", "prompt", F.array_join("subdomains", "|").alias("subdomains"), F.array_join("tags", "|").alias("tags"), "content_fetched", "full_content_len")
+
+
+@query
+def extract_text_simple(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.extract_text_simple(F.col("html"))).alias("text_md5"))
+
+
+@query
+def strip_html(spark, sf_dir):
+    """Text of pages as a feed's summary and as a plain one."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.strip_html_feed(F.col("html"))).alias("feed_md5"), F.md5(text.strip_html_basic(F.col("html"))).alias("basic_md5"))
+
+
+@query
+def parse_item_xml_text(spark, sf_dir):
+    payload = F.when(F.col("page_id") % 2 == 0, F.to_json(F.struct(F.col("html").alias("content")))).otherwise(F.col("html"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.parse_item_xml_text(payload)).alias("text_md5"))
+
+
+@query
+def html_unescape(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.html_unescape(F.col("html"))).alias("text_md5"))
+
+
+@query
+def decode_body(spark, sf_dir):
+    """Pages as UTF-8 bytes without a header, decoded again."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.decode_body(F.encode("html", "UTF-8"), F.lit(None).cast("string"))).alias("text_md5"))
+
+
+@query
+def source_labels(spark, sf_dir):
+    """Labels that follow from platform, title and category, and hints at connections."""
+    t = F.col("title")
+    return adapter.articles(spark, sf_dir).select("seq", classify.source_type_label(F.col("platform")).alias("label"), classify.topic_platform(t, F.col("category")).alias("publish_on"), F.array_join(classify.find_connections(t, F.col("content")), "|").alias("connections"))
+
+
+@query
+def split_sentences(spark, sf_dir):
+    return adapter.articles(spark, sf_dir).select("seq", F.size(text.split_sentences(F.col("content"))).alias("n"), F.md5(F.array_join(text.split_sentences(F.col("content")), "|")).alias("sentences_md5"))
+
+
+@query
+def digest_calendar(spark, sf_dir):
+    day = F.date_add(F.lit(NOW), (F.col("doc_id") % 1000).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", curation.digest_calendar(day).alias("c")).select("doc_id", "c.*")
+
+
+@query
+def dedup_notes(spark, sf_dir):
+    rows = adapter.notes(spark, sf_dir).select(F.regexp_replace("title", " [0-9]+$", "").alias("title"), "rel_path")
+    return dedup.dedup_notes(rows).select("title", "rel_path")
+
+
+@query
+def render_source_list(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.lower("n_name").alias("key"), F.when(F.col("n_regionkey") % 2 == 0, "direct").otherwise("rsshub").alias("type"))
+    return report.render_source_list(rows)
+
+
+# Streams over the tables, each run until all of its input has been read
+
+
+def _sink(spark, rows, name: str) -> DataFrame:
+    """What a stream gives, written to the shared folder until its input ends, as a table."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    rows.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{path}/out")
+
+
+@query
+def stream_new_items(spark, sf_dir):
+    source = materialize(adapter.items(spark, sf_dir).select("seq", "media_id", "folder_id"), "items")
+    items = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
+    return _sink(spark, stream.stream_new_items(items), "fresh").select("media_id")
+
+
+@query
+def stream_score(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.readStream.schema(docs.schema).parquet(_streamed(sf_dir, "documents"))
+    rows = rows.select(F.col("doc_id").alias("seq"), F.coalesce("text", F.lit("")).alias("content"), F.lit("").alias("summary"), F.lit("").alias("title"))
+    return _sink(spark, stream.stream_score(rows, 0.5).select("seq", "score", "level"), "scored")
+
+
+def _streamed(sf_dir: str, table: str) -> str:
+    """Where a stream finds the files of a table, which is a file or a folder of them."""
+    return f"{sf_dir}/{table}.parquet*"
+
+
+@query
+def stream_digest_batches(spark, sf_dir):
+    """One digest of counts by level for the batch that holds all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = spark.readStream.schema(docs.schema).parquet(_streamed(sf_dir, "documents")).select(F.lit("").alias("title"), F.lit("").alias("summary"), F.coalesce("text", F.lit("")).alias("content"))
+    path = f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
+    stream.stream_digest_batches(stream.stream_score(rows), lambda batch: batch.groupBy("level").agg(F.count("*").alias("n")), f"{path}/out", f"{path}/log").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("level", "n")

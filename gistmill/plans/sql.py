@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from gistmill import rules
+from gistmill.functions.curation import HINTS, PLACEHOLDERS
+from gistmill.functions.text import SITE_BODIES, SITE_FIELDS
 from gistmill.plans.adapter import ANSWERS_SQL, ARTICLES_SQL, ITEMS_SQL, NOW, PLATFORMS, quoted
 
 ORACLE_SQL: dict[str, str] = {}
@@ -61,10 +63,11 @@ ORACLE_SQL["normalize_scores"] = f"{_SCORED}, b AS (SELECT min(raw_score) AS lo,
 _clean = r"trim(lower(regexp_replace(title, '[^\p{L}\p{N}\p{M}_\s]', '', 'g')))"
 _DEDUPED = f"{_WEIGHED}, best AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {_clean} ORDER BY raw_score DESC, seq) = 1)"
 ORACLE_SQL["dedup_titles_exact"] = f"{_DEDUPED} SELECT seq, title FROM best"
-ORACLE_SQL["daily_digest"] = f"{_DEDUPED} SELECT CAST(row_number() OVER (ORDER BY raw_score DESC, seq) AS INTEGER) AS rank, seq, platform, title, raw_score, {_stars} AS stars FROM (SELECT * FROM best ORDER BY raw_score DESC, seq LIMIT 50)"
+ORACLE_SQL["daily_digest_exact"] = f"{_DEDUPED} SELECT CAST(row_number() OVER (ORDER BY raw_score DESC, seq) AS INTEGER) AS rank, seq, platform, title, raw_score, {_stars} AS stars FROM (SELECT * FROM best ORDER BY raw_score DESC, seq LIMIT 50)"
 
 _SIG = ", ".join(f"regexp_matches(content, {quoted(p)}) AS {n}" for n, p in rules.SIGNALS)
-_SIGNALS = rf"signals AS (SELECT *, length(content) > 3000 AS is_long_form, length(content) > 5000 AS is_deep, len(regexp_extract_all(content, '(?:^|\n)#{{1,3}}\s+(.+)')) AS section_count, len(regexp_extract_all(content, '\n\n+')) + 1 AS paragraph_count, {_SIG} FROM articles)"
+_signals = lambda source: rf"(SELECT *, length(content) > 3000 AS is_long_form, length(content) > 5000 AS is_deep, len(regexp_extract_all(content, '(?:^|\n)#{{1,3}}\s+(.+)')) AS section_count, len(regexp_extract_all(content, '\n\n+')) + 1 AS paragraph_count, {_SIG} FROM {source})"
+_SIGNALS = f"signals AS {_signals('articles')}"
 _depth = " + ".join(
     [
         "CASE WHEN is_deep THEN 15 WHEN is_long_form THEN 8 ELSE 0 END",
@@ -102,12 +105,13 @@ ORACLE_SQL["select_sources"] = f"WITH {ARTICLES_SQL} SELECT seq, platform FROM a
 ORACLE_SQL["ai_title_filter"] = f"WITH {ARTICLES_SQL} SELECT seq FROM articles WHERE {_hits('lower(title)', rules.AI_TOKENS)} > 0"
 ORACLE_SQL["skip_domains"] = f"WITH {ARTICLES_SQL} SELECT seq FROM articles WHERE NOT contains(url, 'example.com/fr') AND NOT contains(url, 'example.com/de')"
 ORACLE_SQL["needs_full_text"] = f"WITH {ARTICLES_SQL} SELECT seq, length(content) < 500 AND url <> '' AS needs FROM articles"
-ORACLE_SQL["cap_per_source"] = f"WITH {ARTICLES_SQL} SELECT platform, count(*) AS n, max(seq) AS last_seq FROM articles WHERE seq // {len(PLATFORMS)} < CASE platform WHEN '量子位' THEN 30 WHEN 'huggingface' THEN 30 WHEN 'github' THEN 40 ELSE 50 END GROUP BY platform"
-ORACLE_SQL["union_sources"] = f"WITH {ARTICLES_SQL} SELECT CASE WHEN seq % 2 = 0 THEN 'rss' ELSE 'list' END AS source_type, count(*) AS n, count(CASE WHEN seq % 2 = 1 THEN author END) AS authors, count(CASE WHEN seq % 2 = 0 THEN content END) AS contents FROM articles GROUP BY 1"
+ORACLE_SQL["cap_per_source"] = f"WITH {ARTICLES_SQL} SELECT seq, platform FROM articles WHERE seq // {len(PLATFORMS)} < CASE platform WHEN '量子位' THEN 30 WHEN 'huggingface' THEN 30 WHEN 'github' THEN 40 ELSE 50 END"
+ORACLE_SQL["union_sources"] = f"WITH {ARTICLES_SQL} SELECT seq, CASE WHEN seq % 2 = 0 THEN 'rss' ELSE 'list' END AS source_type, title, CASE WHEN seq % 2 = 1 THEN author END AS author, CASE WHEN seq % 2 = 0 THEN md5(content) END AS content_md5 FROM articles"
 ORACLE_SQL["dedup_urls"] = f"WITH {ARTICLES_SQL} SELECT seq, url FROM articles QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq) = 1"
-ORACLE_SQL["attach_source_info"] = f"WITH {ARTICLES_SQL} SELECT CASE WHEN i < 8 THEN '源-' || platform ELSE platform END AS source_name, CASE WHEN i < 8 THEN CASE WHEN i % 2 = 1 THEN 'direct' ELSE 'rsshub' END END AS source_kind, count(*) AS n FROM (SELECT platform, list_position({_list(PLATFORMS)}, platform) - 1 AS i FROM articles) GROUP BY 1, 2"
+ORACLE_SQL["attach_source_info"] = f"WITH {ARTICLES_SQL} SELECT seq, CASE WHEN i < 8 THEN '源-' || platform ELSE platform END AS source_name, CASE WHEN i < 8 THEN CASE WHEN i % 2 = 1 THEN 'direct' ELSE 'rsshub' END END AS source_kind, CASE WHEN i < 8 THEN 'AI技术' END AS source_category FROM (SELECT seq, platform, list_position({_list(PLATFORMS)}, platform) - 1 AS i FROM articles)"
 _words = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}\p{{M}}_]+'))"
-ORACLE_SQL["text_overlap"] = f"WITH {ARTICLES_SQL} SELECT seq, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END, 6) AS overlap FROM (SELECT seq, {_words.format('substr(summary, 1, 200)')} AS a, {_words.format('substr(content, 1, 300)')} AS b FROM articles)"
+_overlap = lambda a, b: f"(SELECT CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END FROM (SELECT {_words.format(a)} AS a, {_words.format(b)} AS b))"
+ORACLE_SQL["text_overlap"] = f"WITH {ARTICLES_SQL} SELECT seq, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(a || b)) END, 6) AS overlap FROM (SELECT seq, {_words.format('summary')} AS a, {_words.format('content')} AS b FROM articles)"
 
 
 def _argmax(text: str, rows, default: str) -> str:
@@ -152,24 +156,110 @@ fresh AS (SELECT * FROM keyed k WHERE seq % 3 <> 0 AND NOT EXISTS (SELECT 1 FROM
 one AS (SELECT * FROM fresh QUALIFY row_number() OVER (PARTITION BY index_key, rel_path ORDER BY seq) = 1),
 two AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY index_key, title ORDER BY seq) = 1)
 SELECT seq, index_key, '- [{NOW}] [[' || regexp_replace(rel_path, '\\.md', '', 'g') || '|' || title || ']]' AS entry FROM two"""
-ORACLE_SQL["build_prompt"] = f"{_CURATED} SELECT seq, CAST(CASE WHEN length(content) >= 100 THEN 8 + 2 + length(CASE template_id WHEN 'C01-CASE' THEN '类型：案例。' WHEN 'C02-INDUSTRY' THEN '类型：行业动态。' WHEN 'C03-METHOD' THEN '类型：方法论/框架。' ELSE '类型：产品/工具。' END) + 2 + least(length(content), 8000) + CASE WHEN length(content) > 8000 THEN 2 + length('[原文共 ' || length(content) || ' 字，此处仅截取前 8000 字]') ELSE 0 END END AS INTEGER) AS n_chars FROM curated"
+_hint = "CASE template_id " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in HINTS.items()) + " ELSE '' END"
+ORACLE_SQL["build_prompt"] = f"""{_CURATED} SELECT seq, md5(CASE WHEN length(content) >= 100 THEN '# 深度解读任务' || chr(10) || chr(10) || {_hint} || chr(10) || chr(10) || substr(content, 1, 8000)
+  || CASE WHEN length(content) > 8000 THEN chr(10) || chr(10) || '[原文共 ' || length(content) || ' 字，此处仅截取前 8000 字]' ELSE '' END END) AS prompt_md5 FROM curated"""
 ORACLE_SQL["note_counts"] = f"SELECT '02-专业知识库/' || ({_list([d for d, _ in rules.DOMAINS])})[(item_id % {len(rules.DOMAINS)}) + 1] AS folder, count(*) AS n FROM benchmark GROUP BY 1"
 ORACLE_SQL["new_items"] = f"WITH {ITEMS_SQL} SELECT min(seq) AS seq, media_id FROM items WHERE folder_id IS NULL AND media_id NOT IN (SELECT media_id FROM items WHERE seq < 300) GROUP BY media_id"
 ORACLE_SQL["parse_published"] = f"WITH {ARTICLES_SQL} SELECT seq, CASE WHEN published LIKE 'Tue, %' THEN strftime(strptime(substr(published, 6, 11), '%d %b %Y'), '%Y-%m-%d') WHEN regexp_full_match(published, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN published END AS day FROM articles"
-_item = r"regexp_replace(regexp_replace(trim(one), '^[-*•]\s*', ''), '^[0-9]+[.、]\s*', '')"
-ORACLE_SQL["parse_sections"] = f"""WITH {ANSWERS_SQL}, cut AS (SELECT *, CASE WHEN length({_item}) < 6 THEN NULL ELSE {_item} END AS item FROM answers)
-SELECT conv_id, turn, coalesce(item, '') AS thesis, 'AI Agent与工程' AS category, 0 AS n_frameworks, concat_ws('|', '六个字以上的句子', item) AS insights, '先从一个小场景开始' AS takeaways,
-  (CASE WHEN item IS NULL THEN 24 ELSE 48 END) / 10.0 AS quality_score FROM cut"""
-ORACLE_SQL["content_quality"] = f"WITH {ARTICLES_SQL} SELECT seq, CAST({_count('content', '[一-鿿]')} AS INTEGER) AS cjk, CAST(CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) END AS INTEGER) AS total_lines, CASE WHEN length(content) < 200 THEN 'fallback' WHEN {_count('content', '[一-鿿]')} < 50 THEN 'low_quality' WHEN length(content) >= 500 THEN 'success' ELSE 'partial' END AS status FROM articles"
+_line = r"regexp_replace(regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[-*•]\s*', ''), '^[0-9]+[.、]\s*', '')"
+_items = lambda text: f"list_filter(list_transform(string_split({text}, chr(10)), lambda x: {_line}), lambda x: length(x) >= 6 AND NOT list_contains({_list(PLACEHOLDERS)}, x))"
+ORACLE_SQL["parse_sections"] = f"""WITH {ANSWERS_SQL}, got AS (SELECT conv_id, turn, {_items('one')} AS t, {_items('topic')} AS c, {_items("'- ' || frame")} AS f, {_items("'1. 六个字以上的句子' || chr(10) || said")} AS i, {_items("'- ' || act")} AS a FROM answers)
+SELECT conv_id, turn, coalesce(t[1], '') AS thesis, coalesce(c[1], '') AS category, array_to_string(f, '|') AS frameworks, md5(array_to_string(i, '|')) AS insights_md5, 0 AS n_data, array_to_string(a, '|') AS takeaways,
+  least(100, (len(i) + len(a) + CASE WHEN len(t) > 0 THEN 1 ELSE 0 END) * 12) / 10.0 AS quality_score FROM got"""
+_noise = lambda x: f"regexp_matches({x}, {quoted('(?i)' + '|'.join(f'(?:{n})' for n in rules.NOISE_LINES))})"
+_cjk = _count("content", "[一-鿿]")
+ORACLE_SQL["content_quality"] = f"""WITH {ARTICLES_SQL}, counted AS (SELECT seq, content, {_cjk} AS cjk, string_split(content, chr(10)) AS lines FROM articles),
+noisy AS (SELECT *, len(list_filter(lines, lambda x: {_noise('trim(x)')})) AS n FROM counted),
+rated AS (SELECT seq, content, CAST(cjk AS INTEGER) AS cjk, CAST(CASE WHEN content = '' THEN 0 ELSE len(lines) END AS INTEGER) AS total_lines, CAST(CASE WHEN content = '' THEN 0 ELSE n END AS INTEGER) AS noise_lines, CASE WHEN content = '' THEN 1.0 ELSE round(n / len(lines), 2) END AS noise_ratio FROM noisy)
+SELECT seq, noise_ratio, cjk, total_lines, noise_lines, CASE WHEN length(content) < 200 THEN 'fallback' WHEN noise_ratio > 0.3 OR cjk < 50 THEN 'low_quality' WHEN length(content) >= 500 THEN 'success' ELSE 'partial' END AS status FROM rated"""
+_strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_SANITIZED = f"""cleaned AS (SELECT *, list_filter(list_transform(string_split(content, chr(10)), lambda x: CASE WHEN {_strip('x')} = '' THEN '' WHEN NOT regexp_matches(x, '[一-鿿]') AND length({_strip('x')}) < 15 THEN NULL WHEN {_noise(_strip('x'))} THEN NULL ELSE x END), lambda x: x IS NOT NULL) AS k FROM articles),
+sanitized AS (SELECT * REPLACE (array_to_string(list_filter(k, lambda x, i: x <> '' OR (i > 1 AND k[i - 1] <> '')), chr(10)) AS content) FROM cleaned)"""
+ORACLE_SQL["sanitize_content"] = f"WITH {ARTICLES_SQL}, {_SANITIZED} SELECT seq, md5(content) AS text_md5 FROM sanitized"
+_depth_of = lambda source: f"(SELECT *, least({_depth}, 100) / 10.0 AS score FROM {_signals(source)})"
+ORACLE_SQL["select_digest_sections"] = f"""WITH {ARTICLES_SQL}, {_SANITIZED}, good AS (SELECT seq FROM {_depth_of('sanitized')} WHERE length(content) >= 200 AND score >= 1.0),
+rated AS (SELECT seq, score, seq IN (SELECT seq FROM good) AND content <> '' AS ok FROM {_depth_of('articles')}),
+deep AS (SELECT * FROM (SELECT * FROM rated WHERE score >= 4 ORDER BY score DESC, seq LIMIT 5) WHERE ok),
+more AS (SELECT *, row_number() OVER (ORDER BY score DESC, seq) AS r FROM rated WHERE score >= 2 AND score < 4 AND ok)
+SELECT 'deep' AS section, seq, CAST(score AS DOUBLE) AS score FROM deep
+UNION ALL SELECT 'deep', seq, CAST(score AS DOUBLE) FROM more WHERE r <= 3 - (SELECT count(*) FROM deep)
+UNION ALL (SELECT 'brief', seq, CAST(score AS DOUBLE) FROM rated WHERE score >= 2 AND score < 4 ORDER BY score DESC, seq LIMIT 15)"""
 _gram = lambda n: f"list_transform(range(1, greatest(length(h) - {n - 2}, 1)), lambda i: substr(h, i, {n}))"
-ORACLE_SQL["tokenize_ngrams"] = f"WITH {ARTICLES_SQL}, h AS (SELECT seq, substr(title, 1, 24) AS t, regexp_replace(substr(title, 1, 24), '[^一-鿿]', '', 'g') AS h FROM articles) SELECT seq, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda w: length(w) >= 2) || list_filter({_gram(2)} || {_gram(3)} || {_gram(4)}, lambda g: NOT regexp_full_match(g, '[{rules.FUNCTION_CHARS}]+')))), ',') AS tokens FROM h"
-_page = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<svg[^>]*>.*?</svg>', '', 'g'), '\s*(?:style|on\w+)="[^"]*"', '', 'g'), '</?(?:div|p|br|h[1-6]|li|tr|section|article|blockquote|pre|main|aside)[^>]*>', chr(10), 'g')"""
-for _entity, _char in [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]:
-    _page = f"replace({_page if _entity != '&nbsp;' else f"regexp_replace({_page}, '<[^>]+>', '', 'g')"}, {quoted(_entity)}, {quoted(_char)})"
-_tidy = rf"regexp_replace(regexp_replace(regexp_replace({_page}, '\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g'), '^\s+|\s+$', '', 'g')"
-ORACLE_SQL["strip_html_noise"] = f"SELECT page_id, md5({_tidy}) AS text_md5 FROM pages"
-_div, _article = '(?s)<div[^>]*class="[^"]*article[^"]*"[^>]*>(.*?)</div>', "(?s)<article[^>]*>(.*?)</article>"
-ORACLE_SQL["extract_site_body"] = f"SELECT page_id, md5({_tidy}) AS text_md5 FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, {quoted(_div)}, 1), ''), nullif(regexp_extract(html, {quoted(_article)}, 1), '')) AS html FROM pages)"
+ORACLE_SQL["tokenize_ngrams"] = f"WITH {ARTICLES_SQL}, h AS (SELECT seq, title AS t, regexp_replace(title, '[^一-鿿]', '', 'g') AS h FROM articles) SELECT seq, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda w: length(w) >= 2) || list_filter({_gram(2)} || {_gram(3)} || {_gram(4)}, lambda g: NOT regexp_full_match(g, '[{rules.FUNCTION_CHARS}]+')))), ',') AS tokens FROM h"
+
+
+def _replaced(text: str, pairs) -> str:
+    for entity, char in pairs:
+        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
+    return text
+
+
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+_SCRIPTS = "(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>"
+_BLOCKS = "</?(?:div|p|br|h[1-6]|li|tr|section|article|blockquote|pre{more})[^>]*>"
+
+
+def _gone(text: str, pattern: str, by: str = "''") -> str:
+    return f"regexp_replace({text}, {quoted(pattern)}, {by}, 'g')"
+
+
+def _tidy(page: str) -> str:
+    """A page's text without noise."""
+    text = _gone(_gone(_gone(_gone(page, _SCRIPTS), "(?s)<!--.*?-->"), "(?s)<svg[^>]*>.*?</svg>"), r'\s*(?:style|on\w+)="[^"]*"')
+    text = _replaced(_gone(_gone(text, _BLOCKS.format(more="|main|aside"), "chr(10)"), "<[^>]+>"), _ENTITIES)
+    return _gone(_gone(_gone(text, r"\n{3,}", "chr(10) || chr(10)"), " {2,}", "' '"), r"^\s+|\s+$")
+
+
+ORACLE_SQL["strip_html_noise"] = f"SELECT page_id, md5({_tidy('html')}) AS text_md5 FROM pages"
+
+
+def _site(page: str, platform: str) -> str:
+    """Container of a platform's body."""
+    cases = []
+    for name, patterns in SITE_BODIES.items():
+        found = [f"nullif(regexp_extract({page}, {quoted(x)}, 1), '')" for x in patterns]
+        if name in SITE_FIELDS:
+            found = [f"nullif(replace(replace(regexp_extract({page}, {quoted(SITE_FIELDS[name])}, 1), '\\n', chr(10)), '\\\"', '\"'), '')", *found]
+        cases.append(f"WHEN {quoted(name)} THEN coalesce({', '.join(found)})")
+    return f"CASE {platform} {' '.join(cases)} END"
+
+
+def _heuristic(page: str, key: str, source: str) -> str:
+    """Subquery (key, body): the best paragraphs of each page."""
+    text = page
+    for tag in ("header", "nav", "footer", "script", "style", "noscript", "svg", "iframe"):
+        text = _gone(text, f"(?is)<{tag}[^>]*>.*?</{tag}>")
+    text = _replaced(_gone(_gone(text, _BLOCKS.format(more=""), "chr(10)"), "<[^>]+>"), _ENTITIES)
+    mark = f"(len(regexp_extract_all(x, '\\p{{L}}')) - 2 * len(regexp_extract_all(x, '[{{}}();]')))"
+    rows = f"list_transform(string_split_regex({text}, '\\n\\s*\\n'), lambda x, i: {{'score': -{mark}, 'i': i, 'text': {_gone('x', r'^\s+|\s+$')}}})"
+    best = f"list_slice(list_sort(list_filter({rows}, lambda r: r.score < -30)), 1, 20)"
+    body = f"array_to_string(list_transform({best}, lambda r: r.text), chr(10) || chr(10))"
+    return f"(SELECT {key}, CASE WHEN length(body) > 200 THEN body END AS body FROM (SELECT {key}, {body} AS body FROM {source}))"
+
+
+ORACLE_SQL["extract_heuristic_body"] = f"SELECT page_id, md5(body) AS text_md5 FROM {_heuristic('html', 'page_id', 'pages')}"
+_platform = "['36氪', '虎嗅', '量子位', '爱范儿', '少数派', '知乎'][page_id % 6 + 1]"
+_landed = "CASE WHEN page_id % 12 = 5 THEN '{\"content\": \"' || replace(replace(html, '\"', '\\\"'), chr(10), '\\n') || '\", \"excerpt\": \"\"}' ELSE html END"
+ORACLE_SQL["extract_site_body"] = f"SELECT page_id, md5({_tidy('body')}) AS text_md5 FROM (SELECT page_id, {_site('html', 'platform')} AS body FROM (SELECT page_id, {_platform} AS platform, {_landed} AS html FROM pages))"
+ORACLE_SQL["attach_full_text"] = f"""WITH {ARTICLES_SQL}, wanted AS (SELECT DISTINCT p.page_id, p.url, a.platform, p.html FROM articles a JOIN pages p ON a.url = p.url WHERE length(a.content) < 500 AND a.url <> ''),
+sites AS (SELECT page_id, url, platform, {_tidy('body')} AS body FROM (SELECT page_id, url, platform, {_site('html', 'platform')} AS body FROM wanted)),
+guesses AS {_heuristic('html', 'page_id', '(SELECT DISTINCT page_id, html FROM wanted)')},
+bodies AS (SELECT s.url, s.platform, max(coalesce(CASE WHEN length(s.body) > 200 THEN s.body END, g.body)) AS body FROM sites s JOIN guesses g USING (page_id) GROUP BY 1, 2),
+filled AS (SELECT a.seq, CASE WHEN length(a.content) < 500 AND a.url <> '' AND length(b.body) > 200 THEN b.body ELSE a.content END AS content FROM articles a LEFT JOIN bodies b ON a.url = b.url AND a.platform = b.platform)
+SELECT seq, CAST(length(content) AS INTEGER) AS n_chars, md5(content) AS content_md5 FROM filled"""
+ORACLE_SQL["two_stage_rescore"] = f"""WITH {ARTICLES_SQL}, pre AS (SELECT seq, url, summary, platform, score AS prescore FROM {_depth_of('(SELECT seq, url, summary, platform, summary AS content FROM articles)')}),
+chosen AS (SELECT * FROM (SELECT * FROM pre ORDER BY prescore DESC, seq LIMIT 15) WHERE platform <> 'github' ORDER BY prescore DESC, seq LIMIT 10),
+texts AS (SELECT c.seq, max(h.body) AS body FROM chosen c JOIN pages p ON c.url = p.url JOIN {_heuristic('html', 'page_id', 'pages')} h ON h.page_id = p.page_id GROUP BY c.seq),
+both_ AS (SELECT pre.seq, prescore, coalesce(nullif(body, ''), summary) AS content FROM pre LEFT JOIN texts USING (seq))
+SELECT seq, CAST(prescore AS DOUBLE) AS prescore, CAST(score AS DOUBLE) AS score FROM {_depth_of('both_')}"""
+_simple = _gone(_gone(_gone("html", _SCRIPTS), "(?s)<!--.*?-->"), "<[^>]+>", "' '")
+_simple = f"list_filter(list_transform(string_split({_gone(_replaced(_simple, rules.SIMPLE_ENTITIES), '[ \\t]+', "' '")}, chr(10)), lambda x: {_gone('x', '^\\s+|\\s+$')}), lambda x: x <> '')"
+ORACLE_SQL["extract_text_simple"] = f"SELECT page_id, md5(CASE WHEN length(t) >= 100 THEN t END) AS text_md5 FROM (SELECT page_id, substr(array_to_string({_simple}, chr(10)), 1, 8000) AS t FROM pages)"
+_bare = _gone("html", "<[^>]+>")
+ORACLE_SQL["strip_html"] = f"SELECT page_id, md5(substr({_gone(_gone(_replaced(_bare, _ENTITIES), '\\s+', "' '"), '^\\s+|\\s+$')}, 1, 500)) AS feed_md5, md5({_gone(_gone(_bare, '\\s+', "' '"), '^\\s+|\\s+$')}) AS basic_md5 FROM pages"
+ORACLE_SQL["parse_item_xml_text"] = f"SELECT page_id, md5({_gone(_gone(_replaced(_gone('html', '<[^>]+>', 'chr(10)'), _ENTITIES), '\\n\\s*\\n+', 'chr(10)'), '^\\s+|\\s+$')}) AS text_md5 FROM pages"
+ORACLE_SQL["decode_body"] = "SELECT page_id, md5(html) AS text_md5 FROM pages"
 _json = lambda c: f"'[' || array_to_string(list_transform({c}, lambda v: chr(34) || v || chr(34)), ', ') || ']'"
 _yaml = "|| chr(10) ||".join(["'---'", "'knowledge_id: \"' || knowledge_id || '\"'", "'type: \"' || knowledge_type || '\"'", "'domain: \"' || domain_name || '\"'", f"'subdomain: ' || {_json('subs')}", f"'tags: ' || {_json('tags')}", f"'created: \"{NOW}\"'", f"'updated: \"{NOW}\"'", "'source: \"' || url || '\"'", "'source_type: \"行业媒体-' || platform || '\"'", "'depth_score: ' || printf('%.1f', CAST(score AS DOUBLE))", "'---'", "''"])
 _CURATED_DEEP = _CURATED.replace(f"WITH {ARTICLES_SQL}", f"{_DEEP}".removeprefix(" "), 1).replace("substr(content, 1, 2000) AS x FROM articles", "substr(content, 1, 2000) AS x FROM deep", 1)
@@ -178,3 +268,80 @@ ORACLE_SQL["focus_categories"] = f"{_WEIGHED} SELECT string_agg(DISTINCT categor
 _folder = "CASE WHEN category IN ('AI技术', '投资分析', '经济趋势', '产业研究') THEN '02-专业知识库/' || category ELSE '02-专业知识库' END"
 _card = f"""'---' || chr(10) || 'title: "' || title || '"' || chr(10) || 'source_url: "' || url || '"' || chr(10) || 'date: {NOW}' || chr(10) || 'category: ' || category || chr(10) || 'tags:' || chr(10) || array_to_string(list_transform(tags, lambda t: '  - ' || t), chr(10)) || chr(10) || '---' || chr(10) || chr(10) || content || chr(10)"""
 ORACLE_SQL["knowledge_card"] = f"{_CURATED} SELECT seq, {_folder} || '/' || substr(translate(title, '/\\', '--'), 1, 80) || '.md' AS rel_path, md5({_card}) AS card_md5 FROM curated"
+
+_RANKED = f"{_WEIGHED}, best AS (SELECT *, CAST(row_number() OVER (ORDER BY raw_score DESC, seq) AS INTEGER) AS rank FROM ({_top(15)}))"
+_PAGE_TEXT = _gone(_gone(_gone("substr(html, 1, 5120)", "<[^>]+>", "' '"), r"\s+", "' '"), r"^\s+|\s+$")
+_REPAIRED = f"""{_RANKED}, texts AS (SELECT url, max(substr({_PAGE_TEXT}, 1, 300)) AS page_text FROM pages WHERE url IN (SELECT url FROM best) GROUP BY url),
+repaired AS (SELECT best.* EXCLUDE (summary), coalesce(page_text, '') <> '' AND {_overlap('substr(summary, 1, 200)', "coalesce(page_text, '')")} < 0.7 AS fixed, summary, page_text FROM best LEFT JOIN texts USING (url))"""
+ORACLE_SQL["repair_summaries"] = f"{_REPAIRED} SELECT rank, seq, fixed, md5(CASE WHEN fixed THEN substr(page_text, 1, 150) ELSE summary END) AS summary_md5 FROM repaired"
+ORACLE_SQL["check_summary"] = f"""{_REPAIRED}, crawl AS (SELECT url, min(CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END) AS status FROM pages WHERE page_id % 11 <> 0 GROUP BY url),
+states AS (SELECT r.fixed, CASE WHEN r.url = '' OR {_hits('r.url', rules.SKIP_HOSTS)} > 0 THEN 'skipped' WHEN c.status IS NULL OR c.status >= 400 THEN 'dead' ELSE 'ok' END AS link FROM repaired r LEFT JOIN crawl c USING (url))
+SELECT count_if(link <> 'skipped') AS checked, count_if(link = 'dead') AS dead, count_if(fixed) AS fixed FROM states"""
+_label = "CASE platform " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in rules.SOURCE_LABELS.items()) + f" ELSE {quoted(rules.SOURCE_LABEL_DEFAULT)} END"
+_nl = "chr(10) || chr(10)"
+_entry = f"'### ' || rank || '. ' || title || '  ' || {_stars} || {_nl} || '**来源**: ' || platform || ' | **类型**: ' || {_label} || {_nl} || trim(substr(coalesce(summary, ''), 1, 150)) || {_nl} || '🔗 [' || platform || '原文](' || url || ')'"
+ORACLE_SQL["render_digest"] = f"""{_RANKED} SELECT '# AI 日报 {NOW} (周{rules.WEEKDAYS[NOW.weekday()]})' || {_nl} || '> 📊 **采集源**: ' || count(DISTINCT platform) || ' 个 | **收录**: ' || count(*) || ' 篇' || {_nl} || '---' || {_nl}
+  || string_agg({_entry}, {_nl} || '---' || {_nl} ORDER BY rank) || {_nl} || '---' || {_nl} || '> 📅 下次更新: ' || strftime(DATE '{NOW}' + 1, '%Y-%m-%d') || ' 07:00' AS body FROM best"""
+ORACLE_SQL["render_digest_grouped"] = f"""{_WEIGHED}, best AS (SELECT *, CAST(row_number() OVER (ORDER BY raw_score DESC, seq) AS INTEGER) AS rank FROM ({_top(50)}))
+SELECT coalesce(nullif(category, ''), '其他') AS category, count(*) AS n, string_agg('- [' || repeat('⭐', CAST(greatest(1, least(5, round_even(raw_score, 0))) AS INTEGER)) || '] [' || title || '](' || url || ') — ' || platform, chr(10) ORDER BY rank) AS body, min(rank) AS first_rank FROM best GROUP BY 1"""
+
+_TERMS = f"list_distinct(list_filter(regexp_extract_all(lower(t), '[a-z]+'), lambda w: length(w) >= 2) || list_filter({_gram(2)} || {_gram(3)} || {_gram(4)}, lambda g: NOT regexp_full_match(g, '[{rules.FUNCTION_CHARS}]+')))"
+_terms = lambda key, source, more: f"(SELECT {key}, {_TERMS} AS terms, {more} FROM (SELECT *, title AS t, regexp_replace(title, '[^一-鿿]', '', 'g') AS h FROM {source}))"
+_ALL_SUBS = _list(sorted({n for rows in rules.SUBDOMAINS.values() for n, _ in rows}))
+_pick_sql = lambda values, i: f"({_list(values)})[({i}) % {len(values)} + 1]"
+
+
+def _headlines() -> list[str]:
+    from gistmill.plans.adapter import HEADLINES
+
+    return HEADLINES
+
+
+_NOTES = f"""notes AS (SELECT item_id, {_pick_sql(_headlines(), 'item_id * 3 + 1')} || ' ' || item_id AS title, [{_pick_sql(rules.ENTITIES, 'item_id')}, {_pick_sql(PLATFORMS, 'item_id')}, {_pick_sql(['案例', '动态', '方法'], 'item_id')}] AS tags,
+  '02-专业知识库/' || {_pick_sql([d for d, _ in rules.DOMAINS], 'item_id')} || '/' || {_pick_sql(_headlines(), 'item_id * 3 + 1')} || ' ' || item_id || '.md' AS rel_path, text AS body FROM benchmark)"""
+ORACLE_SQL["suggest_links"] = f"""{_CURATED}, {_PARTS.replace('FROM articles', 'FROM (SELECT * EXCLUDE (x) FROM curated)')}, scored AS (SELECT *, CAST((r * 8 + d * 5 + e * 8 + m * 6 + 20) // 40 AS DOUBLE) / 10 AS raw_score FROM parts),
+picked AS (SELECT * FROM scored WHERE raw_score >= 1.0 ORDER BY raw_score DESC, seq LIMIT 40),
+{_NOTES}, c AS {_terms('seq', 'picked', 'list_distinct(tags) AS tags, domain_name, subs')}, n AS {_terms('rel_path, title', 'notes', 'list_distinct(tags) AS tags')},
+pairs AS (SELECT seq, rel_path, title, domain_name, list_sort(list_intersect(c.terms, n.terms)) AS st, list_sort(list_intersect(c.tags, n.tags)) AS sg, contains(rel_path, domain_name) AS same_domain, list_filter(subs, lambda s: contains(title || chr(10) || rel_path, s)) AS ss FROM c CROSS JOIN n),
+rated AS (SELECT *, 3 * len(st) + 2 * len(sg) + CASE WHEN same_domain THEN 5 ELSE 0 END + CASE WHEN len(ss) > 0 THEN 4 ELSE 0 END AS score FROM pairs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY score DESC, rel_path) AS place FROM rated WHERE score > 0)
+SELECT seq, rel_path, title, CAST(score AS INTEGER) AS score, CAST(len(st) AS INTEGER) AS n_terms, CAST(len(sg) AS INTEGER) AS n_tags, same_domain, len(ss) > 0 AS same_subdomain,
+  concat_ws(' | ', CASE WHEN len(st) > 0 THEN '关键词匹配: ' || array_to_string(st[1:3], ', ') END, CASE WHEN same_domain THEN '同域: ' || domain_name END, CASE WHEN len(sg) > 0 THEN '共享标签: ' || array_to_string(sg[1:3], ', ') END, CASE WHEN len(ss) > 0 THEN '子域: ' || ss[1] END) AS reason FROM placed WHERE place <= 8"""
+
+_place = "CAST(seq % 10 AS INTEGER) AS pos"
+_clean_title, _clean_summary = (_gone(c, r"^\s+|\s+$") for c in ("title", "summary"))
+_short = f"substr({_gone(_gone(_replaced(_gone('summary', '<[^>]+>'), _ENTITIES), '\\s+', "' '"), '^\\s+|\\s+$')}, 1, 500)"
+ORACLE_SQL["read_feed_xml"] = f"WITH {ARTICLES_SQL} SELECT 'feed' || (seq // 10) AS source, {_place}, {_clean_title} AS title, {_gone('url', r'^\s+|\s+$')} AS url, md5({_short}) AS summary_md5, coalesce(author, '') AS author, published FROM articles"
+_day = "CASE WHEN published LIKE 'Tue, %' THEN strftime(strptime(substr(published, 6, 11), '%d %b %Y'), '%Y-%m-%d') WHEN regexp_full_match(published, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN published ELSE '' END"
+ORACLE_SQL["normalize_feed_entries"] = f"WITH {ARTICLES_SQL}, f AS (SELECT *, seq // 10 AS feed FROM articles) SELECT 'feed' || feed AS platform, {_place}, {_clean_title} AS title, {_day} AS published, CASE WHEN feed < 40 THEN 'AI技术' END AS category, CASE WHEN feed < 40 THEN CASE WHEN feed % 2 = 1 THEN 'direct' ELSE 'rsshub' END END AS source_type, CASE WHEN feed < 40 THEN '源' || feed END AS source_desc FROM f"
+_RATED = f"WITH {ARTICLES_SQL}, {_INTEREST}, rated AS (SELECT a.* EXCLUDE (category), i.category, CAST(i.score AS DOUBLE) AS score FROM articles a JOIN interest i USING (seq))"
+ORACLE_SQL["read_hot_list_json"] = f"{_RATED} SELECT {_place}, 'https://www.zhihu.com/question/' || seq AS url, title, author, CAST(seq * 7 AS VARCHAR) AS published, category, (CAST(round(score * 200) AS BIGINT) + CASE WHEN seq % 3 <> 0 AND seq % 1000 <> 0 THEN seq % 1000 ELSE seq % 77 END) / 100.0 AS raw_score, md5(summary) AS summary_md5 FROM rated WHERE score >= 2 AND title <> ''"
+ORACLE_SQL["read_video_search_json"] = f"{_RATED} SELECT {_place}, 'https://www.bilibili.com/video/BV' || seq AS url, md5(trim(title)) AS title_md5, CAST(seq AS VARCHAR) AS published, category, (CAST(round(score * 200) AS BIGINT) + CASE WHEN seq % 2 = 0 THEN seq * 7 + (seq % 50) * 50 + (seq % 30) * 30 ELSE seq % 11 END) / 100.0 AS raw_score FROM rated WHERE score >= 2 AND trim(title) <> ''"
+_names = "platform || ', ' || a.category || ', ' || repeat('x', 30)"
+ORACLE_SQL["read_papers_json"] = f"WITH {ARTICLES_SQL}, {_INTEREST} SELECT CAST(a.seq % 10 AS INTEGER) AS pos, 'https://huggingface.co/papers/' || a.seq AS url, a.title, md5({_names.replace('platform', 'a.platform')} || ': ' || substr(a.summary, 1, 180)) AS summary_md5, {_names.replace('platform', 'a.platform')} AS author, CASE WHEN score < 1.5 THEN 'AI技术' ELSE i.category END AS category, CASE WHEN score < 1.5 THEN 3.0 ELSE CAST(score AS DOUBLE) END AS raw_score, CAST(a.seq % 9 AS VARCHAR) AS upvotes FROM articles a JOIN interest i USING (seq)"
+_full = "'o' || seq || '/' || CASE WHEN seq % 3 = 0 THEN 'llm-kit' ELSE 'notes' END"
+_escaped = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+ORACLE_SQL["extract_repo_cards"] = f"""WITH {ARTICLES_SQL.replace('articles AS', 'base AS', 1)}, cards AS (SELECT *, {_full} AS name, {_gone(_escaped('substr(summary, 1, 90)'), '^\\s+|\\s+$')} AS d FROM base),
+articles AS (SELECT * REPLACE (name || CASE WHEN d <> '' THEN ': ' || substr(d, 1, 80) ELSE '' END AS title, substr(substr(d, 1, 200) || CASE WHEN coalesce(author, '-') <> '' THEN ' [' || coalesce(author, '-') || ']' ELSE '' END, 1, 200) AS summary) FROM cards), {_INTEREST}
+SELECT {_place}, 'https://github.com/' || name AS url, md5(substr(title, 1, 120)) AS title_md5, md5(summary) AS summary_md5, 'o' || seq AS author, greatest(CAST(score AS DOUBLE), 3.0) AS raw_score FROM articles JOIN interest USING (seq) WHERE {_hits('lower(title)', rules.AI_TOKENS)} > 0"""
+_seen = lambda c: _gone(_gone(_escaped(c), "<[^>]+>"), r"^\s+|\s+$")
+ORACLE_SQL["extract_news_cards"] = f"""WITH {ARTICLES_SQL.replace('articles AS', 'base AS', 1)}, articles AS (SELECT * REPLACE ({_seen('title')} AS title, {_seen('summary')} AS summary) FROM base), {_INTEREST}
+SELECT {_place}, 'https://www.readaitime.com/news/' || seq AS url, md5(substr(title, 1, 120)) AS title_md5, md5(substr(summary, 1, 200)) AS summary_md5, i.category, CAST(score AS DOUBLE) AS raw_score FROM articles JOIN interest i USING (seq) WHERE length(title) >= 5 AND score >= 1.5"""
+ORACLE_SQL["extract_search_hits"] = f"WITH {ARTICLES_SQL} SELECT CAST(seq // 10 AS VARCHAR) AS query, {_place}, 'https://w/' || seq AS url, md5({_seen('title')}) AS title_md5, md5(substr({_gone(_seen('summary'), '\\s+', "' '")}, 1, 200)) AS summary_md5, platform AS source FROM articles"
+ORACLE_SQL["extract_account_article"] = rf"WITH {ARTICLES_SQL}, seen AS (SELECT *, {_seen('title')} AS t, {_gone(_gone(_escaped('content'), '\n{3,}', 'chr(10) || chr(10)'), r'^\s+|\s+$')} AS c FROM articles) SELECT CAST(seq AS VARCHAR) AS url, md5(t) AS title_md5, platform AS author, md5(c) AS content_md5, CAST(length(c) AS INTEGER) AS content_length FROM seen"
+ORACLE_SQL["read_knowledge_list"] = f"WITH {ITEMS_SQL}, placed AS (SELECT *, seq // 20 AS page, row_number() OVER (PARTITION BY seq // 20 ORDER BY seq) - 1 AS pos FROM items) SELECT CAST(page AS VARCHAR) AS folder, CAST(pos AS INTEGER) AS pos, media_id, title, '1' AS media_type FROM placed WHERE coalesce(folder_id, '') = ''"
+ORACLE_SQL["parse_notes"] = f"""WITH {_NOTES}, files AS (SELECT *, 'n' || CASE WHEN item_id % 4 = 3 THEN item_id - 1 ELSE item_id END AS name, CASE WHEN item_id % 4 = 3 THEN '_v2' ELSE '' END AS version FROM notes WHERE item_id % 9 <> 0 AND item_id % 10 <> 7),
+last_ AS (SELECT *, '库/' || name || version || '.md' AS path FROM files QUALIFY row_number() OVER (PARTITION BY name ORDER BY '库/' || name || version || '.md' DESC) = 1)
+SELECT path AS rel_path, name || version AS stem, name AS title, CASE WHEN item_id % 5 = 0 THEN '' ELSE array_to_string(tags, '|') END AS tags, md5(CASE WHEN item_id % 5 = 0 THEN '' ELSE '---' || chr(10) || 'tags: ["' || array_to_string(tags, '", "') || '"]' || chr(10) || '---' || chr(10) END || body) AS body_md5 FROM last_"""
+ORACLE_SQL["candidate_queue"] = f"{_CURATED} SELECT knowledge_id, url, platform, template_id, 0.0 AS score, '' AS prompt, array_to_string(subs, '|') AS subdomains, array_to_string(tags, '|') AS tags, false AS content_fetched, CAST(length(content) AS INTEGER) AS full_content_len FROM curated"
+_said = " ".join(f"CASE WHEN {_hits('title' if where == 'title' else 'content', kws)} > 0 THEN {quoted(said)} END," for where, kws, said in rules.CONNECTIONS).rstrip(",")
+ORACLE_SQL["source_labels"] = f"""WITH {ARTICLES_SQL} SELECT seq, {_label} AS label, CASE WHEN {_hits('title', ['短剧', '视频'])} > 0 OR contains(category, 'AIGC') THEN '抖音 / B站 / 小红书' WHEN {_hits('category', ['机器人', '硬件'])} > 0 THEN 'B站 / 公众号' WHEN {_hits('category', ['知识', '效率'])} > 0 THEN '小红书 / 公众号' ELSE '公众号 / 小红书' END AS publish_on,
+  array_to_string(list_filter([{_said}], lambda x: x IS NOT NULL), '|') AS connections FROM articles"""
+ORACLE_SQL["split_sentences"] = r"WITH " + ARTICLES_SQL + r", s AS (SELECT seq, string_split_regex(regexp_replace(content, '\s+', ' ', 'g'), '[。！？]') AS s FROM articles) SELECT seq, CAST(len(s) AS INTEGER) AS n, md5(array_to_string(s, '|')) AS sentences_md5 FROM s"
+ORACLE_SQL["digest_calendar"] = f"SELECT doc_id, ({_list(rules.WEEKDAYS)})[isodow(d)] AS weekday, strftime(d + 1, '%Y-%m-%d') AS next_run, strftime(d, '%Y-%m-%d') AS shown FROM (SELECT doc_id, DATE '{NOW}' + CAST(doc_id % 1000 AS INTEGER) AS d FROM documents)"
+ORACLE_SQL["dedup_notes"] = f"WITH {_NOTES} SELECT regexp_replace(title, ' [0-9]+$', '') AS title, max(rel_path) AS rel_path FROM notes GROUP BY 1"
+ORACLE_SQL["render_source_list"] = "SELECT string_agg('- **' || n_name || '** (`' || lower(n_name) || '`) — ' || CASE WHEN n_regionkey % 2 = 0 THEN 'direct' ELSE 'rsshub' END, chr(10) ORDER BY n_nationkey) AS body, count(*) AS n FROM nation"
+ORACLE_SQL["stream_new_items"] = f"WITH {ITEMS_SQL} SELECT DISTINCT media_id FROM items WHERE folder_id IS NULL"
+_STREAMED = f"streamed AS {_depth_of("(SELECT doc_id AS seq, coalesce(text, '') AS content FROM documents)")}"
+ORACLE_SQL["stream_score"] = f"WITH {_STREAMED} SELECT seq, CAST(score AS DOUBLE) AS score, {_level} AS level FROM streamed WHERE score >= 0.5"
+ORACLE_SQL["stream_digest_batches"] = f"WITH {_STREAMED} SELECT {_level} AS level, count(*) AS n FROM streamed GROUP BY 1"

@@ -137,3 +137,6 @@ FUNCTION_CHARS = "的了在是和有我这那不"
 
 # What the title of a repository must contain.
 AI_TOKENS = ["ai", "llm", "gpt", "agent", "ml-", "deep", "neural", "transform", "diffusion", "langchain", "rag", "vector", "embedding", "fine-tun", "chatgpt", "llama", "openai", "anthropic", "stable-diffusion"]
+
+#: Entities that the deep read's own extractor reads, in this order.
+SIMPLE_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'"), ("&ldquo;", '"'), ("&rdquo;", '"'), ("&mdash;", "—"), ("&ndash;", "–")]

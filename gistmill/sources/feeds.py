@@ -9,7 +9,8 @@ from gistmill import rules
 from gistmill.functions.curation import parse_published
 from gistmill.functions.exprs import contains_any, first_filled, strip
 from gistmill.functions.scoring import interest_classify, popularity_score
-from gistmill.functions.text import strip_tags, unescape_common
+from gistmill.functions.text import strip_html_basic, strip_html_feed, strip_tags, unescape_common
+from gistmill.shared import sized_join
 
 ENTRY = "array<struct<title:string,url:string,summary:string,author:string,published:string>>"
 
@@ -25,19 +26,19 @@ def read_feed_xml(feeds: DataFrame) -> DataFrame:
     Malformed feeds, those without their closing root tag, give no rows; summaries lose their tags and are at most 500 long.
     """
     whole = F.when(F.col("xml").rlike(r"(?s)</(?:rss|feed|rdf:RDF)>\s*\z"), F.col("xml")).otherwise("")
-    short = lambda c: F.substring(strip(F.regexp_replace(strip_tags(c), r"\s+", " ")), 1, 500)
+    short = strip_html_feed
     rss = F.transform(F.regexp_extract_all(whole, F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0)), lambda b: F.struct(_tag(b, "title").alias("title"), _tag(b, "link").alias("url"), short(_tag(b, "description")).alias("summary"), first_filled(_tag(b, "author"), _tag(b, "dc:creator")).alias("author"), _tag(b, "pubDate").alias("published")))
-    atom = F.transform(F.regexp_extract_all(whole, F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0)), lambda b: F.struct(_tag(b, "title").alias("title"), F.regexp_extract(b, r'<link[^>]*href="([^"]+)"', 1).alias("url"), short(_tag(b, "summary")).alias("summary"), _tag(b, "name").alias("author"), first_filled(_tag(b, "published"), _tag(b, "updated")).alias("published")))
+    atom = F.transform(F.regexp_extract_all(whole, F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0)), lambda b: F.struct(_tag(b, "title").alias("title"), unescape_common(F.regexp_extract(b, r'<link[^>]*href="([^"]+)"', 1)).alias("url"), short(_tag(b, "summary")).alias("summary"), _tag(b, "name").alias("author"), first_filled(_tag(b, "published"), _tag(b, "updated")).alias("published")))
     rows = feeds.select("source", F.posexplode(F.concat(rss.cast(ENTRY), atom.cast(ENTRY))).alias("pos", "e"))
     return rows.select("source", "pos", "e.*")
 
 
 def normalize_feed_entries(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    """Entries as articles, with category and metadata of their source (a broadcast dimension)."""
+    """Entries as articles, with category and metadata of their source."""
     info = sources.select(F.col("key").alias("source"), "category", F.col("type").alias("__type"), F.col("descr").alias("__descr"))
-    rows = entries.join(F.broadcast(info), "source", "left")
+    rows = sized_join(entries, info, "source", "left")
     day = F.date_format(parse_published(F.col("published")), "yyyy-MM-dd")
-    return rows.select(F.col("source").alias("platform"), "pos", F.trim("title").alias("title"), "url", F.substring(strip(strip_tags(F.col("summary"))), 1, 300).alias("summary"), "author", F.coalesce(day, F.lit("")).alias("published"), "category", F.create_map(F.lit("source_type"), "__type", F.lit("source_desc"), "__descr").alias("metadata"))
+    return rows.select(F.col("source").alias("platform"), "pos", F.trim("title").alias("title"), "url", F.substring(strip_html_basic(F.col("summary")), 1, 300).alias("summary"), "author", F.coalesce(day, F.lit("")).alias("published"), "category", F.create_map(F.lit("source_type"), "__type", F.lit("source_desc"), "__descr").alias("metadata"))
 
 
 _HOT = "data array<struct<target:struct<id:string,title:string,excerpt:string,url:string,created:bigint,detail_count:bigint,vote_count:bigint,author:struct<name:string>>>>"
@@ -155,10 +156,11 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
 QUEUE = "title string, url string, summary string, platform string, score double, template_id string, knowledge_type string, domain string, domain_name string, subdomains array<string>, tags array<string>, knowledge_id string, yaml_frontmatter string, prompt string, content_fetched boolean, full_content_len int, interpretation string"
 
 
-def read_candidate_queue(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON queue of candidates; missing fields get their defaults."""
-    rows = spark.read.schema(QUEUE).json(path, multiLine=False)
-    return rows.fillna("").fillna(0).fillna(False)
+def read_candidate_queue(spark: SparkSession, path: str, document: bool = False) -> DataFrame:
+    """A JSON queue of candidates, one object a line, or with ``document`` one list of all; missing fields get their defaults."""
+    rows = spark.read.schema(QUEUE).json(path, multiLine=document)
+    none = F.array().cast("array<string>")
+    return rows.fillna("").fillna(0).fillna(False).withColumns({c: F.coalesce(c, none) for c in ("subdomains", "tags")})
 
 
 def write_candidate_queue(candidates: DataFrame, path: str) -> None:
