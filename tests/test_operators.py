@@ -6,7 +6,9 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from gistmill.operators import dedup, links, report, select
+from gistmill import shared
+from gistmill.functions import classify, interpret, scoring, text
+from gistmill.operators import dedup, digest, links, report, select
 from gistmill.sources import feeds
 from gistmill.streaming import items as stream
 
@@ -37,6 +39,24 @@ def test_dedup_titles_is_the_greedy_pass(spark, seed):
     assert sorted(r.seq for r in dedup.dedup_titles(df).collect()) == greedy(rows, 0.75)
 
 
+def test_top_titles_are_those_of_the_whole_table(spark):
+    rng = random.Random(7)
+    base = ["".join(rng.choices("abcdefghij", k=12)) for _ in range(6)]
+    rows = [(i, "".join(c if rng.random() > 0.1 else rng.choice("abcde") for c in rng.choice(base)), float(rng.randint(1, 9))) for i in range(80)]
+    df = articles(spark, [(i, t, "", s, "p", "c") for i, t, s in rows])
+    kept = set(greedy(rows, 0.75))
+    want = [i for i, _, _ in sorted(rows, key=lambda r: (-r[2], r[0])) if i in kept]
+    for n in (3, 500):
+        got = dedup.top_titles(df, n).orderBy(F.desc("raw_score"), "seq").collect()
+        assert [r.seq for r in got] == want[:n]
+    options = digest.Options().with_overrides({"top_n": 2, "min_score": 5.0, "category_weights": {"c": 0.5}})
+    assert digest.digest_articles(df, options).count() == 0
+    ranked = digest.digest_articles(df, digest.Options(top_n=2, min_score=0.0, category_default=1.0)).collect()
+    assert sorted((r["rank"], r.seq) for r in ranked) == [(1, want[0]), (2, want[1])]
+    with pytest.raises(TypeError):
+        digest.Options().with_overrides({"unknown": 1})
+
+
 def test_dedup_titles_chain_keeps_both_ends(spark):
     chain = [(1, "abcdefgh", 3.0), (2, "abcdefxy", 2.0), (3, "abqrefxy", 1.0)]
     df = articles(spark, [(i, t, "", s, "p", "c") for i, t, s in chain])
@@ -169,6 +189,44 @@ def test_notes_and_queue(spark, tmp_path):
     assert (back.title, back.full_content_len, back.interpretation, back.platform) == ("t", 2, "解读", "")
 
 
+def test_queue_documents(spark, tmp_path):
+    (tmp_path / "queue.json").write_text('[{"title": "t", "url": "u", "tags": ["x"]}, {"title": "v", "url": "w", "score": 2.5}]')
+    rows = {r.title: r for r in feeds.read_candidate_queue(spark, str(tmp_path / "queue.json"), document=True).collect()}
+    assert (rows["t"].tags, rows["t"].score, rows["t"].prompt) == (["x"], 0.0, "") and (rows["v"].tags, rows["v"].score) == ([], 2.5)
+
+
+def test_digests_of_a_day_are_replaced(spark, tmp_path):
+    day = lambda body: spark.createDataFrame([("a.md", body)], "rel_path string, body string")
+    for body, when in (("one", "2026-07-20"), ("two", "2026-07-21"), ("three", "2026-07-21")):
+        report.write_notes(day(body), str(tmp_path / "out"), when)
+    assert {(str(r.run_date), r.body) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("2026-07-20", "one"), ("2026-07-21", "three")}
+
+
+def test_joins_by_size(spark):
+    one, two = spark.range(50).withColumn("x", F.lit("é" * 100)), spark.range(50)
+    assert shared.small(one) and not shared.small(one, 50 * 200)
+    for limit in (0, 1 << 20):
+        assert shared.sized_join(two, one, "id", "inner", limit).count() == 50
+    nested = spark.createDataFrame([([("a" * 500, 1)], None)], "a array<struct<s:string,i:int>>, b string")
+    assert not shared.small(nested, 500) and shared.small(nested, 2000)
+
+
+def test_own_extractor_and_rule_tables(spark):
+    page = "<script>no</script><!-- no --><p>one &amp;amp; two</p>\n\n\n <b>three</b>  four " + "字" * 100
+    one = spark.range(1).select(text.extract_text_simple(F.lit(page)).alias("a"), text.extract_text_simple(F.lit("<p>short</p>")).alias("b"), text.extract_text_simple(F.lit(None).cast("string")).alias("c"), text.extract_text_simple(F.lit("x" * 9000)).alias("d")).first()
+    assert one.a == "one &amp; two\nthree four " + "字" * 100 and one.b is None and one.c is None and len(one.d) == 8000
+    field = '{"content": "' + "<p>甲\\n乙</p>" + '", "excerpt": ""}'
+    got = spark.range(1).select(text.extract_site_body(F.lit(field), F.lit("知乎")).alias("x"), text.extract_site_body(F.lit('<div class="RichContent-inner">丙</div>'), F.lit("知乎")).alias("y")).first()
+    assert (got.x, got.y) == ("甲\n乙", "丙")
+    rated = spark.range(1).select(
+        classify.topic_classify(F.lit("foo bar"), F.lit(""), [("A", ["foo"]), ("B", ["foo", "bar"])], "none").alias("t"),
+        scoring.interest_classify(F.lit("AI bar"), F.lit(""), [("X", 2.0, ["bar"])]).alias("i"),
+        interpret.insight_rank(F.array(F.lit("a"), F.lit("b"))).alias("r"),
+        interpret.best_sentence(F.array(F.lit("a"))).alias("s"),
+    ).first()
+    assert (rated.t, rated.i.category, rated.i.score, rated.r, rated.s) == ("B", "X", 2.5, [], None)
+
+
 def test_full_text_and_links(spark):
     body = "<article>" + "字" * 300 + "</article>"
     arts = spark.createDataFrame([(1, "量子位", "u1", "短"), (2, "量子位", "", "短"), (3, "量子位", "u1", "长" * 600)], "seq long, platform string, url string, content string")
