@@ -29,8 +29,6 @@ from gistmill.llm.quality import remainder
 
 #: Most labelled rows that a fit uses, those with the smallest hashes.
 MAX_ROWS = 20_000
-#: Partitions of the labelled rows; the driver takes in one at a time.
-PARTS = 12
 HASH_BITS = 18
 FACTORS = 4
 STEMS = (4, 5, 6)
@@ -127,11 +125,14 @@ class Model:
 
 def association(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
     """G, twice the log likelihood ratio, of each slot's rows against the label's share; zeros without rows or with one label only."""
-    flat, row = _joined(rows)
     share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
         return np.zeros(size)
-    total, ones = np.bincount(flat, minlength=size), np.bincount(flat, y[row], size)
+    total, ones = np.zeros(size), np.zeros(size)
+    for at in range(0, len(rows), BATCH):
+        flat, row = _joined(rows[at : at + BATCH])
+        total += np.bincount(flat, minlength=size)
+        ones += np.bincount(flat, y[at + row], size)
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return x * np.log(np.where(x > 0, x, 1) / np.where(x > 0, expected, 1))
@@ -146,14 +147,18 @@ def _slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def examples(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Slots and labels of at most ``MAX_ROWS`` rows of ``labels(doc_id, label)`` joined to ``docs(doc_id, text)``; ids with remainder 0 are held out, null labels and ids left out."""
+    """Slots and labels of at most ``MAX_ROWS`` rows of ``labels(doc_id, label)`` joined to ``docs(doc_id, text)``; ids with remainder 0 are held out, null labels and ids left out.
+
+    Of rows that repeat an id and label the one with the smallest slots counts. The driver
+    takes in one partition at a time.
+    """
     labels = need(labels, ["doc_id", "label"]).where("label IS NOT NULL AND doc_id IS NOT NULL").where(remainder(F.col("doc_id")) != 0)
     labels = materialize(labels.select("doc_id", F.col("label").cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(MAX_ROWS), "labels")
     # At most MAX_ROWS short rows, so that the join leaves the texts where they are.
     rows = sized_join(need(docs, ["doc_id", "text"]), labels, "doc_id", "inner").mapInArrow(_slots_of, "doc_id long, label double, slots binary")
-    rows = materialize(rows.repartition(PARTS, "doc_id"), "slots")
-    # An id that many rows of docs repeat could pass the bound, so it is applied again.
-    got = sorted((r["doc_id"], r["label"], bytes(r["slots"])) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "slots").limit(MAX_ROWS).toLocalIterator())
+    # A row for each labelled id, so the bound holds however often docs or labels repeat it.
+    rows = materialize(rows.groupBy("doc_id", "label").agg(F.min("slots").alias("slots")), "slots")
+    got = sorted((r["doc_id"], r["label"], bytes(r["slots"])) for r in rows.toLocalIterator())
     return [np.frombuffer(s, np.int32) for _, _, s in got], np.array([y for _, y, _ in got])
 
 
