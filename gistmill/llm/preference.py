@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import need, numbered
+from gistmill.llm.common import materialize, need, numbered
 
 TURN = "struct<role:string,text:string>"
 
@@ -88,9 +88,8 @@ def off_topic_pairs(rows: DataFrame) -> DataFrame:
     ended = all_.where(F.array_contains(roles, "assistant")).withColumn("spoken", spoken)
     ended = ended.select("conv_id", F.slice("turns", 1, F.element_at("spoken", -1)).alias("turns"), F.element_at("spoken", (F.pmod("conv_id", F.size("spoken")) + 1).cast("int")).alias("at"))
     ids = numbered(need(rows, ["conv_id", "turn", "role"]).where("conv_id IS NOT NULL AND turn IS NOT NULL AND role = 'assistant'").select("conv_id").distinct(), "conv_id")
-    total = ids.agg(F.count("*").alias("total"))
-    ids = ids.crossJoin(F.broadcast(total))  # one row with one number
-    before = ids.select(F.pmod(F.col("place") + 1, "total").alias("place"), F.col("conv_id").alias("pair_id"))
+    ids = materialize(ids, "places")
+    before = ids.select(F.pmod(F.col("place") + 1, F.lit(max(ids.count(), 1))).alias("place"), F.col("conv_id").alias("pair_id"))
     reply = ended.select("conv_id", F.element_at("turns", -1).alias("reply")).join(ids.select("conv_id", "place"), "conv_id").join(before, "place").select(F.col("pair_id").alias("conv_id"), "reply")
     both = ended.join(reply, "conv_id")
     rejected = F.concat(F.slice("turns", 1, F.col("at") - 1), F.array("reply"), F.slice("turns", F.col("at") + 1, F.size("turns")))
