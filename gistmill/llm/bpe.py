@@ -2,9 +2,9 @@
 
 Two forms of one encoder, both a fold of ranked merges over the bytes of distinct words:
 
-* ``encode_words`` folds with Spark's higher-order functions over a table of distinct
-  words; the rank map is a literal, split by hash into an array of small maps because a
-  lookup in one Spark map compares every key.
+* ``encode_words`` folds with Spark's higher-order functions over the byte arrays of a table
+  of distinct words; the rank map is a literal row, split by hash into an array of small
+  maps because a lookup in one Spark map compares every key.
 * ``encode_documents`` folds in the tasks that read the documents, each distinct word once
   a task, and shuffles nothing. The query uses it: mapping words back to their places by
   joins moves more than the texts themselves (figures in the README).
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -21,10 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gistmill.functions.exprs import let
 from gistmill.llm.common import need, slices
 
 #: Words in each of the two generations that a task remembers; it forgets the older one when the younger is full, which changes no result.
@@ -177,38 +179,51 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     return need(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _rank_table(ranks: dict[bytes, int], buckets: int):
-    """Literal array of maps from hex pieces to ranks, by hash of the piece."""
-    import zlib
-
-    parts: list[list[str]] = [[] for _ in range(buckets)]
+def _rank_table(spark: SparkSession, ranks: dict[bytes, int], buckets: int) -> DataFrame:
+    """One row: the ranks as an array of small maps, by hash of the piece; as large as the vocabulary, which is fixed."""
+    parts: list[dict] = [{} for _ in range(buckets)]
     for piece, rank in ranks.items():
-        name = piece.hex().upper()
-        parts[zlib.crc32(name.encode()) % buckets].append(f"{name}={rank}")
-    return F.split(F.lit(";".join(",".join(p) for p in parts)), ";", -1)
+        parts[zlib.crc32(piece) % buckets][bytearray(piece)] = rank
+    return spark.createDataFrame([([list(p.items()) for p in parts],)], "ranks array<array<struct<piece:binary,rank:int>>>").select(F.lit(1).alias("__k"), F.transform("ranks", lambda x: F.map_from_entries(x)).alias("__ranks"))
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int = 16384) -> DataFrame:
     """``word, ids`` for a table of distinct words, by higher-order functions alone.
 
-    Each step of the fold merges the leftmost pair with the lowest rank among neighbouring
-    pieces (kept in hex); a word of n bytes takes n - 1 steps at most.
+    A word that is a piece itself is looked up at once. Else a fold over its bytes merges, in
+    each step, the leftmost pair with the lowest rank; the ranks of all neighbouring pairs
+    are carried along, so that a step looks up two pairs at most.
     """
-    table = _rank_table(ranks, buckets)
-
-    def rank(hexed):
-        slot = F.element_at(F.col("__table"), (F.crc32(F.encode(hexed, "UTF-8")) % buckets + 1).cast("int"))
-        return F.try_element_at(F.str_to_map(slot, F.lit(","), F.lit("=")), hexed).try_cast("int")
-
-    start = F.regexp_extract_all(F.hex(F.encode("word", "UTF-8")), F.lit("(..)"), F.lit(1))
-
-    def step(parts, _):
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(rank(F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))).alias("rank"), i.alias("at")))
-        best = F.array_min(F.filter(pairs, lambda x: x["rank"].isNotNull()))
-        merged = F.concat(F.slice(parts, 1, best["at"] - 1), F.array(F.concat(F.element_at(parts, best["at"]), F.element_at(parts, best["at"] + 1))), F.slice(parts, best["at"] + 2, F.size(parts)))
-        return F.when(F.size(parts) > 1, F.coalesce(F.when(best.isNotNull(), merged), parts)).otherwise(parts)
-
-    rows = words.select("word").withColumn("__table", table).withColumn("__start", start)
-    turns = F.when(F.size("__start") > 1, F.sequence(F.lit(2), F.size("__start"))).otherwise(F.array().cast("array<int>"))
-    folded = rows.withColumn("__parts", F.aggregate(turns, F.col("__start"), step))
-    return folded.select("word", F.transform("__parts", rank).alias("ids"))
+    none = 2**31 - 1
+
+    def rank(piece: Column) -> Column:
+        slot = F.element_at(F.col("__ranks"), (F.crc32(piece) % buckets + 1).cast("int"))
+        return F.coalesce(F.try_element_at(slot, piece), F.lit(none))
+
+    def step(acc: Column, _: Column) -> Column:
+        def merged(v: Column) -> Column:
+            parts, old, at, both = v["parts"], v["ranks"], v["at"], v["both"]
+            one = F.array(both)
+            left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), both)))).otherwise(F.array().cast("array<int>"))
+            right = F.when(at + 1 < F.size(parts), F.array(rank(F.concat(both, F.get(parts, at + 1))))).otherwise(F.array().cast("array<int>"))
+            return F.struct(
+                F.concat(F.slice(parts, 1, at - 1), one, F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                F.concat(F.slice(old, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(old, at + 2, F.size(parts))).alias("ranks"),
+            )
+
+        def at(best: Column) -> Column:
+            place = F.array_position(acc["ranks"], best).cast("int")
+            found = let(place, lambda i: F.struct(acc["parts"].alias("parts"), acc["ranks"].alias("ranks"), i.alias("at"), F.concat(F.get(acc["parts"], i - 1), F.get(acc["parts"], i)).alias("both")))
+            return F.when(best < none, let(found, merged)).otherwise(acc)
+
+        return let(F.coalesce(F.array_min(acc["ranks"]), F.lit(none)), at)
+
+    raw = F.col("__word")
+    size = F.octet_length(raw)
+    rows = words.select(F.lit(1).alias("__k"), "word", F.encode("word", "UTF-8").alias("__word")).join(F.broadcast(_rank_table(words.sparkSession, ranks, buckets)), "__k")
+    pieces = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(raw, i, F.lit(1)))
+    pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(raw, i, F.lit(2))))
+    fold = F.aggregate(F.sequence(F.lit(2), size), F.struct(pieces.alias("parts"), pairs.alias("ranks")), step)["parts"]
+    whole = let(rank(raw), lambda r: F.when(r < none, F.array(r)))
+    ids = F.when(size == 0, F.array().cast("array<int>")).otherwise(F.coalesce(whole, F.when(size > 1, F.transform(fold, rank))))
+    return rows.select("word", ids.alias("ids"))
