@@ -181,10 +181,10 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
 
 def _rank_table(spark: SparkSession, ranks: dict[bytes, int], buckets: int) -> DataFrame:
     """One row: the ranks as an array of small maps, by hash of the piece; as large as the vocabulary, which is fixed."""
-    parts: list[dict] = [{} for _ in range(buckets)]
+    parts: list[list] = [[] for _ in range(buckets)]
     for piece, rank in ranks.items():
-        parts[zlib.crc32(piece) % buckets][bytearray(piece)] = rank
-    return spark.createDataFrame([([list(p.items()) for p in parts],)], "ranks array<array<struct<piece:binary,rank:int>>>").select(F.lit(1).alias("__k"), F.transform("ranks", lambda x: F.map_from_entries(x)).alias("__ranks"))
+        parts[zlib.crc32(piece) % buckets].append((bytearray(piece), rank))
+    return spark.createDataFrame([(parts,)], "ranks array<array<struct<piece:binary,rank:int>>>").select(F.lit(1).alias("__k"), F.transform("ranks", lambda x: F.map_from_entries(x)).alias("__ranks"))
 
 
 def encode_words(words: DataFrame, ranks: dict[bytes, int], buckets: int = 16384) -> DataFrame:
