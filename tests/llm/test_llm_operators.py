@@ -47,6 +47,9 @@ def test_ann_matches_brute_force(spark):
     assert got.compared.mean() < 200  # the bounds leave most vectors out
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(none, none).count() == 0
+    far = spark.createDataFrame([(0, [3e200, 4e200]), (1, [4e-200, 3e-200]), (2, [-3e-320, 1e-320]), (3, [1e308, 1e308])], "vec_id long, embedding array<double>")
+    best = {r.vec_id: r.score for r in ann.nearest(far.where("vec_id = 0"), far).collect()}
+    assert best == {1: pytest.approx(0.96), 2: pytest.approx(-1 / math.sqrt(10), rel=1e-3), 3: pytest.approx(7 / 5 / math.sqrt(2))}
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r)[:3] for r in ann.nearest(few.where("vec_id = 0"), few).collect()] == [(0, 1, 1)]
 
@@ -277,6 +280,29 @@ def test_quality_learns_and_scores_all(spark):
     assert set(quality.classify(docs(spark, ["a", None]), labels.limit(0)).toPandas().score) == {0.5}
 
 
+def test_quality_matches_a_plain_fit(spark):
+    """Weights by one dense solve over all rows, and the isotonic fit by its min-max formula."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["alpha", "b,", "C3", "%%", "delta\n"][: 2 + i % 4]) for _ in range(5 + i % 60)) for i in range(400)]
+    labels = [(i, int(i % 4 < 2) if rng.random() < 0.9 else 1) for i in range(400)]
+    stats = quality.measure(docs(spark, texts))
+    model = quality.fit(stats, spark.createDataFrame(labels, "doc_id long, label int"))
+    x, y, fold = np.stack([quality.statistics(t) for t in texts]).astype(float), np.array([b for _, b in labels], float), np.array([zlib.crc32(str(i).encode()) % 5 for i in range(400)])
+    train = x[fold > 1]
+    assert model.mean == pytest.approx(train.mean(0)) and model.std == pytest.approx(np.sqrt(np.maximum(train.var(0), 1e-6)), rel=1e-4)
+    z = model.fourier(train)
+    beta = np.linalg.solve(z.T @ z + (1e-3 * len(train) + 1e-6) * np.eye(z.shape[1]), z.T @ y[fold > 1])
+    assert z @ model.beta == pytest.approx(z @ beta, abs=1e-6)
+    apart = fold == 1
+    bins = np.round(np.clip(model.fourier(x[apart]) @ beta, -1, 2) * quality.BINS)
+    at = np.unique(bins)
+    w = np.array([(bins == b).sum() for b in at], float)
+    v = np.array([(y[apart][bins == b].sum() + 0.5 * np.mean([y[apart][bins == c].mean() for c in at])) / ((bins == b).sum() + 0.5) for b in at])
+    mean = lambda i, j: (v[i : j + 1] * w[i : j + 1]).sum() / w[i : j + 1].sum()
+    want = [max(min(mean(i, j) for j in range(k, len(at))) for i in range(k + 1)) for k in range(len(at))]
+    assert model.steps_x == pytest.approx(at / quality.BINS) and model.steps_y == pytest.approx(want)
+
+
 def test_toxicity_learns_and_cleans(spark):
     rng = random.Random(4)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
@@ -447,6 +473,8 @@ def test_preference_from_conversations(spark):
         assert [t.text for t in pairs[i].chosen] == plain
         at = 2 * (i % 3) + 1
         assert [t.text for t in pairs[i].rejected] == [*plain[:at], f"{after[i]}21", *plain[at + 1 :]]
+    twice = {r.pair_id: r for r in preference.off_topic_pairs(rows.unionAll(rows)).collect()}
+    assert [t.text for t in twice[1].chosen] == ["q", "q", "a", "a"]  # repeated rows are turns of their own
     one = preference.off_topic_pairs(rows.where("conv_id = 1"))
     assert [(r.chosen == r.rejected) for r in one.collect()] == [True]
 

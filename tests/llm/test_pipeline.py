@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gistmill.llm import bpe, toxicity
@@ -38,3 +39,32 @@ def test_stages(spark, tmp_path):
     one = tokens.iloc[0]
     assert hashlib.sha256(b"".join(pieces[i] for i in one.ids)).digest() == hashlib.sha256(text[one.doc_id].encode()).digest()
     assert bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")) == RANKS
+
+
+def test_stages_take_odd_rows(spark):
+    """Null ids, texts and sources, empty and long texts, repeated rows, columns of clashing names, and no rows at all."""
+    docs = load(spark, SF, "documents").limit(40)
+    odd = docs.limit(1).select(F.col("doc_id").alias("x"))
+    text = "the quick brown fox jumps over a lazy dog; write to ann@corp.example"
+    rows = [(None, None, None, None, None), (9001, None, "en", "web", 0), (9002, "", "en", None, 0), (9003, " \n", None, "web", 2), (9004, text, "en", "web", 40), (9004, text, "en", "web", 40), (None, text, "en", "web", 40), (9005, "word " * 20_000, "en", "web", 100_000)]
+    names = ("key", "terms", "row", "size", "copies", "component", "score", "label", "__d", "n")
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema)).select("*", *[F.lit(f"clash {n}").alias(n) for n in names])
+    held = docs.columns
+    assert odd.count() == 1
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == held, name
+        got = out.toPandas()
+        assert (got["key"] == "clash key").all()
+        if name == "toxicity":
+            assert len(got[got.doc_id == 9004]) == 2 and got.text.isna().sum() == 2
+        if name == "ngram_join":
+            assert (got.text == text).sum() == 1 and got.text.isna().sum() == 2 and {9002, 9003, 9005} <= set(got.doc_id)
+        if name == "pii":
+            assert len(got) == docs.count() and (got.text.dropna().str.contains("ann@corp")).sum() == 0 and got.text.isna().sum() == 2
+        if name == "mixing":
+            assert got.text.isna().sum() == 0 and len(got[got.doc_id == 9004]) in (0, 2, 4)
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+    assert len(tokens) == docs.count() and (tokens[tokens.doc_id.isin([9001, 9002])].n_tokens == 0).all()
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
