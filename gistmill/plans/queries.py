@@ -277,13 +277,17 @@ def topic_histogram(spark, sf_dir):
     return select.topic_histogram(rows).select("category", "n")
 
 
-def curated(spark, sf_dir, urls: bool = False) -> DataFrame:
-    rows = adapter.articles(spark, sf_dir, urls).withColumn("text", classify.curation_text(F.col("title"), F.col("summary"), F.col("content")))
+def curate(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("text", classify.curation_text(F.col("title"), F.col("summary"), F.col("content")))
     rows = rows.withColumns({"template_id": classify.template_classify(F.col("text")), "domain": classify.domain_classify(F.col("text"))})
     rows = rows.withColumns({"knowledge_type": classify.knowledge_type(F.col("template_id")), "domain_name": classify.domain_name(F.col("domain")), "subdomains": classify.subdomains(F.col("text"), F.col("domain"))})
     return rows.withColumns({"tags": classify.extract_tags(F.col("text"), F.col("platform"), F.col("knowledge_type")), "knowledge_id": classify.knowledge_id(F.col("domain"), F.col("title"), _now())})
 
 
+def curated(spark, sf_dir, urls: bool = False) -> DataFrame:
+    return curate(adapter.articles(spark, sf_dir, urls))
+
+
 @query
 def curate_articles(spark, sf_dir):
     return curated(spark, sf_dir).select("seq", "template_id", "knowledge_type", "domain", "domain_name", "knowledge_id", F.array_join("subdomains", "|").alias("subdomains"), F.array_join("tags", "|").alias("tags"))
@@ -303,12 +307,9 @@ def build_prompt(spark, sf_dir):
 
 @query
 def suggest_links(spark, sf_dir):
-    best = select.select_deep(curated_scored(spark, sf_dir), 40, 1.0)
-    return links.suggest_links(best, adapter.notes(spark, sf_dir))
-
-
-def curated_scored(spark, sf_dir) -> DataFrame:
-    return scoring.four_dim_score(curated(spark, sf_dir), _now())
+    """Links for the 40 best articles; only these are curated."""
+    best = materialize(select.select_deep(scored(spark, sf_dir), 40, 1.0), "best")
+    return links.suggest_links(curate(best), adapter.notes(spark, sf_dir))
 
 
 @query
