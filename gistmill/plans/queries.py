@@ -266,6 +266,21 @@ def interpret_articles(spark, sf_dir):
     return rows.select("seq", "thesis", "category", "quality_score", "content_length", *[F.array_join(c, "|").alias(c) for c in ("frameworks", "insights", "takeaways", "connections")])
 
 
+@query
+def extract_insights(spark, sf_dir):
+    """Thesis and insights of every article's content."""
+    rows = adapter.articles(spark, sf_dir)
+    return rows.select("seq", interpret.extract_thesis(F.col("content"), F.col("title")).alias("thesis"), F.array_join(interpret.extract_insights(F.col("content")), "|").alias("insights"))
+
+
+@query
+def title_similarity(spark, sf_dir):
+    """Ratio of each article's cleaned title to that of the next one."""
+    rows = adapter.articles(spark, sf_dir).select("seq", dedup.clean_title(F.col("title")).alias("a"))
+    other = rows.select((F.col("seq") - 1).alias("seq"), F.col("a").alias("b"))
+    return rows.join(other, "seq").select("seq", F.round(dedup.title_similarity("a", "b"), 6).alias("ratio"))
+
+
 @query
 def topic_classify(spark, sf_dir):
     return adapter.articles(spark, sf_dir).select("seq", classify.topic_classify(F.col("title"), F.col("content")).alias("topic"))
@@ -401,6 +416,21 @@ def headline_rows(spark, sf_dir):
     return select.headline_rows(ranked).join(select.topic_rows(ranked).select("rank", F.col("title").alias("topic"), "angle", F.col("platform").alias("publish_on")), "rank")
 
 
+@query
+def paper_rows(spark, sf_dir):
+    """Papers among the first 400: of two platforms in the first 200, by title in the next 15."""
+    ranked = select.rank_articles(select.top_articles(weighted(spark, sf_dir), 400)).withColumn("thesis", F.when(F.col("rank") % 2 == 0, F.col("title")).otherwise(""))
+    ranked = materialize(ranked, "ranked")
+    briefs = ranked.where("rank > 200").withColumn("rank", F.col("rank") - 200)
+    return select.paper_rows(ranked.where("rank <= 200"), briefs).select("part", "rank", "title", "org", "point")
+
+
+@query
+def render_digest_sections(spark, sf_dir):
+    ranked = materialize(select.rank_articles(select.top_articles(weighted(spark, sf_dir), 20)), "ranked")
+    return report.render_digest_sections(ranked.where("rank <= 5").withColumn("thesis", F.when(F.col("rank") > 1, F.concat(F.lit("论点 "), "title"))), ranked.where("rank > 5"), _now())
+
+
 @query
 def two_stage_rescore(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", text.extract_heuristic_body(F.col("html"), LETTERS).alias("full_text"))

@@ -345,3 +345,17 @@ ORACLE_SQL["stream_new_items"] = f"WITH {ITEMS_SQL} SELECT DISTINCT media_id FRO
 _STREAMED = f"streamed AS {_depth_of("(SELECT doc_id AS seq, coalesce(text, '') AS content FROM documents)")}"
 ORACLE_SQL["stream_score"] = f"WITH {_STREAMED} SELECT seq, CAST(score AS DOUBLE) AS score, {_level} AS level FROM streamed WHERE score >= 0.5"
 ORACLE_SQL["stream_digest_batches"] = f"WITH {_STREAMED} SELECT {_level} AS level, count(*) AS n FROM streamed GROUP BY 1"
+
+_garbage = f"(length({_strip('s')}) NOT BETWEEN 15 AND 150 OR regexp_matches(s, '[<>]') OR {_hits('lower(s)', rules.URL_TOKENS)} > 0 OR regexp_matches({_strip('s')}, {quoted(rules.ASCII_SENTENCE)}) OR NOT regexp_matches(s, '[一-鿿]') OR {_hits('lower(s)', rules.CODE_WORDS)} > 0)"
+_weighed = lambda rows: "(" + " + ".join(f"{w} * {_hits('s', kws)}" for w, kws in rows) + ")"
+ORACLE_SQL["extract_insights"] = rf"""WITH {ARTICLES_SQL}, fine AS (SELECT seq, title, list_filter(string_split_regex(regexp_replace(content, '\s+', ' ', 'g'), '[。！？]'), lambda s: NOT {_garbage}) AS s FROM articles),
+rated AS (SELECT seq, title, list_transform(s, lambda s, i: {{'w': -{_weighed(rules.INSIGHT_WORDS)}, 'i': i, 's': s}}) AS a,
+  list_transform(list_filter(s, lambda s: length(s) >= 20), lambda s, i: {{'w': -{_weighed(rules.THESIS_WORDS)}, 'i': i, 's': s}}) AS b FROM fine)
+SELECT seq, coalesce(list_sort(list_filter(b, lambda r: r.w < 0))[1].s, '📄 ' || title) AS thesis, array_to_string(list_transform(list_sort(list_filter(a, lambda r: r.w <= -2))[1:5], lambda r: r.s), '|') AS insights FROM rated"""
+_best = lambda n: f"best AS (SELECT *, CAST(row_number() OVER (ORDER BY raw_score DESC, seq) AS INTEGER) AS rank FROM ({_top(n)}))"
+_filled2 = lambda a, b: f"coalesce(nullif({a}, ''), nullif({b}, ''), '')"
+ORACLE_SQL["paper_rows"] = f"""{_WEIGHED}, {_best(400)}, rows_ AS (SELECT 0 AS part, rank, substr(title, 1, 50) AS title, {_filled2('author', 'platform')} AS org, substr({_filled2("CASE WHEN rank % 2 = 0 THEN title ELSE '' END", 'summary')}, 1, 60) AS point FROM best WHERE rank <= 200 AND platform IN ('huggingface', 'github')
+UNION ALL SELECT 1, rank - 200, substr(title, 1, 50), substr(platform, 1, 15), coalesce(nullif(substr(summary, 1, 60), ''), '—') FROM best WHERE rank > 200 AND rank <= 215 AND {_hits('title', ['论文', '报告', '白皮书', '研究', 'arXiv', '发布.'])} > 0)
+SELECT * FROM rows_ ORDER BY part, rank LIMIT 8"""
+ORACLE_SQL["render_digest_sections"] = f"""{_WEIGHED}, {_best(20)} SELECT 'deep' AS section, '## 深度 {NOW}' || {_nl} || string_agg('### ' || title || {_nl} || '> ' || CASE WHEN rank > 1 THEN '论点 ' || title ELSE title END, {_nl} ORDER BY rank) AS body FROM best WHERE rank <= 5
+UNION ALL SELECT 'brief', '## 快讯' || {_nl} || string_agg('- **' || title || '** — ' || platform, chr(10) ORDER BY rank) FROM best WHERE rank > 5"""
