@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import ann, bpe, fixity, media, mixing, ngram_join, pii, preference, quality, toxicity
+from gistmill.llm import ann, bpe, fixity, media, minhash, mixing, negatives, ngram_join, pii, preference, quality, toxicity
 from gistmill.llm.common import load
 
 #: Vocabulary and pattern of the byte-level BPE; parameters, never copied.
@@ -61,10 +61,21 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.withColumns({m: F.array_join(m, ",") for m in ("chosen_mask", "rejected_mask")})
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select("vec_id", label.alias("label"), negatives.quantised(F.col("embedding")).alias("vector"))
+    return negatives.mine(rows, rows.where("vec_id % 50 = 0"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_media, op3_ngram_join, op4_mixing, op5_fixity, op6_quality, op7_toxicity, op8_bpe, op9_pii, op10_preference, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_media, op3_ngram_join, op4_mixing, op5_fixity, op6_quality, op7_toxicity, op8_bpe, op9_pii, op10_preference, op12_minhash, op13_negatives, pipeline)}

@@ -43,3 +43,26 @@ parts AS (SELECT conv_id AS pair_id, CASE WHEN a = b THEN len(l) ELSE p - 1 END
 rests AS (SELECT pair_id, k, l[1:k] AS prefix, l[k + 1:] AS c, r[k + 1:] AS r FROM parts)
 SELECT pair_id, CAST(k AS INTEGER) AS prefix_turns, {_TEXT.format(l="prefix")} AS prompt, {_TEXT.format(l="c")} AS chosen, {_TEXT.format(l="r")} AS rejected,
   {_MASK.format(l="c")} AS chosen_mask, {_MASK.format(l="r")} AS rejected_mask FROM rests"""
+
+# Words in lower case, sets of two-word shingles, all common shingles counted.
+ORACLE_SQL["op12_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [hash(w[1])] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: hash(w[i] || ' ' || w[i + 1]))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS c FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (x + y - c)),
+ways AS (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT u AS node, u AS seen FROM ways UNION SELECT r.node, w.v FROM reach r JOIN ways w ON w.u = r.seen),
+least_ AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT s.doc_id, s.n AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(l.component_id, s.doc_id) AS kept FROM sizes s LEFT JOIN least_ l ON l.node = s.doc_id"""
+
+ORACLE_SQL["op13_negatives"] = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, v.vec_id, v.label, CAST(list_dot_product(a.q, v.q) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE label = own),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS r
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3"""
