@@ -10,11 +10,11 @@ miss each other with probability 1.3e-5, at 0.85 with 5e-7.
    that copies are one class) and the minimum hashes. A class goes on once.
 2. The keys of all tables are paired: each row of a list with the first and the previous
    one of its part of the list, and the first of the whole list; long lists are dealt out
-   to parts by a salt. That is linear in the rows. Verified pairs give components. Lists
-   whose rows are still in two or more components are then met block by block: rows of one
-   key that are not together yet, on both sides dealt out to blocks, so that no task gets a
-   whole list. Pairs must fit in length and must agree in ``AGREE`` of the 60 hashes, which
-   a pair at the threshold fails with probability 1e-8.
+   to parts by a salt. That is linear in the rows. Verified pairs give components. Classes
+   of lists whose rows are still in two or more components are then compared wherever one
+   of their rarest shingles is the same, which no linked pair can avoid. Pairs must fit in
+   length and must agree in ``AGREE`` of the 60 hashes, which a pair at the threshold fails
+   with probability 5e-8.
 3. Pairs are made distinct and verified once on their full sets.
 """
 
@@ -35,7 +35,7 @@ from gistmill.llm.ngram_join import DEN, NUM, _class_of, shingle_set, similar
 
 SHINGLE = 2
 #: Half-bands, hashes in each, and hashes that a pair has to agree in.
-HALVES, ROWS, AGREE = 20, 3, 28
+HALVES, ROWS, AGREE = 20, 3, 30
 TABLES = list(combinations(range(HALVES), 2))
 #: Rows of a list that one part or block of it holds, about.
 LONG = 20_000
@@ -108,6 +108,14 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "tokens"])
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["a"], pdf["b"], strict=True)]
@@ -133,27 +141,34 @@ class Near:
         order = Window.partitionBy("token").orderBy("n", "cls")
         posts = posts.withColumn("prev", F.lag("cls").over(order)).withColumn("next", F.lead("cls").over(order))
         posts = materialize(posts.where("prev IS NOT NULL OR next IS NOT NULL").select("token", "cls", "n"), "postings")
-        sizes = posts.groupBy("token").agg(F.count("*").alias("size")).where(F.col("size") > self.long).withColumn("parts", F.ceil(F.col("size") / self.long).cast("int"))
-        posts = sized_join(posts, materialize(sizes.select("token", "parts"), "sizes"), "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        # How long each list is, and for each class how many others its lists hold in all.
+        sizes = materialize(posts.groupBy("token").agg(F.count("*").alias("size")), "sizes")
+        met = materialize(posts.join(sizes, "token").groupBy("cls").agg(F.sum("size").alias("met")), "met")
+        sizes = sizes.where(F.col("size") > self.long).select("token", F.ceil(F.col("size") / self.long).cast("int").alias("parts"))
+        posts = sized_join(posts.join(met, "cls"), sizes, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         one = F.struct("cls", "n")
-        order = Window.partitionBy("token", "salt").orderBy("n", "cls")
+        # A text that others were made from meets more classes than they do; it comes first in the lists that it is in.
+        order = Window.partitionBy("token", "salt").orderBy(F.desc("met"), "n", "cls")
         posts = posts.withColumn("salt", F.pmod("cls", "parts").cast("int"))
         posts = materialize(posts.withColumn("prev", F.lag(one).over(order)).withColumn("first", F.first(one).over(order)), "postings")
-        head = posts.where("parts > 1").groupBy("token").agg(F.min_by(one, F.struct("n", "cls")).alias("head"))
+        head = posts.where("parts > 1").groupBy("token").agg(F.min_by(one, F.struct(-F.col("met"), "n", "cls")).alias("head"))
         return sized_join(posts, materialize(head, "heads"), "token", "left")
 
+    def _sets(self, wanted: DataFrame) -> DataFrame:
+        """``cls, tokens`` of the classes in ``wanted``, from a document of each, read again."""
+        owner = materialize(self.classes.select("cls", "doc_id").join(wanted, "cls"), "owners")
+        ids = owner.select(F.col("doc_id").alias("__d"))
+        texts = sized_join(self.docs, ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+        return sized_join(texts.select("text").mapInArrow(_whole_sets, "cls long, tokens binary"), owner.select("cls"), "cls", "left_semi")
+
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(u, v)`` of classes that agree in their sketches and reach the threshold on their full sets."""
         sketches = self.classes.select("cls", "sketch")
         both = pairs.distinct().join(sketches.select(F.col("cls").alias("u"), F.col("sketch").alias("a")), "u")
         both = both.join(sketches.select(F.col("cls").alias("v"), F.col("sketch").alias("b")), "v").select("u", "v", "a", "b")
         pairs = materialize(both.mapInArrow(_agreeing, "u long, v long"), "pairs")
-        wanted = pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct()
-        owner = materialize(self.classes.select("cls", "doc_id").join(wanted, "cls"), "owners")
-        ids = owner.select(F.col("doc_id").alias("__d"))
-        texts = sized_join(self.docs, ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
         # Rows that repeat a document repeat its set; the result is made distinct.
-        sets = sized_join(texts.select("text").mapInArrow(_whole_sets, "cls long, tokens binary"), owner.select("cls"), "cls", "left_semi")
+        sets = self._sets(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct())
         both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")), "u")
         both = both.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")), "v")
         return materialize(both.mapInPandas(_verify, "u long, v long").distinct(), "links")
@@ -171,15 +186,34 @@ class Near:
         return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
 
     def _apart(self, posts: DataFrame, found: DataFrame) -> DataFrame:
-        """Pairs of rows of one key that are in two components, each once. Both sides of a long list are dealt out to blocks, so that no task meets more than two blocks of one."""
+        """Pairs of classes from lists whose rows are in two or more components, each pair once.
+
+        Most of these lists come of one text that all their rows were made from and are too
+        far from each other. So the rows of such lists are met by the shingles that at least
+        one of any two linked sets must share: each set's rarest, in a number that the
+        threshold gives. Long lists of those are dealt out to blocks on both sides, so that
+        no task meets more than two blocks of one.
+        """
         named = posts.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        mixed = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        mixed = materialize(mixed.select("token", F.ceil(F.col("size") / 1000).cast("int").alias("blocks")), "tokens")
-        named = materialize(named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")), "mixed")
-        left = named.select("token", "cls", "n", "component", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-        right = named.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "n", "component")], F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-        met = left.join(right, ["token", "x", "y"])
-        return met.where((F.col("cls") < F.col("other_cls")) & (F.col("component") != F.col("other_component")) & _fits(F.col("n"), F.col("other_n"))).select(F.col("cls").alias("u"), F.col("other_cls").alias("v")).distinct()
+        mixed = materialize(named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "tokens")
+        some = materialize(named.join(mixed, "token").select("cls", "n", "component").distinct(), "mixed")
+        tokens = self._sets(some.select("cls")).mapInArrow(_shingles, "cls long, tokens array<long>").dropDuplicates(["cls"])
+        tokens = materialize(tokens.select("cls", F.explode("tokens").alias("token")), "shingles")
+        often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+        shared = materialize(tokens.join(often, "token"), "shared")
+        # Shingles of a single class come first and meet nothing; what is left of the prefix is taken from the shared ones.
+        own = shared.groupBy("cls").agg(F.count("*").alias("shared")).join(some, "cls").withColumn("own", F.col("n") - F.col("shared"))
+        place = F.row_number().over(Window.partitionBy("cls").orderBy("often", "token")) - 1
+        prefix = shared.withColumn("place", place).join(materialize(own, "own"), "cls").withColumn("pos", F.col("own") + F.col("place"))
+        prefix = prefix.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1).select("token", "often", "cls", "n", "component", "pos")
+        prefix = prefix.withColumn("blocks", F.ceil(F.col("often") / 1000).cast("int")).drop("often").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+        prefix = materialize(prefix, "prefixes")
+        left = prefix.select("token", "cls", "n", "component", "pos", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
+        right = prefix.select("token", *[F.col(c).alias(f"other_{c}") for c in ("cls", "n", "component", "pos")], F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
+        n, m = F.col("n"), F.col("other_n")
+        reach = F.least(n - F.col("pos"), m - F.col("other_pos")) * (NUM + DEN) >= (n + m) * NUM  # shingles from this one on must suffice
+        met = left.join(right, ["token", "x", "y"]).where((F.col("cls") < F.col("other_cls")) & (F.col("component") != F.col("other_component")) & _fits(n, m) & reach)
+        return met.select(F.col("cls").alias("u"), F.col("other_cls").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, long: int = LONG) -> DataFrame:
