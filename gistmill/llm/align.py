@@ -25,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,7 +38,9 @@ from gistmill.llm.common import materialize, need, slices
 from gistmill.llm.perfect_hash import PerfectHash, mixed
 
 #: Units in each of the two generations that a process remembers.
-MEMO = 150_000
+MEMO = 400_000
+#: Stands for the ids of a unit that a tokenizer does not give back.
+WRONG: tuple[bytes, ...] = ()
 #: Pair occurrences counted together, pairs of a shard about, branches of a sum, bytes of the table that tasks read whole.
 RUN, SHARD, FAN, TABLE_BYTES = 1 << 22, 1 << 16, 8, 96 << 20
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
@@ -76,12 +77,12 @@ class Tokenizers:
         self.bytes = (bytes_a, bytes_b)
         self.sizes = tuple(np.array(list(map(len, x)), np.int64) for x in self.bytes)
         # No piece may cross from another character into a space, or units would not stand alone.
-        self.alone = not any(re.search(r"[^ ] ", x.decode("utf-8", "replace")) for x in (*bytes_a, *bytes_b))
-        self.young: dict[str, tuple[bytes, bytes] | None] = {}
-        self.old: dict[str, tuple[bytes, bytes] | None] = {}
+        self.alone = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in (*bytes_a, *bytes_b))
+        self.young: dict[str, tuple[bytes, ...]] = {}
+        self.old: dict[str, tuple[bytes, ...]] = {}
 
     def _both(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        return np.array(self.a.encode(" " + text, add_special_tokens=False).ids, np.int32), np.array(self.b.encode(text), np.int32)
+        return np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int32), np.array(self.b.encode(text), np.int32)
 
     def _right(self, ids: tuple[np.ndarray, np.ndarray], text: str) -> bool:
         raw = (" " + text).encode()
@@ -93,10 +94,10 @@ class Tokenizers:
             return [text]
         return _BORDER.split(text) if text[:1].isspace() or text[-1:].isspace() or _TWO.search(text) else text.split(" ")
 
-    def _learn(self, fresh: list[str]) -> dict[str, tuple[bytes, bytes] | None]:
-        """Ids of units, null for units whose bytes they do not give back. Units that begin and end with other characters are read in one go."""
+    def _learn(self, fresh: list[str]) -> dict[str, tuple[bytes, ...]]:
+        """Ids of units, ``WRONG`` for units whose bytes they do not give back. Units that begin and end with other characters are read in one go."""
         plain = [u for u in fresh if u and not u[0].isspace() and not u[-1].isspace()]
-        out: dict[str, tuple[bytes, bytes] | None] = {}
+        out: dict[str, tuple[bytes, ...]] = {}
         joined = " ".join(plain)
         if plain:
             ids = self._both(joined)
@@ -104,38 +105,36 @@ class Tokenizers:
                 ends = np.cumsum([len(u.encode()) + 1 for u in plain])
                 cuts = [np.searchsorted(np.cumsum(size[x]), ends, "left") + 1 for size, x in zip(self.sizes, ids, strict=True)]
                 last = [0, 0]
-                for u, *now in zip(plain, *(c.tolist() for c in cuts), strict=True):
-                    out[u] = tuple(x[i:j].tobytes() for x, i, j in zip(ids, last, now, strict=True))
-                    last = now
+                raw = [x.tobytes() for x in ids]
+                for u, i, j in zip(plain, *((4 * c).tolist() for c in cuts), strict=True):
+                    out[u] = (raw[0][last[0] : i], raw[1][last[1] : j])
+                    last = [i, j]
         for u in fresh:
             if u not in out:
                 ids = self._both(u)
-                out[u] = tuple(x.tobytes() for x in ids) if self._right(ids, u) else None
+                out[u] = tuple(x.tobytes() for x in ids) if self._right(ids, u) else WRONG
         return out
 
     def read(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of A and B of each text; none where a text is null or empty, or a tokenizer does not give its bytes back."""
         cut = [self.units(t) if t else [] for t in texts]
-        young, old = self.young, self.old
+        known = [list(map(self.young.get, units)) for units in cut]
         fresh: dict[str, None] = {}
-        for units in cut:
-            for u in units:
-                if u not in young:
-                    if u in old:
-                        young[u] = old[u]
-                    else:
-                        fresh[u] = None
+        for units, got in zip(cut, known, strict=True):
+            if None in got:
+                fresh.update((u, None) for u, g in zip(units, got, strict=True) if g is None)
         if fresh:
-            young.update(self._learn(list(fresh)))
-        none = np.zeros(0, np.int32)
-        out = []
-        for units in cut:
-            got = [young[u] for u in units]
-            if not got or None in got:
+            again = {u: g for u in fresh if (g := self.old.get(u)) is not None}
+            self.young.update(again)
+            self.young.update(self._learn([u for u in fresh if u not in again]))
+        young, none, out = self.young, np.zeros(0, np.int32), []
+        for units, got in zip(cut, known, strict=True):
+            if None in got:
+                got = [young[u] for u in units]
+            if not got or WRONG in got:
                 out.append((none, none))
             else:
-                a, b = zip(*got, strict=True)
-                out.append((np.frombuffer(b"".join(a), np.int32), np.frombuffer(b"".join(b), np.int32)))
+                out.append(tuple(np.frombuffer(b"".join([g[side] for g in got]), np.int32) for side in (0, 1)))
         if len(young) > MEMO:
             self.old, self.young = young, {}
         return out
@@ -152,6 +151,12 @@ def _tokenizers(first: str, second: str) -> Tokenizers:
     return _READY[first, second]
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    values = np.sort(values, kind="stable")  # a radix or merge sort, fast on runs
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 class Aligned:
     """Links of some texts at once: ``doc``, ``a`` and ``b`` of every link, in order, and the tokens themselves."""
 
@@ -161,13 +166,16 @@ class Aligned:
         self.ids = [np.concatenate([r[side] for r in read]) if read else np.zeros(0, np.int32) for side in (0, 1)]
         self.ends = [np.cumsum(own.sizes[side][self.ids[side]]) for side in (0, 1)]
         # Both sides cover the same bytes of each text, so ends stay comparable over all of them.
-        cuts = np.union1d(*self.ends)
+        cuts = _distinct(np.concatenate(self.ends))
         at = [np.searchsorted(e, cuts, "left") for e in self.ends]
         self.a, self.b = (x[i].astype(np.int64) for x, i in zip(self.ids, at, strict=True))
         self.doc = np.repeat(np.arange(len(texts)), self.n[0])[at[0]]
         self.key = self.a << 32 | self.b
         # A token ends a group if the other side has the same end.
-        self.closes = [np.isin(e, o, assume_unique=True) for e, o in (self.ends, self.ends[::-1])]
+        both = np.diff(np.append(at[0], len(self.ends[0]))) + np.diff(np.append(at[1], len(self.ends[1]))) == 2 if len(cuts) else np.zeros(0, bool)
+        self.closes = [np.zeros(len(e), bool) for e in self.ends]
+        for closed, i in zip(self.closes, at, strict=True):
+            closed[i[both]] = True
 
     def digests(self) -> tuple[np.ndarray, list[str]]:
         """Number of groups and SHA-256 of their text, ``a1,a2|b1;a3|b2,b3``, of each text; '' without tokens."""
@@ -211,7 +219,7 @@ def _first_pass(first: str, second: str):
             # Pairs of a document once each: keys of the slice as small numbers, then (document, number).
             pairs, number = np.unique(got.key, return_inverse=True)
             if len(pairs):
-                once = np.unique(got.doc * len(pairs) + number)
+                once = _distinct(got.doc * len(pairs) + number)
                 held.append(pairs[once % len(pairs)])
                 size += len(once)
             if size >= RUN:

@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gistmill.llm import ann, bpe, fixity, media, minhash, mixing, negatives, ngram_join, pii, preference, quality, toxicity
+from gistmill.llm import align, ann, bpe, fixity, media, minhash, mixing, negatives, ngram_join, pii, preference, quality, toxicity
 from gistmill.llm.common import load
 
 #: Vocabulary and pattern of the byte-level BPE; parameters, never copied.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The two tokenizers that are aligned.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,10 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formed.withColumns({m: F.array_join(m, ",") for m in ("chosen_mask", "rejected_mask")})
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(load(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+
+
 def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(load(spark, sf_dir, "documents"))
 
@@ -78,4 +84,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_media, op3_ngram_join, op4_mixing, op5_fixity, op6_quality, op7_toxicity, op8_bpe, op9_pii, op10_preference, op12_minhash, op13_negatives, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_media, op3_ngram_join, op4_mixing, op5_fixity, op6_quality, op7_toxicity, op8_bpe, op9_pii, op10_preference, op11_alignment, op12_minhash, op13_negatives, pipeline)}
