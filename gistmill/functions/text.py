@@ -74,7 +74,7 @@ def strip_html_basic(text: Column) -> Column:
 
 def strip_html_feed(text: Column, longest: int = 500) -> Column:
     """A feed's summary: without tags, the common entities read, white space collapsed, at most 500 long."""
-    return F.substring(strip(F.regexp_replace(unescape_common(strip_tags(text)), r"\s+", " ")), 1, longest)
+    return F.substring(strip(F.regexp_replace(unescape_common(strip_tags(text)), r"(?U)\s+", " ")), 1, longest)
 
 
 def extract_text_simple(page: Column, longest: int = 8000, least: int = 100) -> Column:

@@ -133,13 +133,18 @@ def _xml(text: Column) -> Column:
 
 
 def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten articles each as a landed feed ``source, xml``: RSS, or Atom for every third."""
+    """Ten articles each as a landed feed ``source, xml``: RSS, or Atom for every third, every second of those with a prefix; one feed in eleven is cut off."""
     rows = articles(spark, sf_dir, urls=True).select("seq", _xml(F.col("title")).alias("t"), _xml(F.col("url")).alias("u"), _xml(F.col("summary")).alias("s"), F.coalesce("author", F.lit("")).alias("a"), "published")
     feed = F.floor(F.col("seq") / 10)
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
-    rss = F.concat(F.lit("<item>"), tag("title", F.col("t")), tag("link", F.col("u")), tag("description", F.col("s")), tag("author", F.col("a")), tag("pubDate", F.col("published")), F.lit("</item>"))
-    atom = F.concat(F.lit("<entry>"), tag("title", F.col("t")), F.lit('<link href="'), F.col("u"), F.lit('"/>'), tag("summary", F.col("s")), tag("author", tag("name", F.col("a"))), tag("updated", F.col("published")), F.lit("</entry>"))
+    mark = F.when(feed % 2 == 0, "a:").otherwise("")
+    tag = lambda name, c, p=F.lit(""): F.concat(F.lit("<"), p, F.lit(f"{name}>"), c, F.lit("</"), p, F.lit(f"{name}>"))
+    rss = F.concat(F.lit("<item\n>"), tag("title", F.col("t")), tag("link", F.col("u")), tag("description", F.col("s")), tag("author", F.col("a")), F.lit("<dc:creator>nobody</dc:creator><!-- <item><title>none</title></item> -->"), tag("pubDate", F.col("published")), F.lit("</item>"))
+    link = F.concat(F.lit("<"), mark, F.lit("link rel='self' href=''/><"), mark, F.lit("link href='"), F.replace("u", F.lit("'"), F.lit("&apos;")), F.lit("'/>"))
+    atom = tag("entry", F.concat(tag("title", F.col("t"), mark), link, tag("summary", F.col("s"), mark), tag("author", tag("name", F.col("a"), mark), mark), tag("updated", F.col("published"), mark)), mark)
     entries = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.when(feed % 3 == 2, atom).otherwise(rss).alias("x")))), lambda e: e["x"]), "")
     files = rows.groupBy(feed.alias("feed")).agg(entries.alias("x"))
-    xml = F.when(F.col("feed") % 3 == 2, F.concat(F.lit("<feed>"), "x", F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), "x", F.lit("</channel></rss>")))
+    ns = F.lit(' xmlns="http://www.w3.org/2005/Atom">'), F.lit(' xmlns:a="http://www.w3.org/2005/Atom">')
+    whole = F.when(F.col("feed") % 3 == 2, F.when(F.col("feed") % 2 == 0, F.concat(F.lit("<a:feed"), ns[1], "x", F.lit("</a:feed>"))).otherwise(F.concat(F.lit("<feed"), ns[0], "x", F.lit("</feed>"))))
+    whole = F.coalesce(whole, F.concat(F.lit('<?xml version="1.0"?><rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'), "x", F.lit("</channel></rss>")))
+    xml = F.when(F.col("feed") % 11 == 7, F.substring(whole, F.lit(1), F.length(whole) - 9)).otherwise(whole)
     return files.select(F.concat(F.lit("feed"), F.col("feed").cast("string")).alias("source"), xml.alias("xml"))

@@ -646,9 +646,11 @@ def _sink(spark, rows, name: str) -> DataFrame:
 
 @query
 def stream_new_items(spark, sf_dir):
+    """Items of a listing as a stream that starts from a table of ids seen before, a third of all."""
     source = materialize(adapter.items(spark, sf_dir).select("seq", "media_id", "folder_id"), "items")
     items = spark.readStream.schema(source.schema).parquet(source.inputFiles()[0].rsplit("/", 1)[0])
-    return _sink(spark, stream.stream_new_items(items), "fresh").select("media_id")
+    seen = source.where("cast(substr(media_id, 2) AS int) % 3 = 0").select("media_id")
+    return _sink(spark, stream.stream_new_items(items, seen), "fresh").select("media_id", "seq")
 
 
 @query

@@ -311,9 +311,9 @@ SELECT seq, rel_path, title, CAST(score AS INTEGER) AS score, CAST(len(st) AS IN
 _place = "CAST(seq % 10 AS INTEGER) AS pos"
 _clean_title, _clean_summary = (_gone(c, r"^\s+|\s+$") for c in ("title", "summary"))
 _short = f"substr({_gone(_gone(_replaced(_gone('summary', '<[^>]+>'), _ENTITIES), '\\s+', "' '"), '^\\s+|\\s+$')}, 1, 500)"
-ORACLE_SQL["read_feed_xml"] = f"WITH {ARTICLES_SQL} SELECT 'feed' || (seq // 10) AS source, {_place}, {_clean_title} AS title, {_gone('url', r'^\s+|\s+$')} AS url, md5({_short}) AS summary_md5, coalesce(author, '') AS author, published FROM articles"
+ORACLE_SQL["read_feed_xml"] = f"WITH {ARTICLES_SQL} SELECT 'feed' || (seq // 10) AS source, {_place}, {_clean_title} AS title, {_gone('url', r'^\s+|\s+$')} AS url, md5({_short}) AS summary_md5, coalesce(author, '') AS author, published FROM articles WHERE (seq // 10) % 11 <> 7"
 _day = "CASE WHEN published LIKE 'Tue, %' THEN strftime(strptime(substr(published, 6, 11), '%d %b %Y'), '%Y-%m-%d') WHEN regexp_full_match(published, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN published ELSE '' END"
-ORACLE_SQL["normalize_feed_entries"] = f"WITH {ARTICLES_SQL}, f AS (SELECT *, seq // 10 AS feed FROM articles) SELECT 'feed' || feed AS platform, {_place}, {_clean_title} AS title, {_day} AS published, CASE WHEN feed < 40 THEN 'AI技术' END AS category, CASE WHEN feed < 40 THEN CASE WHEN feed % 2 = 1 THEN 'direct' ELSE 'rsshub' END END AS source_type, CASE WHEN feed < 40 THEN '源' || feed END AS source_desc FROM f"
+ORACLE_SQL["normalize_feed_entries"] = f"WITH {ARTICLES_SQL}, f AS (SELECT *, seq // 10 AS feed FROM articles) SELECT 'feed' || feed AS platform, {_place}, {_clean_title} AS title, {_day} AS published, CASE WHEN feed < 40 THEN 'AI技术' END AS category, CASE WHEN feed < 40 THEN CASE WHEN feed % 2 = 1 THEN 'direct' ELSE 'rsshub' END END AS source_type, CASE WHEN feed < 40 THEN '源' || feed END AS source_desc FROM f WHERE feed % 11 <> 7"
 _RATED = f"WITH {ARTICLES_SQL}, {_INTEREST}, rated AS (SELECT a.* EXCLUDE (category), i.category, CAST(i.score AS DOUBLE) AS score FROM articles a JOIN interest i USING (seq))"
 ORACLE_SQL["read_hot_list_json"] = f"{_RATED} SELECT {_place}, 'https://www.zhihu.com/question/' || seq AS url, title, author, CAST(seq * 7 AS VARCHAR) AS published, category, (CAST(round(score * 200) AS BIGINT) + CASE WHEN seq % 3 <> 0 AND seq % 1000 <> 0 THEN seq % 1000 ELSE seq % 77 END) / 100.0 AS raw_score, md5(summary) AS summary_md5 FROM rated WHERE score >= 2 AND title <> ''"
 ORACLE_SQL["read_video_search_json"] = f"{_RATED} SELECT {_place}, 'https://www.bilibili.com/video/BV' || seq AS url, md5(trim(title)) AS title_md5, CAST(seq AS VARCHAR) AS published, category, (CAST(round(score * 200) AS BIGINT) + CASE WHEN seq % 2 = 0 THEN seq * 7 + (seq % 50) * 50 + (seq % 30) * 30 ELSE seq % 11 END) / 100.0 AS raw_score FROM rated WHERE score >= 2 AND trim(title) <> ''"
@@ -341,7 +341,7 @@ ORACLE_SQL["split_sentences"] = r"WITH " + ARTICLES_SQL + r", s AS (SELECT seq,
 ORACLE_SQL["digest_calendar"] = f"SELECT doc_id, ({_list(rules.WEEKDAYS)})[isodow(d)] AS weekday, strftime(d + 1, '%Y-%m-%d') AS next_run, strftime(d, '%Y-%m-%d') AS shown FROM (SELECT doc_id, DATE '{NOW}' + CAST(doc_id % 1000 AS INTEGER) AS d FROM documents)"
 ORACLE_SQL["dedup_notes"] = f"WITH {_NOTES} SELECT regexp_replace(title, ' [0-9]+$', '') AS title, max(rel_path) AS rel_path FROM notes GROUP BY 1"
 ORACLE_SQL["render_source_list"] = "SELECT string_agg('- **' || n_name || '** (`' || lower(n_name) || '`) — ' || CASE WHEN n_regionkey % 2 = 0 THEN 'direct' ELSE 'rsshub' END, chr(10) ORDER BY n_nationkey) AS body, count(*) AS n FROM nation"
-ORACLE_SQL["stream_new_items"] = f"WITH {ITEMS_SQL} SELECT DISTINCT media_id FROM items WHERE folder_id IS NULL"
+ORACLE_SQL["stream_new_items"] = f"WITH {ITEMS_SQL} SELECT media_id, min(seq) AS seq FROM items WHERE folder_id IS NULL AND CAST(substr(media_id, 2) AS INTEGER) % 3 <> 0 GROUP BY 1"
 _STREAMED = f"streamed AS {_depth_of("(SELECT doc_id AS seq, coalesce(text, '') AS content FROM documents)")}"
 ORACLE_SQL["stream_score"] = f"WITH {_STREAMED} SELECT seq, CAST(score AS DOUBLE) AS score, {_level} AS level FROM streamed WHERE score >= 0.5"
 ORACLE_SQL["stream_digest_batches"] = f"WITH {_STREAMED} SELECT {_level} AS level, count(*) AS n FROM streamed GROUP BY 1"

@@ -9,28 +9,61 @@ from gistmill import rules
 from gistmill.functions.curation import parse_published
 from gistmill.functions.exprs import contains_any, first_filled, strip
 from gistmill.functions.scoring import interest_classify, popularity_score
-from gistmill.functions.text import strip_html_basic, strip_html_feed, strip_tags, unescape_common
+from gistmill.functions.text import strip_html_basic, strip_html_feed, strip_tags
 from gistmill.shared import sized_join
 
-ENTRY = "array<struct<title:string,url:string,summary:string,author:string,published:string>>"
+ATOM = "http://www.w3.org/2005/Atom"
+_TEXTS = ", ".join(f"{n} array<string>" for n in ("title", "link", "description", "author", "pubDate"))
+_ITEM = f"array<struct<{_TEXTS.replace(' array', ': array')}>>"
+_ENTRY = "array<struct<title: array<string>, link: array<struct<_href: string>>, summary: array<string>, author: array<struct<name: array<string>>>, published: array<string>, updated: array<string>>>"
+#: What a feed may hold: items in channels or under the root, entries under the root.
+FEED = f"channel array<struct<item: {_ITEM}>>, item {_ITEM}, entry {_ENTRY}, _broken string"
+_ASIDE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>"
 
 
-def _tag(block: Column, tag: str) -> Column:
-    raw = F.regexp_extract(block, rf"(?s)<{tag}(?:\s[^>]*)?>(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?</{tag}>", 1)
-    return strip(unescape_common(raw))
+def _first(texts: Column) -> Column:
+    return strip(F.coalesce(F.get(texts, 0), F.lit("")))
+
+
+def _declared(feeds: DataFrame) -> DataFrame:
+    """``source, xml`` and what a parser without namespaces does not tell: the default namespace of the root, the prefix of Atom, and whether all prefixes and entities are known."""
+    bare = F.regexp_replace("xml", _ASIDE, "")
+    rows = feeds.select("source", "xml", bare.alias("__bare")).withColumn("__root", F.regexp_extract("__bare", r"(?s)<([A-Za-z_][^>]*)>", 1))
+    attribute = lambda name: F.regexp_extract("__root", rf"(?s)\sxmlns{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    prefix = F.regexp_extract("__root", rf"(?s)\sxmlns:([\w.-]+)\s*=\s*[\"']{ATOM}[\"']", 1)
+    used = F.array_distinct(F.regexp_extract_all("__bare", F.lit(r"</?([A-Za-z_][\w.-]*):"), F.lit(1)))
+    given = F.regexp_extract_all("__bare", F.lit(r"\sxmlns:([\w.-]+)\s*="), F.lit(1))
+    unknown = F.size(F.array_except(used, F.concat(given, F.array(F.lit("xml"))))) > 0
+    entity = F.col("__bare").rlike(r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)") & ~F.col("xml").contains("<!ENTITY")
+    return rows.select("source", "xml", attribute("").alias("__default"), prefix.alias("__prefix"), (unknown | entity).alias("__odd"))
 
 
 def read_feed_xml(feeds: DataFrame) -> DataFrame:
     """``feeds(source, xml)`` as entries ``source, pos, title, url, summary, author, published``; RSS items, then Atom entries.
 
-    Malformed feeds, those without their closing root tag, give no rows; summaries lose their tags and are at most 500 long.
+    Spark's XML parser reads each feed. One that is not well-formed, and one that uses a
+    prefix or an entity that it does not declare, gives no rows; so does a null or an empty
+    one. Items count without a namespace, entries in that of Atom, whatever their prefix. Of
+    repeated elements the first counts, of links the first with an address. Summaries lose
+    their tags and are at most 500 long.
     """
-    whole = F.when(F.col("xml").rlike(r"(?s)</(?:rss|feed|rdf:RDF)>\s*\z"), F.col("xml")).otherwise("")
-    short = strip_html_feed
-    rss = F.transform(F.regexp_extract_all(whole, F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0)), lambda b: F.struct(_tag(b, "title").alias("title"), _tag(b, "link").alias("url"), short(_tag(b, "description")).alias("summary"), first_filled(_tag(b, "author"), _tag(b, "dc:creator")).alias("author"), _tag(b, "pubDate").alias("published")))
-    atom = F.transform(F.regexp_extract_all(whole, F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0)), lambda b: F.struct(_tag(b, "title").alias("title"), unescape_common(F.regexp_extract(b, r'<link[^>]*href="([^"]+)"', 1)).alias("url"), short(_tag(b, "summary")).alias("summary"), _tag(b, "name").alias("author"), first_filled(_tag(b, "published"), _tag(b, "updated")).alias("published")))
-    rows = feeds.select("source", F.posexplode(F.concat(rss.cast(ENTRY), atom.cast(ENTRY))).alias("pos", "e"))
-    return rows.select("source", "pos", "e.*")
+    rows = _declared(feeds.where("xml IS NOT NULL AND trim(xml) <> ''")).where("NOT __odd")
+    # A prefix that stands for Atom is taken off; without one, nothing matches.
+    prefixed = F.col("__prefix") != ""
+    plain = F.when(prefixed, F.regexp_replace(F.col("xml"), F.concat(F.lit(r"(</?)"), F.col("__prefix"), F.lit(":")), F.lit("$1"))).otherwise(F.col("xml"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "attributePrefix": "_", "ignoreSurroundingSpaces": "false"}
+    rows = rows.withColumn("__rss", F.from_xml("xml", FEED, options)).withColumn("__atom", F.when(prefixed, F.from_xml(plain, FEED, options)).otherwise(F.col("__rss")))
+    rows = rows.where("__rss IS NOT NULL AND __rss._broken IS NULL")
+    none = F.array()
+    nested = F.flatten(F.transform(F.coalesce("__rss.channel", none), lambda c: F.coalesce(c["item"], none.cast(_ITEM))))
+    items = F.when(F.col("__default") == "", F.concat(F.coalesce(nested, none), F.coalesce("__rss.item", none))).otherwise(none)
+    entries = F.when(prefixed | (F.col("__default") == ATOM), F.coalesce("__atom.entry", none)).otherwise(none)
+    short = lambda texts: strip_html_feed(_first(texts))
+    rss = F.transform(items, lambda x: F.struct(_first(x["title"]).alias("title"), _first(x["link"]).alias("url"), short(x["description"]).alias("summary"), _first(x["author"]).alias("author"), _first(x["pubDate"]).alias("published")))
+    url = lambda x: F.coalesce(F.get(F.filter(F.coalesce(x["link"]["_href"], none.cast("array<string>")), lambda h: F.coalesce(h, F.lit("")) != ""), 0), F.lit(""))
+    atom = F.transform(entries, lambda x: F.struct(_first(x["title"]).alias("title"), url(x).alias("url"), short(x["summary"]).alias("summary"), _first(F.get(x["author"], 0)["name"]).alias("author"), strip(F.coalesce(F.nullif(F.get(x["published"], 0), F.lit("")), F.get(x["updated"], 0), F.lit(""))).alias("published")))
+    found = rows.select("source", F.posexplode(F.concat(rss, atom)).alias("pos", "e"))
+    return found.select("source", "pos", "e.*")
 
 
 def normalize_feed_entries(entries: DataFrame, sources: DataFrame) -> DataFrame:
