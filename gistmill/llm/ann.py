@@ -113,7 +113,7 @@ def _search(bits: int, seed: int, k: int, sigmas: float):
 
 def build_index(vectors: DataFrame, bits: int = 256, seed: int = 7) -> DataFrame:
     """Blocks of one-bit codes with the vectors they stand for; every usable row of ``vectors(vec_id, embedding)``."""
-    return need(vectors, ["vec_id", "embedding"]).mapInPandas(_encode(bits, seed), BLOCK_SCHEMA)
+    return need(vectors, ["vec_id", "embedding"]).where("vec_id IS NOT NULL").mapInPandas(_encode(bits, seed), BLOCK_SCHEMA)
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, bits: int = 256, sigmas: float = 1.9, seed: int = 7) -> DataFrame:
@@ -126,7 +126,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, bits: int = 256,
     comparisons in the block of the row. Empty tables give an empty result.
     """
     index = build_index(vectors, bits, seed)
-    rows = need(queries, ["vec_id", "embedding"])
+    rows = need(queries, ["vec_id", "embedding"]).where("vec_id IS NOT NULL")  # a null would turn the ids of its batch into doubles
     size = rows.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
     rows = rows.repartition(max(1, -(-size // BLOCK_BYTES)), F.xxhash64("vec_id"))
     packed = rows.mapInPandas(_encode(bits, seed), BLOCK_SCHEMA).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.monotonically_increasing_id().alias("q_block"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gistmill.shared import materialize, shared_dir, sized_join, small
 
-__all__ = ["SLICE", "WORD", "load", "materialize", "need", "numbered", "shared_dir", "sized_join", "slices", "small", "unwrap", "wrapped"]
+__all__ = ["SLICE", "WORD", "load", "materialize", "ids_back", "ids_whole", "need", "numbered", "shared_dir", "sized_join", "slices", "small", "unwrap", "wrapped"]
 
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 20
@@ -25,6 +25,16 @@ def need(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
+def ids_whole(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with 0 for null ids and ``__no_id`` to tell them: pandas turns a column that holds a null into doubles, which lose the last bits of large ids."""
+    return df.withColumns({name: F.coalesce(name, F.lit(0).cast("long")), "__no_id": F.col(name).isNull()})
+
+
+def ids_back(df: DataFrame, name: str) -> DataFrame:
+    """Undoes ``ids_whole``."""
+    return df.withColumn(name, F.when(~F.col("__no_id"), F.col(name))).drop("__no_id")
+
+
 def wrapped(df: DataFrame) -> Column:
     """All columns of ``df`` as one struct, beside which any name is free; ``unwrap`` turns it back."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])

@@ -48,9 +48,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     size = field("Content-Length").try_cast("int")
     rows = raw.withColumns({"type": field("WARC-Type"), "url": field("WARC-Target-URI"), "content_length": size, "start": F.octet_length(head) + 4, "bytes": F.col("value").cast("binary")})
     whole = F.octet_length("bytes") == F.col("start") + F.col("content_length") + 4
+    # Only names and places of records are sorted by file, never the records.
     place = F.row_number().over(Window.partitionBy("path").orderBy("at")).cast("long") - 1
+    rows = rows.join(raw.select("path", "at").withColumn("position", place).select("at", "position"), "at")
     digest = F.sha2(F.concat(F.encode(F.lit(VERSION), "UTF-8"), F.col("bytes")), 256)
-    return rows.select("path", place.alias("position"), "type", "url", "content_length", F.substring("bytes", F.col("start") + 1, F.coalesce("content_length", F.lit(0))).alias("block"), digest.alias("digest"), (F.octet_length("bytes") + len(VERSION)).cast("long").alias("length"), F.coalesce(whole, F.lit(False)).alias("complete"))
+    return rows.select("path", "position", "type", "url", "content_length", F.substring("bytes", F.col("start") + 1, F.coalesce("content_length", F.lit(0))).alias("block"), digest.alias("digest"), (F.octet_length("bytes") + len(VERSION)).cast("long").alias("length"), F.coalesce(whole, F.lit(False)).alias("complete"))
 
 
 def _hex(digest: Column, at: int, digits: int) -> Column:
@@ -62,7 +64,8 @@ def pack(pages: DataFrame) -> DataFrame:
 
     Page ``i`` has slot ``i % 1024`` of file ``i // 1024``. Rows that repeat an id share its
     slot, whose digest is then that of their number and the sums of their digests' parts, so
-    that even very many are only added up. Pages with a null id get file (one of 256 with
+    that even very many are only added up. Ids may have any sign and size; files of negative
+    ids have negative numbers. Pages with a null id get file (one of 256 with
     negative numbers) and slot by their digest. Null url and html count as empty, further
     columns are not read, and an empty table gives an empty result. Only hashes and lengths
     are shuffled, never the pages.
@@ -71,7 +74,7 @@ def pack(pages: DataFrame) -> DataFrame:
     rows = need(pages, ["page_id", "url", "html"]).select(F.col("page_id").cast("long").alias("page_id"), F.octet_length(raw).cast("long").alias("length"), F.sha2(F.encode(raw, "UTF-8"), 256).alias("digest"))
     known = F.col("page_id").isNotNull()
     rows = rows.select(
-        F.when(known, F.floor(F.col("page_id") / FILE_RECORDS)).otherwise(_hex(F.col("digest"), 1, 2) - NAMELESS).alias("file"),
+        F.when(known, F.shiftright("page_id", FILE_RECORDS.bit_length() - 1)).otherwise(_hex(F.col("digest"), 1, 2) - NAMELESS).alias("file"),
         F.when(known, F.pmod("page_id", F.lit(FILE_RECORDS))).otherwise(_hex(F.col("digest"), 3, 8) % FILE_RECORDS).alias("ordinal"),
         "page_id", "length", "digest",
     )
@@ -93,17 +96,18 @@ def _parent(height: int) -> tuple[Column, Column]:
     """Key of the node above, for a node of that height; a file's root has height 3."""
     if FANOUT**height < FILE_RECORDS:
         return F.col("file"), F.floor(F.col("node") / FANOUT)
-    return F.floor(F.col("file") / FANOUT), F.lit(0).cast("long")
+    # Whole shifts keep all bits. Files below zero end at -1, which goes to the node above file 0.
+    return F.when(F.col("file") == -1, 0).otherwise(F.shiftright("file", FANOUT.bit_length() - 1)).cast("long"), F.lit(0).cast("long")
 
 
 def height(records: DataFrame) -> int:
-    """Levels above the records that lead to one root."""
-    most = (records.agg(F.max("file")).first()[0] or 0) + NAMELESS
-    levels = 0
+    """Levels above the records that lead to one root, whatever the signs of the files."""
+    row = records.agg(F.min("file"), F.max("file")).first()
+    ends, levels = {(x or 0) + NAMELESS for x in row}, 0
     while FANOUT**levels < FILE_RECORDS:
         levels += 1
-    while most > 0:
-        most, levels = most // FANOUT, levels + 1
+    while ends != {0}:
+        ends, levels = {0 if x == -1 else x // FANOUT for x in ends}, levels + 1
     return levels
 
 
@@ -118,8 +122,10 @@ def tree(records: DataFrame, levels: int | None = None) -> list[DataFrame]:
 
 def root(levels: list[DataFrame]) -> str | None:
     """The replica's root hash, one short string; None if it has no records."""
-    row = levels[-1].first()
-    return row["digest"] if row else None
+    rows = levels[-1].limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("the tree has more than one root")
+    return rows[0]["digest"] if rows else None
 
 
 def audit(kept: DataFrame, copy: DataFrame) -> DataFrame:

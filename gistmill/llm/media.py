@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import need
+from gistmill.llm.common import ids_back, ids_whole, need
 
 ROW = 64
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string,n_bytes:bigint>"
@@ -145,12 +145,13 @@ def parse_html(text: str | None) -> list[dict]:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "items": [parse_html(x) for x in pdf["html"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "__no_id": pdf["__no_id"], "items": [parse_html(x) for x in pdf["html"]]})
 
 
 def interleave(pages: DataFrame) -> DataFrame:
     """``pages(doc_id, html)`` as ``doc_id, items``: the document's text and media references in order; null html has none."""
-    return need(pages, ["doc_id", "html"]).mapInPandas(_parse, f"doc_id long, items array<{ITEM}>")
+    rows = ids_whole(need(pages, ["doc_id", "html"]), "doc_id")
+    return ids_back(rows.mapInPandas(_parse, f"doc_id long, __no_id boolean, items array<{ITEM}>"), "doc_id")
 
 
 def references(sequences: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import materialize, need, sized_join
+from gistmill.llm.common import ids_back, ids_whole, materialize, need, sized_join
 
 #: Most labelled rows that a fit uses, those with the smallest hashes.
 MAX_ROWS = 60_000
@@ -66,12 +66,13 @@ N_STATS = len(statistics(""))
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "stats": [statistics(t) for t in pdf["text"]]})
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "__no_id": pdf["__no_id"], "stats": [statistics(t) for t in pdf["text"]]})
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """``doc_id, stats`` for every row of ``docs(doc_id, text)``; null texts count as empty."""
-    return materialize(need(docs, ["doc_id", "text"]).mapInPandas(_measure, "doc_id long, stats array<float>"), "stats")
+    rows = ids_whole(need(docs, ["doc_id", "text"]), "doc_id")
+    return materialize(ids_back(rows.mapInPandas(_measure, "doc_id long, __no_id boolean, stats array<float>"), "doc_id"), "stats")
 
 
 class Model:
@@ -178,9 +179,10 @@ def score(stats: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 value = np.clip(model.score(np.stack(pdf["stats"].to_list()).astype(np.float64)), 0, 1)
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": value, "predicted": (value >= threshold).astype(np.int32)})
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "__no_id": pdf["__no_id"], "score": value, "predicted": (value >= threshold).astype(np.int32)})
 
-    return stats.mapInPandas(run, "doc_id long, score double, predicted int").select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+    scored = ids_whole(stats.select("doc_id", "stats"), "doc_id").mapInPandas(run, "doc_id long, __no_id boolean, score double, predicted int")
+    return ids_back(scored, "doc_id").select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
