@@ -22,11 +22,11 @@ def read_items(spark: SparkSession, path: str, schema, files_per_trigger: int =
 class FirstSeen(StatefulProcessor):
     """Lets the first row of a key pass, by ``order``, and remembers that it did; keys of the initial state never pass."""
 
-    def __init__(self, order: str | None, ttl_ms: int | None):
-        self.order, self.ttl_ms = order, ttl_ms
+    def __init__(self, order: str | None):
+        self.order = order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "once boolean", self.ttl_ms)
+        self.seen = handle.getValueState("seen", "once boolean")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         self.seen.update((True,))
@@ -50,26 +50,25 @@ def _fresh(items: DataFrame) -> DataFrame:
     return items.where("media_id IS NOT NULL AND folder_id IS NULL")
 
 
-def stream_new_items(items: DataFrame, seen: DataFrame | None = None, within: str | None = None, ttl_ms: int | None = None, order: str | None = "seq") -> DataFrame:
+def stream_new_items(items: DataFrame, seen: DataFrame | None = None, within: str | None = None, order: str | None = "seq") -> DataFrame:
     """Items whose media_id has not passed before; rows of folders never pass.
 
-    With ``seen(media_id)`` or ``ttl_ms`` the ids are a keyed state, started from that table,
-    so a stream with a new checkpoint does not repeat what an earlier one let pass; of the
-    rows of a key in a batch the first by ``order`` passes. Ids are forgotten ``ttl_ms`` after
-    they were met, where that is given. This needs the RocksDB state store, which is set for
-    the session. Without both, every id is remembered for good, or with ``within`` (an
+    With ``seen(media_id)`` the ids are a keyed state that starts from that table, so a stream
+    with a new checkpoint does not repeat what an earlier one let pass; of the rows of a key
+    in a batch the first by ``order`` passes. This needs the RocksDB state store, which is set
+    for the session. Without it, every id is remembered for good, or with ``within`` (an
     interval, for a stream that has a watermark on ``ts``) for that time.
     """
     rows = _fresh(items)
-    if seen is None and ttl_ms is None:
+    if seen is None:
         return rows.withWatermark("ts", within).dropDuplicatesWithinWatermark(["media_id"]) if within else rows.dropDuplicates(["media_id"])
     items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    before = None if seen is None else seen.select("media_id").where("media_id IS NOT NULL").distinct().groupBy("media_id")
+    before = seen.select("media_id").where("media_id IS NOT NULL").distinct().groupBy("media_id")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
-    return rows.groupBy("media_id").transformWithStateInPandas(FirstSeen(order if order in rows.columns else None, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None", before)
+    return rows.groupBy("media_id").transformWithStateInPandas(FirstSeen(order if order in rows.columns else None), schema, "Append", "None", before)
 
 
-def sync_items(items: DataFrame, path: str, checkpoint: str, ttl_ms: int | None = None) -> StreamingQuery:
+def sync_items(items: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """One incremental sync: items that no earlier sync into ``path`` passed go to ``path/items``, and each batch stamps ``path/sync``.
 
     A batch is written under the name of its sync and number, so a repeated batch replaces
@@ -84,7 +83,7 @@ def sync_items(items: DataFrame, path: str, checkpoint: str, ttl_ms: int | None
         kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/items/sync={name}")
         kept.agg(F.count("*").alias("n"), F.current_timestamp().alias("last_sync")).coalesce(1).write.mode("overwrite").parquet(f"{path}/sync/sync={name}")
 
-    fresh = stream_new_items(items, seen_items(spark, path), ttl_ms=ttl_ms)
+    fresh = stream_new_items(items, seen_items(spark, path))
     return fresh.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
