@@ -43,8 +43,8 @@ def read_feed_xml(feeds: DataFrame) -> DataFrame:
 
     Spark's XML parser reads each feed. One that is not well-formed, and one that uses a
     prefix or an entity that it does not declare, gives no rows; so does a null or an empty
-    one. Items count without a namespace, entries in that of Atom, whatever their prefix. Of
-    repeated elements the first counts, of links the first with an address. Summaries lose
+    one. Items count without a namespace, entries in that of Atom, whatever their prefix, or
+    without any, as some feeds leave it out. Of repeated elements the first counts, of links the first with an address. Summaries lose
     their tags and are at most 500 long.
     """
     rows = _declared(feeds.where("xml IS NOT NULL AND trim(xml) <> ''")).where("NOT __odd")
@@ -57,7 +57,7 @@ def read_feed_xml(feeds: DataFrame) -> DataFrame:
     none = F.array()
     nested = F.flatten(F.transform(F.coalesce("__rss.channel", none), lambda c: F.coalesce(c["item"], none.cast(_ITEM))))
     items = F.when(F.col("__default") == "", F.concat(F.coalesce(nested, none), F.coalesce("__rss.item", none))).otherwise(none)
-    entries = F.when(prefixed | (F.col("__default") == ATOM), F.coalesce("__atom.entry", none)).otherwise(none)
+    entries = F.when(prefixed | F.col("__default").isin(ATOM, ""), F.coalesce("__atom.entry", none)).otherwise(none)
     short = lambda texts: strip_html_feed(_first(texts))
     rss = F.transform(items, lambda x: F.struct(_first(x["title"]).alias("title"), _first(x["link"]).alias("url"), short(x["description"]).alias("summary"), _first(x["author"]).alias("author"), _first(x["pubDate"]).alias("published")))
     url = lambda x: F.coalesce(F.get(F.filter(F.coalesce(x["link"]["_href"], none.cast("array<string>")), lambda h: F.coalesce(h, F.lit("")) != ""), 0), F.lit(""))

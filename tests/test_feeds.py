@@ -26,7 +26,6 @@ FEEDS = {
     "unknown entity": RSS.format("<item><title>a&nbsp;b</title></item>"),
     "cut off": RSS.format("<item><title>one</title></item>")[:-20],
     "attributes": RSS.format('<item id="7"><title type="html">one</title><guid isPermaLink="false">g</guid></item>'),
-    "entry without namespace": "<feed><entry><title>x</title></entry></feed>",
     "empty elements": RSS.format("<item><title/><link></link><description/></item>"),
     "updated": f'<feed xmlns="{ATOM}"><entry><title> t </title><published></published><updated> 2024-05-06 </updated><author><name> bob </name></author></entry><entry/></feed>',
     "not xml": "hello",
@@ -73,3 +72,10 @@ def test_feed_agrees_with_a_tree_parser(read, name):
 def test_null_feeds_give_nothing(read, spark):
     assert read["null"] == []
     assert feeds.read_feed_xml(spark.createDataFrame([], "source string, xml string")).count() == 0
+
+
+def test_entries_without_a_namespace_count(spark):
+    """A tree parser that asks for the namespace finds none; feeds that leave it out are read all the same."""
+    xml = "<feed><entry><title>x</title><link href='u'/></entry></feed>"
+    assert plain(xml) == []
+    assert [tuple(r) for r in feeds.read_feed_xml(spark.createDataFrame([("s", xml)], "source string, xml string")).collect()] == [("s", 0, "x", "u", "", "", "")]
