@@ -80,63 +80,99 @@ def append_index_entries(candidates: DataFrame, index: DataFrame, today: Column)
     return fresh.withColumn("entry", entry)
 
 
-def suggest_links(candidates: DataFrame, notes: DataFrame, k: int = 8) -> DataFrame:
+#: What one key in common is worth; of a subdomain one counts, however many are shared.
+_WORTH = {"t": 3, "g": 2, "d": 5, "s": 4}
+
+
+def _keys(terms: Column, tags: Column, domains: Column, subs: Column) -> Column:
+    """All that a side can be met by, as one array of typed keys; nulls are none."""
+    typed = lambda kind, c: F.transform(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: x.isNotNull()), lambda x: F.concat(F.lit(kind), x))
+    return F.array_distinct(F.concat(typed("t", terms), typed("g", tags), typed("d", domains), typed("s", subs)))
+
+
+def link_pairs(cands: DataFrame, notes: DataFrame, k: int, hot: int) -> DataFrame:
+    """Distinct pairs ``(seq, nid)`` among which the k best notes of each ``cands(seq, keys)`` in ``notes(nid, rel_path, keys)`` are.
+
+    A key is hot if it is a label or more than ``hot`` notes hold it. Pairs that share
+    another key are all formed: at most ``hot`` for each key of a candidate. Of the rest,
+    what is shared depends on the hot keys of either side alone. So notes with the same hot
+    keys are stood for by the first k of them by path, candidates with the same hot keys are
+    met once, and the k best of those notes suffice: whatever else ranks before them shares
+    another key, and whatever does not ranks behind them. A term in every note so costs k
+    pairs a candidate. No group is gathered: ranks are limited before each shuffle.
+    """
+    held = notes.select("nid", "rel_path", F.explode("keys").alias("key"))
+    often = materialize(held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key", F.lit(True).alias("often")), "often")
+    label = F.substring("key", 1, 1).isin("d", "s")
+    marked = lambda rows: sized_join(rows, often, "key", "left").withColumn("is_hot", F.coalesce("often", label)).drop("often")
+    held, asked = materialize(marked(held), "held"), materialize(marked(cands.select("seq", F.explode("keys").alias("key"))), "asked")
+    rare = held.where("NOT is_hot").select("key", "nid").join(asked.where("NOT is_hot").select("key", "seq"), "key").select("seq", "nid")
+
+    group = F.sort_array(F.collect_set("key"))
+    noted = held.where("is_hot").groupBy("nid", "rel_path").agg(group.alias("keys")).withColumn("n_group", F.md5(F.concat_ws("\n", "keys")))
+    first = F.row_number().over(Window.partitionBy("n_group").orderBy("rel_path", "nid"))
+    stand = materialize(noted.withColumn("at", first).where(F.col("at") <= k), "stand")
+    wanted = materialize(asked.where("is_hot").groupBy("seq").agg(group.alias("keys")).withColumn("c_group", F.md5(F.concat_ws("\n", "keys"))), "wanted")
+    note_groups = stand.where("at = 1").select("n_group", F.explode("keys").alias("key"))
+    cand_groups = wanted.groupBy("c_group").agg(F.first("keys").alias("keys")).select("c_group", F.explode("keys").alias("key"))
+    kind = F.substring("key", 1, 1)
+    worth = sum((F.count_if(kind == c) * _WORTH[c] for c in "tgd"), F.max(F.when(kind == "s", _WORTH["s"]).otherwise(0)))
+    met = note_groups.join(cand_groups, "key").groupBy("c_group", "n_group").agg(worth.alias("worth"))
+    best = F.row_number().over(Window.partitionBy("c_group").orderBy(F.desc("worth"), "rel_path", "nid"))
+    best = met.join(stand.select("n_group", "rel_path", "nid"), "n_group").withColumn("at", best).where(F.col("at") <= k).select("c_group", "nid")
+    return rare.unionAll(wanted.select("seq", "c_group").join(best, "c_group").select("seq", "nid")).distinct()
+
+
+def suggest_links(candidates: DataFrame, notes: DataFrame, k: int = 8, hot: int = 256) -> DataFrame:
     """The k notes with most in common with each candidate: ``seq, rel_path, title, score, n_terms, n_tags, same_domain, same_subdomain, reason``.
 
     3 for each shared title term, 2 for each shared tag, 5 if the note's path names the
     domain, 4 if its title or path names a subdomain; ties by path. ``reason`` names them,
-    of terms and tags the first three in order. Terms and tags meet by equi-joins. For
-    pairs with nothing but their domain or subdomain in common, only the first k notes of
-    each label can matter, so no more are paired. Both sides are written once, as the
-    columns that the joins need.
+    of terms and tags the first three in order. All are typed keys that meet in one join;
+    ``hot`` decides which are met by groups (``link_pairs``) and changes no result. Null
+    titles and tags share nothing. Both sides are written once, as the columns needed.
     """
     labels = sorted({d.split("-", 1)[1] for d, _ in rules.DOMAINS})
     subs = sorted({n for rows in rules.SUBDOMAINS.values() for n, _ in rows})
     named = lambda text, names: F.filter(F.array(*map(F.lit, names)), lambda n: F.contains(text, n))
     both = F.concat_ws("\n", "title", "rel_path")
-    notes = materialize(notes.select("title", "rel_path", tokenize_ngrams(F.col("title")).alias("terms"), F.array_distinct("tags").alias("tags"), named(F.col("rel_path"), labels).alias("domains"), named(both, subs).alias("subs")), "notes")
-    cands = materialize(candidates.select("seq", tokenize_ngrams(F.col("title")).alias("c_terms"), F.array_distinct("tags").alias("c_tags"), "domain_name", "subdomains"), "candidates")
-
-    def shared(c: str, n: str) -> DataFrame:
-        return notes.select("rel_path", F.explode(n).alias("x")).join(cands.select("seq", F.explode(c).alias("x")), "x").select("seq", "rel_path")
-
-    def labelled(labels: list, c: DataFrame, n: DataFrame) -> DataFrame:
-        """Pairs by labels; the notes of a label that come first by path stand for all of them."""
-        first = Window.partitionBy(*labels).orderBy("rel_path")
-        return c.join(n.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k), labels).select("seq", "rel_path")
-
-    by_domain = cands.select("seq", F.col("domain_name").alias("x"), "subdomains"), notes.select("rel_path", F.explode("domains").alias("x"), "subs")
-    by_sub = cands.select("seq", F.explode("subdomains").alias("y")), notes.select("rel_path", F.explode("subs").alias("y"))
-    by_both = by_domain[0].select("seq", "x", F.explode("subdomains").alias("y")), by_domain[1].select("rel_path", "x", F.explode("subs").alias("y"))
-    pairs = shared("c_terms", "terms").unionAll(shared("c_tags", "tags")).unionAll(labelled(["x"], *by_domain)).unionAll(labelled(["y"], *by_sub)).unionAll(labelled(["x", "y"], *by_both)).distinct()
-    rows = pairs.join(cands, "seq").join(notes, "rel_path").withColumns({
-        "s_terms": F.array_sort(F.array_intersect("c_terms", "terms")),
-        "s_tags": F.array_sort(F.array_intersect("c_tags", "tags")),
-        "same_domain": F.coalesce(F.array_contains("domains", F.col("domain_name")), F.lit(False)),
-        "s_subs": F.filter("subdomains", lambda s: F.array_contains("subs", s)),
-    })
-    rows = rows.withColumns({"n_terms": F.size("s_terms"), "n_tags": F.size("s_tags"), "same_subdomain": F.size("s_subs") > 0})
-    score = F.col("n_terms") * 3 + F.col("n_tags") * 2 + F.when(F.col("same_domain"), 5).otherwise(0) + F.when(F.col("same_subdomain"), 4).otherwise(0)
-    told = lambda what, c: F.when(F.size(c) > 0, F.concat(F.lit(what), F.array_join(F.slice(c, 1, 3), ", ")))
-    reason = F.concat_ws(" | ", told("关键词匹配: ", "s_terms"), F.when(F.col("same_domain"), F.concat(F.lit("同域: "), "domain_name")), told("共享标签: ", "s_tags"), F.when(F.col("same_subdomain"), F.concat(F.lit("子域: "), F.get("s_subs", 0))))
-    best = Window.partitionBy("seq").orderBy(F.desc("score"), "rel_path")
-    return rows.withColumn("score", score).where("score > 0").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("seq", "rel_path", "title", "score", "n_terms", "n_tags", "same_domain", "same_subdomain", reason.alias("reason"))
+    notes = notes.select(F.monotonically_increasing_id().alias("nid"), "rel_path", "title", _keys(tokenize_ngrams(F.col("title")), F.col("tags"), named(F.col("rel_path"), labels), named(both, subs)).alias("keys"))
+    notes = materialize(notes, "notes")
+    cands = materialize(candidates.select("seq", _keys(tokenize_ngrams(F.col("title")), F.col("tags"), F.array("domain_name"), F.col("subdomains")).alias("keys")), "candidates")
+
+    pairs = link_pairs(cands, notes, k, hot)
+    rows = pairs.join(cands.select("seq", F.col("keys").alias("c_keys")), "seq").join(notes.select("nid", "rel_path", "keys"), "nid").select("seq", "nid", "rel_path", F.array_intersect("c_keys", "keys").alias("both"))
+    typed = lambda c: F.filter("both", lambda x: F.startswith(x, F.lit(c)))
+    of = {c: F.transform(typed(c), lambda x: F.substr(x, F.lit(2))) for c in _WORTH}
+    many = {c: F.size(typed(c)) for c in _WORTH}
+    score = many["t"] * _WORTH["t"] + many["g"] * _WORTH["g"] + F.when(many["d"] > 0, _WORTH["d"]).otherwise(0) + F.when(many["s"] > 0, _WORTH["s"]).otherwise(0)
+    best = F.row_number().over(Window.partitionBy("seq").orderBy(F.desc("score"), "rel_path", "nid"))
+    rows = materialize(rows.withColumn("score", score).withColumn("place", best).where(F.col("place") <= k), "links")
+    told = lambda what, c: F.when(F.size(c) > 0, F.concat(F.lit(what), F.array_join(F.slice(F.array_sort(c), 1, 3), ", ")))
+    reason = F.concat_ws(" | ", told("关键词匹配: ", of["t"]), F.concat(F.lit("同域: "), F.get(of["d"], 0)), told("共享标签: ", of["g"]), F.concat(F.lit("子域: "), F.get(of["s"], 0)))
+    titled = sized_join(notes.select("nid", "title"), rows, "nid", "inner")
+    return titled.select("seq", "rel_path", "title", "score", many["t"].alias("n_terms"), many["g"].alias("n_tags"), (many["d"] > 0).alias("same_domain"), (many["s"] > 0).alias("same_subdomain"), reason.alias("reason"))
 
 
 def version_paths(candidates: DataFrame, notes: DataFrame) -> DataFrame:
     """``final_path`` of candidates ``(seq, rel_path)``: the path, or with ``_v2`` to ``_v99`` the first free ones; beyond, the path itself.
 
-    Of a path and its versions, those that ``notes(rel_path)`` has are taken.
+    Of a path and its versions, those that ``notes(rel_path)`` has are taken. At most 99
+    candidates of a path get a version, so ranks are limited to 99 before the shuffle, and
+    the rows then meet their places by path and ``seq``: a path with any number of
+    candidates is spread like the rest.
     """
     stem = F.regexp_replace("rel_path", r"(?:_v[0-9]+)?\.md\z", "")
     number = F.coalesce(F.nullif(F.regexp_extract("rel_path", r"_v([0-9]+)\.md\z", 1), F.lit("")).cast("int"), F.lit(1))
     taken = notes.select(stem.alias("__stem"), number.alias("v")).groupBy("__stem").agg(F.collect_set(F.when(F.col("v") <= 99, F.col("v"))).alias("__taken"))  # 99 at most
-    rows = candidates.withColumn("__stem", F.regexp_replace("rel_path", r"\.md\z", "")).join(taken, "__stem", "left")
-    place = F.row_number().over(Window.partitionBy("__stem").orderBy("seq"))
+    rows = candidates.withColumn("__stem", F.regexp_replace("rel_path", r"\.md\z", ""))
+    first = Window.partitionBy("__stem").orderBy("seq")
+    placed = rows.select("__stem", "seq").withColumn("__place", F.row_number().over(first)).where(F.col("__place") <= 99)
     free = F.filter(F.sequence(F.lit(1), F.lit(99)), lambda v: ~F.coalesce(F.array_contains("__taken", v), F.lit(False)))
-    got = F.try_element_at(free, F.col("__place"))
-    rows = rows.withColumn("__place", place)
-    return rows.withColumn("final_path", F.when(got.isNull() | (got == 1), F.concat("__stem", F.lit(".md"))).otherwise(F.concat("__stem", F.lit("_v"), got.cast("string"), F.lit(".md")))).drop("__stem", "__taken", "__place")
+    placed = placed.join(taken, "__stem", "left").select("__stem", F.col("seq").alias("__seq"), F.try_element_at(free, F.col("__place")).alias("__got"))
+    rows = rows.join(placed.withColumnRenamed("__stem", "__s"), (F.col("__stem") == F.col("__s")) & (F.col("seq") == F.col("__seq")), "left")
+    got = F.col("__got")
+    return rows.withColumn("final_path", F.when(got.isNull() | (got == 1), F.concat("__stem", F.lit(".md"))).otherwise(F.concat("__stem", F.lit("_v"), got.cast("string"), F.lit(".md")))).drop("__stem", "__s", "__seq", "__got")
 
 
 def note_counts(notes: DataFrame) -> DataFrame:

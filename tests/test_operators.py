@@ -93,6 +93,20 @@ def test_versions(spark):
     assert [r.final_path for r in links.version_paths(cands, held).orderBy("seq").collect()] == ["a/b_v2.md", "a/b_v3.md", "a/b_v4.md"]
 
 
+def test_versions_of_a_hot_path(spark):
+    """Ranks are limited before the shuffle, so no task gets all candidates of a path."""
+    cands = spark.range(0, 20000, 1, 8).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "a/c.md").otherwise("a/b.md").alias("rel_path"))
+    held = spark.createDataFrame([("a/b.md",), ("a/b_v3.md",), ("a/c_v2.md",)], "rel_path string")
+    got = links.version_paths(cands, held)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().toString()
+    free = {"a/b": iter(["_v2", *[f"_v{v}" for v in range(4, 100)]]), "a/c": iter(["", *[f"_v{v}" for v in range(3, 100)]])}
+    want = []
+    for seq in range(20000):
+        stem = "a/c" if seq % 3 == 0 else "a/b"
+        want.append((seq, stem + next(free[stem], "") + ".md"))
+    assert sorted((r.seq, r.final_path) for r in got.collect()) == want
+
+
 def test_index_entries(spark):
     schema = "seq long, index_key string, rel_path string, title string"
     cands = spark.createDataFrame([(1, "k", "p1.md", "t1"), (2, "k", "p2.md", "t2"), (3, "k", "p3.md", "t2"), (4, "j", "p1.md", "t1")], schema)
@@ -141,6 +155,38 @@ def test_suggest_links_is_exact(spark):
     assert {(r.seq, r.rel_path, r.score) for r in links.suggest_links(cdf, ndf).collect()} == want
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_suggest_links_with_a_term_in_every_note(spark, hot):
+    """Any bound for hot keys gives the links of a plain walk; with one, pairs grow with k and not with the notes."""
+    rng = random.Random(hot)
+    words = ["alpha", "beta", "gamma", "delta"]
+    subs = ["大模型", "AIGC"]
+    notes = [(f"common {' '.join(rng.sample(words, rng.randint(0, 2)))} only{i}", f"base/{rng.choice(['AI与智能体', '商业与管理'])}/{rng.choice(['', *subs])}{i % 150:03d}.md", [rng.choice(["t1", "t2", None]) for _ in range(2)]) for i in range(200)]
+    notes.append((None, "base/none.md", None))
+    cands = [(s, f"common {rng.choice(words)} only{s}", ["t1"] if s % 2 else None, rng.choice(["AI与智能体", None]), rng.sample(subs, s % 3)) for s in range(12)]
+    cands.append((12, "common", None, None, None))
+    cands.append((13, None, None, None, None))
+    ndf = spark.createDataFrame(notes, "title string, rel_path string, tags array<string>")
+    cdf = spark.createDataFrame(cands, "seq long, title string, tags array<string>, domain_name string, subdomains array<string>")
+    from gistmill.functions.text import tokenize_ngrams
+
+    cut = {r.title: set(r.x or []) for r in ndf.unionByName(cdf.select("title", F.lit("").alias("rel_path"), "tags")).select("title", tokenize_ngrams(F.col("title")).alias("x")).collect()}
+    want = []
+    for seq, title, tags, domain, named in cands:
+        rated = []
+        for t, path, g in notes:
+            n, m = len(cut[title] & cut[t]), len((set(tags or []) & set(g or [])) - {None})
+            s = 3 * n + 2 * m + 5 * bool(domain and domain in path) + 4 * any(x in (t or "") or x in path for x in named or [])
+            if s:
+                rated.append((-s, path, n, m))
+        want += [(seq, s, path) for s, path, *_ in sorted(rated)[:8]]
+    got = [(r.seq, -r.score, r.rel_path) for r in links.suggest_links(cdf, ndf, 8, hot).collect()]
+    assert sorted(got) == sorted(want)
+    keyed = lambda df, *c: df.select(*c, F.transform(tokenize_ngrams(F.col("title")), lambda x: F.concat(F.lit("t"), x)).alias("keys"))
+    pairs = links.link_pairs(keyed(cdf, "seq"), keyed(ndf.withColumn("nid", F.monotonically_increasing_id()), "nid", "rel_path"), 8, hot).count()
+    assert pairs <= len(cands) * (8 + 5 * hot)
+
+
 def test_feeds(spark):
     rss = "<rss><channel><item><title>T&amp;1</title><link>u1</link><description>&lt;b&gt;hi&lt;/b&gt;</description><pubDate>Tue, 21 Jul 2026 08:00:00 GMT</pubDate></item></channel></rss>"
     atom = '<feed><entry><title>T2</title><link href="u2"/><summary>s</summary><author><name>n</name></author><updated>2026-07-20</updated></entry></feed>'
