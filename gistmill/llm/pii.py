@@ -5,17 +5,24 @@ are found with their spans. Then the corpus tells which other terms give such an
 away (public method: Sanchez and Batet, "C-sanitized", 2016): for a term t near entity e,
 the pointwise mutual information log2(P(e|t) / P(e)) over distinct texts is set against
 the entity's information log2(1 / P(e)). P(e|t) is (n_te + prior * P(e)) / (n_t + prior),
-so one common text is weaker evidence than many, and no entity is too rare to be rated. A
-term that discloses at least ``generalise`` of it becomes a placeholder in texts with that
-entity, and one that discloses at least ``remove`` of it is removed.
-
-Entities are counted at the levels that texts have in common: cards and phones by their
-digits, IP addresses without leading zeros, e-mail addresses whole, by their domain and by
-the words of their local part.
+so few common texts are weaker evidence than many. A pair counts only where its common texts
+are more than chance gives: the chance of n_te or more of n_t texts, were the two
+independent, is at most exp(-n_t KL(n_te / n_t, P(e))) (Chernoff), and over all pairs of the
+corpus these are allowed to sum to ``chance``. So one rare word beside one entity, in a
+single text, tells nothing; the same two in several texts do. A term that discloses at least
+``generalise`` becomes a placeholder in texts with that entity, and one that discloses at
+least ``remove`` is removed.
+
+Entities are counted at the levels that texts have in common: whole (cards and phones by
+their digits, IP addresses without leading zeros), by part (e-mail domains and the words of
+the local part, the first six digits of cards, the first four of phones, the first three
+numbers of IP addresses), and by kind.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,9 +104,13 @@ def _terms(text: Column) -> Column:
 def _levels(span: Column) -> Column:
     """What an entity counts as; the kind comes first."""
     value = F.lower(span["value"])
+    digits, is_kind = _digits(value), lambda k: span["kind"] == KINDS.index(k)
     mail = F.concat(F.array(value, F.regexp_replace(value, "^[^@]*", "")), F.regexp_extract_all(F.substring_index(value, "@", 1), F.lit(TERM), F.lit(0)))
-    plain = F.when(span["kind"] == KINDS.index("ip"), F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")).otherwise(_digits(value))
-    levels = F.when(span["kind"] == KINDS.index("email"), mail).otherwise(F.array(plain))
+    plain = F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")
+    part = lambda c: F.concat(c, F.lit("*"))
+    levels = F.when(is_kind("email"), mail).when(is_kind("ip"), F.array(plain, part(F.regexp_replace(plain, "[0-9]+$", ""))))
+    levels = levels.when(is_kind("card"), F.array(digits, part(F.substring(digits, 1, 6)))).otherwise(F.array(digits, part(F.substring(digits, 1, 4))))
+    levels = F.concat(levels, F.array(F.lit("*")))
     return F.array_distinct(F.transform(levels, lambda v: F.concat(span["kind"].cast("string"), F.lit(":"), v)))
 
 
@@ -112,24 +123,33 @@ def scan(docs: DataFrame) -> DataFrame:
     return materialize(rows.select("doc_id", F.md5("text").alias("key"), "spans", near.alias("near"), words.alias("words")), "scan")
 
 
-def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float, remove: float, prior: float) -> DataFrame:
-    """``entity, term, disclosure, removed`` for the terms over the threshold.
+def _evidence(n_te: Column, n_t: Column, share: Column) -> Column:
+    """n_t KL(n_te / n_t, share): minus the logarithm of a bound on the chance of so many common texts; 0 if they are no more than expected."""
+    p = n_te / n_t
+    rest = F.when(n_te < n_t, (n_t - n_te) * F.ln((1 - p) / (1 - share))).otherwise(0.0)
+    return F.when(p > share, n_te * F.ln(p / share) + rest).otherwise(0.0)
+
+
+def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float, remove: float, prior: float, chance: float) -> DataFrame:
+    """``entity, term, n_te, n_t, disclosure, removed`` for the terms over the threshold and beyond chance.
 
     Texts count once however often they are copied: copies are no further evidence. Terms
-    that can't reach the threshold, as they are near entities in too many texts, leave
-    before the corpus is counted.
+    that can't reach the threshold or the evidence, as they are near entities in too many
+    texts, leave before the corpus is counted: both fall as n_t grows.
     """
     texts = float(max(scanned.select("key").distinct().count(), 1))
     pairs = scanned.select("key", F.explode("near").alias("x")).select("key", F.explode("x.entities").alias("entity"), "x.terms")
     entities = pairs.select("key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     near = pairs.select("key", "entity", F.explode("terms").alias("term")).distinct()
-    both = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    both = materialize(near.groupBy("entity", "term").agg(F.count("*").alias("n_te")), "common")
+    least = math.log(max(both.count(), 1) / chance)
     seen = near.select("key", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
     share = F.col("n_e") / texts  # an entity in every text has no information to disclose
     given = lambda n_t: (F.col("n_te") + prior * share) / (F.col(n_t) + prior)
+    beyond = lambda n_t: _evidence(F.col("n_te"), F.col(n_t), share) >= least * (1 - 1e-9)
     # A term is in as many texts as it is near some entity, so one that is common there can't reach the threshold.
-    both = sized_join(sized_join(both, materialize(entities, "entities"), "entity", "inner"), materialize(seen, "seen"), "term", "inner")
-    both = materialize(both.where((F.col("n_e") < texts) & (given("n_near") >= F.pow(share, F.lit(1 - generalise)) * (1 - 1e-9))).drop("n_near"), "pairs")
+    both = sized_join(sized_join(both, materialize(entities, "entities"), "entity", "inner"), materialize(seen, "seen"), "term", "inner").where(F.col("n_e") < texts)
+    both = materialize(both.where(beyond("n_near") & (given("n_near") >= F.pow(share, F.lit(1 - generalise)) * (1 - 1e-9))).drop("n_near"), "pairs")
     terms = materialize(both.select("term").distinct(), "terms")
     words = need(docs, ["text"]).where("text IS NOT NULL")
     if terms.isEmpty():
@@ -139,8 +159,8 @@ def disclosures(docs: DataFrame, scanned: DataFrame, generalise: float, remove:
     words = sized_join(words.withColumn("key", F.md5("text")), copied, "key", "left")
     words = words.select(F.explode(_terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("part"))
     counted = sized_join(words, terms, "term", "left_semi").groupBy("term").agg(F.round(F.sum("part")).alias("n_t"))
-    rated = sized_join(both, materialize(counted, "counted"), "term", "inner").withColumn("disclosure", 1 - F.log2(given("n_t")) / F.log2(share))
-    return materialize(rated.where(F.col("disclosure") >= generalise).select("entity", "term", "disclosure", (F.col("disclosure") >= remove).alias("removed")), "disclosures")
+    rated = sized_join(both, materialize(counted, "counted"), "term", "inner").where(beyond("n_t")).withColumn("disclosure", 1 - F.log2(given("n_t")) / F.log2(share))
+    return materialize(rated.where(F.col("disclosure") >= generalise).select("entity", "term", "n_te", F.col("n_t").cast("long").alias("n_t"), "disclosure", (F.col("disclosure") >= remove).alias("removed")), "disclosures")
 
 
 def _term_spans(text: Column, terms: Column) -> Column:
@@ -176,12 +196,12 @@ def _of_kind(kind: int):
 
 
 class Sanitiser:
-    """Spans of one table of documents; ``generalise`` and ``remove`` are shares of the entity's information, ``prior`` counts as so many texts that hold a term and the entity by chance alone."""
+    """Spans of one table of documents; ``generalise`` and ``remove`` are shares of the entity's information, ``prior`` counts as so many texts that hold a term and the entity by chance alone, ``chance`` is how many pairs of the whole corpus may pass by chance."""
 
-    def __init__(self, docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, prior: float = 1.0):
+    def __init__(self, docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, prior: float = 1.0, chance: float = 0.05):
         self.docs = docs
         self.scanned = scan(docs)
-        self.found = disclosures(docs, self.scanned, generalise, remove, prior)
+        self.found = disclosures(docs, self.scanned, generalise, remove, prior, chance)
         self.terms = term_spans(docs, self.scanned, self.found)
 
     def spans(self) -> DataFrame:

@@ -426,24 +426,44 @@ def test_pii_terms_that_disclose(spark):
     assert none.spans().count() == none.sanitised().count() == 0
 
 
-def test_pii_single_entities_are_rated(spark):
-    texts = [f"please mind the common words of this text, number {i}, and call" for i in range(90)]
-    texts += ["Walrus keeper: common words call +1 (234) 555-7890 please", "call +1 234 555 7890, walrus", "words of quagga at ann.lee@corp.example common", "the words " * 20 + "okapi bob@corp.example " + "the words " * 20, "yak 4111-1111-1111-1111"]
+def test_pii_terms_recur_with_entities(spark):
+    """Pairs, counts and disclosures of a plain walk; what is common to a single text only passes by no level."""
+    rng = random.Random(9)
+    common = ["please", "mind", "the", "words", "common", "here"]
+    texts = [f"please mind the common words of this text, number {i}, and call" for i in range(300)]
+    texts += [f"{rng.choice(common)} walrus keeper: call +1 (234) 555-7{i:03d} {rng.choice(common)}" for i in range(6)]  # by the prefix
+    texts += [f"{rng.choice(common)} quagga at n{i}@corp.example {rng.choice(common)}" for i in range(5)] * 2  # by the domain; copies count once
+    texts += [f"card 4111-1111-1111-1111 of okapi {c}" for c in common]  # whole, by prefix and by kind
+    texts += [f"host 10.1.2.{i} for tapir {rng.choice(common)}" for i in range(5)]
+    texts += [f"the keeper went home, number {i}" for i in range(3)]  # weaker, but beyond the threshold
+    texts += ["yak lone@single.example", "ibex 9.8.7.6"]  # single texts
     job = pii.Sanitiser(docs(spark, texts))
-    assert not job.found.where("disclosure > 1").count()
-    near = [("3:12345557890", "walrus", 90), ("3:12345557890", "walrus", 91), ("2:4111111111111111", "yak", 94), ("3:12345557890", "keeper", 90)]
-    near += [(e, "quagga", 92) for e in ("0:ann.lee@corp.example", "0:ann", "0:lee", "0:@corp.example")] + [(e, "okapi", 93) for e in ("0:bob@corp.example", "0:bob", "0:@corp.example")]
-    n_e = {e: len({k for f, _, k in near if f == e}) for e, _, _ in near}
-    want = {}
-    for e, t in {x[:2] for x in near}:
-        held = len({k for f, u, k in near if (f, u) == (e, t)})
-        n_t = sum(t in x.lower() for x in texts)
-        want[e, t] = 1 + math.log2((held + n_e[e] / len(texts)) / (n_t + 1)) / math.log2(len(texts) / n_e[e])
-    got = {(r.entity, r.term): r.disclosure for r in job.found.collect()}
-    assert got == pytest.approx({k: v for k, v in want.items() if v >= 0.8})
-    assert {"walrus", "quagga", "okapi", "yak"} <= {t for _, t in got}
+    seen, held, where = {}, {}, {}
+    for text in set(texts):
+        for t in set(re.findall(r"[^\W\d_]{3,}", text.lower())):
+            held.setdefault(t, set()).add(text)
+        for start, kind, end in plain_spans(text):
+            v = text[start:end].lower()
+            d = re.sub(r"\D", "", v)
+            levels = {0: [v, v[v.index("@") :] if "@" in v else v, *re.findall(r"[^\W\d_]{3,}", v.split("@")[0])], 1: [v, v[: v.rfind(".") + 1] + "*"], 2: [d, d[:6] + "*"], 3: [d, d[:4] + "*"]}[kind]
+            for e in [*levels, "*"]:
+                where.setdefault(f"{kind}:{e}", set()).add(text)
+                for t in set(re.findall(r"[^\W\d_]{3,}", (text[:start] + " " + text[end:]).lower())):  # every window reaches both ends here
+                    seen.setdefault((f"{kind}:{e}", t), set()).add(text)
+    n, want = len(set(texts)), {}
+    for (e, t), both in seen.items():
+        n_te, n_t, q = len(both), len(held[t]), len(where[e]) / n
+        p = n_te / n_t
+        evidence = n_te * math.log(p / q) + (n_t - n_te) * math.log((1 - p) / (1 - q)) if p < 1 else n_te * math.log(1 / q)
+        disclosure = 1 - math.log2((n_te + q) / (n_t + 1)) / math.log2(q)
+        if p > q and evidence >= math.log(len(seen) / 0.05) and disclosure >= 0.8:
+            want[e, t] = (n_te, n_t, disclosure, disclosure >= 0.95)
+    got = {(r.entity, r.term): (r.n_te, r.n_t, pytest.approx(r.disclosure), r.removed) for r in job.found.collect()}
+    assert got == want
+    assert {t for _, t in want} >= {"walrus", "keeper", "quagga", "okapi", "tapir"} and not {"yak", "ibex", *common} & {t for _, t in want}
+    assert min(v[0] for v in want.values()) >= 2 and {v[3] for v in want.values()} == {True, False}
     spans = {r.doc_id: r for r in job.spans().collect()}
-    assert [spans[i].n_terms for i in (0, 90, 91, 92, 93, 94)] == [0, 2, 1, 1, 1, 1] and "term:0:6" in spans[90].spans
+    assert [spans[i].n_terms for i in (0, 300, len(texts) - 1)] == [0, 2, 0]
 
 
 # 10
