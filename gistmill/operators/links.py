@@ -19,13 +19,14 @@ def attach_source_info(articles: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumn("source_name", F.coalesce("source_name", "platform"))
 
 
-def attach_full_text(articles: DataFrame, pages: DataFrame, least: int = 500, letters: str = CJK) -> DataFrame:
+def attach_full_text(articles: DataFrame, pages: DataFrame, least: int = 500, letters: str = CJK, dense: bool = False) -> DataFrame:
     """Content from ``pages(url, html)`` where an article's is short and the page yields over 200 characters.
 
     Only the urls needed meet the pages; the body is extracted once per url, after the join.
+    With ``dense`` the dense blocks of a page are tried before its container.
     """
     wanted = articles.where(needs_full_text(F.col("content"), F.col("url"), least)).select("url", "platform").distinct()
-    bodies = pages.select("url", "html").join(wanted, "url").select("url", "platform", full_article_text(F.col("html"), F.col("platform"), letters).alias("__body")).where("__body IS NOT NULL")
+    bodies = pages.select("url", "html").join(wanted, "url").select("url", "platform", full_article_text(F.col("html"), F.col("platform"), letters, dense).alias("__body")).where("__body IS NOT NULL")
     bodies = bodies.groupBy("url", "platform").agg(F.max("__body").alias("__body"))
     rows = articles.join(bodies, ["url", "platform"], "left")
     fresh = needs_full_text(F.col("content"), F.col("url"), least) & (F.length("__body") > 200)

@@ -230,6 +230,12 @@ def extract_heuristic_body(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.extract_heuristic_body(F.col("html"), LETTERS)).alias("text_md5"))
 
 
+@query
+def extract_dense_body(spark, sf_dir):
+    body = text.extract_dense_body(F.col("html"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.length(body).alias("n_chars"), F.md5(body).alias("text_md5"))
+
+
 @query
 def extract_site_body(spark, sf_dir):
     """Pages as those of each platform in turn; every sixth carries its body as a JSON field."""

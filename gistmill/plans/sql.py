@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gistmill import rules
 from gistmill.functions.curation import HINTS, PLACEHOLDERS
-from gistmill.functions.text import SITE_BODIES, SITE_FIELDS
+from gistmill.functions.text import BLOCK_TAG, ENTITIES, SITE_BODIES, SITE_FIELDS, UNREAD
 from gistmill.plans.adapter import ANSWERS_SQL, ARTICLES_SQL, ITEMS_SQL, NOW, PLATFORMS, quoted
 
 ORACLE_SQL: dict[str, str] = {}
@@ -242,6 +242,21 @@ ORACLE_SQL["extract_heuristic_body"] = f"SELECT page_id, md5(body) AS text_md5 F
 _platform = "['36氪', '虎嗅', '量子位', '爱范儿', '少数派', '知乎'][page_id % 6 + 1]"
 _landed = "CASE WHEN page_id % 12 = 5 THEN '{\"content\": \"' || replace(replace(html, '\"', '\\\"'), chr(10), '\\n') || '\", \"excerpt\": \"\"}' ELSE html END"
 ORACLE_SQL["extract_site_body"] = f"SELECT page_id, md5({_tidy('body')}) AS text_md5 FROM (SELECT page_id, {_site('html', 'platform')} AS body FROM (SELECT page_id, {_platform} AS platform, {_landed} AS html FROM pages))"
+_UNREAD = "html"
+for _tag in UNREAD:
+    _UNREAD = f"regexp_replace({_UNREAD}, '(?is)<{_tag}(?:\\s[^>]*)?>.*?</{_tag}\\s*>', '', 'g')"
+_MARKED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_UNREAD}, '(?s)<!--.*?-->', '', 'g'), '[\\x01\\x02 \\t\\r\\n]+', ' ', 'g'), '(?i)<a(?:\\s[^>]*)?>', chr(1), 'g'), '(?i)</a\\s*>', chr(2), 'g')"
+_CUT = f"regexp_replace(regexp_replace({_MARKED}, '{BLOCK_TAG}', chr(10), 'g'), '<[^>]+>', '', 'g')"
+for _entity, _char in ENTITIES:
+    _CUT = f"replace({_CUT}, {quoted(_entity)}, {quoted(_char)})"
+ORACLE_SQL["extract_dense_body"] = f"""WITH cut AS (SELECT page_id, string_split({_CUT}, chr(10)) AS parts FROM pages),
+blocks AS (SELECT page_id, unnest(parts) AS b, generate_subscripts(parts, 1) AS i FROM cut),
+sized AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(b, '[\\x01\\x02]', '', 'g'), ' {{2,}}', ' ', 'g'), ' ') AS t, length(regexp_replace(b, '[\\x01\\x02 ]', '', 'g')) AS n,
+  length(replace(regexp_replace(regexp_replace(b, '\\x01[^\\x02]*\\x02?', '', 'g'), '[\\x01\\x02]', '', 'g'), ' ', '')) AS f FROM blocks),
+weighed AS (SELECT page_id, i, t, CASE WHEN 3 * (n - f) <= n THEN f ELSE 0 END AS w FROM sized WHERE n > 0),
+smooth AS (SELECT page_id, i, t, w, lag(w, 1, 0) OVER o + 2 * w + lead(w, 1, 0) OVER o AS s FROM weighed WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+bodies AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS body FROM smooth WHERE w > 0 AND s >= 160 GROUP BY 1 HAVING length(body) > 200)
+SELECT p.page_id, CAST(length(body) AS INTEGER) AS n_chars, md5(body) AS text_md5 FROM pages p LEFT JOIN bodies USING (page_id)"""
 ORACLE_SQL["attach_full_text"] = f"""WITH {ARTICLES_SQL}, wanted AS (SELECT DISTINCT p.page_id, p.url, a.platform, p.html FROM articles a JOIN pages p ON a.url = p.url WHERE length(a.content) < 500 AND a.url <> ''),
 sites AS (SELECT page_id, url, platform, {_tidy('body')} AS body FROM (SELECT page_id, url, platform, {_site('html', 'platform')} AS body FROM wanted)),
 guesses AS {_heuristic('html', 'page_id', '(SELECT DISTINCT page_id, html FROM wanted)')},

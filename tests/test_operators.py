@@ -2,6 +2,7 @@
 
 import random
 from difflib import SequenceMatcher
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +188,62 @@ def test_suggest_links_with_a_term_in_every_note(spark, hot):
     assert pairs <= len(cands) * (8 + 5 * hot)
 
 
+class Blocks(HTMLParser):
+    """Blocks of a page by a parser: text and how many of its characters are out of links."""
+
+    unread, ends = {"script", "style", "head"}, {"p", "div", "li", "ul", "nav", "h1", "article", "br", "body", "html", "td", "tr", "table"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.rows, self.skip, self.link = [["", 0]], 0, False
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in self.unread
+        self.link |= tag == "a"
+        if tag in self.ends:
+            self.rows.append(["", 0])
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in self.unread
+        self.link &= tag != "a"
+        if tag in self.ends:
+            self.rows.append(["", 0])
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.rows[-1][0] += data
+            self.rows[-1][1] += 0 if self.link else len("".join(data.split()))
+
+
+def plain_dense(page):
+    rows = [(" ".join(t.split()), len("".join(t.split())), f) for t, f in Blocks(page).rows if t.strip()]
+    weights = [0, *[f if 3 * (n - f) <= n else 0 for _, n, f in rows], 0]
+    body = "\n".join(r[0] for i, r in enumerate(rows, 1) if weights[i] and weights[i - 1] + 2 * weights[i] + weights[i + 1] >= 160)
+    return body if len(body) > 200 else None
+
+
+def test_dense_body(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["融资", "model", "的", "of", "agents", "a &amp; b", "<b>bold</b>", "\n"]) for _ in range(n))
+    link = lambda n: f'<A href="/x?a=1">{say(n)}</A>'
+    make = [lambda: f"<p>{say(rng.randint(0, 60))}</p>", lambda: f"<ul>{''.join(f'<li>{link(2)}</li>' for _ in range(4))}</ul>", lambda: f"<div class='x'>{say(3)}<br/>{say(20)}{link(rng.randint(1, 15))}</div>", lambda: "<script>var t = '</p>' + 'long text '.repeat(99)</script>", lambda: "<!-- <p>hidden</p> -->", lambda: f"<h1>{say(4)}</h1>"]
+    pages = [f"<html><head><title>{say(40)}</title><style>p{{}}</style></head><body>{''.join(rng.choice(make)() for _ in range(rng.randint(0, 14)))}</body></html>" for _ in range(150)]
+    pages += ["", "plain " * 60, "<p>" + "x" * 300, None]
+    got = spark.createDataFrame(list(enumerate(pages)), "i int, page string").select("i", text.extract_dense_body(F.col("page")).alias("t")).collect()
+    want = {i: p and plain_dense(p) for i, p in enumerate(pages)}
+    assert {r.i: r.t for r in got} == {i: t or None for i, t in want.items()}
+    assert 30 < sum(t is not None and len(t) > 0 for t in want.values() if t) < 150
+
+
+def test_full_text_takes_dense_blocks_first(spark):
+    long, other = "dense words of the article " * 12, "container words, one link each "
+    page = f'<p>{long}</p><ul><li><a href="x">menu</a></li></ul><div class="article-body">{"".join(f"<b>{other}</b><a>{other}</a>" for _ in range(9))}</div>'
+    rows = spark.createDataFrame([(page, "少数派"), (page.replace(long, "short"), "少数派"), ("<p>x</p>", "少数派")], "page string, platform string")
+    got = [tuple(r) for r in rows.select(text.full_article_text(F.col("page"), F.col("platform"), dense=True), text.full_article_text(F.col("page"), F.col("platform"))).collect()]
+    assert got[0][0] == long.strip() and got[0][1].startswith(other) and got[1][0] == got[1][1] and got[1][0].startswith(other) and got[2] == (None, None)
+
+
 def test_feeds(spark):
     rss = "<rss><channel><item><title>T&amp;1</title><link>u1</link><description>&lt;b&gt;hi&lt;/b&gt;</description><pubDate>Tue, 21 Jul 2026 08:00:00 GMT</pubDate></item></channel></rss>"
     atom = '<feed><entry><title>T2</title><link href="u2"/><summary>s</summary><author><name>n</name></author><updated>2026-07-20</updated></entry></feed>'
