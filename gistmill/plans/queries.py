@@ -14,7 +14,7 @@ from gistmill.operators import dedup, digest, links, report, select
 from gistmill.plans import adapter
 from gistmill.plans.adapter import NOW, PLATFORMS
 from gistmill.shared import materialize, shared_dir
-from gistmill.sources import feeds
+from gistmill.sources import feeds, snapshots
 from gistmill.streaming import items as stream
 
 QUERIES = {}
@@ -346,6 +346,16 @@ def append_index_entries(spark, sf_dir):
     return links.append_index_entries(rows.where("seq % 3 <> 0"), rows.where("seq % 3 = 0"), _now()).select("seq", "index_key", "entry")
 
 
+@query
+def note_snapshots(spark, sf_dir):
+    """Notes written as parts, one of them written again; the last version is read."""
+    rows, path = adapter.notes(spark, sf_dir).select("item_id", "rel_path", "body"), f"{shared_dir(spark)}/kb-{uuid.uuid4().hex}"
+    for part in (0, 1, 2):
+        snapshots.write_snapshot(rows.where(F.col("item_id") % 3 == part), path, str(part))
+    snapshots.write_snapshot(rows.where("item_id % 6 = 1").withColumn("body", F.concat("body", F.lit("\n(v2)"))), path, "1")
+    return snapshots.read_snapshot(spark, path).select("item_id", "rel_path", F.md5("body").alias("body_md5"))
+
+
 @query
 def note_counts(spark, sf_dir):
     return links.note_counts(adapter.notes(spark, sf_dir))

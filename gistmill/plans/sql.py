@@ -314,6 +314,8 @@ def _headlines() -> list[str]:
 
 _NOTES = f"""notes AS (SELECT item_id, {_pick_sql(_headlines(), 'item_id * 3 + 1')} || ' ' || item_id AS title, [{_pick_sql(rules.ENTITIES, 'item_id')}, {_pick_sql(PLATFORMS, 'item_id')}, {_pick_sql(['案例', '动态', '方法'], 'item_id')}] AS tags,
   '02-专业知识库/' || {_pick_sql([d for d, _ in rules.DOMAINS], 'item_id')} || '/' || {_pick_sql(_headlines(), 'item_id * 3 + 1')} || ' ' || item_id || '.md' AS rel_path, text AS body FROM benchmark)"""
+ORACLE_SQL["note_snapshots"] = f"""WITH {_NOTES} SELECT n.item_id, n.rel_path, md5(CASE WHEN n.item_id % 3 = 1 THEN b.text || chr(10) || '(v2)' ELSE b.text END) AS body_md5
+FROM notes n JOIN benchmark b USING (item_id) WHERE n.item_id % 3 <> 1 OR n.item_id % 6 = 1"""
 ORACLE_SQL["suggest_links"] = f"""{_CURATED}, {_PARTS.replace('FROM articles', 'FROM (SELECT * EXCLUDE (x) FROM curated)')}, scored AS (SELECT *, CAST((r * 8 + d * 5 + e * 8 + m * 6 + 20) // 40 AS DOUBLE) / 10 AS raw_score FROM parts),
 picked AS (SELECT * FROM scored WHERE raw_score >= 1.0 ORDER BY raw_score DESC, seq LIMIT 40),
 {_NOTES}, c AS {_terms('seq', 'picked', 'list_distinct(tags) AS tags, domain_name, subs')}, n AS {_terms('rel_path, title', 'notes', 'list_distinct(tags) AS tags')},
