@@ -14,7 +14,7 @@ from gistmill.operators import dedup, digest, links, report, select
 from gistmill.plans import adapter
 from gistmill.plans.adapter import NOW, PLATFORMS
 from gistmill.shared import materialize, shared_dir
-from gistmill.sources import feeds, snapshots
+from gistmill.sources import feeds, registry, snapshots
 from gistmill.streaming import items as stream
 
 QUERIES = {}
@@ -509,12 +509,15 @@ def normalize_feed_entries(spark, sf_dir):
     return rows.select("platform", "pos", "title", "published", "category", F.col("metadata")["source_type"].alias("source_type"), F.col("metadata")["source_desc"].alias("source_desc"))
 
 
-@query
-def read_hot_list_json(spark, sf_dir):
+def _hot_lists(spark, sf_dir):
     author = F.struct(F.col("author").alias("name"))
     target = F.struct(F.col("seq").cast("string").alias("id"), "title", F.col("summary").alias("excerpt"), (F.col("seq") * 7).alias("created"), F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("seq") % 1000).alias("detail_count"), (F.col("seq") % 77).alias("vote_count"), author.alias("author"))
-    raw = _rows(spark, sf_dir, target.alias("target")).select(F.to_json(F.struct(F.col("x").alias("data"))).alias("payload"))
-    return feeds.read_hot_list_json(raw).select("pos", "url", "title", "author", "published", "category", "raw_score", F.md5("summary").alias("summary_md5"))
+    return _rows(spark, sf_dir, target.alias("target")).select("listing", F.to_json(F.struct(F.col("x").alias("data"))).alias("payload"))
+
+
+@query
+def read_hot_list_json(spark, sf_dir):
+    return feeds.read_hot_list_json(_hot_lists(spark, sf_dir)).select("pos", "url", "title", "author", "published", "category", "raw_score", F.md5("summary").alias("summary_md5"))
 
 
 @query
@@ -525,12 +528,15 @@ def read_video_search_json(spark, sf_dir):
     return feeds.read_video_search_json(raw).select("pos", "url", F.md5("title").alias("title_md5"), "published", "category", "raw_score")
 
 
-@query
-def read_papers_json(spark, sf_dir):
+def _paper_lists(spark, sf_dir):
     fields = [F.col("seq").cast("string").alias("id"), "title", "summary", F.array("platform", "category", F.lit("x" * 40), F.lit("fourth")).alias("authors"), (F.col("seq") % 9).alias("upvotes")]
     rows = _rows(spark, sf_dir, *fields)
-    raw = rows.select(F.when(F.col("listing") % 2 == 0, F.to_json("x")).otherwise(F.to_json(F.struct(F.col("x").alias("papers")))).alias("payload"))
-    return feeds.read_papers_json(raw).select("pos", "url", "title", F.md5("summary").alias("summary_md5"), "author", "category", "raw_score", F.col("metadata")["upvotes"].alias("upvotes"))
+    return rows.select("listing", F.when(F.col("listing") % 2 == 0, F.to_json("x")).otherwise(F.to_json(F.struct(F.col("x").alias("papers")))).alias("payload"))
+
+
+@query
+def read_papers_json(spark, sf_dir):
+    return feeds.read_papers_json(_paper_lists(spark, sf_dir)).select("pos", "url", "title", F.md5("summary").alias("summary_md5"), "author", "category", "raw_score", F.col("metadata")["upvotes"].alias("upvotes"))
 
 
 @query
@@ -548,11 +554,14 @@ def extract_news_cards(spark, sf_dir):
     return feeds.extract_news_cards(raw).select("pos", "url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "category", "raw_score")
 
 
+def _search_pages(spark, sf_dir):
+    item = F.concat(F.lit('<li class="news-list2"><h3><a href="https://w/'), F.col("seq").cast("string"), F.lit('">'), _html(F.col("title")), F.lit('</a></h3><p class="txt-info">'), _html(F.col("summary")), F.lit('</p><a class="account">'), F.col("platform"), F.lit("</a></li>"))
+    return _rows(spark, sf_dir, item.alias("item")).select("listing", F.col("listing").cast("string").alias("query"), F.array_join(F.transform("x", lambda e: e["item"]), "\n").alias("html"))
+
+
 @query
 def extract_search_hits(spark, sf_dir):
-    item = F.concat(F.lit('<li class="news-list2"><h3><a href="https://w/'), F.col("seq").cast("string"), F.lit('">'), _html(F.col("title")), F.lit('</a></h3><p class="txt-info">'), _html(F.col("summary")), F.lit('</p><a class="account">'), F.col("platform"), F.lit("</a></li>"))
-    raw = _rows(spark, sf_dir, item.alias("item")).select(F.col("listing").cast("string").alias("query"), F.array_join(F.transform("x", lambda e: e["item"]), "\n").alias("html"))
-    return feeds.extract_search_hits(raw).select("query", "pos", "url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "source")
+    return feeds.extract_search_hits(_search_pages(spark, sf_dir)).select("query", "pos", "url", F.md5("title").alias("title_md5"), F.md5("summary").alias("summary_md5"), "source")
 
 
 @query
@@ -592,6 +601,29 @@ def candidate_queue(spark, sf_dir):
     return back.select("knowledge_id", "url", "platform", "template_id", "score", "prompt", F.array_join("subdomains", "|").alias("subdomains"), F.array_join("tags", "|").alias("tags"), "content_fetched", "full_content_len")
 
 
+@query
+def queue_documents(spark, sf_dir):
+    """Candidates as JSON lists, 250 to a file, read by blocks; strings hold braces, quotes and backslashes."""
+    rows = adapter.articles(spark, sf_dir, urls=True)
+    prompt = F.concat(F.lit('{"title": "'), "title", F.lit('"} \\ }{'))
+    one = F.to_json(F.struct("title", "url", "platform", (F.col("seq") % 100 / 4).alias("score"), F.col("seq").cast("string").alias("knowledge_id"), F.array("platform", "category").alias("tags"), prompt.alias("prompt"), F.col("content").alias("interpretation"), (F.col("seq") % 3 == 0).alias("content_fetched")))
+    lists = rows.groupBy(F.floor(F.col("seq") / 250).alias("part")).agg(F.concat(F.lit("[\n  "), F.array_join(F.sort_array(F.collect_list(one)), ",\n  "), F.lit("\n]")).alias("value"))
+    path = f"{shared_dir(spark)}/queues-{uuid.uuid4().hex}"
+    lists.write.partitionBy("part").text(path)
+    back = feeds.read_candidate_queue(spark, f"{path}/*", document=True)
+    return back.select("knowledge_id", "url", F.md5("title").alias("title_md5"), "platform", "score", F.md5("prompt").alias("prompt_md5"), F.array_join("tags", "|").alias("tags"), F.md5("interpretation").alias("interpretation_md5"), "content_fetched", "summary")
+
+
+@query
+def landed_sources(spark, sf_dir):
+    """Listings, papers and search pages landed as files, a kind left out, and collected by name in order."""
+    root = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    for kind, rows, payload in (("hot_list", _hot_lists, "payload"), ("papers", _paper_lists, "payload"), ("search_hits", _search_pages, "html")):
+        rows(spark, sf_dir).select("listing", payload).write.partitionBy("listing").text(f"{root}/{kind}")
+    articles = registry.collect(spark, [(kind, f"{root}/{kind}") for kind in ("hot_list", "papers", "search_hits", "notes")], without=["notes"])
+    return articles.select("kind", "pos", "url", F.md5("title").alias("title_md5"), "platform", "category", "raw_score", F.col("metadata")["query"].alias("query"))
+
+
 @query
 def extract_text_simple(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.md5(text.extract_text_simple(F.col("html"))).alias("text_md5"))

@@ -351,6 +351,11 @@ ORACLE_SQL["parse_notes"] = f"""WITH {_NOTES}, files AS (SELECT *, 'n' || CASE W
 last_ AS (SELECT *, '库/' || name || version || '.md' AS path FROM files QUALIFY row_number() OVER (PARTITION BY name ORDER BY '库/' || name || version || '.md' DESC) = 1)
 SELECT path AS rel_path, name || version AS stem, name AS title, CASE WHEN item_id % 5 = 0 THEN '' ELSE array_to_string(tags, '|') END AS tags, md5(CASE WHEN item_id % 5 = 0 THEN '' ELSE '---' || chr(10) || 'tags: ["' || array_to_string(tags, '", "') || '"]' || chr(10) || '---' || chr(10) END || body) AS body_md5 FROM last_"""
 ORACLE_SQL["candidate_queue"] = f"{_CURATED} SELECT knowledge_id, url, platform, template_id, 0.0 AS score, '' AS prompt, array_to_string(subs, '|') AS subdomains, array_to_string(tags, '|') AS tags, false AS content_fetched, CAST(length(content) AS INTEGER) AS full_content_len FROM curated"
+ORACLE_SQL["queue_documents"] = f"""WITH {ARTICLES_SQL} SELECT CAST(seq AS VARCHAR) AS knowledge_id, coalesce(url, '') AS url, md5(coalesce(title, '')) AS title_md5, coalesce(platform, '') AS platform, (seq % 100) / 4.0 AS score,
+    md5(coalesce('{{"title": "' || title || '"}} \\ }}{{', '')) AS prompt_md5, array_to_string([platform, category], '|') AS tags, md5(coalesce(content, '')) AS interpretation_md5, seq % 3 = 0 AS content_fetched, '' AS summary FROM articles"""
+ORACLE_SQL["landed_sources"] = f"""SELECT 'hot_list' AS kind, CAST(pos AS BIGINT) AS pos, url, md5(title) AS title_md5, '知乎日报' AS platform, category, CAST(raw_score AS DOUBLE) AS raw_score, CAST(NULL AS VARCHAR) AS query FROM ({ORACLE_SQL["read_hot_list_json"]})
+    UNION ALL SELECT 'papers', pos, url, md5(title), 'huggingface', category, raw_score, NULL FROM ({ORACLE_SQL["read_papers_json"]})
+    UNION ALL SELECT 'search_hits', pos, url, title_md5, NULL, NULL, NULL, 'listing=' || query FROM ({ORACLE_SQL["extract_search_hits"]})"""
 _said = " ".join(f"CASE WHEN {_hits('title' if where == 'title' else 'content', kws)} > 0 THEN {quoted(said)} END," for where, kws, said in rules.CONNECTIONS).rstrip(",")
 ORACLE_SQL["source_labels"] = f"""WITH {ARTICLES_SQL} SELECT seq, {_label} AS label, CASE WHEN {_hits('title', ['短剧', '视频'])} > 0 OR contains(category, 'AIGC') THEN '抖音 / B站 / 小红书' WHEN {_hits('category', ['机器人', '硬件'])} > 0 THEN 'B站 / 公众号' WHEN {_hits('category', ['知识', '效率'])} > 0 THEN '小红书 / 公众号' ELSE '公众号 / 小红书' END AS publish_on,
   array_to_string(list_filter([{_said}], lambda x: x IS NOT NULL), '|') AS connections FROM articles"""
