@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from gistmill.shared import materialize
 
+#: Titles of a block; each two blocks that meet are a task's work.
+BLOCK = 2048
+
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
     """All sources with ``source_type``; columns that one lacks are null there."""
@@ -41,20 +46,89 @@ def title_similarity(lower: pd.Series, higher: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(lower, higher, strict=True)], dtype="float64")
 
 
-def _reach(threshold: float):
-    """UDF: whether the ratio of a pair reaches the threshold; cheap upper bounds are tried first, and what is known of a title serves its whole batch."""
+def _codes(title: str) -> np.ndarray:
+    return np.frombuffer(title.encode("utf-32-le"), np.uint32)
+
 
-    @pandas_udf(T.BooleanType())
-    def reach(lower: pd.Series, higher: pd.Series) -> pd.Series:
-        matcher, out = SequenceMatcher(None), [False] * len(lower)
-        for i in higher.argsort(kind="stable"):
-            if matcher.b != higher.iloc[i]:
-                matcher.set_seq2(higher.iloc[i])
-            matcher.set_seq1(lower.iloc[i])
-            out[i] = matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
-        return pd.Series(out)
+def common_lengths(pattern: np.ndarray, columns: np.ndarray, live: np.ndarray, alphabet: int) -> np.ndarray:
+    """Length of the longest common subsequence of a title with each of others, 64 of its characters to a word (Hyyrö's bits).
 
-    return reach
+    ``columns[j]`` holds the j-th character of every other title, the longest first, as places in
+    the alphabet, and ``live[j]`` how many have one; characters of ``pattern`` that no other has are -1.
+    """
+    words = -(-len(pattern) // 64)
+    table = np.zeros((words, alphabet), np.uint64)
+    at = np.flatnonzero(pattern >= 0)
+    np.bitwise_or.at(table, (at // 64, pattern[at]), np.uint64(1) << (at % 64).astype(np.uint64))
+    state = np.full((words, columns.shape[1]), ~np.uint64(0))
+    for column, n in zip(columns, live, strict=True):
+        if not n:
+            break
+        carry = None
+        for w in range(words):
+            v = state[w, :n]
+            u = v & table[w].take(column[:n])
+            total = v + u
+            over = total < v if w + 1 < words else None
+            if carry is not None:
+                total += carry
+                if over is not None:
+                    over |= (total == 0) & carry
+            np.bitwise_or(total, v ^ u, out=v)
+            carry = over
+    return np.bitwise_count(~state).sum(axis=0, dtype=np.int64)
+
+
+def _near(ones: list[str], others: list[str], threshold: float, same: bool) -> Iterator[tuple[int, int]]:
+    """Places of titles that may reach the threshold, as the ratio counts common characters in order; with ``same`` both lists are one, and its pairs are met once."""
+    share = threshold / (2 - threshold)
+    order = sorted(range(len(others)), key=lambda k: -len(others[k]))
+    step = max(1, (1 << 22) // max(1, len(others[order[0]])))  # places of characters at once
+    for start in range(0, len(order), step):
+        part = np.array(order[start : start + step])
+        sizes = np.array([len(others[k]) for k in part])
+        joined = np.concatenate([_codes(others[k]) for k in part])
+        alphabet, places = np.unique(joined, return_inverse=True)
+        columns = np.zeros((sizes[0], len(part)), np.int32)
+        row = np.repeat(np.arange(len(part)), sizes)
+        columns[np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = places
+        for i, one in enumerate(ones):
+            n = len(one)
+            first, last = np.searchsorted(-sizes, [-n / share - 1e-9, -n * share + 1e-9], side="left")
+            if first >= last:
+                continue
+            codes = _codes(one)
+            pattern = np.minimum(np.searchsorted(alphabet, codes), len(alphabet) - 1)
+            pattern = np.where(alphabet[pattern] == codes, pattern, -1)
+            live = np.searchsorted(-sizes[first:last], -np.arange(sizes[first]), side="left")
+            common = common_lengths(pattern, columns[: sizes[first], first:last], live, len(alphabet))
+            for k in part[first:last][2 * common >= threshold * (n + sizes[first:last]) - 1e-9]:
+                if not same or i < k:
+                    yield i, int(k)
+
+
+def _similar(threshold: float, schema: T.StructType):
+    """Function over pairs of blocks ``a, b`` (``a`` is ``b`` where ``same``): ``lo, hi`` of pairs that reach the threshold, the worse row first."""
+
+    def ranks(block) -> list[tuple]:
+        return [(x["kind"], x["s"] if x["kind"] == 1 else 0, x["q"]) for x in block]
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a, b, same in zip(batch["a"], batch["b"], batch["same"], strict=True):
+                ones, others = [x["clean"] for x in a], [x["clean"] for x in b]
+                rank_a, rank_b = ranks(a), ranks(b)
+                pairs = [((i, a, b, k) if rank_a[i] > rank_b[k] else (k, b, a, i)) for i, k in _near(ones, others, threshold, same)]
+                matcher, out = SequenceMatcher(None), []
+                for lo, low, high, hi in sorted(pairs, key=lambda p: p[2][p[3]]["clean"]):
+                    if matcher.b != high[hi]["clean"]:
+                        matcher.set_seq2(high[hi]["clean"])
+                    matcher.set_seq1(low[lo]["clean"])
+                    if matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold:
+                        out.append((low[lo]["q"], high[hi]["q"]))
+                yield pd.DataFrame(out, columns=schema.names)
+
+    return similar
 
 
 def dedup_titles_exact(articles: DataFrame, score: str = "raw_score") -> DataFrame:
@@ -65,38 +139,39 @@ def dedup_titles_exact(articles: DataFrame, score: str = "raw_score") -> DataFra
     return best.select(*[F.col("__row").getField(c).alias(c) for c in articles.columns])
 
 
-def title_candidates(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(lo, hi)`` of ranks whose titles may reach the threshold: none that does is missing.
+def similar_titles(rows: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs ``(lo, hi)`` of ``q`` whose titles reach the threshold, the worse row first, from distinct titles ``clean`` with rank ``(s, q)``.
 
-    A ratio of t implies as large a share of common characters, so titles share a
-    character among the rarest few of each (prefix filter) and have similar lengths.
+    Titles are dealt by length into blocks, and every two blocks whose lengths are near enough
+    meet in a task, which holds these two alone. There a pair is dropped if the longest common
+    subsequence is too short for the ratio; what is left is measured.
     """
+    rows = rows.where("clean <> ''").select(F.length("clean").alias("n"), "clean", "s", "q", F.when(F.col("s").isNull(), 0).when(F.isnan("s"), 2).otherwise(1).alias("kind"))
+    many = max(1, -(-rows.count() // block))
+    dealt = materialize(rows.repartitionByRange(many, "n", "q").withColumn("block", F.spark_partition_id()), "dealt")
+    blocks = materialize(dealt.groupBy("block").agg(F.collect_list(F.struct("clean", "s", "q", "kind")).alias("titles"), F.min("n").alias("least"), F.max("n").alias("most")), "blocks")
     share = threshold / (2 - threshold)
-    numbered = F.transform(F.col("chars"), lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(F.col("chars"), 1, i + 1), lambda x: x == c)).alias("k")))
-    chars = rows.where("clean <> ''").withColumn("chars", F.split("clean", "")).select("rank", "clean", F.length("clean").alias("n"), F.explode(numbered).alias("token"))
-    often = chars.groupBy("token").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("rank").orderBy("f", "token")
-    prefix = chars.join(often, "token").withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1).select("rank", "n", "token")
-    other = prefix.select(F.col("rank").alias("hi"), F.col("n").alias("m"), "token")
-    near = (F.least("n", "m") >= F.greatest("n", "m") * share - 1e-9) & (F.col("hi") < F.col("rank"))
-    return prefix.join(other, "token").where(near).select(F.col("rank").alias("lo"), "hi").distinct()
+    ones = blocks.select(F.col("block").alias("i"), F.col("least").alias("least_i"))
+    others = blocks.select(F.col("block").alias("k"), F.col("most").alias("most_k"))
+    # Blocks rise in length, and the shorter titles of two blocks are the patterns, which take fewer words; a block is one small row here.
+    meet = materialize(others.crossJoin(ones).where((F.col("k") <= F.col("i")) & (F.col("most_k") >= F.col("least_i") * share - 1e-9)).select("i", "k"), "meet")
+    pairs = meet.join(blocks.select(F.col("block").alias("i"), F.col("titles").alias("b")), "i").join(blocks.select(F.col("block").alias("k"), F.col("titles").alias("a")), "k")
+    schema = T.StructType([T.StructField(c, rows.schema["q"].dataType) for c in ("lo", "hi")])
+    tasks = max(1, min(meet.count(), 2000))
+    return pairs.select("a", "b", (F.col("i") == F.col("k")).alias("same")).repartition(tasks).mapInPandas(_similar(threshold, schema), schema)
 
 
 def dedup_titles(articles: DataFrame, threshold: float = 0.75, score: str = "raw_score") -> DataFrame:
     """Rows that a greedy pass by score would keep: none is similar to a better row that is kept.
 
-    Exact copies collapse first. Similar pairs come from candidates that lose none; then
+    Exact copies collapse first. Similar pairs are found by blocks, which loses none; then
     rounds decide rows whose better neighbours are all decided, until none is left. At a
     threshold of 0.75 no bound on the ratio leaves few candidates among titles of one
-    alphabet, so the work on a whole table grows nearly with its square; ``top_titles``
-    serves digests.
+    alphabet, so the work on a whole table grows with its square, at the price of some words'
+    arithmetic for each character of a pair; ``top_titles`` serves digests.
     """
-    best = dedup_titles_exact(articles, score).withColumn("clean", clean_title(F.col("title")))
-    rows = materialize(best.select("seq", "clean", F.struct((-F.col(score)).alias("s"), F.col("seq").alias("q")).alias("rank")))
-    pairs = title_candidates(rows, threshold)
-    text = rows.select("rank", "clean")
-    met = pairs.join(text.select(F.col("rank").alias("lo"), F.col("clean").alias("a")), "lo").join(text.select(F.col("rank").alias("hi"), F.col("clean").alias("b")), "hi")
-    edges = materialize(met.where(_reach(threshold)("a", "b")).select("lo", "hi"))
+    best = materialize(dedup_titles_exact(articles, score), "best")
+    edges = materialize(similar_titles(best.select(clean_title(F.col("title")).alias("clean"), (-F.col(score)).alias("s"), F.col("seq").alias("q")), threshold), "edges")
     open_, dropped = edges, None
     while not open_.isEmpty():
         # Better rows of an open pair that are in no open pair as the worse one are kept; their worse neighbours go.
@@ -104,8 +179,7 @@ def dedup_titles(articles: DataFrame, threshold: float = 0.75, score: str = "raw
         gone = materialize(open_.join(kept.withColumnRenamed("r", "hi"), "hi").select(F.col("lo").alias("r")).distinct())
         dropped = gone if dropped is None else dropped.unionAll(gone)
         open_ = materialize(open_.join(gone.withColumnRenamed("r", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("r", "hi"), "hi", "left_anti").join(kept.withColumnRenamed("r", "hi"), "hi", "left_anti"))
-    out = best.drop("clean")
-    return out if dropped is None else out.join(dropped.select(F.col("r.q").alias("__seq")), out["seq"] == F.col("__seq"), "left_anti")
+    return best if dropped is None else best.join(dropped.select(F.col("r").alias("__seq")), best["seq"] == F.col("__seq"), "left_anti")
 
 
 def top_titles(articles: DataFrame, n: int, threshold: float = 0.75, score: str = "raw_score") -> DataFrame:
