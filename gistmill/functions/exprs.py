@@ -20,18 +20,22 @@ def words(values: Iterable) -> Column:
 
 
 def hit_count(text: Column, keywords: Iterable[str]) -> Column:
-    """How many of the keywords a text contains; case matters, so lower both before where it should not."""
-    return F.size(F.filter(words(keywords), lambda k: F.contains(text, k)))
+    """How many of the keywords a text contains; case matters, so lower both before where it should not.
+
+    The text is bound first: Spark may put what a column stands for into the lambda, where it
+    would be computed anew for each keyword.
+    """
+    return let(text, lambda t: F.size(F.filter(words(keywords), lambda k: F.contains(t, k))))
 
 
 def contains_any(text: Column, keywords: Iterable[str]) -> Column:
-    return F.exists(words(keywords), lambda k: F.contains(text, k))
+    return let(text, lambda t: F.exists(words(keywords), lambda k: F.contains(t, k)))
 
 
 def weighted(text: Column, rules: Iterable[tuple[str, int]]) -> Column:
     """Sum of whole-number weights of the keywords that a text contains."""
     rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in rules])
-    return F.aggregate(F.filter(rows, lambda r: F.contains(text, r["k"])), F.lit(0), lambda acc, r: acc + r["w"])
+    return let(text, lambda t: F.aggregate(F.filter(rows, lambda r: F.contains(t, r["k"])), F.lit(0), lambda acc, r: acc + r["w"]))
 
 
 def argmax_category(text: Column, rules: Iterable[tuple[str, list[str]]], default: str) -> Column:

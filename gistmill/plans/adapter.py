@@ -52,13 +52,15 @@ def articles(spark: SparkSession, sf_dir: str, urls: bool = False) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     seq = F.col("doc_id")
     text = F.coalesce("text", F.lit(""))
+    # Only as much of the text as makes 300 characters is collapsed: each is a run of blanks or one other.
+    start = F.regexp_extract(text, r"^(?:[ \t\n\r\f]++|[^ \t\n\r\f]){0,300}+", 0)
     day = F.date_format(F.date_sub(F.lit(NOW), (seq % 20).cast("int")), "yyyy-MM-dd")
     published = F.when(seq % 23 == 1, "").when(seq % 23 == 2, "not a date").when(seq % 23 == 3, "Tue, 21 Jul 2026 08:00:00 GMT").otherwise(day)
     rows = docs.select(
         seq.alias("seq"),
         _pick(PLATFORMS, seq).alias("platform"),
         F.concat(_pick(HEADLINES, seq), F.substring(F.substring_index(text, "\n", 1), 1, 60)).alias("title"),
-        F.concat(_pick(LEADS, seq), F.substring(F.regexp_replace(text, r"[ \t\n\r\f]+", " "), 1, 300)).alias("summary"),
+        F.concat(_pick(LEADS, seq), F.regexp_replace(start, r"[ \t\n\r\f]+", " ")).alias("summary"),
         F.concat(F.when(seq % 7 == 0, BLOCK).otherwise(""), text).alias("content"),
         _pick(CATEGORIES, seq).alias("category"),
         published.alias("published"),
