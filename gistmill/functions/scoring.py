@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill import rules
-from gistmill.functions.exprs import contains_any, hit_count, let, weighted, words
+from gistmill.functions.exprs import contains_any, hit_count, let, weighted
 
 
 def _text(title: Column, summary: Column) -> Column:
@@ -166,8 +168,9 @@ def popularity_score(interest: Column, *weighted_counters: tuple[Column, int]) -
 def signal_gate(articles: DataFrame, low: list[str] | None = None, deep: list[str] | None = None) -> DataFrame:
     """Rows without a sign of low quality, with a title of 10 or more characters and a sign of depth; both lists can be given."""
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
-    bad = F.exists(words(rules.LOW_QUALITY if low is None else low), lambda p: F.regexp_like(text, p))
-    return articles.where(~bad & (F.length("title") >= 10) & (quality_signals(text, deep) >= 1))
+    # The patterns are literals, compiled once, and the text of a row is made once for all of them.
+    bad = lambda t: reduce(lambda a, b: a | b, [t.rlike(p) for p in (rules.LOW_QUALITY if low is None else low)], F.lit(False))
+    return articles.where((F.length("title") >= 10) & let(text, lambda t: (quality_signals(t, deep) >= 1) & ~bad(t)))
 
 
 def quality_signals(text: Column, deep: list[str] | None = None) -> Column:
