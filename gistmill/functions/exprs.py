@@ -15,6 +15,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def han(text: Column) -> Column:
+    """The runs of Han in a text, apart: what a word of Han alone is in, if it is in the text."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(CJK + "+"), F.lit(0)), " ")
+
+
 def words(values: Iterable) -> Column:
     return F.array(*[F.lit(v) for v in values])
 

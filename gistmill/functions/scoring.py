@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill import rules
-from gistmill.functions.exprs import contains_any, hit_count, let, weighted
+from gistmill.functions.exprs import contains_any, han, hit_count, let, weighted
 
 
 def _text(title: Column, summary: Column) -> Column:
@@ -98,31 +99,58 @@ def star_count(score: Column, mode: str = "half") -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(5), value.cast("int")))
 
 
-def article_signals(text: Column) -> Column:
-    """Struct of two lengths, two counts and eight pattern flags of a text; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    flags = [text.rlike(p).alias(n) for n, p in rules.SIGNALS]
+def _found(pattern: str, text: Column, runs: Column) -> Column:
+    """Whether a pattern of ``rules.SIGNALS`` is in a text with these runs of Han: its plain words are searched as such, which costs less than a pattern."""
+    plain, rest = [], []
+    for part in pattern.split("|"):
+        choice = re.fullmatch(r"(\w*)\[(\w+)\](\w*)", part)
+        if choice:
+            plain += [choice[1] + c + choice[3] for c in choice[2]]
+        else:
+            (plain if re.fullmatch(r"\w+", part) else rest).append(part)
+    tests = [F.contains(runs if re.fullmatch("[\u4e00-\u9fff]+", w) else text, F.lit(w)) for w in plain]
+    # One digit before a sign tells as much as all of them.
+    signs = [m[1] for part in rest if (m := re.fullmatch(r"\[0-9\]\+(\w|%)", part))]
+    if rest:
+        tests.append(text.rlike(f"[0-9][{''.join(signs)}]" if len(signs) == len(rest) else "|".join(rest)))
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _signals(text: Column, runs: Column) -> Column:
+    flags = [_found(p, text, runs).alias(n) for n, p in rules.SIGNALS]
+    counted = lambda mark, p: F.when(F.contains(text, F.lit(mark)), F.regexp_count(text, F.lit(p))).otherwise(0)
     return F.struct(
         (F.length(text) > 3000).alias("is_long_form"),
         (F.length(text) > 5000).alias("is_deep"),
-        F.regexp_count(text, F.lit(r"(?:^|\n)#{1,3}\s+(.+)")).alias("section_count"),
-        (F.regexp_count(text, F.lit(r"\n\n+")) + 1).alias("paragraph_count"),
+        counted("#", r"(?:^|\n)#{1,3}\s+(.+)").alias("section_count"),
+        (counted("\n\n", r"\n\n+") + 1).alias("paragraph_count"),
         *flags,
     )
 
 
+def article_signals(text: Column) -> Column:
+    """Struct of two lengths, two counts and eight pattern flags of a text; null counts as empty."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(han(t), lambda h: _signals(t, h)))
+
+
 def depth_tenths(text: Column) -> Column:
     """Depth score in tenths, at most 100."""
 
-    def total(sig: Column, lower: Column) -> Column:
+    def total(sig: Column, lower: Column, runs: Column) -> Column:
         parts = F.when(sig["is_deep"], 15).when(sig["is_long_form"], 8).otherwise(0)
         parts += F.when(sig["section_count"] >= 5, 10).when(sig["section_count"] >= 3, 5).otherwise(0)
         parts += F.when(sig["paragraph_count"] >= 15, 5).otherwise(0)
         for name, tenths in rules.DEPTH_TENTHS.items():
             parts += F.when(sig[name], tenths).otherwise(0)
-        return F.least(F.lit(100), parts + F.least(F.lit(10), hit_count(lower, [k.lower() for k in rules.DEPTH_WORDS])))
+        plain = [k.lower() for k in rules.DEPTH_WORDS]
+        of_han = [k for k in plain if re.fullmatch("[\u4e00-\u9fff]+", k)]
+        hits = hit_count(runs, of_han) + hit_count(lower, [k for k in plain if k not in of_han])
+        return F.least(F.lit(100), parts + F.least(F.lit(10), hits))
+
+    def parts(t: Column, h: Column) -> Column:
+        return let(F.struct(_signals(t, h).alias("s"), F.lower(t).alias("l"), h.alias("h")), lambda v: total(v["s"], v["l"], v["h"]))
 
-    return let(F.struct(article_signals(text).alias("s"), F.lower(F.coalesce(text, F.lit(""))).alias("l")), lambda v: total(v["s"], v["l"]))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(han(t), lambda h: parts(t, h)))
 
 
 def depth_score(text: Column) -> Column:

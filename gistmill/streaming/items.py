@@ -108,8 +108,9 @@ def last_sync(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_score(articles: DataFrame, least: float = 0.0) -> DataFrame:
     """Depth score and level of each article as it arrives, and the gate; no state."""
-    rows = articles.withColumn("score", depth_score(F.coalesce("content", "summary", "title")))
-    return rows.withColumn("level", depth_level(F.col("score"))).where(F.col("score") >= least)
+    # Unfolded from an array, so that the gate, which Spark would move before the score, doesn't make it a second time.
+    score = F.filter(F.array(depth_score(F.coalesce("content", "summary", "title"))), lambda s: s >= least)
+    return articles.withColumn("score", F.explode(score)).withColumn("level", depth_level(F.col("score")))
 
 
 def stream_digest_batches(articles: DataFrame, digest: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
