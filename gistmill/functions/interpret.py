@@ -47,15 +47,23 @@ def best_sentence(sentences: Column) -> Column:
     return F.array_max(F.filter(rows, lambda r: r["w"] > 0))["s"]
 
 
+def _sentences(text: Column) -> Column:
+    return F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s))
+
+
+def _thesis(sentences: Column, title: Column) -> Column:
+    best = best_sentence(F.filter(sentences, lambda s: F.length(s) >= 20))
+    return F.coalesce(best, F.concat(F.lit("📄 "), F.coalesce(title, F.lit(""))))
+
+
 def extract_insights(text: Column) -> Column:
     """The five weightiest sentences, at least 2, in order of weight and then place."""
-    return insight_rank(F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s)))
+    return insight_rank(_sentences(text))
 
 
 def extract_thesis(text: Column, title: Column) -> Column:
     """The best sentence of 20 characters or more with a positive weight, the first of equals; else the title."""
-    best = best_sentence(F.filter(split_sentences(text), lambda s: ~is_garbage_sentence(s) & (F.length(s) >= 20)))
-    return F.coalesce(best, F.concat(F.lit("📄 "), F.coalesce(title, F.lit(""))))
+    return _thesis(_sentences(text), title)
 
 
 def is_framework_name(name: Column) -> Column:
@@ -111,19 +119,20 @@ def interpret_articles(articles: DataFrame) -> DataFrame:
     Adds ``thesis, frameworks, insights, takeaways, connections, category, content_length,
     quality_score``; the others are dropped. No shuffle.
     """
-    def insight(text: Column, title: Column) -> Column:
-        one = F.struct(extract_frameworks(text).alias("frameworks"), extract_insights(text).alias("insights"))
+
+    def insight(text: Column, title: Column, sentences: Column) -> Column:
+        one = F.struct(extract_frameworks(text).alias("frameworks"), insight_rank(sentences).alias("insights"))
         return F.struct(
-            F.length(text).alias("n_clean"),
-            depth_score(text).alias("quality_score"),
-            extract_thesis(text, title).alias("thesis"),
+            _thesis(sentences, title).alias("thesis"),
             find_connections(F.coalesce(title, F.lit("")), text).alias("connections"),
             topic_classify(title, text).alias("category"),
             let(one, lambda o: F.struct(o["frameworks"].alias("frameworks"), o["insights"].alias("insights"), generate_takeaways(o["frameworks"], o["insights"]).alias("takeaways"))).alias("found"),
         )
 
     rows = articles.where(F.coalesce("content", F.lit("")) != "").drop("category")
-    # The cleaned text is bound once for all that is taken from it.
-    rows = rows.withColumn("__i", F.explode_outer(F.transform(F.array(sanitize_content(F.col("content"))), lambda t: insight(t, F.col("title")))))
-    rows = rows.where("__i.n_clean >= 200 AND __i.quality_score >= 1.0")
-    return rows.select(*[c for c in rows.columns if c != "__i"], "__i.quality_score", "__i.thesis", "__i.connections", "__i.category", "__i.found.*", F.length("content").alias("content_length"))
+    # The cleaned text and its score are made once and decide first; what is taken from the text follows for the rows that stay.
+    judged = F.transform(F.array(sanitize_content(F.col("content"))), lambda t: F.struct(t.alias("text"), depth_score(t).alias("score")))
+    rows = rows.withColumn("__c", F.explode(F.filter(judged, lambda c: (F.length(c["text"]) >= 200) & (c["score"] >= 1.0))))
+    text, title = F.col("__c.text"), F.col("title")
+    rows = rows.withColumn("__i", F.explode(F.transform(F.array(_sentences(text)), lambda s: insight(text, title, s))))
+    return rows.select(*[c for c in rows.columns if c not in ("__c", "__i")], F.col("__c.score").alias("quality_score"), "__i.thesis", "__i.connections", "__i.category", "__i.found.*", F.length("content").alias("content_length"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from gistmill import rules
-from gistmill.functions.exprs import CJK, let, strip
+from gistmill.functions.exprs import CJK, contains_any, let, strip
 
 #: Containers of article bodies by platform: patterns tried in this order.
 SITE_BODIES = {
@@ -195,18 +195,27 @@ _PARTS = [a for p in rules.NOISE_LINES for a in _alternatives(p)]
 #: The same test in two: what stands at a line's start is tried once, the rest anywhere.
 _AT_START = r"(?i)^\s*(?:" + "|".join(a.removeprefix(r"^\s*") for a in _PARTS if a.startswith("^")) + ")"
 _ANYWHERE = "(?i)" + "|".join(a for a in _PARTS if not a.startswith("^"))
+#: What a line, in lower case, holds if the second part matches it.
+_MARKS = [re.sub(r"\\(.)", r"\1", a.replace(r"\b", "")).lower() for a in _PARTS if not a.startswith("^")]
 
 
-def is_noise_line(line: Column) -> Column:
-    return F.regexp_like(line, F.lit(_AT_START)) | F.regexp_like(line, F.lit(_ANYWHERE))
+def is_noise_line(line: Column, marked: Column | None = None) -> Column:
+    """``marked`` tells, if known, whether the line's text holds any of the marks of noise in lower case; without one the marks are not looked for."""
+    anywhere = F.regexp_like(line, F.lit(_ANYWHERE))
+    return F.regexp_like(line, F.lit(_AT_START)) | (anywhere if marked is None else marked & anywhere)
 
 
 def sanitize_content(text: Column) -> Column:
     """Lines of prose: lines of code and markup go, and short ones without Han; blank runs shrink to one line, none leads."""
-    lines = F.transform(
-        F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        lambda x: let(F.regexp_replace(x, r"(?U)^\s+|\s+\z", ""), lambda s: F.when(s == "", "").when(~F.regexp_like(s, F.lit(CJK)) & (F.length(s) < 15), F.lit(None)).when(is_noise_line(s), F.lit(None)).otherwise(x)),
-    )
+    # A line is stripped only where a blank is at an end, and looked through for marks only where its text holds one.
+    ends = lambda x: F.concat(F.substring(x, 1, 1), F.right(x, F.lit(1)))
+    bare = lambda x: F.when(F.regexp_like(ends(x), F.lit(r"(?U)\s")), strip(x)).otherwise(x)
+
+    def prose(text: Column, marked: Column) -> Column:
+        judged = lambda x: let(bare(x), lambda s: F.when(s == "", "").when((F.length(s) < 15) & ~F.regexp_like(s, F.lit(CJK)), F.lit(None)).when(is_noise_line(s, marked), F.lit(None)).otherwise(x))
+        return F.transform(F.split(text, "\n", -1), judged)
+
+    lines = let(F.coalesce(text, F.lit("")), lambda t: let(contains_any(F.lower(t), _MARKS), lambda m: prose(t, m)))
     kept = F.array_compact(lines)
     return let(kept, lambda k: F.array_join(F.filter(k, lambda x, i: (x != "") | ((i > 0) & (F.get(k, F.greatest(i - 1, F.lit(0))) != ""))), "\n"))
 
