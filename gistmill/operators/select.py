@@ -127,7 +127,9 @@ def select_digest_sections(articles: DataFrame, n_deep: int = 5, n_brief: int =
     more = rank_articles(top_articles(medium.where("interpretable"), least, "score"), "score").withColumn("__k", F.lit(1)).join(F.broadcast(missing), "__k").where("rank <= __missing").drop("__k", "__missing", "rank")
     chosen = deep.withColumn("section", F.lit("deep")).unionByName(more.withColumn("section", F.lit("deep"))).unionByName(briefs.withColumn("section", F.lit("brief")))
     chosen = materialize(chosen.select("section", F.col("seq").alias("__seq")), "chosen")
-    return sized_join(whole, chosen, whole["seq"] == F.col("__seq"), "inner").drop("__seq")
+    # The few numbers chosen (at most n_deep + least + n_brief) go before the scores of the articles, which so are made for these alone.
+    few = whole.where(F.col("seq").isin([r["__seq"] for r in chosen.collect()]))
+    return sized_join(few, chosen, few["seq"] == F.col("__seq"), "inner").drop("__seq")
 
 
 def two_stage_rescore(articles: DataFrame, full: DataFrame, skip: tuple[str, ...] = (), first: int = 15, fetched: int = 10) -> DataFrame:
