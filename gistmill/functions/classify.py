@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gistmill import rules
-from gistmill.functions.exprs import argmax_category, contains_any, let, words
+from gistmill.functions.exprs import argmax_category, contains_any, let
 
 
 def topic_classify(title: Column, text: Column, table: list | None = None, default: str = rules.TOPIC_DEFAULT) -> Column:
@@ -49,7 +49,9 @@ def subdomains(text: Column, domain: Column, table: dict | None = None) -> Colum
 
 def extract_tags(text: Column, platform: Column, kind: Column, entities: list[str] | None = None) -> Column:
     """Entities named in the text, the platform and the type: sorted by code point, the first ten."""
-    found = let(F.lower(text), lambda t: F.filter(words(rules.ENTITIES if entities is None else entities), lambda e: F.contains(t, F.lower(e))))
+    # Names and what is searched for them, lowered once for all rows.
+    rows = F.array(*[F.struct(F.lit(e).alias("name"), F.lower(F.lit(e)).alias("low")) for e in (rules.ENTITIES if entities is None else entities)]).cast("array<struct<name:string,low:string>>")
+    found = let(F.lower(text), lambda t: F.transform(F.filter(rows, lambda e: F.contains(t, e["low"])), lambda e: e["name"]))
     return F.slice(F.array_sort(F.array_distinct(F.concat(found, F.array(platform, kind)))), 1, 10)
 
 

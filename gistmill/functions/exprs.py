@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -33,6 +34,15 @@ def hit_count(text: Column, keywords: Iterable[str]) -> Column:
     return let(text, lambda t: F.size(F.filter(words(keywords), lambda k: F.contains(t, k))))
 
 
+def hits_apart(text: Column, runs: Column, keywords: Iterable[str]) -> Column:
+    """``hit_count`` of a text whose runs of Han are known: words of Han alone are searched there, which for other texts is little."""
+    keywords = list(keywords)
+    of_han = [k for k in keywords if re.fullmatch("[\u4e00-\u9fff]+", k)]
+    rest = [k for k in keywords if k not in of_han]
+    counts = [hit_count(where, kws) for where, kws in ((runs, of_han), (text, rest)) if kws]
+    return sum(counts[1:], counts[0]) if counts else F.lit(0)
+
+
 def contains_any(text: Column, keywords: Iterable[str]) -> Column:
     return let(text, lambda t: F.exists(words(keywords), lambda k: F.contains(t, k)))
 
@@ -45,9 +55,13 @@ def weighted(text: Column, rules: Iterable[tuple[str, int]]) -> Column:
 
 def argmax_category(text: Column, rules: Iterable[tuple[str, list[str]]], default: str) -> Column:
     """The category with most keyword hits; the first in the order of the rules wins ties, and without hits the default."""
-    rows = F.array(*[F.struct(hit_count(text, kws).alias("n"), F.lit(-i).alias("ord"), F.lit(name).alias("name")) for i, (name, kws) in enumerate(rules)])
-    best = F.array_max(rows)
-    return F.when(best["n"] > 0, best["name"]).otherwise(default)
+    named = list(rules)
+
+    def rate(t: Column, runs: Column) -> Column:
+        rows = F.array(*[F.struct(hits_apart(t, runs, kws).alias("n"), F.lit(-i).alias("ord"), F.lit(name).alias("name")) for i, (name, kws) in enumerate(named)])
+        return let(F.array_max(rows), lambda best: F.when(best["n"] > 0, best["name"]).otherwise(default))
+
+    return let(text, lambda t: let(han(t), lambda runs: rate(t, runs)))
 
 
 def strip(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gistmill import rules
-from gistmill.functions.exprs import contains_any, han, hit_count, let, weighted
+from gistmill.functions.exprs import contains_any, han, hit_count, hits_apart, let, weighted
 
 
 def _text(title: Column, summary: Column) -> Column:
@@ -142,10 +142,7 @@ def depth_tenths(text: Column) -> Column:
         parts += F.when(sig["paragraph_count"] >= 15, 5).otherwise(0)
         for name, tenths in rules.DEPTH_TENTHS.items():
             parts += F.when(sig[name], tenths).otherwise(0)
-        plain = [k.lower() for k in rules.DEPTH_WORDS]
-        of_han = [k for k in plain if re.fullmatch("[\u4e00-\u9fff]+", k)]
-        hits = hit_count(runs, of_han) + hit_count(lower, [k for k in plain if k not in of_han])
-        return F.least(F.lit(100), parts + F.least(F.lit(10), hits))
+        return F.least(F.lit(100), parts + F.least(F.lit(10), hits_apart(lower, runs, [k.lower() for k in rules.DEPTH_WORDS])))
 
     def parts(t: Column, h: Column) -> Column:
         return let(F.struct(_signals(t, h).alias("s"), F.lower(t).alias("l"), h.alias("h")), lambda v: total(v["s"], v["l"], v["h"]))
