@@ -71,8 +71,10 @@ def append_index_entries(candidates: DataFrame, index: DataFrame, today: Column)
 
     A candidate whose path or title the index has is left out, and of candidates that share
     a path or title with an earlier one. Anti joins on (index, path) and (index, title), so
-    that a hot index is spread over its paths and titles.
+    that a hot index is spread over its paths and titles. Both sides are written once, as each
+    is joined several times.
     """
+    candidates, index = materialize(candidates, "candidates"), materialize(index.select("index_key", "rel_path", "title"), "index")
     fresh = candidates.join(index.select("index_key", "rel_path").distinct(), ["index_key", "rel_path"], "left_anti").join(index.select("index_key", "title").distinct(), ["index_key", "title"], "left_anti")
     for key in ("rel_path", "title"):
         first = fresh.groupBy("index_key", key).agg(F.min("seq").alias("__seq"))
@@ -161,8 +163,9 @@ def version_paths(candidates: DataFrame, notes: DataFrame) -> DataFrame:
     Of a path and its versions, those that ``notes(rel_path)`` has are taken. At most 99
     candidates of a path get a version, so ranks are limited to 99 before the shuffle, and
     the rows then meet their places by path and ``seq``: a path with any number of
-    candidates is spread like the rest.
+    candidates is spread like the rest. Candidates are written once, as they are met twice.
     """
+    candidates = materialize(candidates, "candidates")
     stem = F.regexp_replace("rel_path", r"(?:_v[0-9]+)?\.md\z", "")
     number = F.coalesce(F.nullif(F.regexp_extract("rel_path", r"_v([0-9]+)\.md\z", 1), F.lit("")).cast("int"), F.lit(1))
     taken = notes.select(stem.alias("__stem"), number.alias("v")).groupBy("__stem").agg(F.collect_set(F.when(F.col("v") <= 99, F.col("v"))).alias("__taken"))  # 99 at most
