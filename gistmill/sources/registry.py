@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.shared import materialize
@@ -52,11 +52,17 @@ def _kind(name: str) -> Kind:
     return KINDS[name]
 
 
+def _plain(text: Column) -> Column:
+    return F.replace(text, F.lit("+"), F.lit("%2B"))
+
+
 def _raw(files: DataFrame, kind: Kind, path: str) -> DataFrame:
     """Texts of files with what their paths tell; ``rel_path`` is what follows the folder that was named."""
-    plain = lambda text: F.replace(text, F.lit("+"), F.lit("%2B"))
-    full = F.url_decode(plain(F.col("_metadata.file_path")))
-    rows = files.select("value", full.alias("landed")).withColumn("__path", F.split("landed", "/"))
+    return _told(files.select("value", F.url_decode(_plain(F.col("_metadata.file_path"))).alias("landed")), kind, path)
+
+
+def _told(files: DataFrame, kind: Kind, path: str) -> DataFrame:
+    plain, rows = _plain, files.withColumn("__path", F.split("landed", "/"))
     # Names of files may be encoded once more by whoever landed them, as those of urls must be.
     stem = F.regexp_replace(F.element_at("__path", -1), r"\.[A-Za-z0-9]+\z", "")
     name = F.coalesce(F.try_url_decode(plain(stem)), stem)
@@ -77,6 +83,21 @@ def read_landed(spark: SparkSession, name: str, path: str) -> DataFrame:
     return _articles(kind.parser(_raw(files, kind, path)), name, kind)
 
 
+def pack(files: DataFrame, path: str) -> None:
+    """Writes ``files(name, value)``, landed files by the path they would have under ``path``, as a table: many small files are few large ones."""
+    files.select("name", "value").write.parquet(path)
+
+
+def read_packed(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """What ``read_landed`` gives for the same files, of a folder that ``pack`` wrote; a kind of lines has them in its texts."""
+    kind = _kind(name)
+    files = spark.read.schema("name string, value string").parquet(path)
+    if kind.lines:
+        files = files.withColumn("value", F.explode(F.split("value", r"\r\n|\r|\n", -1)))
+    landed = F.concat(F.lit(path.rstrip("/") + "/"), F.col("name"))
+    return _articles(kind.parser(_told(files.select("value", landed.alias("landed")), kind, path)), name, kind)
+
+
 def stream_landed(spark: SparkSession, name: str, path: str, files_per_trigger: int = 64) -> DataFrame:
     """The same as a stream: every file that lands is parsed once."""
     kind = _kind(name)
@@ -86,21 +107,22 @@ def stream_landed(spark: SparkSession, name: str, path: str, files_per_trigger:
     return _articles(kind.parser(_raw(files, kind, path)), name, kind)
 
 
-def collect(spark: SparkSession, landed: Iterable[tuple[str, str]], without: Iterable[str] = ()) -> DataFrame:
+def collect(spark: SparkSession, landed: Iterable[tuple[str, str]], without: Iterable[str] = (), packed: bool = False) -> DataFrame:
     """Articles of all ``(kind, path)`` but the kinds in ``without``, with ``seq``: by place in ``landed``, then by file, then by place in it.
 
     Rows are sorted by ranges, so that no task holds a kind or a file whole, and written, as
     the numbers hold for one run of the sort alone. Numbers rise but leave gaps. Nothing to
-    read is an error.
+    read is an error. With ``packed`` the paths are those of tables that ``pack`` wrote. What was
+    parsed is written before the sort, which reads its rows twice.
     """
-    left = set(without)
-    parts = [read_landed(spark, name, path).withColumn("__part", F.lit(i)) for i, (name, path) in enumerate(landed) if name not in left]
+    left, read = set(without), read_packed if packed else read_landed
+    parts = [read(spark, name, path).withColumn("__part", F.lit(i)) for i, (name, path) in enumerate(landed) if name not in left]
     if not parts:
         raise ValueError("no source is left to read")
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    rows = rows.orderBy("__part", "landed", "pos", "url", "title").withColumn("seq", F.monotonically_increasing_id())
+    rows = materialize(rows, "parsed").orderBy("__part", "landed", "pos", "url", "title").withColumn("seq", F.monotonically_increasing_id())
     return materialize(rows.drop("__part"), "collected")
 
 
