@@ -4,20 +4,23 @@ Two tokenizers read the same bytes, a space and the text. Their tokens' ends cut
 pieces; each piece lies in one token of either, and is one link. Where both end a token, a
 group ends.
 
-1. The first pass aligns all documents and keeps, for each run of them, the linked pairs of
-   ids and the number of its documents that hold each.
+1. The documents are read and aligned once. What the counts do not touch is finished there
+   and written, each document beside its distinct pairs and how often it has each; the pass
+   also gives, for each run of documents, the linked pairs of ids and the number of its
+   documents that hold each.
 2. The distinct pairs are dealt out to shards by hash, and each shard gets a minimal perfect
    hash of its pairs, which stay beside it. A run's counts become dense vectors indexed by
    that hash, which are summed as a tree: first within the ``FAN`` branches of a shard, then
    across them.
-3. The second pass aligns the documents again and looks their pairs up; the key that is kept
-   under an index tells whether it is the pair asked for. The finished shards are read by
-   every task if they have at most ``TABLE_BYTES`` together. Beyond that, the pairs of
-   documents go to the shards: the same lookups, behind a shuffle.
+3. The pairs written with the documents are looked up; the key that is kept under an index
+   tells whether it is the pair asked for. The finished shards are read by every task if
+   they have at most ``TABLE_BYTES`` together. Beyond that, the pairs of documents go to the
+   shards: the same lookups, behind a shuffle.
 
 Both tokenizers work on units, runs between two single spaces, alone: neither has a piece
 that crosses from another character into a space. So each task tokenizes a unit once while
-it remembers it.
+it remembers it, and aligns the distinct units of some texts, of which each text's links and
+groups are set together.
 """
 
 from __future__ import annotations
@@ -27,10 +30,12 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +45,11 @@ from gistmill.llm.perfect_hash import PerfectHash, mixed
 #: Units in each of the two generations that a process remembers.
 MEMO = 400_000
 #: Stands for the ids of a unit that a tokenizer does not give back.
-WRONG: tuple[bytes, ...] = ()
+WRONG = b""
 #: Pair occurrences counted together, pairs of a shard about, branches of a sum, bytes of the table that tasks read whole.
 RUN, SHARD, FAN, TABLE_BYTES = 1 << 22, 1 << 16, 8, 96 << 20
+#: Bytes of texts aligned together, units tokenized in one go (longer strings cost more a unit), cells of documents and pairs counted together.
+TOGETHER, CHUNK, CELLS = 2 << 20, 1_000, 1 << 20
 _BORDER = re.compile(r"(?<=\S) (?=\S)")
 _TWO = re.compile(r"\s\s")
 
@@ -76,67 +83,89 @@ class Tokenizers:
         bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.bytes = (bytes_a, bytes_b)
         self.sizes = tuple(np.array(list(map(len, x)), np.int64) for x in self.bytes)
+        self.narrow = max(map(len, self.bytes)) <= 1 << 16
         # No piece may cross from another character into a space, or units would not stand alone.
         self.alone = not any(re.search(r"\S ", x.decode("utf-8", "replace")) for x in (*bytes_a, *bytes_b))
-        self.young: dict[str, tuple[bytes, ...]] = {}
-        self.old: dict[str, tuple[bytes, ...]] = {}
+        # One string of bytes a unit, as few objects are quicker to find again: the number of its ids of A, these, and its ids of B.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _both(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int32), np.array(self.b.encode(text), np.int32)
 
     def _right(self, ids: tuple[np.ndarray, np.ndarray], text: str) -> bool:
         raw = (" " + text).encode()
-        return all(b"".join([names[i] for i in x.tolist()]) == raw for names, x in zip(self.bytes, ids, strict=True))
+        return all(b"".join(map(names.__getitem__, x.tolist())) == raw for names, x in zip(self.bytes, ids, strict=True))
 
     def units(self, text: str) -> list[str]:
-        """Cuts at single spaces between other characters; a text with two spaces in a row is cut by a pattern."""
-        if not self.alone:
-            return [text]
-        return _BORDER.split(text) if text[:1].isspace() or text[-1:].isspace() or _TWO.search(text) else text.split(" ")
-
-    def _learn(self, fresh: list[str]) -> dict[str, tuple[bytes, ...]]:
+        """Cuts at single spaces between other characters."""
+        return _BORDER.split(text) if self.alone else [text]
+
+    def cut(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of some texts, the units of all texts as numbers of these, and how many each text has; none where a text is null or empty."""
+        lists = pc.split_pattern(texts, " ")
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        units, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        # A cut at every space is right unless a piece is empty or begins or ends with white space.
+        if self.alone and not _TWO.search(f" {' '.join(units)} "):
+            return units, codes, sizes
+        outer = np.array([not u or u[0].isspace() or u[-1].isspace() or not self.alone for u in units], bool)
+        odd = np.unique(np.repeat(np.arange(len(sizes)), sizes)[outer[codes]])
+        if not len(odd):
+            return units, codes, sizes
+        number = {u: i for i, u in enumerate(units)}
+        parts = np.split(codes, np.cumsum(sizes)[:-1])
+        for i, text in zip(odd.tolist(), texts.take(pa.array(odd)).to_pylist(), strict=True):
+            parts[i] = np.array([number.setdefault(u, len(number)) for u in self.units(text)] if text else [], np.int64)
+        used, codes = np.unique(np.concatenate(parts), return_inverse=True)
+        units = list(number)
+        return [units[i] for i in used.tolist()], codes, np.array(list(map(len, parts)), np.int64)
+
+    def _learn(self, fresh: list[str]) -> dict[str, bytes]:
         """Ids of units, ``WRONG`` for units whose bytes they do not give back. Units that begin and end with other characters are read in one go."""
         plain = [u for u in fresh if u and not u[0].isspace() and not u[-1].isspace()]
-        out: dict[str, tuple[bytes, ...]] = {}
-        joined = " ".join(plain)
-        if plain:
+        out: dict[str, bytes] = {}
+        for start in range(0, len(plain), CHUNK):
+            part = plain[start : start + CHUNK]
+            joined = " ".join(part)
             ids = self._both(joined)
             if self._right(ids, joined):
-                ends = np.cumsum([len(u.encode()) + 1 for u in plain])
+                ends = np.cumsum([len(u.encode()) + 1 for u in part])
                 cuts = [np.searchsorted(np.cumsum(size[x]), ends, "left") + 1 for size, x in zip(self.sizes, ids, strict=True)]
-                last = [0, 0]
-                raw = [x.tobytes() for x in ids]
-                for u, i, j in zip(plain, *((4 * c).tolist() for c in cuts), strict=True):
-                    out[u] = (raw[0][last[0] : i], raw[1][last[1] : j])
-                    last = [i, j]
+                n_a = np.diff(cuts[0], prepend=0).astype(np.int32)
+                flat = np.insert(ids[1], np.repeat(np.append(0, cuts[1][:-1]), n_a), ids[0])
+                first = cuts[0] - n_a + np.append(0, cuts[1][:-1])
+                raw = np.insert(flat, first, n_a).tobytes()
+                last = ((cuts[0] + cuts[1] + np.arange(1, len(part) + 1)) * 4).tolist()
+                out.update((u, raw[i:j]) for u, i, j in zip(part, [0, *last[:-1]], last, strict=True))
         for u in fresh:
             if u not in out:
                 ids = self._both(u)
-                out[u] = tuple(x.tobytes() for x in ids) if self._right(ids, u) else WRONG
+                out[u] = np.concatenate([[len(ids[0])], *ids]).astype(np.int32).tobytes() if self._right(ids, u) else WRONG
         return out
 
-    def read(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A and B of each text; none where a text is null or empty, or a tokenizer does not give its bytes back."""
-        cut = [self.units(t) if t else [] for t in texts]
-        known = [list(map(self.young.get, units)) for units in cut]
-        fresh: dict[str, None] = {}
-        for units, got in zip(cut, known, strict=True):
-            if None in got:
-                fresh.update((u, None) for u, g in zip(units, got, strict=True) if g is None)
-        if fresh:
+    def known(self, units: list[str]) -> list[bytes]:
+        """Ids of A and B of distinct units, after the number of those of A; ``WRONG`` where a tokenizer does not give the bytes back."""
+        got = list(map(self.young.get, units))
+        if None in got:
+            fresh = [u for u, g in zip(units, got, strict=True) if g is None]
             again = {u: g for u in fresh if (g := self.old.get(u)) is not None}
             self.young.update(again)
             self.young.update(self._learn([u for u in fresh if u not in again]))
-        young, none, out = self.young, np.zeros(0, np.int32), []
-        for units, got in zip(cut, known, strict=True):
-            if None in got:
-                got = [young[u] for u in units]
-            if not got or WRONG in got:
-                out.append((none, none))
-            else:
-                out.append(tuple(np.frombuffer(b"".join([g[side] for g in got]), np.int32) for side in (0, 1)))
-        if len(young) > MEMO:
-            self.old, self.young = young, {}
+            got = list(map(self.young.get, units))
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        return got
+
+    def read(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of A and B of each text; none where a text is null or empty, or a tokenizer does not give its bytes back."""
+        units, codes, sizes = self.cut(pa.array(texts, pa.string()))
+        known, out = self.known(units), []
+        for part in np.split(codes, np.cumsum(sizes)[:-1]):
+            got = [np.frombuffer(known[i], np.int32) for i in part.tolist()]
+            got = [] if any(not len(g) for g in got) else [(g[1 : 1 + g[0]], g[1 + g[0] :]) for g in got]
+            out.append(tuple(np.concatenate([np.zeros(0, np.int32), *[g[side] for g in got]]) for side in (0, 1)))
         return out
 
 
@@ -158,43 +187,111 @@ def _distinct(values: np.ndarray) -> np.ndarray:
 
 
 class Aligned:
-    """Links of some texts at once: ``doc``, ``a`` and ``b`` of every link, in order, and the tokens themselves."""
-
-    def __init__(self, own: Tokenizers, texts: list[str | None]):
-        read = own.read(texts)
-        self.n = [np.array([len(r[side]) for r in read], np.int64) for side in (0, 1)]
-        self.ids = [np.concatenate([r[side] for r in read]) if read else np.zeros(0, np.int32) for side in (0, 1)]
-        self.ends = [np.cumsum(own.sizes[side][self.ids[side]]) for side in (0, 1)]
-        # Both sides cover the same bytes of each text, so ends stay comparable over all of them.
-        cuts = _distinct(np.concatenate(self.ends))
-        at = [np.searchsorted(e, cuts, "left") for e in self.ends]
-        self.a, self.b = (x[i].astype(np.int64) for x, i in zip(self.ids, at, strict=True))
-        self.doc = np.repeat(np.arange(len(texts)), self.n[0])[at[0]]
-        self.key = self.a << 32 | self.b
+    """Links of distinct units: ``unit`` and ``key``, the ids of A and B, of every link, in order, and the tokens themselves. ``wrong`` units have none."""
+
+    def __init__(self, own: Tokenizers, units: list[str]):
+        read = own.known(units)
+        size = np.fromiter(map(len, read), np.int64, len(read)) // 4
+        self.wrong = size == 0
+        flat, head = np.frombuffer(b"".join(read), np.int32), (np.cumsum(size) - size)[~self.wrong]
+        n_a = np.zeros(len(read), np.int64)
+        n_a[~self.wrong] = flat[head]
+        self.n = [n_a, size - n_a - ~self.wrong]
+        side = np.repeat(np.tile([2, 0, 1], len(read)), np.stack([~self.wrong, *self.n], axis=1).ravel())
+        self.ids = [flat[side == k] for k in (0, 1)]
+        ends = [np.cumsum(own.sizes[side][self.ids[side]]) for side in (0, 1)]
+        # Both sides cover the same bytes of each unit, so ends stay comparable over all of them.
+        cuts = _distinct(np.concatenate(ends))
+        at = [np.searchsorted(e, cuts, "left") for e in ends]
+        a, b = (x[i].astype(np.int64) for x, i in zip(self.ids, at, strict=True))
+        self.unit = np.repeat(np.arange(len(units)), self.n[0])[at[0]]
+        self.key = a << 32 | b
         # A token ends a group if the other side has the same end.
-        both = np.diff(np.append(at[0], len(self.ends[0]))) + np.diff(np.append(at[1], len(self.ends[1]))) == 2 if len(cuts) else np.zeros(0, bool)
-        self.closes = [np.zeros(len(e), bool) for e in self.ends]
+        both = np.diff(np.append(at[0], len(ends[0]))) + np.diff(np.append(at[1], len(ends[1]))) == 2 if len(cuts) else np.zeros(0, bool)
+        self.closes = [np.zeros(len(e), bool) for e in ends]
         for closed, i in zip(self.closes, at, strict=True):
             closed[i[both]] = True
 
-    def digests(self) -> tuple[np.ndarray, list[str]]:
-        """Number of groups and SHA-256 of their text, ``a1,a2|b1;a3|b2,b3``, of each text; '' without tokens."""
-        docs = len(self.n[0])
-        owner = [np.repeat(np.arange(docs), n) for n in self.n]
-        groups = np.bincount(owner[0][self.closes[0]], minlength=docs) if docs else np.zeros(0, np.int64)
+    def written(self) -> tuple[np.ndarray, list[bytes]]:
+        """Number of groups of each unit and their text, ``a1,a2|b1;a3|b2,b3;``."""
+        units = len(self.n[0])
+        groups = np.bincount(np.repeat(np.arange(units), self.n[0])[self.closes[0]], minlength=units)
         # Places of all tokens in the order in which they are written: by group, A before B.
-        before = [np.cumsum(c) - c for c in self.closes]
-        group = np.concatenate(before)
-        order = np.argsort(group * 2 + np.repeat([0, 1], [len(x) for x in self.ids]), kind="stable")
-        marks = np.where(np.concatenate(self.closes), np.repeat([1, 2], [len(x) for x in self.ids]), 0)[order]
-        shown = _written()[marks, np.concatenate(self.ids)[order]] if len(order) else np.zeros(0, "S1")
-        lengths = self.n[0] + self.n[1]
-        out, at = [], 0
-        for n in lengths.tolist():
-            text = shown[at : at + n].tobytes().translate(None, b"\0")
-            out.append(hashlib.sha256(text[:-1]).hexdigest() if n else "")  # without the last mark
-            at += n
-        return groups.astype(np.int64), out
+        group = np.concatenate([np.cumsum(c) - c for c in self.closes])
+        side = np.repeat([0, 1], [len(x) for x in self.ids])
+        order = np.argsort(group * 2 + side, kind="stable")
+        marks = np.where(np.concatenate(self.closes), side + 1, 0)[order]
+        shown = _written()[marks, np.concatenate(self.ids)[order]].view(np.uint8).reshape(len(order), _written().itemsize)
+        sizes = np.concatenate([[0], np.cumsum(np.count_nonzero(shown, axis=1))])
+        text = shown[shown != 0].tobytes()
+        cuts = sizes[np.concatenate([[0], np.cumsum(self.n[0] + self.n[1])])].tolist()
+        return groups, [text[i:j] for i, j in pairwise(cuts)]
+
+
+def _sums(cuts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Exact sums of whole numbers between cuts that follow each other."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[cuts])
+
+
+def _often(cuts: np.ndarray, number: np.ndarray, numbers: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of each document, in order, and how often it has each: places where documents begin and end, numbers, times."""
+    docs = len(cuts) - 1
+    doc = np.repeat(np.arange(docs), np.diff(cuts))
+    if docs * numbers <= 16 * len(number):  # few enough cells to count all of them
+        step, cells, times = max(1, CELLS // numbers) if numbers else 1, [], []
+        for first in range(0, docs, step):
+            part = slice(cuts[first], cuts[min(first + step, docs)])
+            counted = np.bincount((doc[part] - first) * numbers + number[part], minlength=1)
+            some = np.flatnonzero(counted)
+            cells.append(some + first * numbers)
+            times.append(counted[some])
+        cell, often = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (cells, times))
+    else:
+        cell, often = np.unique(doc * numbers + number, return_counts=True)
+    return np.searchsorted(cell, np.arange(docs + 1) * numbers), cell % max(numbers, 1), often
+
+
+class Documents:
+    """Tokens, groups and pairs of some texts; ``pairs`` are sorted keys, ``number`` the distinct ones of each text from ``at`` to the next, ``often`` how often it has each."""
+
+    def __init__(self, own: Tokenizers, texts: pa.Array):
+        units, codes, sizes = own.cut(texts)
+        got = Aligned(own, units)
+        docs = len(sizes)
+        doc = np.repeat(np.arange(docs), sizes)
+        if got.wrong.any():
+            wrong = np.bincount(doc, got.wrong[codes], docs) > 0
+            codes, doc = codes[~wrong[doc]], doc[~wrong[doc]]
+        cuts = np.searchsorted(doc, np.arange(docs + 1))
+        groups, written = got.written()
+        links = np.bincount(got.unit, minlength=len(units))
+        each = links[codes]
+        self.n_a, self.n_b, self.n_groups, self.n_links = (_sums(cuts, x) for x in (got.n[0][codes], got.n[1][codes], groups[codes], each))
+        shown = [written[i] for i in codes.tolist()]
+        # Without the last mark.
+        self.digests = [hashlib.sha256(b"".join(shown[i:j])[:-1]).hexdigest() if i < j else "" for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        self.pairs, number = np.unique(got.key, return_inverse=True)
+        before = np.cumsum(links) - links
+        of_unit = np.repeat(before[codes] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        self.at, self.number, self.often = _often(np.concatenate([[0], np.cumsum(self.n_links)]), number[of_unit], len(self.pairs))
+
+
+def _packed(keys: np.ndarray, narrow: bool) -> np.ndarray:
+    """Ids of both sides in four bytes where both vocabularies have at most 2^16 pieces."""
+    return (keys >> 16 | keys & 0xFFFF).astype(np.uint32) if narrow else keys
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    """Keys from what ``_packed`` made of ``n`` of them."""
+    if len(data) != 4 * n:
+        return np.frombuffer(data, np.int64)
+    keys = np.frombuffer(data, np.uint32).astype(np.int64)
+    return keys >> 16 << 32 | keys & 0xFFFF
+
+
+def _blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of ``values`` cut at places."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 @lru_cache(maxsize=1)
@@ -204,24 +301,35 @@ def _written() -> np.ndarray:
     return np.stack([np.char.add(names, mark) for mark in (b",", b"|", b";")])
 
 
+FACTS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+READ = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, often binary, keys binary, counts binary"
+
+
 def _first_pass(first: str, second: str):
+    """A row for each document, with its ``pairs`` and how ``often`` it has each, and one for each run of them, with ``keys`` and ``counts``."""
+    schema = pa.schema([*((c, pa.string() if c == "groups_sha256" else pa.int64()) for c in FACTS), *((c, pa.binary()) for c in ("pairs", "often", "keys", "counts"))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def row() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            keys, number = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            counts = np.zeros(len(keys), np.int64)
+            np.add.at(counts, number, np.concatenate([c for _, c in held]))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([counts.astype(np.int64).tobytes()], pa.binary())], ["keys", "counts"])
+            return pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in schema.types[:-2]], *[pa.array([x.tobytes()], pa.binary()) for x in (keys, counts)]], schema=schema)
 
         own = _tokenizers(first, second)
-        for batch in slices(batches):
-            got = Aligned(own, batch.column("text").to_pylist())
-            # Pairs of a document once each: keys of the slice as small numbers, then (document, number).
-            pairs, number = np.unique(got.key, return_inverse=True)
-            if len(pairs):
-                once = _distinct(got.doc * len(pairs) + number)
-                held.append(pairs[once % len(pairs)])
-                size += len(once)
+        for batch in slices(batches, TOGETHER):
+            got = Documents(own, batch.column("text"))
+            counts = np.bincount(got.number, minlength=len(got.pairs))
+            some = counts > 0  # pairs of texts that have no tokens as a whole are held by none
+            if some.any():
+                held.append((got.pairs[some], counts[some]))
+                size += int(some.sum())
+            facts = [batch.column("doc_id"), *[pa.array(x.astype(np.int64)) for x in (got.n_a, got.n_b, got.n_groups, got.n_links)], pa.array(got.digests, pa.string())]
+            pairs = [_blobs(_packed(got.pairs[got.number], own.narrow), got.at), _blobs(got.often.astype(np.int32), got.at)]
+            yield pa.RecordBatch.from_arrays([*facts, *pairs, *[pa.nulls(batch.num_rows, pa.binary())] * 2], schema=schema)
             if size >= RUN:
                 yield row()
                 size = 0
@@ -325,11 +433,9 @@ def _best_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class PairCounts:
-    """Counts of all linked pairs of a table: ``shards``, a row for each of them."""
+    """Counts of all linked pairs of runs of documents: ``shards``, a row for each of them."""
 
-    def __init__(self, docs: DataFrame, first: str, second: str, shard: int = SHARD):
-        runs = need(docs, ["text"]).mapInArrow(_first_pass(first, second), "keys binary, counts binary")
-        runs = materialize(runs, "runs")
+    def __init__(self, runs: DataFrame, shard: int = SHARD):
         # From above: the distinct pairs are at most all pairs of the runs, and a shard holds the more of them the fewer recur.
         size = runs.agg(F.sum(F.octet_length("keys") / 8).alias("all"), F.max(F.octet_length("keys") / 8).alias("most")).first()
         self.count = max(1, -(-int(min(size["all"] or 0, 4 * (size["most"] or 0))) // shard))
@@ -381,56 +487,44 @@ COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _sums(doc: np.ndarray, docs: int, values: np.ndarray) -> np.ndarray:
-    """Sums of whole numbers by document, exact."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return np.diff(total[np.searchsorted(doc, np.arange(docs + 1))])
-
-
-def _second_pass(first: str, second: str, table):
+def _second_pass(table):
     made: list[_Table] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not made:
             made.append(_Table(*table.value))
-        own, counts = _tokenizers(first, second), made[0]
-        for batch in slices(batches):
-            got = Aligned(own, batch.column("text").to_pylist())
-            docs = batch.num_rows
-            pairs, number = np.unique(got.key, return_inverse=True)
-            found = counts.counts(pairs)
-            best = (found == counts.top[pairs >> 32]).astype(np.int64) if len(pairs) else found
-            groups, digests = got.digests()
-            columns = [got.n[0], got.n[1], groups, np.bincount(got.doc, minlength=docs), _sums(got.doc, docs, best[number]), _sums(got.doc, docs, found[number])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c.astype(np.int64)) for c in columns], pa.array(digests, pa.string())], COLUMNS)
+        counts = made[0]
+        for batch in slices(batches, TOGETHER, "pairs"):
+            often = [x.as_py() for x in batch.column("often")]
+            at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in often])])
+            often = np.frombuffer(b"".join(often), np.int32).astype(np.int64)
+            keys, number = np.unique(_unpacked(b"".join(x.as_py() for x in batch.column("pairs")), len(often)), return_inverse=True)
+            found = counts.counts(keys)
+            best = found == counts.top[keys >> 32] if len(keys) else found > 0
+            columns = {c: batch.column(c) for c in FACTS} | {"n_best": pa.array(_sums(at, often * best[number])), "count_sum": pa.array(_sums(at, often * found[number]))}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in COLUMNS], COLUMNS)
 
     return run
 
 
-def _asking(first: str, second: str, shards: int):
+def _asking(shards: int):
     """Each document, and for each shard the pairs it asks for: ``row, shard, keys, often`` with the document's own columns in the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _tokenizers(first, second)
-        for batch in slices(batches):
-            got = Aligned(own, batch.column("text").to_pylist())
-            groups, digests = got.digests()
-            links = np.bincount(got.doc, minlength=batch.num_rows)
-            cuts = np.searchsorted(got.doc, np.arange(batch.num_rows + 1))
+        for batch in slices(batches, TOGETHER, "pairs"):
             columns: list[list] = [[] for _ in range(11)]
-            ids, rows = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
-            for i in range(batch.num_rows):
-                keys, often = np.unique(got.key[cuts[i] : cuts[i + 1]], return_counts=True)
+            for doc in batch.to_pylist():
+                often = np.frombuffer(doc["often"], np.int32).astype(np.int64)
+                keys = _unpacked(doc["pairs"], len(often))
                 shard = _shard_of(keys, shards)
-                facts = [rows[i], -1, None, None, ids[i], int(got.n[0][i]), int(got.n[1][i]), int(groups[i]), int(links[i]), digests[i], 0]
                 for s in np.unique(shard).tolist():
                     at = shard == s
-                    for c, v in zip(columns, [rows[i], s, keys[at].tobytes(), often[at].astype(np.int64).tobytes(), None, 0, 0, 0, 0, None, 1], strict=True):
+                    for c, v in zip(columns, [doc["row"], s, keys[at].tobytes(), often[at].tobytes(), None, 0, 0, 0, 0, None, 1], strict=True):
                         c.append(v)
-                for c, v in zip(columns, facts, strict=True):
+                for c, v in zip(columns, [doc["row"], -1, None, None, *[doc[x] for x in FACTS], 0], strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), *[pa.int64()] * 4, pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "shard", "keys", "often", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "asks"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "shard", "keys", "often", *FACTS, "asks"])
 
     return run
 
@@ -468,12 +562,13 @@ def align(docs: DataFrame, first: str, second: str, shard: int = SHARD, table_by
     alone.
     """
     spark = docs.sparkSession
-    counts = PairCounts(docs, first, second, shard)
+    read = materialize(need(docs, ["doc_id", "text"]).mapInArrow(_first_pass(first, second), READ), "aligned")
+    counts = PairCounts(read.where("keys IS NOT NULL").select("keys", "counts"), shard)
+    rows = read.where("keys IS NULL").select(*FACTS, "pairs", "often")
     if counts.size() <= table_bytes:
         table = spark.sparkContext.broadcast((counts.shards.collect(), counts.count, counts.top))
-        return need(docs, ["doc_id", "text"]).mapInArrow(_second_pass(first, second, table), OUT)
-    named = need(docs, ["doc_id", "text"]).withColumn("row", F.monotonically_increasing_id())
-    asked = materialize(named.mapInArrow(_asking(first, second, counts.count), ASKED), "asked")
+        return rows.mapInArrow(_second_pass(table), OUT)
+    asked = materialize(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_asking(counts.count), ASKED), "asked")
     keys = asked.where("asks = 1").select("row", "shard", "keys", "often").join(counts.shards, "shard").sortWithinPartitions("shard")
     sums = keys.mapInPandas(_answers(counts.count, counts.top), "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     out = asked.where("asks = 0").drop("keys", "often", "shard").join(sums, "row", "left").fillna(0, ["n_best", "count_sum"])

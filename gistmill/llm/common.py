@@ -59,10 +59,10 @@ def numbered(df: DataFrame, *order) -> DataFrame:
     return parts.withColumn("__inside", inside).join(starts, "__part").withColumn("place", F.col("__before") + F.col("__inside")).drop("__part", "__before", "__inside")
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut where their texts fill ``limit`` bytes, so that a task holds the work on so much text and not on a whole batch; a longer text stands alone."""
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where their texts, or the values of another column, fill ``limit`` bytes, so that a task holds the work on so much text and not on a whole batch; a longer text stands alone."""
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if held and held + n > limit:

@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -91,3 +92,45 @@ def test_perfect_hash_is_minimal(n):
 def test_repeated_keys_are_refused():
     with pytest.raises(ValueError):
         PerfectHash.build(np.array([5, 5]))
+
+
+@pytest.mark.parametrize("options", [{}, {"shard": 16, "table_bytes": 0}])
+def test_texts_are_read_once(spark, options):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = [t for t in TEXTS if t] * 3
+    rows = docs(spark, texts).mapInArrow(counted, "doc_id long, text string")
+    got = align.align(rows, FIRST, SECOND, **options).collect()
+    assert sorted(tuple(r)[1:] for r in got) == sorted(plain(texts))
+    assert read.value == len(texts)  # tokenizing costs nearly all of the time, and was done in both passes
+
+
+def test_distinct_units_are_aligned_once(monkeypatch):
+    own = align.Tokenizers(FIRST, SECOND)
+    monkeypatch.setattr(align, "CHUNK", 3)
+    texts = [t or "" for t in TEXTS] + ["again again the  end again", "again end\n", "the end"]
+    units, codes, sizes = own.cut(pa.array([*texts, None]))
+    assert len(set(units)) == len(units) == codes.max() + 1
+    parts = np.split(codes, np.cumsum(sizes)[:-1])
+    assert [[units[i] for i in p] for p in parts] == [own.units(t) if t else [] for t in texts] + [[]]
+    got = align.Documents(own, pa.array([*texts, None]))
+    want = plain([*texts, None])
+    assert [tuple(r) for r in zip(got.n_a, got.n_b, got.n_groups, got.n_links, got.digests, strict=True)] == [(*r[:4], r[6]) for r in want]
+    for none in ([], [None, ""]):
+        assert align.Documents(own, pa.array(none, pa.string())).digests == [""] * len(none)
+
+
+def test_pairs_are_counted_and_packed():
+    number = np.array([3, 1, 3, 0, 2, 2, 2])
+    for numbers in (4, 4_000):  # by cells, by sorting
+        at, found, times = align._often(np.array([0, 3, 3, 7]), number, numbers)
+        assert (at.tolist(), found.tolist(), times.tolist()) == ([0, 2, 2, 4], [1, 3, 0, 2], [1, 2, 1, 3])
+    keys = np.array([5 << 32 | 7, 65_535 << 32 | 65_535, 0])
+    for narrow, more in ((True, []), (False, [70_000 << 32 | 80_000])):
+        wide = np.append(keys, np.array(more, np.int64))
+        assert align._unpacked(align._packed(wide, narrow).tobytes(), len(wide)).tolist() == wide.tolist()
