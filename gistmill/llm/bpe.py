@@ -14,9 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from gistmill.functions.exprs import let
 from gistmill.llm.common import need, slices
 
-#: Words in each of the two generations that a task remembers; it forgets the older one when the younger is full, which changes no result.
+#: Words in each of the two generations that a task remembers, and those of a slice; it forgets the older one when the younger is full, which changes no result.
 MEMO = 60_000
+#: Words that are merged together, about, and the rank of parts that make no piece.
+ROWS, NONE = 4_000, np.int32(2**31 - 1)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -86,26 +88,110 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in piece if p is not None]
 
 
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which two parts make a piece: sorted keys (left << 32 | right), the rank of each, and the part that stands for each byte.
+
+    A part is a piece, by its rank, or a byte that is no piece, by a number after the ranks.
+    """
+    top = max(ranks.values(), default=-1) + 1
+    single = [ranks.get(bytes([b]), top + b) for b in range(256)]
+    part = ranks | {bytes([b]): x for b, x in enumerate(single)}
+    found = [(x << 32 | y, r) for piece, r in ranks.items() for i in range(1, len(piece)) if (x := part.get(piece[:i])) is not None and (y := part.get(piece[i:])) is not None]
+    keys, values = np.array(found, np.int64).reshape(-1, 2).T
+    order = np.argsort(keys)
+    return keys[order], values[order].astype(np.int32), np.array(single, np.int32)
+
+
+def merge_words(words: list[bytes], pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[bytes]:
+    """Token ids, 32 bits each, of each word of at most 64 bytes, as ``merge`` gives them, but for words that are a piece: all words take each step together, a row of a matrix each."""
+    keys, values, single = pairs
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.full(left.shape, NONE, np.int32)
+        key = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(keys, key)
+        at[at == len(keys)] = 0
+        return np.where(keys[at] == key, values[at], NONE)
+
+    first = rank(np.repeat(single, 256), np.tile(single, 256))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    out = [b""] * len(words)
+    low = 0
+    for high in (6, 8, 10, 12, 16, 24, 64):  # rows of about one length together
+        for some in np.array_split(where := np.flatnonzero((sizes > low) & (sizes <= high)), len(where) // ROWS + 1):
+            if not len(some):
+                continue
+            n, k = sizes[some], np.arange(high)
+            raw = np.frombuffer(b"".join([words[i].ljust(high, b"\0") for i in some]), np.uint8).reshape(-1, high)
+            # A column more on the right, of what is no part and no pair, is what moves in from there.
+            parts = np.zeros((len(some), high + 1), np.int32)
+            parts[:, :-1] = single[raw]
+            ranks = np.full((len(some), high + 1), NONE, np.int32)
+            ranks[:, : high - 1] = first[raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]]
+            ranks[:, :-1][k >= n[:, None] - 1] = NONE
+            while True:
+                rows = np.arange(len(some))
+                at = ranks.argmin(1)  # the leftmost of the lowest
+                best = ranks[rows, at]
+                if (done := best == NONE).any():
+                    flat = parts[done].tobytes()
+                    for i, place, m in zip(range(0, len(flat), 4 * high + 4), some[done].tolist(), (4 * n[done]).tolist(), strict=True):
+                        out[place] = flat[i : i + m]
+                    left = ~done
+                    some, n, parts, ranks, at, best, rows = some[left], n[left], parts[left], ranks[left], at[left], best[left], rows[: left.sum()]
+                if not len(some):
+                    break
+                n -= 1
+                moved = k > at[:, None]
+                parts[:, :-1] = np.where(moved, parts[:, 1:], parts[:, :-1])
+                parts[rows, at] = best
+                ranks[:, :-1] = np.where(moved, ranks[:, 1:], ranks[:, :-1])
+                ranks[rows, at] = np.where(at + 1 < n, rank(best, parts[rows, at + 1]), NONE)
+                before = np.flatnonzero(at)
+                ranks[before, at[before] - 1] = rank(parts[before, at[before] - 1], best[before])
+        low = high
+    return out
+
+
 def _encode(ranks: dict[bytes, int], pattern: str):
-    """Function from a text to its ids that merges each distinct word once while it is remembered."""
+    """Function from texts to an array of ids for each that merges each distinct word once while it is remembered.
+
+    The fresh words of all the texts are merged together; the ids of a word are kept as bytes.
+    """
+    pairs = pair_ranks(ranks)
     state: dict = {}
 
-    def run(text: str | None) -> array:
-        if not state:  # made in the task, not sent to it
-            state.update(find=regex.compile(pattern).finditer, young={}, old={})
+    def learn(words: set[str]) -> None:
         young, old = state["young"], state["old"]
-        ids = array("i")
-        for match in state["find"](text or ""):
-            word = match[0]
-            if (got := young.get(word)) is None:
-                if (got := old.get(word)) is None:
-                    got = array("i", merge(word.encode(), ranks))
-                if len(young) >= MEMO:
-                    state["old"], state["young"] = old, young = young, {}
+        fresh = []
+        for word in words.difference(young):
+            if (got := old.get(word)) is None and (whole := ranks.get(raw := word.encode())) is not None:
+                got = whole.to_bytes(4, sys.byteorder)
+            elif got is None and len(raw) > 64:
+                got = np.array(merge(raw, ranks), np.int32).tobytes()
+            if got is None:
+                fresh.append(word)
+            else:
                 young[word] = got
-            ids += got
+        young.update(zip(fresh, merge_words([w.encode() for w in fresh], pairs), strict=True))
+
+    def run(texts: Iterable[str | None]) -> list[np.ndarray]:
+        if not state:  # made in the task, not sent to it
+            whole = regex.compile(pattern)
+            state.update(find=(lambda text: [m[0] for m in whole.finditer(text)]) if whole.groups else whole.findall, young={}, old={})
+        words = [state["find"](text or "") for text in texts]
+        learn(set().union(*words))
+        get = state["young"].__getitem__
+        ids = [np.frombuffer(b"".join(map(get, own)), np.int32) for own in words]
+        if partial and any((x > top).any() for x in ids):
+            raise KeyError("a byte that is no piece is left over")
+        if len(state["young"]) >= MEMO:
+            state["old"], state["young"] = state["young"], {}
         return ids
 
+    top = max(ranks.values(), default=-1)
+    partial = (pairs[2] > top).any()  # some byte is no piece
     return run
 
 
@@ -119,12 +205,9 @@ def encode_rows(docs: DataFrame, ranks: dict[bytes, int], pattern: str, keep: li
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            flat, ends = array("i"), array("i", [0])
-            for text in batch.column("text"):
-                flat += run(text.as_py())
-                ends.append(len(flat))
-            offsets = np.frombuffer(ends, np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32), pa.int32()))
+            found = run(batch.column("text").to_pylist())
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found), pa.int32()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.diff(offsets).astype(np.int64)), ids], [*keep, "n_tokens", "ids"])
 
     names = list(dict.fromkeys([*keep, "text"]))
@@ -168,8 +251,8 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             counts, ids, decoded = [], [], []
-            for text in batch.column("text"):
-                row = encode(text.as_py())
+            for row in encode(batch.column("text").to_pylist()):
+                row = row.tolist()
                 counts.append(len(row))
                 ids.append(hashlib.sha256(",".join([names[i] for i in row]).encode()).hexdigest())
                 decoded.append(hashlib.sha256(b"".join([pieces[i] for i in row])).hexdigest())

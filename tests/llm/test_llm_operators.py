@@ -380,6 +380,33 @@ def test_bpe_matches_tiktoken(spark):
     assert bpe.round_trip(empty(spark), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_merges_fresh_words_together(monkeypatch):
+    """One look at the ranks for each distinct word; the form before took one for each pair of each step."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    rng, ranks = random.Random(8), Counted(RANKS)
+    words = ["".join(rng.choices("abeinorst", k=rng.randint(1, 60))) for _ in range(400)] + ["é" * k + "中" * (k % 3) for k in range(1, 24)]
+    encode = bpe._encode(ranks, public_tokenizers.PATTERN)
+    ranks.asked = 0
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    for texts in ([" ".join(words), None, ""], [" ".join(words[:70])] * 3, words[60:]):
+        assert [x.tolist() for x in encode(texts)] == [ENCODER.encode_ordinary(t or "") for t in texts]
+    assert ranks.asked <= 3 * len(words)
+
+
+def test_bpe_with_groups_and_missing_bytes():
+    run = bpe._encode({b"a": 0, b"b": 1, b"ab": 2}, r"(a)(b)?|c|$")
+    assert [x.tolist() for x in run(["abaab", "a"])] == [[2, 0, 2], [0]]
+    with pytest.raises(KeyError):
+        run(["c"])
+
+
 def test_bpe_by_higher_order_functions(spark):
     words = [" the", " thanedble", "ing", "é", "🙂🙂", " WE", "a", "zzzzzzz", " 12345"]
     got = bpe.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), RANKS).collect()
