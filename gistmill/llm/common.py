@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gistmill.shared import materialize, shared_dir, sized_join, small
 
-__all__ = ["SLICE", "WORD", "load", "materialize", "ids_back", "ids_whole", "need", "numbered", "shared_dir", "sized_join", "slices", "small", "unwrap", "wrapped"]
+__all__ = ["SLICE", "WORD", "few_rows", "load", "materialize", "ids_back", "ids_whole", "need", "numbered", "shared_dir", "sized_join", "slices", "small", "unwrap", "wrapped"]
 
 #: Bytes of text that a task works on at a time.
 SLICE = 1 << 20
@@ -73,5 +74,17 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE, column: str =
             yield batch.slice(start)
 
 
+@contextmanager
+def few_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of that many rows at most for what runs inside; a batch of whole texts or sets is held by the executor, as one growing buffer, and by its Python worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -24,12 +24,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import materialize, need, sized_join, slices
+from gistmill.llm.common import few_rows, materialize, need, sized_join, slices
 from gistmill.llm.components import components
 from gistmill.llm.ngram_join import DEN, NUM, _class_of, shingle_set, similar
 
@@ -108,18 +107,20 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "tokens"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("tokens").to_pylist()]
+def _whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_whole_sets`` gives, as lists that Spark can explode."""
+    for batch in slices(batches):
+        sets = [s for t in batch.column("text") if len(s := shingle_set(t.as_py(), SHINGLE))]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "tokens"])
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(map(_class_of, sets), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cls", "tokens"])
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(pdf["a"], pdf["b"], strict=True)]
-        yield pdf.loc[ok, ["u", "v"]]
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in ("a", "b"))
+        ok = pa.array(map(similar, a, b), pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column("u").filter(ok), batch.column("v").filter(ok)], ["u", "v"])
 
 
 def _fits(n: Column, m: Column) -> Column:
@@ -154,12 +155,12 @@ class Near:
         head = posts.where("parts > 1").groupBy("token").agg(F.min_by(one, F.struct(-F.col("met"), "n", "cls")).alias("head"))
         return sized_join(posts, materialize(head, "heads"), "token", "left")
 
-    def _sets(self, wanted: DataFrame) -> DataFrame:
+    def _sets(self, wanted: DataFrame, form=_whole_sets, kind: str = "binary") -> DataFrame:
         """``cls, tokens`` of the classes in ``wanted``, from a document of each, read again."""
         owner = materialize(self.classes.select("cls", "doc_id").join(wanted, "cls"), "owners")
         ids = owner.select(F.col("doc_id").alias("__d"))
         texts = sized_join(self.docs, ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-        return sized_join(texts.select("text").mapInArrow(_whole_sets, "cls long, tokens binary"), owner.select("cls"), "cls", "left_semi")
+        return sized_join(texts.select("text").mapInArrow(form, f"cls long, tokens {kind}"), owner.select("cls"), "cls", "left_semi")
 
     def _verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs ``(u, v)`` of classes that agree in their sketches and reach the threshold on their full sets."""
@@ -169,9 +170,10 @@ class Near:
         pairs = materialize(both.mapInArrow(_agreeing, "u long, v long"), "pairs")
         # Rows that repeat a document repeat its set; the result is made distinct.
         sets = self._sets(pairs.select(F.col("u").alias("cls")).unionAll(pairs.select("v")).distinct())
-        both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")), "u")
-        both = both.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")), "v")
-        return materialize(both.mapInPandas(_verify, "u long, v long").distinct(), "links")
+        # Joins that shuffle: sets are made in one stage and compared in another, so that a task has one Python worker.
+        both = pairs.join(sets.select(F.col("cls").alias("u"), F.col("tokens").alias("a")).hint("merge"), "u")
+        both = both.join(sets.select(F.col("cls").alias("v"), F.col("tokens").alias("b")).hint("merge"), "v")
+        return materialize(both.mapInArrow(_verify, "u long, v long").distinct(), "links")
 
     def run(self) -> DataFrame:
         """``(cls, component)`` of every class that has a link; also keeps ``self.links``."""
@@ -197,7 +199,7 @@ class Near:
         named = posts.join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         mixed = materialize(named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "tokens")
         some = materialize(named.join(mixed, "token").select("cls", "n", "component").distinct(), "mixed")
-        tokens = self._sets(some.select("cls")).mapInArrow(_shingles, "cls long, tokens array<long>").dropDuplicates(["cls"])
+        tokens = self._sets(some.select("cls"), _whole_lists, "array<long>").dropDuplicates(["cls"])
         tokens = materialize(tokens.select("cls", F.explode("tokens").alias("token")), "shingles")
         often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
         shared = materialize(tokens.join(often, "token"), "shared")
@@ -229,8 +231,9 @@ def near_duplicates(docs: DataFrame, long: int = LONG) -> DataFrame:
     Lists of more than about ``long`` rows are dealt out to several tasks, which changes no
     result.
     """
-    near = Near(docs, long)
-    found = materialize(near.run().withColumnRenamed("node", "cls"), "classes")
+    with few_rows(docs.sparkSession):
+        near = Near(docs, long)
+        found = materialize(near.run().withColumnRenamed("node", "cls"), "classes")
     # One row for each class; only components of more than one document need a smallest id looked up.
     least = near.rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("lead"), F.count("*").alias("k"))
     named = least.join(found, "cls", "left").withColumn("component", F.coalesce("component", "cls"))

@@ -86,6 +86,38 @@ def test_hot_lists_stay_linear(spark):
     assert near.links.count() < 400 * 60
 
 
+def test_minhash_has_one_worker_a_task_and_small_batches(spark, monkeypatch):
+    """No stage feeds one Python function from another, which would take two workers a task, and batches are small."""
+    plans, rows, write, name = [], [], minhash.materialize, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def noted(df, *a):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        rows.append(int(spark.conf.get(name)))
+        return write(df, *a)
+
+    monkeypatch.setattr(minhash, "materialize", noted)
+    before = spark.conf.get(name)
+    rng = random.Random(4)
+    texts = varied(rng, [f"w{i}" for i in range(400)], 10, 6)
+    assert {tuple(r) for r in minhash.near_duplicates(docs(spark, texts)).collect()} == brute(range(len(texts)), texts)
+    assert spark.conf.get(name) == before and max(rows[:10]) <= 1000
+    seen = 0
+    for plan in plans:
+        path = []  # of each node above: how far in it stands, and whether it is Python or an exchange
+        for line in plan.splitlines():
+            at = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+            path = [x for x in path if x[0] < at]
+            node = line[at:]
+            if node.startswith(("MapInArrow", "MapInPandas")):
+                above = [kind for _, kind in path if kind]
+                assert above[-1:] != ["python"], plan
+                path.append((at, "python"))
+                seen += 1
+            else:
+                path.append((at, "exchange" if "Exchange" in node.split("(")[0].split(" ")[0] else ""))
+    assert seen >= 5
+
+
 # 13
 def plain_negatives(rows, anchors, low=50, high=95, k=5, m=3):
     out = set()
