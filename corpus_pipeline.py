@@ -1,5 +1,8 @@
 """Training corpus from raw documents: five stages, each written as Parquet and read again.
 
+Stages that run Python on texts write their rows themselves, in small Arrow batches: what
+they return is run by the caller, under the session's batch size.
+
 No SQL expresses the learnt and iterative stages, so ORACLE_SQL is None; the tests compare
 a small run with a brute-force version of each stage.
 """
@@ -13,13 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gistmill.llm import bpe, mixing, ngram_join, pii, toxicity
-from gistmill.llm.common import load, shared_dir
+from gistmill.llm.common import few_rows, load, materialize, shared_dir
 from gistmill.llm.queries import VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine rejects go."""
-    return toxicity.clean(docs, load(spark, sf_dir, "labels"))
+    with few_rows(spark):
+        return materialize(toxicity.clean(docs, load(spark, sf_dir, "labels")), "clean")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document: ``doc_id, source, n_tokens, ids``."""
     ranks = bpe.load_ranks(public_tokenizers.path(VOCABULARY))
-    return bpe.encode_rows(docs, ranks, public_tokenizers.PATTERN, ["doc_id", "source"])
+    with few_rows(spark):
+        return materialize(bpe.encode_rows(docs, ranks, public_tokenizers.PATTERN, ["doc_id", "source"]), "tokens")
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("pii", sanitise), ("mixing", mix_sources), ("bpe", tokenize)]

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gistmill.llm.common import materialize, need, sized_join, slices, unwrap, wrapped
+from gistmill.llm.common import few_rows, materialize, need, sized_join, slices, unwrap, wrapped
 from gistmill.llm.components import components
 
 SHINGLE = 5
@@ -95,10 +95,11 @@ class _Recurring:
         if self.held:
             own = self.buffer[: self.held]
             own.sort()
-            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            often = np.diff(np.append(starts, len(own)))
-            again = often > 1
-            np.add.at(self.counts, (own[starts[again]] % np.uint64(BUCKETS)).astype(np.int64), often[again].astype(np.uint32))
+            again = own[1:] == own[:-1]
+            first = again.copy()
+            first[1:] &= ~again[:-1]
+            for one in (again, first):  # marks, not places: a run of shingles that differ is held once
+                np.add.at(self.counts, (own[:-1][one] % np.uint64(BUCKETS)).astype(np.int64), np.uint32(1))
             self.held = 0
 
 
@@ -259,9 +260,11 @@ class NgramJoin:
         return components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
 
 
-def _grouped(join: NgramJoin) -> DataFrame:
+def _grouped(docs: DataFrame, long: int = LONG) -> DataFrame:
     """``doc_id, key, n, component`` of every row; null without shingles. Rows of texts without words never meet a join."""
-    found = materialize(join.run().withColumnRenamed("node", "cls"), "classes")
+    with few_rows(docs.sparkSession):
+        join = NgramJoin(docs, long)
+        found = materialize(join.run().withColumnRenamed("node", "cls"), "classes")
     worded = sized_join(join.rows.where("cls IS NOT NULL"), found, "cls", "left").select("doc_id", "key", "n", F.coalesce("component", "cls").alias("component"))
     return worded.unionAll(join.rows.where("cls IS NULL").select("doc_id", "key", "n", F.lit(None).cast("long")))
 
@@ -277,7 +280,7 @@ def jaccard_components(docs: DataFrame, long: int = LONG) -> DataFrame:
     are ignored; an empty table gives an empty result. Lists of more than about ``long``
     postings are dealt out to several tasks, which changes no result.
     """
-    rows = materialize(_grouped(NgramJoin(docs, long)), "rows")
+    rows = materialize(_grouped(docs, long), "rows")
     worded = rows.where("component IS NOT NULL")
     # Only components of more than one document need a smallest id looked up.
     least = materialize(worded.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("k")).where("k > 1").drop("k"), "least")
@@ -294,7 +297,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     further columns differ. Texts without words, null ones too, are no copies and all
     stay. An empty table gives an empty result; columns may have any names.
     """
-    rows = materialize(_grouped(NgramJoin(docs)).where("component IS NOT NULL").groupBy("component", "doc_id", "key").agg(F.count("*").alias("k")), "rows")
+    rows = materialize(_grouped(docs).where("component IS NOT NULL").groupBy("component", "doc_id", "key").agg(F.count("*").alias("k")), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
     best = materialize(rows.groupBy("component").agg(first.alias("best"), F.sum("k").alias("rows")).where("rows > 1").drop("rows"), "best")
     met = sized_join(rows, best, "component", "inner")

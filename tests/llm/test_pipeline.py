@@ -1,12 +1,14 @@
 """The corpus pipeline on the smallest tables, each stage against what it promises."""
 
 import hashlib
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gistmill.llm import bpe, toxicity
+from gistmill.llm import bpe, ngram_join, toxicity
 from gistmill.llm.common import load
 from tests.llm.test_llm_operators import ENCODER, RANKS, brute_components, plain_spans
 
@@ -68,3 +70,40 @@ def test_stages_take_odd_rows(spark):
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert len(tokens) == docs.count() and (tokens[tokens.doc_id.isin([9001, 9002])].n_tokens == 0).all()
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_run_python_on_small_batches(spark, monkeypatch):
+    """Whatever hands texts or sets to Python runs inside the stage, with few rows a batch; the caller runs none with batches of its own."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen, name = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    for module in (corpus_pipeline, toxicity, ngram_join):
+
+        def noted(df, *a, write=getattr(module, "materialize", None)):
+            if "MapIn" in plan(df):
+                seen.append(int(spark.conf.get(name)))
+            return write(df, *a)
+
+        monkeypatch.setattr(module, "materialize", noted, raising=False)
+    docs = load(spark, SF, "documents")
+    for step, stage in corpus_pipeline.STAGES:
+        had = len(seen)
+        docs = stage(spark, docs, SF)
+        assert "MapIn" not in plan(docs), step
+        assert len(seen) > had or step in ("pii", "mixing"), step
+        assert spark.conf.get(name) == before, step
+    assert max(seen) <= 1000
+
+
+def test_recurring_shingles_are_counted(monkeypatch):
+    """Those that occur once in a run are left out, others count as often as they occur, also over several runs."""
+    monkeypatch.setattr(ngram_join, "RUN", 500)
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 300, 1800), np.full(1200, 7), np.arange(1100), np.array([5]), np.array([5, 5])):
+        got = ngram_join._Recurring()
+        got.add(values.astype(np.uint64))
+        got.flush()
+        want = Counter()
+        for at in range(0, len(values), 500):
+            want.update({x: n for x, n in Counter(values[at : at + 500].tolist()).items() if n > 1})
+        assert {int(i): int(got.counts[i]) for i in np.flatnonzero(got.counts)} == dict(want)
