@@ -10,9 +10,9 @@ compared exactly.
 Layout: the scan packs vectors into blocks of at most one Arrow batch without a shuffle;
 queries form blocks of ``BLOCK_BYTES``. Index blocks are dealt out over ``SPREAD`` parts, of
 which each gets every query block once, and each pair of blocks meets once by an equi-join
-on part and query block. So the index moves once for each query block of 8 MB (16,384
-queries of 64 dimensions), and a part of it is never more than a share of the whole. A block
-pair returns at most k rows a query, so what is shuffled at the end is
+on part and query block, which shuffles both. So the index moves once for each query block
+of 8 MB (16,384 queries of 64 dimensions), and a part of it is never more than a share of the
+whole. A block pair returns at most k rows a query, so what is shuffled at the end is
 (queries x blocks x k) short rows.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from gistmill.llm.common import materialize, need
 
-#: Bytes of a block of queries, parts of the index, and estimates that a task holds at a time.
-BLOCK_BYTES, SPREAD, CELLS = 8 << 20, 64, 4 << 20
+#: Bytes of a block of queries, parts of the index, estimates that a task holds at a time, and tasks of the search.
+BLOCK_BYTES, SPREAD, CELLS, MOST_TASKS = 8 << 20, 64, 4 << 20, 4096
 BLOCK_SCHEMA = "ids binary, vectors binary, codes binary, scalars binary, dim int"
 
 
@@ -104,9 +104,9 @@ def _search(bits: int, seed: int, k: int, sigmas: float):
                     at = np.flatnonzero(other & (guess + error >= least))
                     score = cosines(x[at], q[i])
                     best = np.lexsort((ids[at], -score))[:k]
-                    out.append(pd.DataFrame({"query_id": qids[i], "vec_id": ids[at][best], "score": score[best], "compared": len(at)}))
+                    out.append((np.full(len(best), qids[i]), ids[at][best], score[best], np.full(len(best), len(at))))
                 if out:
-                    yield pd.concat(out)
+                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "compared"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -128,14 +128,18 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, bits: int = 256,
     index = build_index(vectors, bits, seed)
     rows = need(queries, ["vec_id", "embedding"]).where("vec_id IS NOT NULL")  # a null would turn the ids of its batch into doubles
     size = rows.agg(F.sum(F.size("embedding").cast("long") * 8)).first()[0] or 0
-    rows = rows.repartition(max(1, -(-size // BLOCK_BYTES)), F.xxhash64("vec_id"))
+    many = max(1, -(-size // BLOCK_BYTES))
+    rows = rows.repartition(many, F.xxhash64("vec_id"))
     packed = rows.mapInPandas(_encode(bits, seed), BLOCK_SCHEMA).select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.monotonically_increasing_id().alias("q_block"))
     packed = materialize(packed, "queries")
     parts = packed.select(F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"), "q_block", "dim", "q_ids", "q_vectors")
     # The numbers of the query blocks, a few bytes for each 8 MB of queries, name what an index block has to meet.
     numbers = packed.groupBy("dim").agg(F.collect_list("q_block").alias("q_blocks"))
     met = index.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SPREAD)).cast("int")).join(F.broadcast(numbers), "dim").withColumn("q_block", F.explode("q_blocks")).drop("q_blocks")
-    met = met.join(parts.drop("dim"), ["part", "q_block"]).drop("part")
+    # A copy of the queries for each part is no small side, however few bytes the table has from which it is unfolded:
+    # a broadcast would take all copies through the driver. The parts stay as many tasks, as a pair of blocks is much work for its bytes.
+    tasks = min(SPREAD * many, MOST_TASKS)
+    met = met.repartition(tasks, "part", "q_block").join(parts.drop("dim").repartition(tasks, "part", "q_block").hint("merge"), ["part", "q_block"]).drop("part")
     found = met.drop("q_block").mapInPandas(_search(bits, seed, k, sigmas), "query_id long, vec_id long, score double, compared long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "compared")

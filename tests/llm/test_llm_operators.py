@@ -54,6 +54,12 @@ def test_ann_matches_brute_force(spark):
     assert [tuple(r)[:3] for r in ann.nearest(few.where("vec_id = 0"), few).collect()] == [(0, 1, 1)]
 
 
+def test_ann_sends_no_copies_of_queries_through_the_driver(spark):
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id"), F.sin(F.col("id") * 7)).alias("embedding"))
+    plan = ann.nearest(df.where("vec_id % 50 = 0"), df)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastExchange") == 1 and "SortMergeJoin" in plan  # the one side is the numbers of the query blocks
+
+
 # 2
 def plain_png(data):
     lines = b"".join(b"\0" + data[i : i + 64] for i in range(0, len(data), 64))
