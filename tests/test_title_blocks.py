@@ -43,3 +43,33 @@ def test_pairs_of_blocks_are_all_pairs(spark, block):
     want = {(a[2], b[2]) for a in rows for b in rows if rank(a) > rank(b) and SequenceMatcher(None, a[0], b[0]).ratio() >= 0.75}
     got = dedup.similar_titles(spark.createDataFrame(rows, "clean string, s double, q long"), 0.75, block).collect()
     assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want != set()
+
+
+def _pairs(ones, others, same=False):
+    return {(i, k) for i, a in enumerate(ones) for k, b in enumerate(others) if (not same or i < k) and 2 * _common(a, b) >= 0.75 * (len(a) + len(b))}
+
+
+def test_few_pairs_are_compared_in_order(monkeypatch):
+    rng = random.Random(5)
+    sounds = [["the", "ion ", "er", "an", "wh", "ly", "ou ", "bl"], ["ción", "ñe ", "lla", "ga ", "que", "do", "bo "], ["ung", "schä", "ver ", "ich ", "tz", "pf"]]
+    heads = ["云计算降价谁在受益", "人形机器人开放公测", "万字报告深度学习", "效率工具笔记教程", ""]
+    titles = [rng.choice(heads) + "".join(rng.choices(s, k=24))[:60] for s in sounds for _ in range(80)]
+    titles += [t[:30] + "x" + t[31:] for t in titles[:20]]
+    met, real = [], dedup.common_lengths
+    monkeypatch.setattr(dedup, "common_lengths", lambda patterns, columns, live, *rest: met.append(int(live[0])) or real(patterns, columns, live, *rest))
+    got = list(dedup._near(titles, titles, 0.75, True))
+    want = _pairs(titles, titles, True)
+    assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want and len(want) >= 20
+    assert sum(met) < 0.3 * len(titles) * (len(titles) - 1) / 2
+
+
+def test_near_over_many_characters_repeats_and_lengths(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(dedup, "CELLS", 900)  # several products of matrices, and several runs of pairs
+    monkeypatch.setattr(dedup, "PAIRS", 50)
+    letters = [chr(0x4E00 + i) for i in range(400)] + ["🤖"]  # more than stand alone
+    base = ["".join(rng.choices(letters, k=n)) for n in (5, 40, 70, 130)] + ["a" * 40, "a" * 55 + "b" * 3, "ab" * 70, "é", "x" * 64, "x" * 65]
+    titles = sorted({"".join(c if rng.random() > 0.1 else rng.choice("ax") for c in rng.choice(base)) for _ in range(110)})
+    assert set(dedup._near(titles[::2], titles[1::2], 0.75, False)) == _pairs(titles[::2], titles[1::2])
+    got = list(dedup._near(titles, titles, 0.75, True))
+    assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == _pairs(titles, titles, True)
